@@ -1,11 +1,17 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
+from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import OP8_SQL, op8_source_mixing
+from .quality import op3_quality_trees
+from .secrets import op2_secret_scan
 from .simhash import op7_simhash_dedup
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_quality_trees": op3_quality_trees,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
-SQL = {"op8_source_mixing": OP8_SQL}
+SQL = {"op8_source_mixing": OP8_SQL, "op10_decontamination": OP10_SQL}

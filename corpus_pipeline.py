@@ -6,20 +6,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import mixing, simhash
-from asofspark.llm.common import shared_dir
+from asofspark.llm import decontaminate, mixing, quality, secrets, simhash
+from asofspark.llm.common import shared_dir, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.drop_rejected(docs, docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.masked(docs, secrets.forest(secrets.derived_findings(spark)))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scans", secret_masking),
     ("source_mixing", mixture),
 ]
 

@@ -1,6 +1,7 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
 from .decontaminate import OP10_SQL, op10_decontamination
+from .langid import op9_language_id
 from .mixing import OP8_SQL, op8_source_mixing
 from .quality import op3_quality_trees
 from .secrets import op2_secret_scan
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_quality_trees": op3_quality_trees,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 

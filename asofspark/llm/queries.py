@@ -2,6 +2,7 @@
 
 from .decontaminate import OP10_SQL, op10_decontamination
 from .langid import op9_language_id
+from .media import op5_avi_media
 from .mixing import OP8_SQL, op8_source_mixing
 from .quality import op3_quality_trees
 from .secrets import op2_secret_scan
@@ -10,6 +11,7 @@ from .simhash import op7_simhash_dedup
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_trees": op3_quality_trees,
+    "op5_avi_media": op5_avi_media,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,

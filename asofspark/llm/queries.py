@@ -1,6 +1,7 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
 from .decontaminate import OP10_SQL, op10_decontamination
+from .html_text import op6_html_text
 from .langid import op9_language_id
 from .media import op5_avi_media
 from .mixing import OP8_SQL, op8_source_mixing
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_trees": op3_quality_trees,
     "op5_avi_media": op5_avi_media,
+    "op6_html_text": op6_html_text,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,

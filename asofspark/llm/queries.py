@@ -3,6 +3,7 @@
 from .decontaminate import OP10_SQL, op10_decontamination
 from .html_text import op6_html_text
 from .langid import op9_language_id
+from .licenses import op4_license_scan
 from .media import op5_avi_media
 from .mixing import OP8_SQL, op8_source_mixing
 from .quality import op3_quality_trees
@@ -12,6 +13,7 @@ from .simhash import op7_simhash_dedup
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_trees": op3_quality_trees,
+    "op4_license_scan": op4_license_scan,
     "op5_avi_media": op5_avi_media,
     "op6_html_text": op6_html_text,
     "op7_simhash_dedup": op7_simhash_dedup,

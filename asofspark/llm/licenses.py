@@ -109,6 +109,10 @@ def wording(template: list[str], block: list[str]) -> tuple[float, list[str]]:
     return sum(b - a for _, a, b, _, _ in same) / len(template), diff
 
 
+def _confirms(share: float, diff: list[str], template: list[str]) -> bool:
+    return share >= WORDING and len(diff) <= (1 - WORDING) * len(template)
+
+
 def judge(block: str) -> tuple[str | None, float, float, list[str], bool]:
     """(license, size reduction, wording share, differences, confirmed). The templates that reduce the size most are
     compared word by word; the one with the greatest share, then the fewest differences, wins."""
@@ -122,9 +126,10 @@ def judge(block: str) -> tuple[str | None, float, float, list[str], bool]:
         name, template, _ = held[-i]
         share, diff = wording(template, w)
         # a longer template that is there in full says more than a shorter one
-        key = (share >= WORDING, share * len(template) - len(diff) if share >= WORDING else share, gain)
+        ok = _confirms(share, diff, template)
+        key = (ok, share * len(template) - len(diff) if ok else share, gain)
         if best is None or key > best[0]:
-            best = (key, (name, gain, share, diff, share >= WORDING))
+            best = (key, (name, gain, share, diff, ok))
     return best[1] if best else (None, 0.0, 0.0, [], False)
 
 

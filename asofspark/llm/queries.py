@@ -9,8 +9,10 @@ from .mixing import OP8_SQL, op8_source_mixing
 from .quality import op3_quality_trees
 from .secrets import op2_secret_scan
 from .simhash import op7_simhash_dedup
+from .substrings import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_trees": op3_quality_trees,
     "op4_license_scan": op4_license_scan,

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 LEAD = 16  # leading bytes from the anchor on, by which records are partitioned, followed by a hash of the record
 KEY = LEAD + 8
 BUCKET_BYTES = 6 << 20  # of text, on average
 SAMPLE_DOCS = 3000  # documents whose records are the splitters' sample, about
-CHUNK = 1 << 20  # bytes of text handled at once, at least one document
+CHUNK = 1 << 18  # bytes of text handled at once, at least one document
 BATCH = 12 << 20  # bytes of text combined before records are emitted
 _M = np.uint64
 
@@ -59,7 +59,8 @@ def records(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     w, g = _words(buf), np.zeros(m, np.uint64)
     for j in range(0, gram, 8):
         j = min(j, gram - 8)
-        g = _mix(g + w[j : j + m])
+        g = (g ^ w[j : j + m]) * _M(0xD6E8FEB86659FD93)
+        g ^= g >> _M(32)
     low = (g >> _M(32)) << _M(32) | np.arange(m, dtype=np.uint64)
     span, p = length - gram + 1, 1
     while p * 2 <= span:
@@ -197,6 +198,22 @@ def _unpack(blob: bytes):
     return (*out, raw[at:])
 
 
+def _contents_hash(word: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each record's bytes; word: the 8 bytes from each position of the joined texts on."""
+    h = np.full(len(start), salt, np.uint64) ^ size.astype(np.uint64)
+    for i in range(-(-int(size.max()) // 8) if len(size) else 0):
+        some = np.flatnonzero(size > 8 * i)
+        h[some] = (h[some] ^ word[start[some] + np.minimum(8 * i, size[some] - 8)]) * _M(0xD6E8FEB86659FD93)
+        h[some] ^= h[some] >> _M(29)
+    return _mix(h)
+
+
+def _keys(word: np.ndarray, start: np.ndarray, left: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.empty((len(start), 3), np.uint64)
+    out[:, 0], out[:, 1], out[:, 2] = word[start + left].byteswap(), word[start + left + 8].byteswap(), h
+    return out
+
+
 class _Combiner:
     """Collects records of a task, combines equal ones, and emits a block for each bucket."""
 
@@ -205,61 +222,51 @@ class _Combiner:
         self.clear()
 
     def clear(self) -> None:
-        self.first: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, int, int, int]] = []  # doc, sub, start, strings, left
-        self.gone: list[tuple[int, int, int, int]] = []
+        self.parts: list[tuple] = []
+        self.contents: list[bytes] = []
         self.size = 0
 
     def add(self, docs: list[int], subs: list[int], texts: list[bytes]) -> None:
-        import xxhash  # noqa: F401  (needed by emit; fails early where it is missing)
-
         joined = b"".join(texts)
         self.size += len(joined)
         base = np.cumsum([0, *map(len, texts)])
         text, start, strings, left = records(texts)
-        local = (start - base[text]).tolist()
-        for t, s, n, k, p in zip(text.tolist(), start.tolist(), strings.tolist(), left.tolist(), local, strict=True):
-            content = joined[s : s + n + LENGTH - 1] + k.to_bytes(1)
-            row = (docs[t], subs[t], p, n, k)
-            at = self.first.setdefault(content, len(self.rows))
-            if at == len(self.rows):
-                self.rows.append(row)
-            else:
-                here, there = (row[0], p), (self.rows[at][0], self.rows[at][2])
-                if here < there:
-                    self.rows[at], row = row, self.rows[at]
-                elif here == there and row[1] != self.rows[at][1]:
-                    self.first[content + len(self.rows).to_bytes(8)] = len(self.rows)  # same place: neither is earlier
-                    self.rows.append(row)
-                    continue
-                elif here == there:
-                    continue
-                self.gone.append((row[0], row[1], row[2], row[2] + n + LENGTH - 1))
+        word = _words(np.frombuffer(joined + bytes(8), np.uint8))
+        size = strings + LENGTH - 1
+        h = _contents_hash(word, start, size, 1)
+        self.parts.append((np.array(docs, np.int64)[text], np.array(subs, np.int64)[text], start - base[text], strings, left, h, _keys(word, start, left, h)))
+        self.contents += [joined[s:e] for s, e in zip(start.tolist(), (start + size).tolist(), strict=True)]
 
     def emit(self) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        buckets, blobs = [], []
-        if self.rows:
-            contents: list[bytes] = [b""] * len(self.rows)
-            for c, i in self.first.items():
-                contents[i] = c[: self.rows[i][3] + LENGTH - 1]
-            cols = np.array(self.rows, np.int64)
-            keys = np.array([c[k : k + LEAD] + xxhash.xxh3_64_digest(c) for c, k in zip(contents, cols[:, 4].tolist(), strict=True)], f"S{KEY}")
-            order = np.argsort(keys)
-            bucket = np.searchsorted(self.splitters, keys[order], "right")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                part = order[a:b]
-                buckets.append(int(bucket[a]))
-                blobs.append(_pack(*cols[part].T, b"".join([contents[i] for i in part.tolist()])))
-        if self.gone:
-            g = np.array(self.gone, np.int64)
-            buckets.append(-1 - self.gone[0][0] % (1 << 30))  # any task may unpack these
-            blobs.append(_pack(g[:, 0], g[:, 1], g[:, 2], np.zeros(len(g)), np.zeros(len(g)), g[:, 3].astype("<i8").tobytes()))
-        if buckets:
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
+        parts, contents = self.parts, self.contents
         self.clear()
+        if not contents:
+            return
+        doc, sub, start, strings, left, h, keys = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        order = np.lexsort((sub, start, doc, left, h))
+        first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (left[order][1:] != left[order][:-1])])
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        again = np.zeros(len(order), bool)
+        again[1:] = ~first[1:] & (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & (sub[order][1:] == sub[order][:-1])
+        later = ~first & ((doc[order] != doc[head]) | (start[order] != start[head])) & ~again
+        at = np.flatnonzero(later)
+        same = [contents[i] == contents[k] for i, k in zip(order[at].tolist(), head[at].tolist(), strict=True)]
+        later[at] = same  # equal hashes alone don't count
+        gone, rest = order[later], order[~later & ~again]
+        buckets, blobs = [], []
+        by_key = rest[np.lexsort(keys[rest].T[::-1])]
+        sorted_keys = keys[by_key].astype(">u8").view(f"S{KEY}").ravel()
+        cuts = [0, *np.searchsorted(sorted_keys, self.splitters, "left").tolist(), len(by_key)]
+        for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if b > a:
+                part = by_key[a:b]
+                buckets.append(bucket)
+                blobs.append(_pack(doc[part], sub[part], start[part], strings[part], left[part], b"".join([contents[i] for i in part.tolist()])))
+        if len(gone):
+            ends = start[gone] + strings[gone] + LENGTH - 1
+            buckets.append(-1 - int(doc[gone[0]] % (1 << 30)))  # any task may unpack these
+            blobs.append(_pack(doc[gone], sub[gone], start[gone], np.zeros(len(gone)), np.zeros(len(gone)), ends.astype("<i8").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
 
 
 def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -277,16 +284,11 @@ def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
 
 
 def _sampled_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     for _, _, texts in _inputs(batches):
-        joined = b"".join(texts)
         _, start, strings, left = records(texts)
-        keys = []
-        for s, n, k in zip(start.tolist(), strings.tolist(), left.tolist(), strict=True):
-            c = joined[s : s + n + LENGTH - 1]
-            keys.append(c[k : k + LEAD] + xxhash.xxh3_64_digest(c))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
+        word = _words(np.frombuffer(b"".join(texts) + bytes(8), np.uint8))
+        keys = _keys(word, start, left, _contents_hash(word, start, strings + LENGTH - 1, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys.astype(">u8")], pa.binary())], names=["key"])
 
 
 _OUT = "doc long, sub long, s long, e long, h1 long, h2 long"

@@ -93,7 +93,8 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     near = [0] + [1 << i for i in range(32)]
     balls = fps.select("fp", F.explode(F.array(low, high)).alias("h")).select("fp", "h", F.explode(_longs(near)).alias("m"))
     balls = balls.select(F.col("fp").alias("other"), F.col("h").bitwiseXOR(F.col("m")).alias("half"))
-    pairs = own.join(balls, "half").where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
+    # the planner takes exploded rows to be as small as what they come from; they must not be broadcast
+    pairs = own.join(balls.hint("merge"), "half").where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
     pairs = pairs.select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if hot.isEmpty():
         return pairs

@@ -53,9 +53,9 @@ def wn_daily_return(v):
 @query("wn_adjusted_close", f"""WITH {ACTIONS},
 g AS (SELECT *, exp(sum(ln(1 + coalesce(close / (prior * coalesce(factor, 1)) - 1, 0))) OVER (PARTITION BY instrument_id ORDER BY sidx)) AS growth FROM acts),
 l AS (SELECT instrument_id, arg_max(close, sidx) AS lc, arg_max(growth, sidx) AS lg FROM g WHERE close IS NOT NULL GROUP BY instrument_id)
-SELECT instrument_id, sidx, CASE WHEN close IS NOT NULL THEN round(growth * lc / lg, 4) END AS adjusted FROM g LEFT JOIN l USING (instrument_id)""")
+SELECT instrument_id, sidx, CASE WHEN close IS NOT NULL THEN round(ln(growth * lc / lg), 8) END AS log_adjusted FROM g LEFT JOIN l USING (instrument_id)""")
 def wn_adjusted_close(v):
-    return fx.adjusted_close(v.grid_w).select(*KEY, F.round("adjusted", 4).alias("adjusted"))
+    return fx.adjusted_close(v.grid_w).select(*KEY, F.round(F.ln("adjusted"), 8).alias("log_adjusted"))
 
 
 @query("wn_action_evidence", f"""WITH {ACTIONS} SELECT count(*) AS n, round(median(abs(close / prior - 1)), 6) AS raw_move, round(median(abs(close / (prior * factor) - 1)), 6) AS corrected_move FROM acts WHERE factor IS NOT NULL AND close IS NOT NULL""")
@@ -132,7 +132,7 @@ def wn_trailing_return(v):
     return v.grid_w.select(*KEY, R6(fx.trailing_return(F.col("close"), 52, 4), "ret"))
 
 
-@query("wn_momentum_feature", "SELECT instrument_id, sidx, round(lag(close, 4) OVER w / lag(close, 56) OVER w - 1, 6) AS momentum FROM grid_w WHERE session <= DATE '2000-12-31' QUALIFY lag(close, 4) OVER w > 0 AND lag(close, 56) OVER w > 0 WINDOW w AS (PARTITION BY instrument_id ORDER BY sidx)")
+@query("wn_momentum_feature", "SELECT instrument_id, sidx, round(a / b - 1, 6) AS momentum FROM (SELECT instrument_id, sidx, lag(close, 4) OVER w AS a, lag(close, 56) OVER w AS b FROM grid_w WHERE session <= DATE '2000-12-31' WINDOW w AS (PARTITION BY instrument_id ORDER BY sidx)) WHERE a > 0 AND b > 0")
 def wn_momentum_feature(v):
     g = v.grid_w.where("session <= date '2000-12-31'")
     then, now = F.lag("close", 56).over(BY()), F.lag("close", 4).over(BY())
@@ -216,7 +216,7 @@ def wn_universe_hysteresis(v):
 @query("so_entries_exits", f"WITH {STATS}, c AS (SELECT session, member, coalesce(lag(member) OVER (PARTITION BY instrument_id ORDER BY sidx), 0) AS was FROM hy) SELECT session, sum((member = 1 AND was = 0)::INT)::BIGINT AS entries, sum((member = 0 AND was = 1)::INT)::BIGINT AS exits, sum(member)::BIGINT AS members FROM c GROUP BY session")
 def so_entries_exits(v):
     c = universe(v).withColumn("was", F.coalesce(F.lag("member").over(BY()), F.lit(0)))
-    return c.groupBy("session").agg(F.count_if("member = 1 and was = 0").alias("entries"), F.count_if("member = 0 and was = 1").alias("exits"), F.sum("member").alias("members"))
+    return c.groupBy("session").agg(F.count_if(F.expr("member = 1 and was = 0")).alias("entries"), F.count_if(F.expr("member = 0 and was = 1")).alias("exits"), F.sum("member").alias("members"))
 
 
 @query("wn_month_end", "SELECT date_trunc('month', session)::DATE AS month, max(session) AS session FROM cal_d GROUP BY 1")
@@ -292,9 +292,9 @@ def wn_entry_delay(v):
 # --- signals -----------------------------------------------------------------------------------------------------
 
 
-@query("sg_mean_reversion", f"SELECT instrument_id, sidx FROM (SELECT instrument_id, sidx, {z_sql('close', 50, 40, 'w')} AS z FROM grid_w WINDOW {win('w', 50)}) WHERE round(z, 9) < -1.5")
+@query("sg_mean_reversion", f"SELECT instrument_id, sidx FROM (SELECT instrument_id, sidx, {z_sql('close', 50, 40, 'w')} AS z FROM grid_w WINDOW {win('w', 50)}) WHERE round(z, 9) < -0.9")
 def sg_mean_reversion(v):
-    return v.grid_w.select(*KEY, F.round(fx.zscore(F.col("close"), 50, 40), 9).alias("z")).where("z < -1.5").select(*KEY)
+    return v.grid_w.select(*KEY, F.round(fx.zscore(F.col("close"), 50, 40), 9).alias("z")).where("z < -0.9").select(*KEY)
 
 
 BREAK = "close > CASE WHEN count(close) OVER b = 20 THEN max(close) OVER b END"
@@ -354,11 +354,11 @@ def sg_oi_momentum(v):
 
 @query("sg_participant_tilt", f"""WITH f AS (SELECT sidx, sum(CASE WHEN instrument_id % 2 = 0 THEN volume ELSE -volume END) AS flow FROM grid_w GROUP BY sidx),
 fz AS (SELECT sidx, CASE WHEN count(flow) OVER w >= 20 AND stddev_samp(flow) OVER w > 0 THEN (flow - avg(flow) OVER w) / stddev_samp(flow) OVER w END AS fz FROM f WINDOW w AS (ORDER BY sidx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-s AS (SELECT instrument_id, sidx, {z_sql('close', 50, 40, 'w')} AS z FROM grid_w WINDOW {win('w', 50)}) SELECT instrument_id, sidx FROM s JOIN fz USING (sidx) WHERE round(z, 9) < -1.5 AND round(fz, 9) > 0""")
+s AS (SELECT instrument_id, sidx, {z_sql('close', 50, 40, 'w')} AS z FROM grid_w WINDOW {win('w', 50)}) SELECT instrument_id, sidx FROM s JOIN fz USING (sidx) WHERE round(z, 9) < -0.9 AND round(fz, 9) > 0""")
 def sg_participant_tilt(v):
     flow = v.grid_w.groupBy("sidx").agg(F.sum(F.when(F.col("instrument_id") % 2 == 0, F.col("volume")).otherwise(-F.col("volume"))).alias("flow"))
     gate = flow.select("sidx", F.round(fx.zscore(F.col("flow"), 20, by=Window.orderBy("sidx")), 9).alias("fz")).where("fz > 0")
-    s = v.grid_w.select(*KEY, F.round(fx.zscore(F.col("close"), 50, 40), 9).alias("z")).where("z < -1.5")
+    s = v.grid_w.select(*KEY, F.round(fx.zscore(F.col("close"), 50, 40), 9).alias("z")).where("z < -0.9")
     return s.join(gate, "sidx", "left_semi").select(*KEY)
 
 

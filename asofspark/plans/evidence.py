@@ -1 +1,323 @@
-"""Queries."""
+"""Queries of inference: ranks, calibration, baselines, placebos, bootstraps, folds."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import features as fx
+from .registry import query
+
+R6 = lambda c, name: F.round(c, 6).alias(name)
+R8 = lambda c, name: F.round(c, 8).alias(name)
+
+PRED = "pd AS (SELECT o.instrument_id, o.sidx, o.session, o.excess_pct, o.net_pct, b.close AS f1, b.volume AS f2, b.high - b.low AS f3, (o.sidx * 37 + o.instrument_id * 11) % 101 / 100.0::DOUBLE AS score FROM outcomes o LEFT JOIN bars_w b USING (instrument_id, session) WHERE o.status = 'RESOLVED')"
+
+
+def predictions(v):
+    """Resolved outcomes with three features of the decision session and an arithmetic score."""
+    b = v.bars_w.select("instrument_id", "session", F.col("close").alias("f1"), F.col("volume").alias("f2"), (F.col("high") - F.col("low")).alias("f3"))
+    o = v.outcomes.where("status = 'RESOLVED'").join(b, ["instrument_id", "session"], "left")
+    return o.select("instrument_id", "sidx", "session", "excess_pct", "net_pct", "f1", "f2", "f3", ((F.col("sidx") * 37 + F.col("instrument_id") * 11) % 101 / 100.0).alias("score"))
+
+
+def average_rank(x, *by):
+    """Ranks from 1, ties sharing their mean."""
+    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2.0
+
+
+def avg_rank_sql(x, by):
+    return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0)"
+
+
+IC = f"{PRED}, ic0 AS (SELECT sidx, {avg_rank_sql('score', 'sidx')} AS a, {avg_rank_sql('excess_pct', 'sidx')} AS b FROM pd), ic AS (SELECT sidx, count(*) AS n, corr(a, b) AS ic FROM ic0 GROUP BY sidx HAVING count(*) >= 3 AND stddev_samp(a) > 0 AND stddev_samp(b) > 0)"
+
+
+@query("ag_rank_ic", f"WITH {IC} SELECT count(*) AS dates, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic FROM ic")
+def ag_rank_ic(v):
+    r = predictions(v).select("sidx", average_rank(F.col("score"), "sidx").alias("a"), average_rank(F.col("excess_pct"), "sidx").alias("b"))
+    ic = r.groupBy("sidx").agg(F.count("*").alias("n"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb"), F.corr("a", "b").alias("ic")).where("n >= 3 and sa > 0 and sb > 0")
+    return ic.agg(F.count("*").alias("dates"), R6(F.avg("ic"), "mean_ic"), R6(F.stddev_samp("ic"), "std_ic"))
+
+
+BUCKET = f"""{PRED}, q AS (SELECT quantile_cont(score, 0.2) AS a, quantile_cont(score, 0.4) AS b, quantile_cont(score, 0.6) AS c, quantile_cont(score, 0.8) AS d FROM pd),
+bk AS (SELECT CASE WHEN score <= a THEN 1 WHEN score <= b THEN 2 WHEN score <= c THEN 3 WHEN score <= d THEN 4 ELSE 5 END AS bucket, count(*) AS n, avg(excess_pct) AS e, avg(net_pct) AS m FROM pd, q GROUP BY 1)"""
+
+
+@query("ag_quintile_buckets", f"WITH {BUCKET} SELECT bucket, n, round(e, 8) AS mean_excess, round(m, 8) AS mean_net, e > coalesce(lag(e) OVER (ORDER BY bucket), -1e300) AS above_previous FROM bk")
+def ag_quintile_buckets(v):
+    p = predictions(v)
+    q = p.agg(F.percentile("score", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
+    b = F.when(F.expr("score <= q[0]"), 1).when(F.expr("score <= q[1]"), 2).when(F.expr("score <= q[2]"), 3).when(F.expr("score <= q[3]"), 4).otherwise(5)
+    g = p.crossJoin(F.broadcast(q)).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.avg("excess_pct").alias("e"), F.avg("net_pct").alias("m"))
+    return g.select("bucket", "n", R8(F.col("e"), "mean_excess"), R8(F.col("m"), "mean_net"), (F.col("e") > F.coalesce(F.lag("e").over(Window.orderBy("bucket")), F.lit(-1e300))).alias("above_previous"))
+
+
+LONG = f"{PRED}, lf AS (SELECT instrument_id, sidx, excess_pct, f AS feature, x FROM pd CROSS JOIN LATERAL (VALUES ('f1', f1), ('f2', f2), ('f3', f3)) t(f, x))"
+
+
+def long_features(v):
+    return predictions(v).unpivot(["instrument_id", "sidx", "excess_pct"], ["f1", "f2", "f3"], "feature", "x")
+
+
+@query("ag_component_evidence", f"WITH {LONG}, r AS (SELECT feature, {avg_rank_sql('x', 'feature')} AS a, {avg_rank_sql('excess_pct', 'feature')} AS b FROM lf WHERE x IS NOT NULL) SELECT feature, count(*) AS n, round(corr(a, b), 6) AS rank_ic FROM r GROUP BY feature")
+def ag_component_evidence(v):
+    r = long_features(v).where("x is not null").select("feature", average_rank(F.col("x"), "feature").alias("a"), average_rank(F.col("excess_pct"), "feature").alias("b"))
+    return r.groupBy("feature").agg(F.count("*").alias("n"), R6(F.corr("a", "b"), "rank_ic"))
+
+
+@query("ag_corr_matrix", f"WITH {PRED} SELECT 'f1' AS a, 'f2' AS b, round(corr(f1, f2), 6) AS r FROM pd UNION ALL SELECT 'f1', 'f3', round(corr(f1, f3), 6) FROM pd UNION ALL SELECT 'f2', 'f3', round(corr(f2, f3), 6) FROM pd")
+def ag_corr_matrix(v):
+    """One pass: all pairs of columns are aggregates of one job, then unpivoted."""
+    pairs = [("f1", "f2"), ("f1", "f3"), ("f2", "f3")]
+    row = predictions(v).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), R6(F.corr(a, b), "r")) for a, b in pairs]).alias("x"))
+    return row.select(F.inline("x"))
+
+
+SPLIT = "sidx <= 200"
+
+
+@query("ag_percentile_calibration", f"WITH {PRED}, tr AS (SELECT f1 FROM pd WHERE {SPLIT} AND f1 IS NOT NULL), n AS (SELECT count(*) AS n FROM tr) SELECT p.instrument_id, p.sidx, round(100.0 * ((SELECT count(*) FROM tr WHERE tr.f1 < p.f1) + 0.5 * (SELECT count(*) FROM tr WHERE tr.f1 = p.f1)) / n.n, 6) AS score FROM pd p, n WHERE NOT ({SPLIT}) AND p.f1 IS NOT NULL")
+def ag_percentile_calibration(v):
+    """Scores against the training ECDF: training counts per value and asked values are merged and summed in order of
+    value, so no row is compared with all training rows."""
+    p = predictions(v).where("f1 is not null")
+    train = p.where(SPLIT).groupBy("f1").agg(F.count("*").alias("c"))
+    asked = p.where(f"not ({SPLIT})").select("f1").distinct().join(train, "f1", "full_outer").na.fill(0, ["c"])
+    w = Window.orderBy("f1")  # distinct values only
+    ecdf = asked.withColumns({"less": F.sum("c").over(w) - F.col("c"), "n": F.sum("c").over(Window.partitionBy())})
+    q = p.where(f"not ({SPLIT})").join(ecdf, "f1")
+    return q.select("instrument_id", "sidx", R6((F.col("less") + F.col("c") * 0.5) * 100.0 / F.col("n"), "score"))
+
+
+@query("ag_winsor_zscore", f"WITH {PRED}, b AS (SELECT quantile_cont(f1, 0.05) AS lo, quantile_cont(f1, 0.95) AS hi FROM pd WHERE {SPLIT}), m AS (SELECT lo, hi, avg(least(greatest(f1, lo), hi)) AS mu, stddev_pop(least(greatest(f1, lo), hi)) AS sd FROM pd, b WHERE {SPLIT} AND f1 IS NOT NULL GROUP BY lo, hi) SELECT instrument_id, sidx, round((least(greatest(f1, lo), hi) - mu) / sd, 6) AS z FROM pd, m WHERE f1 IS NOT NULL")
+def ag_winsor_zscore(v):
+    p = predictions(v).where("f1 is not null")
+    b = p.where(SPLIT).agg(F.percentile("f1", F.lit(0.05)).alias("lo"), F.percentile("f1", F.lit(0.95)).alias("hi"))
+    clip = F.least(F.greatest("f1", "lo"), "hi")
+    m = p.where(SPLIT).crossJoin(F.broadcast(b)).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.avg(clip).alias("mu"), F.stddev_pop(clip).alias("sd"))
+    return p.crossJoin(F.broadcast(m)).select("instrument_id", "sidx", R6((clip - F.col("mu")) / F.col("sd"), "z"))
+
+
+NB = 20
+
+
+@query("ag_neighbor_calibration", f"WITH {PRED}, g AS (SELECT DISTINCT score FROM pd WHERE NOT ({SPLIT})), k AS (SELECT g.score, t.net_pct, row_number() OVER (PARTITION BY g.score ORDER BY abs(t.score - g.score), t.score, t.instrument_id, t.sidx) AS r FROM g, (SELECT * FROM pd WHERE {SPLIT}) t) SELECT score, round(avg(net_pct), 8) AS mean, round(stddev_samp(net_pct) / sqrt({NB}), 6) AS se, round(100.0 * avg((net_pct > 0)::INT), 6) AS positive_pct FROM k WHERE r <= {NB} GROUP BY score")
+def ag_neighbor_calibration(v):
+    """The k nearest training rows of each asked score. Scores lie on a known grid of hundredths (101 values at most):
+    each value meets, of every training value, only the first k rows, aggregated beforehand."""
+    p = predictions(v)
+    by = Window.partitionBy("score").orderBy("instrument_id", "sidx")
+    train = p.where(SPLIT).withColumn("i", F.row_number().over(by)).where(F.col("i") <= NB).select(F.col("score").alias("ts"), "instrument_id", "sidx", "net_pct")
+    asked = p.where(f"not ({SPLIT})").select("score").distinct()
+    w = Window.partitionBy("score").orderBy(F.abs(F.col("ts") - F.col("score")), "ts", "instrument_id", "sidx")
+    k = asked.join(train).withColumn("r", F.row_number().over(w)).where(F.col("r") <= NB)
+    return k.groupBy("score").agg(R8(F.avg("net_pct"), "mean"), R6(F.stddev_samp("net_pct") / F.sqrt(F.lit(NB)), "se"), R6(F.avg((F.col("net_pct") > 0).cast("double")) * 100, "positive_pct"))
+
+
+@query("ag_linear_fit")
+def ag_linear_fit(v):
+    """Least squares on standardised features, columns correlated above 0.999999 dropped: the moments are aggregated by
+    Spark and a 3 x 3 system is solved from one row."""
+    import numpy as np
+
+    p = predictions(v).dropna(subset=["f1", "f2", "f3", "excess_pct"])
+    cols = ["f1", "f2", "f3"]
+    pairs = [(a, b) for a in [*cols, "excess_pct"] for b in [*cols, "excess_pct"]]
+    row = p.agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs], *[F.avg(c).alias(c) for c in [*cols, "excess_pct"]]).first()
+    kept = []
+    for c in cols:
+        if all(abs(row[f"{c}_{k}"]) < 0.999999 * (row[f"{c}_{c}"] * row[f"{k}_{k}"]) ** 0.5 for k in kept):
+            kept.append(c)
+    beta = np.linalg.solve([[row[f"{a}_{b}"] for b in kept] for a in kept], [row[f"{a}_excess_pct"] for a in kept])
+    base = row["excess_pct"] - sum(float(b) * row[c] for b, c in zip(beta, kept, strict=True))
+    fitted = F.lit(float(base))
+    for b, c in zip(beta, kept, strict=True):
+        fitted = fitted + F.col(c) * F.lit(float(b))
+    return p.select("instrument_id", "sidx", R6(fitted, "fitted"))
+
+
+PV = "pv AS (SELECT instrument_id AS id, (instrument_id * 7919 + 13) % 97 / 1000.0 AS p FROM (SELECT DISTINCT instrument_id FROM picks))"
+
+
+@query("ag_holm", f"WITH {PV}, o AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM pv), t AS (SELECT *, p <= 0.05 / (m - i + 1) AS pass FROM o) SELECT id, p::DOUBLE AS p, i, bool_and(pass) OVER (ORDER BY i) AS rejected FROM t")
+def ag_holm(v):
+    """Step-down over a table of hypotheses (one row each): the first failure ends the rejections."""
+    pv = v.picks.select(F.col("instrument_id").alias("id")).distinct().withColumn("p", (F.col("id") * 7919 + 13) % 97 / 1000.0)
+    o = pv.withColumns({"i": F.row_number().over(Window.orderBy("p", "id")), "m": F.count("*").over(Window.partitionBy())})
+    o = o.withColumn("pass", F.col("p") <= 0.05 / (F.col("m") - F.col("i") + 1))
+    return o.select("id", "p", "i", F.bool_and("pass").over(Window.orderBy("i")).alias("rejected"))
+
+
+@query("ag_attempt_ledger", "SELECT DISTINCT p.instrument_id FROM (SELECT instrument_id FROM bars_w) p ANTI JOIN (SELECT instrument_id FROM picks WHERE sidx < 4) a USING (instrument_id)")
+def ag_attempt_ledger(v):
+    return v.bars_w.select("instrument_id").distinct().join(v.picks.where("sidx < 4"), "instrument_id", "left_anti")
+
+
+@query("ag_baselines", "WITH d AS (SELECT sidx, avg(net_pct) AS m, avg(bench_pct) AS b FROM outcomes WHERE status = 'RESOLVED' GROUP BY sidx) SELECT round(avg(b), 6) AS benchmark, round(avg(m), 6) AS universe FROM d")
+def ag_baselines(v):
+    d = v.outcomes.where("status = 'RESOLVED'").groupBy("sidx").agg(F.avg("net_pct").alias("m"), F.avg("bench_pct").alias("b"))
+    return d.agg(R6(F.avg("b"), "benchmark"), R6(F.avg("m"), "universe"))
+
+
+def arithmetic_draw(seed, *keys):
+    """A draw that any engine repeats."""
+    total = seed * 40503
+    for i, k in enumerate(keys):
+        total = total + k.cast("long") * (2654435761 + 97 * i)
+    return total % 1000003
+
+
+PLACEBO = """sd AS (SELECT range AS seed FROM range(1, 31)), k AS (SELECT sidx, count(*) AS k FROM picks GROUP BY sidx),
+dr AS (SELECT seed, g.instrument_id, g.sidx, k, row_number() OVER (PARTITION BY seed, g.sidx ORDER BY (seed * 40503 + g.instrument_id::BIGINT * 2654435761 + g.sidx::BIGINT * 2654435858) % 1000003, g.instrument_id) AS r FROM grid_w g JOIN k USING (sidx) CROSS JOIN sd WHERE g.close IS NOT NULL),
+pb AS (SELECT seed, instrument_id, sidx FROM dr WHERE r <= k)"""
+
+
+def placebos(v, seeds=30):
+    """The same number of random priced names on the same dates, for all seeds in one job."""
+    k = v.picks.groupBy("sidx").agg(F.count("*").alias("k"))
+    g = v.grid_w.where("close is not null").select("instrument_id", "sidx").join(k, "sidx").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
+    w = Window.partitionBy("seed", "sidx").orderBy(arithmetic_draw(F.col("seed").cast("long"), F.col("instrument_id"), F.col("sidx")), "instrument_id")
+    return g.withColumn("r", F.row_number().over(w)).where("r <= k").select("seed", "instrument_id", "sidx")
+
+
+@query("ag_placebo_signals", f"WITH {PLACEBO} SELECT seed, instrument_id, sidx FROM pb")
+def ag_placebo_signals(v):
+    return placebos(v)
+
+
+BAND = f"""{PLACEBO}, pr AS (SELECT p.seed, avg((x.open / e.open - 1) * 100) AS m FROM pb p JOIN grid_w e ON e.instrument_id = p.instrument_id AND e.sidx = p.sidx + 1 JOIN grid_w x ON x.instrument_id = p.instrument_id AND x.sidx = p.sidx + 5 WHERE e.open > 0 AND x.open > 0 GROUP BY 1),
+re AS (SELECT avg((x.open / e.open - 1) * 100) AS m FROM picks p JOIN grid_w e ON e.instrument_id = p.instrument_id AND e.sidx = p.sidx + 1 JOIN grid_w x ON x.instrument_id = p.instrument_id AND x.sidx = p.sidx + 5 WHERE e.open > 0 AND x.open > 0)"""
+
+
+def gross(v, picks, *keys):
+    e = v.grid_w.where("open > 0").select("instrument_id", (F.col("sidx") - 1).alias("sidx"), F.col("open").alias("o0"))
+    x = v.grid_w.where("open > 0").select("instrument_id", (F.col("sidx") - 5).alias("sidx"), F.col("open").alias("o1"))
+    return picks.join(e, ["instrument_id", "sidx"]).join(x, ["instrument_id", "sidx"]).groupBy(*keys).agg(F.avg((F.col("o1") / F.col("o0") - 1) * 100).alias("m"))
+
+
+def band(v):
+    p = gross(v, placebos(v), "seed")
+    return p.crossJoin(F.broadcast(gross(v, v.picks).withColumnRenamed("m", "real")))
+
+
+@query("ag_placebo_band", f"WITH {BAND} SELECT round(min(p.m), 6) AS lo, round(avg(p.m), 6) AS mean, round(max(p.m), 6) AS hi, round(any_value(re.m), 6) AS real, any_value(re.m) > max(p.m) AS beats_best, round(100.0 * avg((p.m < re.m)::INT), 6) AS percentile FROM pr p, re")
+def ag_placebo_band(v):
+    return band(v).agg(R6(F.min("m"), "lo"), R6(F.avg("m"), "mean"), R6(F.max("m"), "hi"), R6(F.first("real"), "real"), (F.first("real") > F.max("m")).alias("beats_best"), R6(F.avg((F.col("m") < F.col("real")).cast("double")) * 100, "percentile"))
+
+
+@query("ag_decision_rule", f"WITH {BAND}, w AS (SELECT date_trunc('week', entry_session) AS b, avg(net_pct) AS m FROM trades WHERE net_pct IS NOT NULL GROUP BY 1), t AS (SELECT avg(m) / (stddev_samp(m) / sqrt(count(*))) AS t FROM w) SELECT (SELECT m FROM re) > (SELECT max(m) FROM pr) AS beats_placebo, (SELECT m FROM re) > 0 AS positive, (SELECT t FROM t) > 2 AS significant, (SELECT m FROM re) > (SELECT max(m) FROM pr) AND (SELECT m FROM re) > 0 AND (SELECT t FROM t) > 2 AS accepted")
+def ag_decision_rule(v):
+    from .outcomes import t_of_means
+
+    b = band(v).agg((F.first("real") > F.max("m")).alias("beats_placebo"), (F.first("real") > 0).alias("positive"))
+    t = t_of_means(v.trades, "net_pct", F.date_trunc("week", "entry_session")).select((F.col("t") > 2).alias("significant"))
+    return b.crossJoin(t).withColumn("accepted", F.col("beats_placebo") & F.col("positive") & F.col("significant"))
+
+
+def block_draws(v, replications, block, circular):
+    """replications x blocks of consecutive dates, by hash: joined on the date's ordinal."""
+    d = v.outcomes.where("status = 'RESOLVED'").groupBy("sidx").agg(F.avg("net_pct").alias("m"))
+    d = d.withColumn("i", F.row_number().over(Window.orderBy("sidx")) - 1)  # one row per decision date
+    n = d.agg(F.count("*").alias("n"))
+    reps = v.spark.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n))
+    b = reps.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
+    starts = F.pmod(F.xxhash64("rep", "b", F.lit(11)), F.col("n") if circular else F.greatest(F.col("n") - block + 1, F.lit(1)))
+    b = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("i", (starts + F.col("k")) % F.col("n"))
+    return b.where(F.col("b") * block + F.col("k") < F.col("n")).join(d.select("i", "m"), "i")
+
+
+@query("ag_block_bootstrap")
+def ag_block_bootstrap(v):
+    means = block_draws(v, 2000, 2, False).groupBy("rep").agg(F.avg("m").alias("m"))
+    return means.agg(F.count("*").alias("replications"), R6(F.avg("m"), "mean"), R6(F.percentile("m", F.lit(0.025)), "lo"), R6(F.percentile("m", F.lit(0.975)), "hi"))
+
+
+@query("ag_circular_bootstrap")
+def ag_circular_bootstrap(v):
+    reps = block_draws(v, 2000, 4, True).groupBy("rep").agg(F.avg("m").alias("m"), F.sum(F.when(F.col("m") > -100, F.ln(1 + F.col("m") / 100))).alias("g"))
+    return reps.agg(R6(F.avg((F.col("m") > 0).cast("double")), "p_positive"), R6(F.percentile("m", F.lit(0.025)), "lo"), R6(F.percentile("m", F.lit(0.975)), "hi"), R6(F.median("g"), "median_log_growth"))
+
+
+FOLDS = "fo AS (SELECT k AS fold, 1 AS train_from, 100 + (k - 1) * 50 - 6 AS train_to, 100 + (k - 1) * 50 AS valid_from, 100 + k * 50 - 1 AS valid_to FROM range(1, 6) r(k))"
+
+
+def folds(v, start=100, step=50, purge=5, n=5):
+    """Expanding folds by session ordinal: training ends `purge` + 1 sessions before validation starts."""
+    k = v.spark.range(1, n + 1).withColumn("fold", F.col("id").cast("int"))
+    frm = F.lit(start) + (F.col("fold") - 1) * step
+    return k.select("fold", F.lit(1).alias("train_from"), (frm - purge - 1).alias("train_to"), frm.alias("valid_from"), (frm + step - 1).alias("valid_to"))
+
+
+@query("wn_walk_forward", f"WITH {FOLDS} SELECT fold, a.session AS train_to, b.session AS valid_from, c.session AS valid_to FROM fo JOIN cal_w a ON a.sidx = fo.train_to JOIN cal_w b ON b.sidx = fo.valid_from JOIN cal_w c ON c.sidx = fo.valid_to")
+def wn_walk_forward(v):
+    f = folds(v)
+    for c in ("train_to", "valid_from", "valid_to"):
+        f = f.join(v.cal_w.select(F.col("sidx").alias(c), F.col("session").alias(f"_{c}")), c)
+    return f.select("fold", *[F.col(f"_{c}").alias(c) for c in ("train_to", "valid_from", "valid_to")])
+
+
+def in_folds(v, df):
+    """Rows of df in each fold's validation span (a row may be in several): folds are few and known by number."""
+    f = folds(v).select("fold", F.explode(F.sequence("valid_from", "valid_to")).alias("sidx"))
+    return df.join(f, "sidx")
+
+
+@query("so_oos_union", f"WITH {FOLDS} SELECT fold, instrument_id, sidx, excess_pct FROM outcomes JOIN fo ON sidx BETWEEN valid_from AND valid_to WHERE status = 'RESOLVED'")
+def so_oos_union(v):
+    return in_folds(v, v.outcomes.where("status = 'RESOLVED'")).select("fold", "instrument_id", "sidx", "excess_pct")
+
+
+@query("ag_fold_summary", f"WITH {FOLDS} SELECT fold, count(*) AS n, round(avg(excess_pct), 8) AS mean_excess FROM outcomes JOIN fo ON sidx BETWEEN valid_from AND valid_to WHERE status = 'RESOLVED' GROUP BY fold")
+def ag_fold_summary(v):
+    return in_folds(v, v.outcomes.where("status = 'RESOLVED'")).groupBy("fold").agg(F.count("*").alias("n"), R8(F.avg("excess_pct"), "mean_excess"))
+
+
+@query("wn_fold_checks", f"WITH {FOLDS} SELECT fold, count(*) FILTER (WHERE sidx <= train_to AND sidx + 5 >= valid_from) AS label_overlaps, count(*) FILTER (WHERE sidx BETWEEN valid_from AND valid_to) AS in_oos FROM outcomes CROSS JOIN fo GROUP BY fold")
+def wn_fold_checks(v):
+    by = v.outcomes.groupBy("sidx").agg(F.count("*").alias("c")).crossJoin(F.broadcast(folds(v)))  # dates x folds
+    part = lambda cond: F.coalesce(F.sum(F.when(F.expr(cond), F.col("c"))), F.lit(0))
+    return by.groupBy("fold").agg(part("sidx <= train_to and sidx + 5 >= valid_from").alias("label_overlaps"), part("sidx between valid_from and valid_to").alias("in_oos"))
+
+
+@query("wn_split_window", "WITH s(name, a, b) AS (VALUES ('train', 1, 150), ('validation', 151, 250), ('holdout', 251, 340)) SELECT name, x.session AS opens, y.session AS closes FROM s JOIN cal_w x ON x.sidx = a + CASE WHEN a > 1 THEN 12 ELSE 0 END JOIN cal_w y ON y.sidx = b - 5")
+def wn_split_window(v):
+    s = v.spark.createDataFrame([("train", 1, 150), ("validation", 151, 250), ("holdout", 251, 340)], "name string, a int, b int")
+    s = s.select("name", (F.col("a") + F.when(F.col("a") > 1, 12).otherwise(0)).alias("a"), (F.col("b") - 5).alias("b"))
+    c = v.cal_w
+    return s.join(c.select(F.col("sidx").alias("a"), F.col("session").alias("opens")), "a").join(c.select(F.col("sidx").alias("b"), F.col("session").alias("closes")), "b").select("name", "opens", "closes")
+
+
+@query("ag_gate_results", f"WITH {IC}, {FOLDS}, f AS (SELECT fold, avg(excess_pct) AS m FROM outcomes JOIN fo ON sidx BETWEEN valid_from AND valid_to WHERE status = 'RESOLVED' GROUP BY fold) SELECT (SELECT count(*) FROM ic) >= 24 AS enough_dates, (SELECT avg(ic) FROM ic) > 0 AS ic_positive, (SELECT avg((m > 0)::INT) FROM f) >= 0.6 AS folds_positive, (SELECT avg((status <> 'RESOLVED')::INT) FROM outcomes) <= 0.1 AS few_unresolved")
+def ag_gate_results(v):
+    ic = ag_rank_ic(v).select((F.col("dates") >= 24).alias("enough_dates"), (F.col("mean_ic") > 0).alias("ic_positive"))
+    f = in_folds(v, v.outcomes.where("status = 'RESOLVED'")).groupBy("fold").agg(F.avg("excess_pct").alias("m")).agg((F.avg((F.col("m") > 0).cast("double")) >= 0.6).alias("folds_positive"))
+    u = v.outcomes.agg((F.avg((F.col("status") != "RESOLVED").cast("double")) <= 0.1).alias("few_unresolved"))
+    return ic.crossJoin(f).crossJoin(u)  # one row each
+
+
+@query("ag_outcome_accounting", "SELECT count(*) FILTER (WHERE p.sidx IS NULL) AS without_prediction, count(*) FILTER (WHERE o.sidx IS NULL) AS without_outcome, count(*) FILTER (WHERE o.status IS NULL) AS unlabelled FROM picks p FULL JOIN outcomes o ON p.instrument_id = o.instrument_id AND p.sidx = o.sidx")
+def ag_outcome_accounting(v):
+    p = v.picks.select("instrument_id", "sidx", F.lit(1).alias("p"))
+    o = v.outcomes.select("instrument_id", "sidx", F.lit(1).alias("o"), "status")
+    j = p.join(o, ["instrument_id", "sidx"], "full_outer")
+    return j.agg(F.count_if(F.col("p").isNull()).alias("without_prediction"), F.count_if(F.col("o").isNull()).alias("without_outcome"), F.count_if(F.col("status").isNull()).alias("unlabelled"))
+
+
+@query("wn_feature_materialize", "SELECT instrument_id, sidx, CASE WHEN close IS NULL AND stale THEN 'STALE' WHEN close IS NULL THEN 'MISSING' ELSE 'AVAILABLE' END AS state, CASE WHEN close > 0 THEN round(-ln(close), 8) END AS oriented FROM (SELECT *, sidx - last_value(CASE WHEN close IS NOT NULL THEN sidx END IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY sidx) <= 5 AS stale FROM grid_w)")
+def wn_feature_materialize(v):
+    last = F.last(F.when(F.col("close").isNotNull(), F.col("sidx")), True).over(fx.BY())
+    state = F.when(F.col("close").isNull() & (F.col("sidx") - last <= 5), "STALE").when(F.col("close").isNull(), "MISSING").otherwise("AVAILABLE")
+    return v.grid_w.select("instrument_id", "sidx", state.alias("state"), F.when(F.col("close") > 0, F.round(-F.ln("close"), 8)).alias("oriented"))
+
+
+@query("px_row_hash")
+def px_row_hash(v):
+    return v.bars_w.select("instrument_id", "session", F.sha2(F.to_json(F.struct("instrument_id", "session", "close", "volume")), 256).alias("row_hash"))
+
+
+@query("px_confidence_band", "WITH x AS (SELECT instrument_id, sidx, (status <> 'RESOLVED')::INT + (bench_pct IS NULL)::INT + (abs(coalesce(net_pct, 0)) > 500)::INT + (sidx < 60)::INT AS limits FROM outcomes) SELECT instrument_id, sidx, limits, CASE WHEN limits = 0 THEN 'HIGH' WHEN limits <= 1 THEN 'MODERATE' ELSE 'LOW' END AS band FROM x")
+def px_confidence_band(v):
+    flags = [F.expr(e).cast("int") for e in ("status <> 'RESOLVED'", "bench_pct is null", "abs(coalesce(net_pct, 0)) > 500", "sidx < 60")]
+    x = v.outcomes.withColumn("limits", sum(flags[1:], flags[0]))
+    return x.select("instrument_id", "sidx", "limits", F.when(F.col("limits") == 0, "HIGH").when(F.col("limits") <= 1, "MODERATE").otherwise("LOW").alias("band"))

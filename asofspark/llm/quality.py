@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import bounded_sample, staged, table
 from .gbt import Trees, fit
 
 SAMPLE = 6000  # labelled rows that the trees are fitted on, at most; the smallest by a hash of doc_id
@@ -61,7 +61,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from labelled rows whose crc32(doc_id) mod 5 is not 0; rows without a doc_id or label are not used."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0))
     picked = known.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("y"))
-    picked = staged(picked.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample))
+    picked = staged(bounded_sample(picked, sample, "_id", "y"))
     rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select("y", "text")
     got = rows.mapInArrow(_sample_statistics, "y double, x array<double>").toArrow()
     y = got.column("y").to_numpy()

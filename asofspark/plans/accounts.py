@@ -1 +1,223 @@
-"""Queries."""
+"""Queries of costs, ledgers, valuations, limits and text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.costs import delivery_leg, futures_leg
+from .registry import query
+
+R6 = lambda c, name: F.round(c, 6).alias(name)
+
+LEG = "(least(20.0, {v} * 0.0003) + {v} * 0.001 + {v} * 0.0000297 + {v} * 0.000001 + {stamp} + 0.18 * (least(20.0, {v} * 0.0003) + {v} * 0.0000297 + {v} * 0.000001) + {v} * 0.0005)"
+
+
+@query("px_delivery_cost", "SELECT instrument_id, session, round(" + LEG.format(v="turnover", stamp="turnover * 0.00015") + ", 6) AS buy_cost, round(" + LEG.format(v="turnover", stamp="0") + ", 6) AS sell_cost FROM bars_w")
+def px_delivery_cost(v):
+    return v.bars_w.select("instrument_id", "session", R6(delivery_leg(F.col("turnover"), "buy"), "buy_cost"), R6(delivery_leg(F.col("turnover"), "sell"), "sell_cost"))
+
+
+FUT = "(least(20.0, {v} * 0.0003) + {stt} + {v} * 0.0000173 + {v} * 0.000001 + {stamp} + 0.18 * (least(20.0, {v} * 0.0003) + {v} * 0.0000173 + {v} * 0.000001) + {v} * 0.0005)"
+FB, FS = FUT.format(v="turnover", stt="0", stamp="turnover * 0.00002"), FUT.format(v="turnover", stt="turnover * 0.0002", stamp="0")
+
+
+@query("px_futures_cost", f"SELECT instrument_id, session, round(CASE WHEN instrument_id % 2 = 0 THEN {FB} ELSE {FS} END, 6) AS open_cost, round(CASE WHEN instrument_id % 2 = 0 THEN {FS} ELSE {FB} END, 6) AS close_cost FROM bars_w")
+def px_futures_cost(v):
+    buy, sell = futures_leg(F.col("turnover"), "buy"), futures_leg(F.col("turnover"), "sell")
+    long_ = F.col("instrument_id") % 2 == 0
+    return v.bars_w.select("instrument_id", "session", R6(F.when(long_, buy).otherwise(sell), "open_cost"), R6(F.when(long_, sell).otherwise(buy), "close_cost"))
+
+
+@query("px_round_trip_pct", "SELECT instrument_id, session, round(100 * (" + LEG.format(v="turnover", stamp="turnover * 0.00015") + " + " + LEG.format(v="turnover", stamp="0") + ") / turnover, 6) AS pct_of_position, round(50 * (" + LEG.format(v="turnover", stamp="turnover * 0.00015") + " + " + LEG.format(v="turnover", stamp="0") + ") / turnover, 6) AS pct_of_turnover FROM bars_w")
+def px_round_trip_pct(v):
+    both = delivery_leg(F.col("turnover"), "buy") + delivery_leg(F.col("turnover"), "sell")
+    return v.bars_w.select("instrument_id", "session", R6(both * 100 / F.col("turnover"), "pct_of_position"), R6(both * 50 / F.col("turnover"), "pct_of_turnover"))
+
+
+@query("ag_ledger_balance", "SELECT event_id, sum(debit)::DECIMAL(20,2) AS debits, sum(credit)::DECIMAL(20,2) AS credits FROM journal GROUP BY event_id HAVING sum(debit) <> sum(credit)")
+def ag_ledger_balance(v):
+    g = v.journal.groupBy("event_id").agg(F.bround(F.sum("debit"), 2).cast("decimal(20,2)").alias("debits"), F.bround(F.sum("credit"), 2).cast("decimal(20,2)").alias("credits"))
+    return g.where("debits <> credits")
+
+
+HOLD = "h AS (SELECT o_custkey % 20 AS book, o_custkey % 25 AS instrument_id, sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * (o_orderkey % 50))::BIGINT AS shares FROM orders GROUP BY 1, 2), lp AS (SELECT instrument_id, arg_max(close, session) AS price, max(session) AS seen FROM bars_w WHERE session <= DATE '2000-06-30' GROUP BY 1)"
+
+
+def holdings(v):
+    o = v.t("orders")
+    n = F.when(F.col("o_orderstatus") == "F", -1).otherwise(1) * (F.col("o_orderkey") % 50)
+    return o.groupBy((F.col("o_custkey") % 20).alias("book"), (F.col("o_custkey") % 25).alias("instrument_id")).agg(F.sum(n).alias("shares"))
+
+
+def valued(v):
+    lp = v.bars_w.where("session <= date '2000-06-30'").groupBy("instrument_id").agg(F.max_by("close", "session").alias("price"), F.max("session").alias("at"))
+    return holdings(v).join(lp, "instrument_id", "left").withColumn("value", F.round(F.col("shares") * F.col("price"), 6))
+
+
+@query("ag_valuation", f"WITH {HOLD} SELECT book, round(sum(round(shares * price, 6)), 2) AS net, round(sum(abs(round(shares * price, 6))), 2) AS gross, round(max(abs(round(shares * price, 6))) / sum(abs(round(shares * price, 6))), 6) AS concentration, bool_or(price IS NULL OR seen < DATE '2000-06-12') AS incomplete FROM h LEFT JOIN lp USING (instrument_id) GROUP BY book")
+def ag_valuation(v):
+    a = F.abs("value")
+    return valued(v).groupBy("book").agg(F.round(F.sum("value"), 2).alias("net"), F.round(F.sum(a), 2).alias("gross"), R6(F.max(a) / F.sum(a), "concentration"), F.bool_or(F.col("price").isNull() | (F.col("at") < "2000-06-12")).alias("incomplete"))
+
+
+@query("ag_limit_checks", f"WITH {HOLD}, x AS (SELECT book, max(abs(shares * price)) / sum(abs(shares * price)) AS pos, abs(sum(shares * price)) / sum(abs(shares * price)) AS net, count(*) FILTER (WHERE shares <> 0) AS names FROM h LEFT JOIN lp USING (instrument_id) GROUP BY book) SELECT book, limit_name, CASE WHEN x IS NULL THEN 'UNKNOWN' WHEN x > hi THEN 'BLOCK' WHEN x > 0.8 * hi THEN 'BINDING' ELSE 'PASS' END AS state FROM x CROSS JOIN LATERAL (VALUES ('position', pos, 0.2), ('net', net, 0.5), ('names', names::DOUBLE, 30.0)) t(limit_name, x, hi)")
+def ag_limit_checks(v):
+    a = F.abs(F.col("shares") * F.col("price"))
+    x = valued(v).groupBy("book").agg((F.max(a) / F.sum(a)).alias("position"), (F.abs(F.sum(F.col("shares") * F.col("price"))) / F.sum(a)).alias("net"), F.count_if(F.col("shares") != 0).cast("double").alias("names"))
+    rows = x.unpivot("book", ["position", "net", "names"], "limit_name", "x")
+    hi = F.when(F.col("limit_name") == "position", 0.2).when(F.col("limit_name") == "net", 0.5).otherwise(30.0)
+    return rows.select("book", "limit_name", F.when(F.col("x").isNull(), "UNKNOWN").when(F.col("x") > hi, "BLOCK").when(F.col("x") > hi * 0.8, "BINDING").otherwise("PASS").alias("state"))
+
+
+@query("wn_running_cost")
+def wn_running_cost(v):
+    """Weighted-average cost and realised profit per instrument in event order: an ordered fold in decimals. A fold's
+    state is one struct; the events of an instrument are those of its sessions, one bar each."""
+    step_in = F.array_sort(F.collect_list(F.struct("session", F.when((F.col("sidx") % 3) == 0, -50).otherwise(40).alias("qty"), F.col("close").cast("decimal(20,6)").alias("price"))))
+    dec = lambda x: F.lit(x).cast("decimal(20,6)")
+    zero = F.struct(F.lit(0).alias("held"), dec("0").alias("cost"), dec("0").alias("realised"))
+
+    def step(s, e):
+        buy = e["qty"] > 0
+        sold = F.least(-e["qty"], s["held"])
+        held = F.when(buy, s["held"] + e["qty"]).otherwise(s["held"] - sold)
+        cost = F.when(buy, F.bround((s["cost"] * s["held"] + e["price"] * e["qty"]) / F.when(s["held"] + e["qty"] != 0, s["held"] + e["qty"]), 6)).otherwise(s["cost"])
+        gain = F.when(buy, s["realised"]).otherwise(s["realised"] + (e["price"] - s["cost"]) * sold)
+        return F.struct(held.cast("int").alias("held"), cost.cast("decimal(20,6)").alias("cost"), gain.cast("decimal(20,6)").alias("realised"))
+
+    g = v.grid_w.where("close is not null").groupBy("instrument_id").agg(step_in.alias("e"))
+    return g.select("instrument_id", F.aggregate("e", zero, step).alias("s")).select("instrument_id", "s.*")
+
+
+@query("wn_hash_chain", "WITH c AS (SELECT event_id, ts, md5(event_id::VARCHAR) AS h, CASE WHEN event_id % 101 = 0 THEN 'broken' ELSE lag(md5(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS previous, lag(md5(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS expected FROM events) SELECT event_id FROM c WHERE previous IS DISTINCT FROM expected")
+def wn_hash_chain(v):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    h = F.md5(F.col("event_id").cast("string").cast("binary"))
+    c = v.t("events").select("event_id", F.lag(h).over(w).alias("expected"))
+    return c.where(~F.when(F.col("event_id") % 101 == 0, F.lit("broken")).otherwise(F.col("expected")).eqNullSafe(F.col("expected"))).select("event_id")
+
+
+@query("ag_ledger_counts", "SELECT account, event_id % 3 AS stage, count(*) AS n, sum(debit)::DECIMAL(20,2) AS debits FROM journal GROUP BY GROUPING SETS ((account), (event_id % 3), (account, event_id % 3), ())")
+def ag_ledger_counts(v):
+    j = v.journal.withColumn("stage", F.col("event_id") % 3)
+    sets = [["account"], ["stage"], ["account", "stage"], []]
+    return j.groupingSets([[F.col(c) for c in s] for s in sets], F.col("account"), F.col("stage")).agg(F.count("*").alias("n"), F.sum("debit").cast("decimal(20,2)").alias("debits")).select("account", "stage", "n", "debits")
+
+
+@query("ag_scoreboard", "SELECT CASE WHEN session < DATE '1999-01-01' THEN 'train' ELSE 'validation' END AS split, instrument_id % 4 AS family, count(*) AS tried, sum((excess_pct > 0)::INT)::BIGINT AS accepted, sum((excess_pct <= 0)::INT)::BIGINT AS rejected FROM outcomes WHERE excess_pct IS NOT NULL GROUP BY 1, 2")
+def ag_scoreboard(v):
+    split = F.when(F.col("session") < "1999-01-01", "train").otherwise("validation")
+    g = v.outcomes.where("excess_pct is not null").groupBy(split.alias("split"), (F.col("instrument_id") % 4).alias("family"))
+    return g.agg(F.count("*").alias("tried"), F.count_if(F.col("excess_pct") > 0).alias("accepted"), F.count_if(F.col("excess_pct") <= 0).alias("rejected"))
+
+
+@query("px_tradebook", "SELECT event_id, account, debit AS buy_value, round(debit * 1.02, 2)::DECIMAL(20,2) AS sell_value, round(debit * 0.02, 2)::DECIMAL(20,2) AS profit, round(debit * 0.001, 2)::DECIMAL(20,2) AS charges FROM journal")
+def px_tradebook(v):
+    d = F.col("debit")
+    m = lambda x, n: F.round(d * F.lit(x).cast("decimal(6,3)"), 2).cast("decimal(20,2)").alias(n)
+    return v.journal.select("event_id", "account", d.alias("buy_value"), m("1.02", "sell_value"), m("0.02", "profit"), m("0.001", "charges"))
+
+
+@query("px_stress_band", "SELECT record_id, CASE WHEN value < 20 THEN 'calm' WHEN value < 40 THEN 'watch' WHEN value < 60 THEN 'elevated' WHEN value < 80 THEN 'high' ELSE 'severe' END AS band FROM obs WHERE value IS NOT NULL")
+def px_stress_band(v):
+    x = F.col("value")
+    return v.obs.where("value is not null").select("record_id", F.when(x < 20, "calm").when(x < 40, "watch").when(x < 60, "elevated").when(x < 80, "high").otherwise("severe").alias("band"))
+
+
+@query("px_linear_map", "SELECT record_id, round(least(100, greatest(0, (value - 10) / 80 * 100)), 6) AS mapped FROM obs WHERE value IS NOT NULL")
+def px_linear_map(v):
+    return v.obs.where("value is not null").select("record_id", R6(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("value") - 10) / 80 * 100)), "mapped"))
+
+
+LEX = {"gain": 2.0, "the": 0.5, "profit": 2.5, "loss": -2.5, "risk": -1.5, "in": -0.3, "of": 0.2, "default": -3.0, "growth": 2.0, "and": 0.1}
+LEX_SQL = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {x}::DOUBLE)" for k, x in LEX.items()) + ") t(word, s))"
+
+
+@query("px_lexicon_sentiment", f"WITH {LEX_SQL}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), t AS (SELECT doc_id, sum(s) AS x FROM w JOIN lx USING (word) GROUP BY 1) SELECT d.doc_id, round(coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15), 6) AS score, CASE WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) >= 0.05 THEN 'positive' WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM documents d LEFT JOIN t USING (doc_id)")
+def px_lexicon_sentiment(v):
+    """Lexicon words per text are counted in place by one expression per word class: nothing is exploded or shuffled."""
+    low = F.lower("text")
+    total = F.lit(0.0)
+    for word, s in LEX.items():
+        total = total + F.coalesce(F.regexp_count(low, F.lit(rf"(?<![a-z]){word}(?![a-z])")), F.lit(0)) * s
+    d = v.t("documents").select("doc_id", F.round(total, 6).alias("x")).withColumn("score", F.col("x") / F.sqrt(F.col("x") * F.col("x") + 15))
+    return d.select("doc_id", R6(F.col("score"), "score"), F.when(F.col("score") >= 0.05, "positive").when(F.col("score") <= -0.05, "negative").otherwise("neutral").alias("label"))
+
+
+@query("px_upcoming_events", "SELECT record_id, day FROM obs WHERE day BETWEEN (SELECT min(day) FROM obs) + 20 AND (SELECT min(day) FROM obs) + 27")
+def px_upcoming_events(v):
+    t = v.obs.agg(F.min("day").alias("first"))
+    return v.obs.crossJoin(F.broadcast(t)).where("day between date_add(first, 20) and date_add(first, 27)").select("record_id", "day")
+
+
+@query("px_title_relevance", "SELECT DISTINCT p_type AS title FROM part WHERE regexp_matches(p_type, '[A-Z]') AND NOT regexp_matches(p_type, 'PROMO')")
+def px_title_relevance(v):
+    t = F.col("p_type")
+    return v.t("part").where(t.rlike("[A-Z]") & ~t.rlike("PROMO")).select(t.alias("title")).dropDuplicates()
+
+
+@query("tk_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an') AND p_size > 10 ORDER BY p_name, p_partkey LIMIT 25")
+def tk_search(v):
+    return v.t("part").where(F.lower("p_name").contains("an") & (F.col("p_size") > 10)).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(25)
+
+
+@query("tk_page", "SELECT record_id, published_at FROM obs ORDER BY published_at DESC, record_id LIMIT 20 OFFSET 40")
+def tk_page(v):
+    return v.obs.select("record_id", "published_at").orderBy(F.desc("published_at"), "record_id").offset(40).limit(20)
+
+
+@query("px_instrument_id", "SELECT s_suppkey, 'ins_' || substr(sha256('NSE|' || s_name || '|' || s_nationkey), 1, 16) AS instrument_key FROM supplier")
+def px_instrument_id(v):
+    return v.t("supplier").select("s_suppkey", F.concat(F.lit("ins_"), F.substring(F.sha2(F.concat_ws("|", F.lit("NSE"), "s_name", "s_nationkey"), 256), 1, 16)).alias("instrument_key"))
+
+
+def quality_reasons():
+    rules = {"NO_USER": "user_id % 17 = 0", "BAD_PRICE": "value <= 5", "FUTURE_CLOCK": "event_id % 19 = 0", "NOT_CAUSAL": "event_id % 23 = 0"}
+    return F.array_compact(F.array(*[F.when(F.expr(e), n) for n, e in rules.items()]))
+
+
+REASONS = "concat_ws('|', CASE WHEN user_id % 17 = 0 THEN 'NO_USER' END, CASE WHEN value <= 5 THEN 'BAD_PRICE' END, CASE WHEN event_id % 19 = 0 THEN 'FUTURE_CLOCK' END, CASE WHEN event_id % 23 = 0 THEN 'NOT_CAUSAL' END)"
+
+
+@query("px_quote_readiness", f"SELECT event_id, {REASONS} AS reasons, CASE WHEN {REASONS} = '' THEN round(value, 4) END AS display_price FROM events")
+def px_quote_readiness(v):
+    r = F.array_join(quality_reasons(), "|")
+    return v.t("events").select("event_id", r.alias("reasons"), F.when(r == "", F.round("value", 4)).alias("display_price"))
+
+
+@query("px_quote_freshness", "WITH l AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, date_diff('second', date_trunc('second', last_ts), date_trunc('second', now)) AS age_s, CASE WHEN epoch(now) - epoch(last_ts) < 21600 THEN 'CURRENT' WHEN epoch(now) - epoch(last_ts) < 86400 THEN 'AGING' ELSE 'STALE' END AS freshness FROM l, n")
+def px_quote_freshness(v):
+    e = v.t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    age = F.unix_seconds("now") - F.unix_seconds("last_ts")
+    exact = (F.unix_micros("now") - F.unix_micros("last_ts")) / 1e6
+    j = e.groupBy("user_id").agg(F.max("ts").alias("last_ts")).crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    return j.select("user_id", age.alias("age_s"), F.when(exact < 21600, "CURRENT").when(exact < 86400, "AGING").otherwise("STALE").alias("freshness"))
+
+
+@query("px_snapshot_freshness", "WITH l AS (SELECT event_type, day, max(revision) AS revs, max(available_at) AS seen FROM obs GROUP BY 1, 2), n AS (SELECT max(available_at) AS now FROM obs) SELECT event_type, day, CASE WHEN revs > 5 THEN 'SUPERSEDED' WHEN epoch(now) - epoch(seen) < 172800 THEN 'CURRENT' WHEN epoch(now) - epoch(seen) < 864000 THEN 'AGING' ELSE 'STALE' END AS freshness FROM l, n")
+def px_snapshot_freshness(v):
+    l = v.obs.groupBy("event_type", "day").agg(F.max("revision").alias("revs"), F.max("available_at").alias("at"))  # noqa: E741
+    age = F.unix_seconds("now") - F.unix_seconds("at")
+    state = F.when(F.col("revs") > 5, "SUPERSEDED").when(age < 172800, "CURRENT").when(age < 864000, "AGING").otherwise("STALE")
+    return l.crossJoin(F.broadcast(v.obs.agg(F.max("available_at").alias("now")))).select("event_type", "day", state.alias("freshness"))
+
+
+@query("px_quote_rows", "SELECT record_id, CASE record_id % 3 WHEN 0 THEN 'ltp' WHEN 1 THEN 'ohlc' ELSE 'quote' END AS mode, value AS last, CASE WHEN record_id % 3 > 0 THEN value * 0.5 END AS open, CASE WHEN record_id % 3 = 2 THEN revision END AS depth FROM obs")
+def px_quote_rows(v):
+    q = v.obs.select("record_id", F.struct("value", F.struct((F.col("value") * 0.5).alias("open")).alias("ohlc"), F.struct(F.col("revision").alias("depth")).alias("book")).alias("q"))
+    m = F.col("record_id") % 3
+    return q.select("record_id", F.when(m == 0, "ltp").when(m == 1, "ohlc").otherwise("quote").alias("mode"), F.col("q.value").alias("last"), F.when(m > 0, F.col("q.ohlc.open")).alias("open"), F.when(m == 2, F.col("q.book.depth")).alias("depth"))
+
+
+@query("ag_health_rollup", f"WITH r AS (SELECT event_type, unnest(string_split({REASONS}, '|')) AS reason FROM events) SELECT event_type, reason, count(*) AS n FROM r WHERE reason <> '' GROUP BY 1, 2")
+def ag_health_rollup(v):
+    return v.t("events").select("event_type", F.explode(quality_reasons()).alias("reason")).groupBy("event_type", "reason").agg(F.count("*").alias("n"))
+
+
+@query("ag_quality_diagnostics", "WITH x AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) SELECT CASE WHEN x.user_id IS NULL THEN 'EXPECTED_GAP' WHEN c.c_custkey IS NULL THEN 'UNEXPECTED' ELSE 'PRESENT' END AS state, count(*) AS identities, coalesce(sum(n), 0)::BIGINT AS quotes FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 120) c FULL JOIN x ON x.user_id = c.c_custkey GROUP BY 1")
+def ag_quality_diagnostics(v):
+    x = v.t("events").where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("n"))
+    c = v.t("customer").where("c_custkey <= 120").select("c_custkey")
+    state = F.when(F.col("user_id").isNull(), "EXPECTED_GAP").when(F.col("c_custkey").isNull(), "UNEXPECTED").otherwise("PRESENT")
+    return c.join(x, F.col("user_id") == F.col("c_custkey"), "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("identities"), F.coalesce(F.sum("n"), F.lit(0)).alias("quotes"))

@@ -32,7 +32,7 @@ KEY = LEAD + 8
 BUCKET_BYTES = 6 << 20  # of text, on average
 SAMPLE_DOCS = 3000  # documents whose records are the splitters' sample, about
 CHUNK = 1 << 18  # bytes of text handled at once, at least one document
-BATCH = 12 << 20  # bytes of text combined before records are emitted
+BATCH = 8 << 20  # bytes of text combined before records are emitted
 _M = np.uint64
 
 
@@ -351,7 +351,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             yield from finished(now, held)
 
     blocks = docs.select("_doc", "_sub", "text").mapInArrow(emitted, "bucket long, block binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // 4)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets)
     dealt = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     local = staged(dealt.mapInArrow(sorted_buckets, _OUT))
     across = local.where("h1 is not null")

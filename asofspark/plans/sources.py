@@ -1 +1,244 @@
-"""Queries."""
+"""Queries of sources, sinks and ingest routing over text made from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.parsing import date_of, number
+from ..sources import readers
+from .registry import query
+
+RAW = "br AS (SELECT session, instrument_id::VARCHAR AS symbol, CASE WHEN instrument_id % 5 = 0 THEN 'BE' ELSE 'EQ' END AS series, open, high, low, close, volume, turnover FROM bars_d)"
+
+
+def raw_text(v, names):
+    """Daily bars as text columns of a file layout, with padding and a malformed volume here and there."""
+    k, pad = F.col("instrument_id"), lambda c: F.concat(F.lit(" "), c.cast("string"), F.lit(" "))
+    bad = F.when((k + F.day("session")) % 13 == 0, F.lit("n/a")).otherwise(F.col("volume").cast("long").cast("string"))
+    values = [F.date_format("session", "yyyy-MM-dd"), k.cast("string"), F.when(k % 5 == 0, "BE").otherwise("EQ"), *[pad(F.round(c, 8)) for c in ("open", "high", "low", "close")], pad(F.round("close", 8)), F.lit(""), bad, pad(F.col("turnover")), F.lit("7"), F.lit("INE")]
+    return v.bars_d.select(*[x.alias(n) for n, x in zip(names, values, strict=True)], F.when(k % 3 == 0, "FO").otherwise("CM").alias("Sgmt"), F.when(k % 4 == 0, "IDX").otherwise("STK").alias("FinInstrmTp"))
+
+
+PARSED = "session, symbol, series, round(open, 8) AS open, round(close, 8) AS close, CASE WHEN (symbol::INT + day(session)) % 13 <> 0 THEN volume END AS volume"
+
+
+@query("src_bhav_legacy", f"WITH {RAW} SELECT {PARSED} FROM br")
+def src_bhav_legacy(v):
+    return readers.legacy(raw_text(v, readers.LEGACY)).select("session", "symbol", "series", "open", "close", "volume")
+
+
+@query("src_bhav_udiff", f"WITH {RAW} SELECT {PARSED} FROM br WHERE symbol::INT % 3 <> 0 AND symbol::INT % 4 <> 0")
+def src_bhav_udiff(v):
+    return readers.udiff(raw_text(v, readers.UDIFF)).select("session", "symbol", "series", "open", "close", "volume")
+
+
+@query("src_symbol_csv", "SELECT instrument_id::VARCHAR AS symbol, session, round(close, 8) AS close, round(round(close, 8) * volume, 8) AS turnover FROM bars_d WHERE session <= DATE '1999-12-31' AND instrument_id < 5")
+def src_symbol_csv(v):
+    """Writes one CSV folder per symbol into the shared folder and reads them back by glob."""
+    path = readers.scratch(v.spark)
+    b = v.bars_d.where("instrument_id < 5").select(F.concat(F.col("instrument_id").cast("string"), F.lit("_DAILY.csv")).alias("file"), F.col("session").cast("string").alias("date"), *[F.round(c, 8).alias(c) for c in ("open", "high", "low", "close")], "volume", F.lit(None).cast("double").alias("turnover"))
+    b.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    df = readers.symbol_csvs(v.spark, f"{path}/*/*.csv", "1999-12-31")
+    symbol = F.regexp_extract(F.input_file_name(), r"file=(\w+)_DAILY\.csv", 1)
+    return df.select(symbol.alias("symbol"), "session", "close", F.round("turnover", 8).alias("turnover"))
+
+
+@query("src_format_router")
+def src_format_router(v):
+    """Zips one small file per layout and year into the shared folder, and reads both by their header."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    path = readers.scratch(v.spark)
+
+    def zipped(names):
+        def run(batches):
+            for b in batches:
+                out = []
+                for text in b.column("text").to_pylist():
+                    buf = io.BytesIO()
+                    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr("day.csv", ",".join([*names, "Sgmt", "FinInstrmTp"]) + "\n" + text)
+                    out.append(buf.getvalue().hex())
+                yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+
+        return run
+
+    for kind, names in (("legacy", readers.LEGACY), ("udiff", readers.UDIFF)):
+        t = raw_text(v, names).where(F.col(names[1]) == "3")
+        line = F.concat_ws(",", *[F.trim(F.col(c)) for c in [*names, "Sgmt", "FinInstrmTp"]])
+        days = t.groupBy(F.substring(names[0], 1, 7).alias("m")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).select("text")
+        days.mapInArrow(zipped(names), "value string").write.text(f"{path}/{kind}")
+    hexes = v.spark.read.text([f"{path}/legacy", f"{path}/udiff"]).select(F.lit("x").alias("path"), F.unhex("value").alias("content"))
+    lines = hexes.mapInArrow(readers._lines, "path string, head string, line string")
+    isl = F.contains("head", F.lit("TOTTRDQTY"))
+    return lines.groupBy(F.when(isl, "legacy").otherwise("udiff").alias("layout")).agg(F.count("*").alias("n"), F.min(F.substring("line", 1, 10)).alias("first_day"))
+
+
+@query("src_year_store", f"WITH {RAW} SELECT year(session) AS year, count(*) AS n, count(DISTINCT session) AS days, count(DISTINCT symbol) AS symbols FROM br WHERE series = 'EQ' GROUP BY 1")
+def src_year_store(v):
+    path = readers.scratch(v.spark)
+    readers.write_years(readers.legacy(raw_text(v, readers.LEGACY)), path)
+    return v.spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.countDistinct("session").alias("days"), F.countDistinct("symbol").alias("symbols"))
+
+
+@query("src_bounded_load", f"WITH {RAW} SELECT session, symbol, round(close, 8) AS close FROM br WHERE series = 'EQ' AND session BETWEEN DATE '1997-03-01' AND DATE '1998-02-15'")
+def src_bounded_load(v):
+    path = readers.scratch(v.spark)
+    readers.write_years(readers.legacy(raw_text(v, readers.LEGACY)), path)
+    return readers.load_years(v.spark, path, "1997-03-01", "1998-02-15", ["session", "symbol", "close"])
+
+
+@query("src_delivery", "SELECT instrument_id, session, round(100 * (instrument_id * 17 + volume) % 101, 4) AS delivery_pct FROM bars_d WHERE session BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND instrument_id % 5 <> 0")
+def src_delivery(v):
+    d = v.bars_d.where("session between date '1996-01-01' and date '1999-12-31' and instrument_id % 5 <> 0")
+    return d.select("instrument_id", "session", F.round((100 * (F.col("instrument_id") * 17 + F.col("volume"))) % 101, 4).alias("delivery_pct"))
+
+
+@query("src_participant_net", "SELECT day AS session, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity ELSE 0 END) AS net FROM fills WHERE l_returnflag = 'A' GROUP BY 1 HAVING count(*) > 0")
+def src_participant_net(v):
+    q = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).otherwise(-F.col("l_quantity"))
+    return v.fills.where("l_returnflag = 'A'").groupBy(F.col("day").alias("session")).agg(F.sum(q).alias("net"))
+
+
+@query("src_fut_contracts", "SELECT instrument_id, session, expiry, CASE WHEN settle > 20 THEN settle ELSE open_ END AS price, CASE WHEN open_ > 1 THEN open_ END AS open_price FROM contracts WHERE expiry >= session")
+def src_fut_contracts(v):
+    return v.contracts.where("expiry >= session").select("instrument_id", "session", "expiry", F.when(F.col("settle") > 20, F.col("settle")).otherwise(F.col("open_")).alias("price"), F.when(F.col("open_") > 1, F.col("open_")).alias("open_price"))
+
+
+@query("src_filing_meta", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN (o_orderdate::DATE + 1)::DATE ELSE o_orderdate::DATE END AS filing_date, o_orderpriority LIKE '1%' AS consolidated FROM orders WHERE o_orderkey % 20 <> 0")
+def src_filing_meta(v):
+    """JSON records; the filing date falls back to the broadcast date, and records without either go."""
+    k, d = F.col("o_orderkey"), F.date_format("o_orderdate", "dd-MMM-yyyy")
+    rec = F.to_json(F.struct(k.alias("id"), F.when(k % 10 == 0, "-").otherwise(d).alias("filingDate"), F.when(k % 20 != 0, F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd")).alias("broadCastDate"), F.col("o_orderpriority").alias("kind")))
+    j = v.t("orders").select(F.from_json(rec, "id long, filingDate string, broadCastDate string, kind string").alias("j")).select("j.*")
+    day = F.coalesce(date_of(F.col("filingDate"), "dd-MMM-yyyy"), date_of(F.col("broadCastDate"), "yyyy-MM-dd"))
+    return j.select("id", day.alias("filing_date"), F.col("kind").startswith("1").alias("consolidated")).where("filing_date is not null and id % 20 <> 0")
+
+
+@query("src_shareholding_master", "SELECT o_orderkey AS id, o_orderdate::DATE AS filing_date, o_orderkey % 7 = 0 AS revised, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 75)::DOUBLE END AS promoter_pct FROM orders")
+def src_shareholding_master(v):
+    k = F.col("o_orderkey")
+    rec = F.to_json(F.struct(k.alias("id"), F.date_format("o_orderdate", "dd-MMM-yyyy").alias("submissionDate"), F.when(k % 7 == 0, "Y").otherwise("N").alias("revised"), F.when(k % 11 == 0, "n.a.").otherwise((k % 75).cast("string")).alias("pr")))
+    j = v.t("orders").select(F.from_json(rec, "id long, submissionDate string, revised string, pr string").alias("j")).select("j.*")
+    return j.select("id", date_of(F.col("submissionDate"), "dd-MMM-yyyy").alias("filing_date"), (F.col("revised") == "Y").alias("revised"), F.col("pr").try_cast("double").alias("promoter_pct"))
+
+
+@query("src_insider_records", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN (1000000 + o_orderkey)::DOUBLE END AS shares, o_orderdate::DATE AS traded FROM orders")
+def src_insider_records(v):
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, "-").otherwise(F.format_number(k + 1000000, 0))
+    rec = F.to_json(F.struct(k.alias("id"), text.alias("secAcq"), F.date_format("o_orderdate", "dd-MMM-yyyy").alias("date")))
+    j = v.t("orders").select(F.from_json(rec, "id long, secAcq string, date string").alias("j")).select("j.*")
+    return j.select("id", number(F.col("secAcq")).alias("shares"), date_of(F.col("date"), "dd-MMM-yyyy").alias("traded"))
+
+
+@query("src_xbrl_facts", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN round(o_totalprice, 2) END AS revenue, round(o_totalprice + 1, 2) AS profit FROM orders")
+def src_xbrl_facts(v):
+    """One context's values by tag from an XML text column."""
+    rev = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit('<x:Revenue contextRef="OneD" decimals="2">'), F.format_string("%.2f", "o_totalprice"), F.lit("</x:Revenue>"))).otherwise("")
+    xml = F.concat(F.lit("<xbrl>"), rev, F.lit('<x:Profit contextRef="FourD">1</x:Profit><x:Profit contextRef="OneD">'), F.format_string("%.2f", F.col("o_totalprice") + 1), F.lit("</x:Profit></xbrl>"))
+    fact = lambda tag: F.nullif(F.regexp_extract("xml", rf'<\w+:{tag}[^>]*contextRef="OneD"[^>]*>([^<]*)<', 1), F.lit("")).try_cast("double")
+    return v.t("orders").select(F.col("o_orderkey").alias("id"), xml.alias("xml")).select("id", fact("Revenue").alias("revenue"), fact("Profit").alias("profit"))
+
+
+@query("src_xbrl_categories", "SELECT o_orderkey AS id, (o_orderkey % 60)::DOUBLE AS promoter_pct, CASE WHEN o_orderkey % 3 = 0 THEN 5.0 WHEN o_orderkey % 3 = 1 THEN 7.0 END AS fii_pct FROM orders WHERE o_orderkey % 60 > 0")
+def src_xbrl_categories(v):
+    """The first present of several aliases per category; shares given as fractions are scaled by the master's value."""
+    k = F.col("o_orderkey")
+    scale = F.when(k % 2 == 0, (k % 60) / 100.0).otherwise((k % 60).cast("double"))
+    fii = F.when(k % 3 == 0, "<c n='ForeignPortfolioInvestor'>5</c>").when(k % 3 == 1, "<c n='InstitutionsForeign'>7</c>").otherwise("")
+    xml = F.concat(F.lit("<c n='PromoterGroup'>"), scale.cast("string"), F.lit("</c>"), fii)
+    t = v.t("orders").where(k % 60 > 0).select(k.alias("id"), xml.alias("xml"), (k % 60).cast("double").alias("master"))
+    m = F.map_from_arrays(F.regexp_extract_all("xml", F.lit("n='(\\w+)'"), F.lit(1)), F.regexp_extract_all("xml", F.lit(">([0-9.]+)<"), F.lit(1)))
+    t = t.withColumn("m", m)
+    p = F.col("m")["PromoterGroup"].try_cast("double")
+    p = F.when(F.abs(p * 100 / F.col("master") - 1) <= 0.15, F.round(p * 100, 6)).otherwise(p)
+    return t.select("id", p.alias("promoter_pct"), F.coalesce(F.col("m")["InstitutionsForeign"], F.col("m")["ForeignPortfolioInvestor"]).try_cast("double").alias("fii_pct"))
+
+
+@query("src_html_label_value", "WITH a AS (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS c FROM pages) SELECT page_id, c[1] AS label, c[2] AS value FROM a WHERE len(c) >= 2")
+def src_html_label_value(v):
+    """The cell after the first label cell of a list."""
+    cells = F.regexp_extract_all("html", F.lit("<li><a[^>]*>([^<]*)</a></li>"), F.lit(1))
+    p = v.t("pages").select("page_id", cells.alias("c")).where(F.size("c") >= 2)
+    return p.select("page_id", F.col("c")[0].alias("label"), F.col("c")[1].alias("value"))
+
+
+@query("src_mii_snapshot", "SELECT s_suppkey AS id, 'NSE:' || trim(s_name) || ':EQ' AS listing_id FROM supplier WHERE s_name IS NOT NULL")
+def src_mii_snapshot(v):
+    return v.t("supplier").where("s_name is not null").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("NSE:"), F.trim(F.concat(F.lit(" "), "s_name", F.lit(" "))), F.lit(":EQ")).alias("listing_id"))
+
+
+FNO = "fc AS (SELECT l_orderkey * 10 + l_linenumber AS fact_id, l_partkey % 1000 AS inst, last_day(l_shipdate::DATE) AS expiry, l_quantity FROM lineitem), mc AS (SELECT p_partkey % 1100 AS inst, count(*) AS copies, min(p_size) AS tag FROM part WHERE p_partkey % 9 > 0 GROUP BY 1)"
+FNO_STATE = "CASE WHEN m.inst IS NULL THEN 'UNRESOLVED' WHEN copies > 1 AND tag > 20 THEN 'AMBIGUOUS' WHEN month(expiry) % 6 = 0 THEN 'EXPIRY_MISMATCH' ELSE 'MATCHED' END"
+
+
+def fact_identity(v):
+    f = v.t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), (F.col("l_partkey") % 1000).alias("inst"), F.last_day("l_shipdate").alias("expiry"), "l_quantity")
+    m = v.t("part").where("p_partkey % 9 > 0").groupBy((F.col("p_partkey") % 1100).alias("inst")).agg(F.count("*").alias("copies"), F.min("p_size").alias("tag"))
+    state = F.when(F.col("copies").isNull(), "UNRESOLVED").when(F.expr("copies > 1 and tag > 20"), "AMBIGUOUS").when(F.month("expiry") % 6 == 0, "EXPIRY_MISMATCH").otherwise("MATCHED")
+    return f.join(m, "inst", "left").withColumn("state", state)
+
+
+@query("jn_fact_identity", f"WITH {FNO} SELECT {FNO_STATE} AS state, count(*) AS n FROM fc f LEFT JOIN mc m ON m.inst = f.inst GROUP BY 1")
+def jn_fact_identity(v):
+    return fact_identity(v).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("src_fno_pair", f"WITH {FNO} SELECT fact_id, f.inst, expiry, {FNO_STATE} AS state, CASE WHEN l_quantity > 25 THEN 'PRESENT' ELSE 'MISSING' END AS quantity_state FROM fc f LEFT JOIN mc m ON m.inst = f.inst")
+def src_fno_pair(v):
+    return fact_identity(v).select("fact_id", "inst", "expiry", "state", F.when(F.col("l_quantity") > 25, "PRESENT").otherwise("MISSING").alias("quantity_state"))
+
+
+def routed(v):
+    """Events as JSON of a versioned schema; every so often a field is missing, unknown or of another type."""
+    k = F.col("event_id")
+    rec = F.map_from_entries(F.filter(F.array(
+        F.struct(F.lit("id").alias("k"), k.cast("string").alias("v")), F.struct(F.lit("value").alias("k"), F.when(k % 13 == 0, "oops").otherwise(F.col("value").cast("string")).alias("v")),
+        F.when(k % 11 > 0, F.struct(F.lit("kind").alias("k"), F.col("event_type").alias("v"))), F.when(k % 17 == 0, F.struct(F.lit("extra").alias("k"), F.lit("1").alias("v"))),
+    ), lambda x: x.isNotNull()))
+    return v.t("events").select("event_id", readers.schema_reasons(rec, {"id": "long", "value": "double", "kind": "string"}, {"trades": "int"}).alias("reasons"))
+
+
+@query("src_schema_route", "SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 THEN 'quarantine' ELSE 'accepted' END AS route, concat_ws('|', CASE WHEN event_id % 11 = 0 THEN 'MISSING_REQUIRED_FIELDS' END, CASE WHEN event_id % 13 = 0 THEN 'TYPE_MISMATCH' END, CASE WHEN event_id % 17 = 0 THEN 'UNKNOWN_FIELDS' END) AS reasons FROM events")
+def src_schema_route(v):
+    return routed(v).select("event_id", F.when(F.size("reasons") > 0, "quarantine").otherwise("accepted").alias("route"), F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("src_schema_enforce", "WITH r AS (SELECT CASE WHEN event_id % 13 <> 0 THEN value END AS x, CASE WHEN event_id % 11 <> 0 THEN event_type END AS kind FROM events) SELECT count(*) AS n, count(*) - count(x) AS bad_value, count(*) - count(kind) AS null_kind FROM r")
+def src_schema_enforce(v):
+    k = F.col("event_id")
+    r = v.t("events").select(F.when(k % 13 == 0, "oops").otherwise(F.col("value").cast("string")).try_cast("double").alias("x"), F.when(k % 11 != 0, F.col("event_type")).alias("kind"))
+    return r.agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("bad_value"), F.count_if(F.col("kind").isNull()).alias("null_kind"))
+
+
+@query("src_bar_normalize", "WITH d AS (SELECT record_id, value, revision, available_at < published_at AS causal, count(*) OVER (PARTITION BY user_id, event_type, day) AS k FROM obs) SELECT record_id, concat_ws('|', CASE WHEN value <= 5 THEN 'NON_POSITIVE' END, CASE WHEN causal THEN 'NOT_CAUSAL' END, CASE WHEN k > 4 THEN 'CROWDED_KEY' END, CASE WHEN revision > 3 THEN 'LONG_CHAIN' END, CASE WHEN record_id % 29 = 0 THEN 'UNKNOWN_INSTRUMENT' END) AS flags, NOT (value <= 5 OR causal OR record_id % 29 = 0) AS accepted FROM d")
+def src_bar_normalize(v):
+    from pyspark.sql import Window
+
+    d = v.obs.withColumn("k", F.count("*").over(Window.partitionBy("user_id", "event_type", "day")))
+    rules = {"NON_POSITIVE": "value <= 5", "NOT_CAUSAL": "available_at < published_at", "CROWDED_KEY": "k > 4", "LONG_CHAIN": "revision > 3", "UNKNOWN_INSTRUMENT": "record_id % 29 = 0"}
+    flags = F.array_compact(F.array(*[F.when(F.expr(e), n) for n, e in rules.items()]))
+    blocking = F.arrays_overlap(flags, F.array(F.lit("NON_POSITIVE"), F.lit("NOT_CAUSAL"), F.lit("UNKNOWN_INSTRUMENT")))
+    return d.select("record_id", F.array_join(flags, "|").alias("flags"), (~blocking).alias("accepted"))
+
+
+@query("src_object_manifest")
+def src_object_manifest(v):
+    path = readers.scratch(v.spark)
+    v.bars_w.groupBy("instrument_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("session").cast("string"))), ","), 256).alias("h")).select(F.concat_ws(" ", "instrument_id", "h")).write.text(path)
+    m = readers.manifest(v.spark, f"{path}/part-*")
+    return m.agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"), F.count_if("conflict").alias("conflicts"))
+
+
+@query("snk_immutable_parquet")
+def snk_immutable_parquet(v):
+    return readers.write_immutable(v.bars_w, readers.scratch(v.spark))
+
+
+@query("snk_table_fingerprint")
+def snk_table_fingerprint(v):
+    return readers.fingerprint(v.t("orders"))

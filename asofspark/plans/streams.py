@@ -1 +1,35 @@
-"""Queries."""
+"""Queries of the streaming twins, drained with availableNow."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..streaming import ingest as st
+from .registry import query
+
+
+def stream(v):
+    return st.event_stream(v.spark, f"{v.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("st_bar_ingest", "SELECT event_id, CASE WHEN value <= 5 OR user_id % 17 = 0 THEN 'quarantine' ELSE 'accepted' END AS route FROM events")
+def st_bar_ingest(v):
+    reasons = F.array_compact(F.array(F.when(F.col("value") <= 5, "BAD_PRICE"), F.when(F.col("user_id") % 17 == 0, "NO_USER")))
+    good, bad = st.ingest(stream(v), reasons)
+    read = lambda p, name: v.spark.read.parquet(p).select("event_id", F.lit(name).alias("route"))
+    return read(good, "accepted").unionByName(read(bad, "quarantine"))
+
+
+@query("st_latest_revision", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def st_latest_revision(v):
+    base = st.latest(stream(v).select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"], "365 days")
+    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("_batch"))
+    return v.spark.read.parquet(base).withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "event_type", "event_id", "value")
+
+
+@query("st_quote_freshness", "SELECT date_trunc('day', ts) AS opens, event_type, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY 1, 2")
+def st_quote_freshness(v):
+    base = st.windowed(stream(v).select("ts", "event_type"), "365 days", "1 day", ["event_type"])
+    w = v.spark.read.parquet(base).groupBy("opens", "event_type").agg(F.max("n").alias("n"), F.max("last_ts").alias("last_ts"))
+    return w.select("opens", "event_type", "n", "last_ts")

@@ -66,7 +66,7 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out_a, out_b = [], []
         for fps in b.column("fps"):
-            v = np.sort(np.asarray(fps.values, np.int64))
+            v = np.sort(np.asarray(fps.values, np.int64)).view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
             left = np.arange(len(v))
             while len(left):
                 seen, todo = np.zeros(len(v), bool), [int(left[0])]
@@ -76,8 +76,8 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     new = left[(np.bitwise_count(v[left] ^ v[i]) <= RADIUS) & ~seen[left]]
                     seen[new] = True
                     todo += new.tolist()
-                    out_a += [int(v[i])] * len(new)
-                    out_b += v[new].tolist()
+                    out_a += v[[i]].view(np.int64).tolist() * len(new)
+                    out_b += v[new].view(np.int64).tolist()
                 left = left[~seen[left]]
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 

@@ -102,7 +102,7 @@ class Model:
             columns = np.ascontiguousarray(grid[rows].T)
             active = np.searchsorted(-lens[rows], -np.arange(BLOCK), "left")  # blocks longer than each step
             for k, a in enumerate(self.automata):
-                state, count = np.zeros(len(rows), np.int32), np.ones(len(rows), np.int32)
+                state, count = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32)
                 for step in range(BLOCK):
                     n = active[step]
                     if not n:
@@ -110,7 +110,7 @@ class Model:
                     c = columns[step, :n]
                     new = a.next_[state[:n] + c]
                     fail = new == 0
-                    count[:n] += fail
+                    count[:n] += fail | (state[:n] == 0)  # a phrase starts here
                     state[:n] = np.where(fail, a.root[c], new)
                 out[:, k] += np.bincount(owner[rows], count, len(texts))
         return out
@@ -136,7 +136,7 @@ def train(docs: DataFrame) -> Model:
 
     The rows of a language are a bounded sample (SAMPLE_ROWS of at most SAMPLE_CHARS characters, whole; a language
     without such rows takes its shortest one), picked by one partially aggregated pass."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False)) & (F.length("text") > 0))
+    known = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False)) & (F.length("text") > 0))
     rank = F.struct((F.length("text") > SAMPLE_CHARS).alias("long"), F.when(F.length("text") > SAMPLE_CHARS, F.length("text")).otherwise(0).alias("size"), F.xxhash64(F.col("doc_id")).alias("h"), "doc_id")
     picks = staged(known.groupBy("lang", (F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_ROWS))).alias("slot")).agg(F.min(rank).alias("r")).select("lang", "r.*"))
     chosen = picks.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "long", "size", "h")

@@ -211,10 +211,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYT
                 for c in chunks(_bytes(b.column("text"))):
                     w = Words(c)
                     pos, h = w.kept()
-                    parts = [(w.text[pos], h)] + [(w.text[: len(ok)][ok], w.grams(n)[ok]) for n in range(1, WINDOW) if len(ok := w.within(n)) and (column == "key" or (ok := _whole(w, n)).any())]
-                    t = np.concatenate([p[0] for p in parts])
-                    kind = np.concatenate([np.full(len(p[0]), i) for i, p in enumerate(parts)])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(t + at)), pa.array(kind), pa.array(np.concatenate([p[1] for p in parts]).view(np.int64))], names=[column, "kind", "gram"])
+                    parts = [(0, w.text[pos], h)] + [(n, w.text[: len(ok)][ok], w.grams(n)[ok]) for n in range(1, WINDOW) if len(ok := w.within(n)) and (column == "key" or (ok := _whole(w, n)).any())]
+                    t = np.concatenate([p[1] for p in parts])
+                    kind = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(t + at)), pa.array(kind), pa.array(np.concatenate([p[2] for p in parts]).view(np.int64))], names=[column, "kind", "gram"])
                     at += len(c)
 
         return emit

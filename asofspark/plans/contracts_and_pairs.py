@@ -138,7 +138,7 @@ def ag_pair_summary(v):
     return p.groupBy("sector_id").agg(F.count("*").alias("n"), F.count("pnl_pct").alias("resolved"), F.round(F.avg("p"), 8).alias("mean_pct"), share("pnl_pct > 0").alias("win_pct"), share("reason = 'reverted'").alias("reverted_pct"))
 
 
-@query("jn_pair_leg_prices", "WITH c AS (SELECT instrument_id, session, expiry, settle, date_diff('day', session, expiry) AS dte FROM contracts WHERE expiry >= session), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, session ORDER BY (dte < 10)::INT, expiry) AS k FROM c), l AS (SELECT instrument_id, expiry, max(session) AS last_session, arg_max(settle, session) AS last_settle FROM c GROUP BY 1, 2) SELECT p.instrument_id, p.session, g.open AS cash_open, r.expiry, r.settle AS short_price, r.dte < 10 AS near_expiry, CASE WHEN l.last_session < p.session + 28 THEN 'ROLLOVER' ELSE 'HELD' END AS exit_kind, l.last_settle FROM picks p JOIN grid_w g USING (instrument_id, session) LEFT JOIN r ON r.instrument_id = p.instrument_id AND r.session = p.session AND r.k = 1 LEFT JOIN l ON l.instrument_id = r.instrument_id AND l.expiry = r.expiry")
+@query("jn_pair_leg_prices", "WITH c AS (SELECT instrument_id, session, expiry, settle, date_diff('day', session, expiry) AS dte FROM contracts WHERE expiry >= session), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, session ORDER BY (dte < 10)::INT, expiry) AS k FROM c), l AS (SELECT instrument_id, expiry, max(session) AS last_session, arg_max(settle, session) AS last_settle FROM c GROUP BY 1, 2) SELECT p.instrument_id, p.session, g.open AS cash_open, r.expiry, r.settle AS short_price, coalesce(r.dte < 10, false) AS near_expiry, CASE WHEN l.last_session < p.session + 28 THEN 'ROLLOVER' ELSE 'HELD' END AS exit_kind, l.last_settle FROM picks p JOIN grid_w g USING (instrument_id, session) LEFT JOIN r ON r.instrument_id = p.instrument_id AND r.session = p.session AND r.k = 1 LEFT JOIN l ON l.instrument_id = r.instrument_id AND l.expiry = r.expiry")
 def jn_pair_leg_prices(v):
     c = v.contracts.where("expiry >= session").withColumn("dte", F.datediff("expiry", "session"))
     near = F.col("dte") < 10
@@ -147,4 +147,4 @@ def jn_pair_leg_prices(v):
     p = v.picks.select("instrument_id", "session").join(v.grid_w.select("instrument_id", "session", F.col("open").alias("cash_open")), ["instrument_id", "session"])
     j = p.join(r, ["instrument_id", "session"], "left").join(l, ["instrument_id", "expiry"], "left")
     kind = F.when(F.col("last_session") < F.date_add("session", 28), "ROLLOVER").otherwise("HELD")
-    return j.select("instrument_id", "session", "cash_open", "expiry", F.col("settle").alias("short_price"), near.alias("near_expiry"), kind.alias("exit_kind"), "last_settle")
+    return j.select("instrument_id", "session", "cash_open", "expiry", F.col("settle").alias("short_price"), F.coalesce(near, F.lit(False)).alias("near_expiry"), kind.alias("exit_kind"), "last_settle")

@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-Candidate blocks are the stretches of a text around lines with license words. Each is compressed alone and with each
-template as a zstandard raw dictionary; the templates are ranked by the size reduction, and the leading ones are
-confirmed by their exact wording differences from the block.
+Every stretch of a text whose words align with a template, wherever its lines break, is confirmed by its exact wording
+differences; where stretches overlap, the one that says more stays. Lines with license words outside of those are
+candidate blocks without a license. Stretches and blocks are compressed alone and with templates as zstandard raw
+dictionaries: the size reduction settles ties between templates and names the ones nearest to a block.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -18,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CUE = r"(?i)licen[sc]e|copyright|copyleft|warrant|spdx|redistribut|all rights reserved|permission is hereby|public domain|creativecommons"
+CUE = r"(?i)licen[sc]e|copyright|copyleft|warrant|spdx|redistribut|all rights reserved|permission is hereby|public domain|creativecommons".replace(" ", "[^a-zA-Z0-9]+")  # over line breaks too
 GAP = 4  # lines without a license word that a block may span
-CONFIRM = 4  # leading templates whose wording is compared
+CONFIRM = 4  # leading templates that a block without a license is compared with
 WORDING = 0.9  # share of a template's words that must be there, in order
 
 # Wordings of licenses and of their customary notices, by SPDX name.
@@ -59,23 +62,32 @@ TEMPLATES = {
 
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_PLACED = re.compile(r"[a-zA-Z0-9]+(?:\.[0-9]+)*")  # _WORD before lower(), which can change a text's length
+_CLOSING = re.compile(r"[^\w\s]*")
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each maximal run of lines from one with a license word to another, over gaps of GAP at most."""
-    out, at, last = [], 0, None
-    for i, line in enumerate(text.split("\n")):
-        if _CUE.search(line):
-            if last is not None and i - last <= GAP + 1:
-                out[-1] = (out[-1][0], at + len(line))
-            else:
-                out.append((at, at + len(line)))
-            last = i
-        at += len(line) + 1
+def blocks(text: str, taken: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """(start, end) of each maximal run of lines from one with a license word to another, over gaps of GAP at most.
+    Spans that are taken (in order) are left out: they end a block, and license words in them do not count."""
+    out: list[tuple[int, int]] = []
+    lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    starts, ends, last = [a for a, _ in taken], [b for _, b in taken], 0
+    for m in _CUE.finditer(text):
+        k = bisect_right(ends, m.start())  # the first taken span that ends after the word's start
+        if k < len(taken) and starts[k] < m.end():
+            continue
+        first, final = bisect_right(lines, m.start()) - 1, bisect_right(lines, m.end() - 1) - 1
+        lo = max(lines[first], ends[k - 1] if k else 0)
+        hi = min(lines[final + 1] - 1 if final + 1 < len(lines) else len(text), starts[k] if k < len(taken) else len(text))
+        if out and first - last <= GAP + 1 and not (k and out[-1][1] <= starts[k - 1]):
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+        last = final
     return out
 
 
@@ -133,6 +145,89 @@ def judge(block: str) -> tuple[str | None, float, float, list[str], bool]:
     return best[1] if best else (None, 0.0, 0.0, [], False)
 
 
+@lru_cache(1)
+def _pieces() -> dict[str, list[tuple[list[str], int, int]]]:
+    """By first word: (words, template, place in it) of the parts of each template, one more than the differences it
+    may have, so that each stretch that is confirmed holds one of its template's parts unchanged."""
+    out = defaultdict(list)
+    for i, (_, t, _) in enumerate(_compressors()[1]):
+        parts = int((1 - WORDING) * len(t)) + 1
+        cuts = [len(t) * x // parts for x in range(parts + 1)]
+        for a, b in zip(cuts, cuts[1:]):
+            out[t[a]].append((t[a:b], i, a))
+    return dict(out)
+
+
+def align(template: list[str], w: list[str], at: int, most: int) -> tuple[int, int, int, list[str]] | None:
+    """(start, end, words that match, differences) of the stretch of w with the fewest differences from the template,
+    out of those whose words lie within `most` of where they lie if the template starts at `at`; None beyond `most`
+    differences."""
+    n, far = len(template), most + 1
+    if w[max(at, 0) : at + n] == template:
+        return at, at + n, n, []
+    width = 2 * most + 1  # column c of row i stands before word at - most + i + c
+    rows = [[0 if 0 <= at - most + c <= len(w) else far for c in range(width)]]
+    for i in range(1, n + 1):
+        up, row, base, word = rows[-1], [], at - most + i, template[i - 1]
+        for c in range(width):
+            j, cost = base + c, far
+            if 0 <= j <= len(w):
+                if j and w[j - 1] == word:
+                    cost = up[c]
+                if c + 1 < width:
+                    cost = min(cost, up[c + 1] + 1)
+                if c and j:
+                    cost = min(cost, row[c - 1] + 1)
+            row.append(cost)
+        if min(row) > most:
+            return None
+        rows.append(row)
+    c, i, diff, found = rows[n].index(min(rows[n])), n, [], []
+    while i:
+        j = at - most + i + c
+        if j and w[j - 1] == template[i - 1] and rows[i][c] == rows[i - 1][c]:
+            found.append(j - 1)
+            i -= 1
+        elif c and j and rows[i][c] == rows[i][c - 1] + 1:
+            diff.append(f"+{w[j - 1]}")
+            c -= 1
+        else:
+            diff.append(f"-{template[i - 1]}")
+            i, c = i - 1, c + 1
+    return found[-1], found[0] + 1, len(found), diff[::-1]
+
+
+def licenses_in(text: str) -> list[tuple[int, int, str, float, float, list[str]]]:
+    """(start, end, license, size reduction, wording share, differences) of each stretch that a template is confirmed
+    in, in order. Of stretches that overlap, the one with the most words less differences stays."""
+    placed = [(m.start(), m.end()) for m in _PLACED.finditer(text)]
+    w = [text[a:b].lower() for a, b in placed]
+    plain, held = _compressors()
+    pieces, tried, every = _pieces(), set(), {}
+    for p, word in enumerate(w):
+        for piece, i, a in pieces.get(word, ()):
+            if (i, p - a) in tried or w[p : p + len(piece)] != piece:
+                continue
+            tried.add((i, p - a))
+            name, template, c = held[i]
+            got = align(template, w, p - a, int((1 - WORDING) * len(template)))
+            if got and (i, *got[:2]) not in every:
+                lo, hi, same, diff = got
+                raw = " ".join(w[lo:hi]).encode()
+                gain = 1 - len(c.compress(raw)) / len(plain.compress(raw))
+                every[i, lo, hi] = (same - len(diff), gain, -lo, hi, name, same / len(template), diff)
+    los, his, out = [], [], []
+    for _, gain, lo, hi, name, share, diff in sorted(every.values(), key=lambda x: x[:4], reverse=True):
+        lo = -lo
+        k = bisect_left(his, lo + 1)
+        if k < len(los) and los[k] < hi:
+            continue
+        los.insert(k, lo)
+        his.insert(k, hi)
+        out.append((placed[lo][0], _CLOSING.match(text, placed[hi - 1][1]).end(), name, gain, share, diff))
+    return sorted(out, key=lambda x: x[0])
+
+
 _KINDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_chars", pa.int64()), ("license", pa.string()), ("reduction", pa.float64()), ("wording", pa.float64()), ("differences", pa.string()), ("confirmed", pa.bool_())]
 
 
@@ -140,15 +235,17 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            for s, e in blocks(text):
-                name, gain, share, diff, ok = judge(text[s:e])
+            held = licenses_in(text)
+            found = [(*x, True) for x in held]
+            found += [(s, e, *judge(text[s:e])) for s, e in blocks(text, [x[:2] for x in held])]
+            for s, e, name, gain, share, diff, ok in sorted(found, key=lambda x: x[0]):
                 rows.append((doc_id, s, e - s, name if ok else None, round(gain, 6), round(share, 6), " ".join(diff), ok))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(_KINDS)], names=[n for n, _ in _KINDS])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """documents -> one row per candidate block: doc_id, start and n_chars (characters of the text), license (null if
-    no template is confirmed), reduction, wording, differences, confirmed.
+    """documents -> one row per stretch with a confirmed license, and one per candidate block outside of those: doc_id,
+    start and n_chars (characters of the text), license (null for a block), reduction, wording, differences, confirmed.
 
     Documents without a license word (null and empty ones too) give no rows; repeated rows give repeated findings;
     further columns are ignored; nothing is shuffled."""

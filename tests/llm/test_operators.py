@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -153,6 +154,46 @@ def test_licenses():
     assert [text[a:b] for a, b in licenses.blocks(text)] == ["Released under the MIT License.", "All rights reserved."]
 
 
+def test_wrapped_and_several_licenses(spark):
+    wrap = lambda t, lead="": "\n".join(lead + x for x in textwrap.wrap(t, 72 - len(lead)))
+    full = {n: t[-1] for n, t in licenses.TEMPLATES.items()}
+    texts = [f"intro\n\n{wrap(t, lead)}\n\nmore" for t in full.values() for lead in ("", " * ", "# ")]
+    want = [[n] for n in full for _ in range(3)]
+    texts += ["Released under the MIT License.\n\nAll rights reserved.", f"{wrap(full['MIT'])}\n\n{wrap(full['Apache-2.0'])}", "Licensed under CC BY 4.0. Released under the MIT License."]
+    want += [["MIT", "All-Rights-Reserved"], ["MIT", "Apache-2.0"], ["CC-BY-4.0", "MIT"]]
+    texts += [wrap(full["ISC"].replace("fee is hereby", "any fee hereby")), "into the public\ndomain", f"Foo License\n{full['ISC']}\nfurther warranty", full["MIT"] * 3, ""]
+    want += [["ISC"], [None], [None, "ISC", None], ["MIT"] * 3, []]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[r["license"] for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])] for i in range(len(texts))] == want
+    by = {(r["doc_id"], r["license"]): r for r in got}
+    assert by[len(full) * 3 + 3, "ISC"]["differences"].split() == ["+any", "-is"]
+    isc = by[3, "ISC"]
+    assert texts[3][isc["start"] : isc["start"] + isc["n_chars"]] == wrap(full["ISC"])
+
+
+def test_alignment_is_the_best():
+    def cost(t, w):
+        row = list(range(len(w) + 1))
+        for i, x in enumerate(t, 1):
+            new = [i]
+            for j, y in enumerate(w, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] if x == y else 99))
+            row = new
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(60):
+        t = r.choices("abcdef", k=20)
+        inner = [x for x in t if r.random() > 0.06]
+        inner.insert(r.randint(0, 19), "z")
+        w = r.choices("abcdef", k=5) + inner + r.choices("abcdef", k=r.randint(0, 4))
+        best = min(cost(t, w[i:j]) for i in range(len(w)) for j in range(i, len(w) + 1))
+        lo, hi, same, diff = licenses.align(t, w, 5, 12)
+        assert len(diff) == best == cost(t, w[lo:hi])
+        assert same + sum(d[0] == "-" for d in diff) == 20 and same + sum(d[0] == "+" for d in diff) == hi - lo
+        assert licenses.align(t, w, 5, best - 1) is None
+
+
 def test_media_round_trip():
     r = random.Random(4)
     payloads = [media.payload(b""), media.payload(b"hello"), media.payload(r.randbytes(5000)), media.payload(bytes([255]) * 700), media.payload(bytes([0, 255]) * 900)]

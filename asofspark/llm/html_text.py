@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from random import Random
 
@@ -186,11 +187,14 @@ def features(nodes: list[Node]) -> np.ndarray:
     page = max(1, nodes[0].chars)
     rows = []
     last = max((s[0] for n in nodes for s in n.segs), default=0) + 1
+    place = {id(nodes[0]): (0, 1)}  # place among the siblings, and how many of them have the same tag
+    for n in nodes:
+        tags = Counter(k.tag for k in n.kids)
+        place.update((id(k), (at, tags[k.tag])) for at, k in enumerate(n.kids))
     for n in nodes:
         p = n.parent
         sib = p.kids if p else [n]
-        at = sib.index(n) if len(sib) < 200 else 100
-        alike = sum(s.tag == n.tag for s in sib) if len(sib) < 200 else len(sib)
+        at, alike = place[id(n)]
         own = sum(len(s[2]) for s in n.segs)
         c = max(1, n.chars)
         prev, nxt = (sib[at - 1].chars if at else 0), (sib[at + 1].chars if at + 1 < len(sib) else 0)

@@ -256,6 +256,18 @@ def test_html_on_unseen_layouts(spark):
     assert got[0]["_text"] == "A&B\none two three\nfour five"
 
 
+def test_sibling_features_at_any_width():
+    kids = "".join(f"<{t}>{'word ' * (1 + k * k % 11)}.</{t}>" for k in range(450) for t in ["h2" if k % 7 == 3 else "p"])
+    nodes = html_text._nodes(html_text.parse(f"<body><div>{kids}</div><p>end"))
+    x = html_text.features(nodes)[:, -20:]
+    assert max(len(n.kids) for n in nodes) == 450
+    for n, row in zip(nodes, x, strict=True):
+        sib = n.parent.kids if n.parent else [n]
+        at = [s is n for s in sib].index(True)
+        near = [sib[k].chars if 0 <= k < len(sib) else 0 for k in (at - 1, at + 1)]
+        assert row[9:12].tolist() == [at, len(sib), sum(s.tag == n.tag for s in sib) / len(sib)] and row[14:16].tolist() == near
+
+
 def test_simhash_is_brute_force(spark):
     import xxhash
 

@@ -24,9 +24,12 @@ from .gbt import Trees, fit
 SAMPLE_PAGES = 250  # pages whose semantic elements label nodes for training: the smallest by a hash of the html
 MADE_PAGES = 400  # labelled pages made from templates, so that pages without semantic elements are known too
 
-_RAW = "script|style|title|noscript|template|textarea|iframe|svg|math|select|canvas|object|audio|video"
+_RAW = "script|style|title|noscript|template|textarea|iframe|svg|select|canvas|object|audio|video"
+_NAMED = r"(?=[\s/>]|\Z)"  # the end of a tag's name; a hyphen goes on to a custom element's
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*+(?:>.*?(?:</(?P=raw)[^>]*+(?:>|\Z)|\Z)|\Z)"
+    # <svg/> holds nothing; a slash at the end of an unquoted value belongs to the value
+    rf"<!--.*?(?:-->|\Z)|<svg{_NAMED}(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+(?=\s)))*+(?<=/)>"
+    rf"|<(?P<raw>{_RAW}){_NAMED}[^>]*+(?:>.*?(?:</(?P=raw){_NAMED}[^>]*+(?:>|\Z)|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
@@ -34,7 +37,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?:\b(class|id|role|data-y)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label link mark meta meter q s samp small "
-    "span strike strong sub sup time tt u var wbr br button output picture source track param area base col embed rp rt ruby".split()
+    "span strike strong sub sup time tt u var wbr br button output picture source track param area base col embed rp rt ruby "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction menclose semantics annotation annotation-xml".split()
 )
 _VOID = frozenset("hr".split())
 _CLOSES_P = frozenset("p".split())
@@ -53,10 +58,14 @@ _CUE_OF = {w: i for i, ws in enumerate(_CUES) for w in ws.split()}
 N_FEATURES = len(_TAGS) * 2 + len(_CUES) * 2 + 20
 
 
+class Made(str):
+    """A page made from templates; only in these does data-y label an element."""
+
+
 class Node:
     __slots__ = ("chars", "cues", "depth", "feats", "kids", "label", "links", "parent", "punct", "segs", "start", "tag", "tags", "up_cues", "up_tags", "words")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str):
+    def __init__(self, tag: str, parent: Node | None, attrs: str, made: bool = False):
         self.tag, self.parent, self.kids, self.segs = tag, parent, [], []
         self.depth = parent.depth + 1 if parent else 0
         self.chars = self.words = self.links = self.punct = self.start = 0
@@ -67,7 +76,8 @@ class Node:
             for name, a, b, c in _ATTR.findall(attrs):
                 value = a or b or c
                 if name.lower() == "data-y":
-                    self.label = int(value)
+                    if made:
+                        self.label = int(value)
                     continue
                 for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
                     k = _CUE_OF.get(word)
@@ -93,8 +103,9 @@ def _set_text(node: Node, parts: list[str], links: int, at: int) -> None:
 
 def parse(page: str) -> Node:
     """The tree of block elements. Text belongs to the nearest block, in segments between child blocks; <br> and other
-    white space become one space; scripts, styles, comments and titles hold no text."""
+    white space become one space; elements of _RAW (scripts, styles, titles, drawings, ...) and comments hold no text."""
     root = node = Node("html", None, "")
+    labels = isinstance(page, Made)
     parts: list[str] = []
     links = anchor = at = order = 0
 
@@ -136,7 +147,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body", "head") and node.parent is None:
             if tag == "body":
-                node = Node("body", root, m.group("attrs"))
+                node = Node("body", root, m.group("attrs"), labels)
             continue
         if tag in ("html", "body", "head"):
             continue
@@ -150,7 +161,7 @@ def parse(page: str) -> Node:
                 while up.parent is not None and up.parent.tag in same and up.tag != tag:
                     up = up.parent
                 node = up.parent
-        made = Node(tag, node, m.group("attrs"))
+        made = Node(tag, node, m.group("attrs"), labels)
         made.start = order
         if tag not in _VOID:
             node = made
@@ -259,7 +270,7 @@ def labelled(nodes: list[Node]) -> list[int]:
     return [i for i, n in enumerate(nodes) if n.chars and pure[id(n)]]
 
 
-def made_page(r: Random) -> str:
+def made_page(r: Random) -> Made:
     """A page in one of many layouts; data-y gives the label of each block."""
     syll = ["th", "an", "er", "tion", "re", "ou", "le", "que", "ar", "os", "en", "ung", "sch", "ment", "in", "ed"]
     word = lambda: "".join(r.choices(syll, k=r.choice([1, 1, 2, 2, 3, 4])))
@@ -316,7 +327,7 @@ def made_page(r: Random) -> str:
     if r.random() < 0.3:
         main = f'<div class="{r.choice(["wrapper", "container", "page", "row"])}">{main}{"".join(tail[:1])}</div>'
         tail = tail[1:]
-    return f"<html><head><title>{line(3)}</title></head><body>{''.join(head)}{main}{''.join(tail)}</body></html>"
+    return Made(f"<html><head><title>{line(3)}</title></head><body>{''.join(head)}{main}{''.join(tail)}</body></html>")
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = MADE_PAGES) -> Trees:
@@ -325,7 +336,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = MADE_PAGES)
     xs, ys = [], []
     for i, page in enumerate([r["html"] for r in picked.collect()] + [made_page(Random(k)) for k in range(made)]):
         nodes = _nodes(parse(page))
-        if 'data-y="' not in page:
+        if not isinstance(page, Made):
             label_by_elements(nodes)
         use = labelled(nodes)
         if use:

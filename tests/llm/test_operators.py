@@ -256,6 +256,19 @@ def test_html_on_unseen_layouts(spark):
     assert got[0]["_text"] == "A&B\none two three\nfour five"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<nav><svg class="icon"/>menu</nav><article><p>text', "menu|text"), ("<nav><svg/></nav><p>text<p>more<svg><text>no</text></svg>", "text|more"),
+    ('<svg a="x>y" b=\'/\' hidden />one', "one"), ("<svg><path d='M0'/></svg>one<svg width=1/>no</svg>two", "onetwo"), ("<svg\n/>one<math/>two", "onetwo"),
+    ("<video-player><p>one</p></video-player><title-bar>two</title-bar><template-card>three", "one|two|three"), ("<title>no</title-bar>no</title>one", "one"),
+    ("<p>a <math><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mi>y</mi></math> b", "a x2=y b"), ("<script src=x>no</script>one<style>no", "one"), ("one<script", "one"),
+    ('<p data-y="top">one<p data-y=0.5>two<p data-y>three', "one|two|three"),
+])
+def test_html_tokens(page, want):
+    nodes = html_text._nodes(html_text.parse(page))
+    assert "|".join(s[2] for s in sorted((s for n in nodes for s in n.segs), key=lambda s: s[0])) == want
+    assert all(n.label is None for n in nodes)
+
+
 def test_sibling_features_at_any_width():
     kids = "".join(f"<{t}>{'word ' * (1 + k * k % 11)}.</{t}>" for k in range(450) for t in ["h2" if k % 7 == 3 else "p"])
     nodes = html_text._nodes(html_text.parse(f"<body><div>{kids}</div><p>end"))

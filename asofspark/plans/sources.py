@@ -34,18 +34,25 @@ def src_bhav_udiff(v):
 
 @query("src_symbol_csv", "SELECT instrument_id::VARCHAR AS symbol, session, round(close, 8) AS close, round(round(close, 8) * volume, 8) AS turnover FROM bars_d WHERE session <= DATE '1999-12-31' AND instrument_id < 5")
 def src_symbol_csv(v):
-    """Writes one CSV folder per symbol into the shared folder and reads them back by glob."""
+    return symbol_files(v).where(F.col("symbol").cast("int") < 5)  # the symbols that the SQL names
+
+
+def symbol_files(v):
+    """Writes one CSV folder per symbol into the shared folder and reads all of them back by glob."""
     path = readers.scratch(v.spark)
-    b = v.bars_d.where("instrument_id < 5").select(F.concat(F.col("instrument_id").cast("string"), F.lit("_DAILY.csv")).alias("file"), F.col("session").cast("string").alias("date"), *[F.round(c, 8).alias(c) for c in ("open", "high", "low", "close")], "volume", F.lit(None).cast("double").alias("turnover"))
+    b = v.bars_d.select(F.concat(F.col("instrument_id").cast("string"), F.lit("_DAILY.csv")).alias("file"), F.col("session").cast("string").alias("date"), *[F.round(c, 8).alias(c) for c in ("open", "high", "low", "close")], "volume", F.lit(None).cast("double").alias("turnover"))
     b.repartition("file").write.partitionBy("file").option("header", True).csv(path)
     df = readers.symbol_csvs(v.spark, f"{path}/*/*.csv", "1999-12-31")
     symbol = F.regexp_extract(F.input_file_name(), r"file=(\w+)_DAILY\.csv", 1)
     return df.select(symbol.alias("symbol"), "session", "close", F.round("turnover", 8).alias("turnover"))
 
 
-@query("src_format_router")
+CANONICAL = "session, symbol, series, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(close, 8) AS last, NULL::DOUBLE AS prev_close, CASE WHEN (symbol::INT + day(session)) % 13 <> 0 THEN volume END AS volume, turnover, 7.0 AS trades, 'INE' AS isin"
+
+
+@query("src_format_router", f"WITH {RAW} SELECT {CANONICAL} FROM br UNION ALL SELECT {CANONICAL} FROM br WHERE symbol::INT % 3 <> 0 AND symbol::INT % 4 <> 0")
 def src_format_router(v):
-    """Zips one small file per layout and year into the shared folder, and reads both by their header."""
+    """Zips one small file per layout, symbol and month into the shared folder, and reads all by their header."""
     import io
     import zipfile
 
@@ -62,19 +69,16 @@ def src_format_router(v):
                     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
                         z.writestr("day.csv", ",".join([*names, "Sgmt", "FinInstrmTp"]) + "\n" + text)
                     out.append(buf.getvalue().hex())
-                yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
         return run
 
     for kind, names in (("legacy", readers.LEGACY), ("udiff", readers.UDIFF)):
-        t = raw_text(v, names).where(F.col(names[1]) == "3")
         line = F.concat_ws(",", *[F.trim(F.col(c)) for c in [*names, "Sgmt", "FinInstrmTp"]])
-        days = t.groupBy(F.substring(names[0], 1, 7).alias("m")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).select("text")
-        days.mapInArrow(zipped(names), "value string").write.text(f"{path}/{kind}")
-    hexes = v.spark.read.text([f"{path}/legacy", f"{path}/udiff"]).select(F.lit("x").alias("path"), F.unhex("value").alias("content"))
-    lines = hexes.mapInArrow(readers._lines, "path string, head string, line string")
-    isl = F.contains("head", F.lit("TOTTRDQTY"))
-    return lines.groupBy(F.when(isl, "legacy").otherwise("udiff").alias("layout")).agg(F.count("*").alias("n"), F.min(F.substring("line", 1, 10)).alias("first_day"))
+        files = raw_text(v, names).groupBy(names[1], F.substring(names[0], 1, 7)).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).select("text")
+        files.mapInArrow(zipped(names), "value string").write.text(f"{path}/{kind}")
+    hexes = v.spark.read.text([f"{path}/legacy", f"{path}/udiff"])
+    return readers.routed(hexes.select(F.lit("x").alias("path"), F.unhex("value").alias("content")))
 
 
 @query("src_year_store", f"WITH {RAW} SELECT year(session) AS year, count(*) AS n, count(DISTINCT session) AS days, count(DISTINCT symbol) AS symbols FROM br WHERE series = 'EQ' GROUP BY 1")

@@ -60,7 +60,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def routed_archives(spark: SparkSession, path: str) -> DataFrame:
     """Zipped daily files of either layout, told apart by their header line, as canonical rows."""
-    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_lines, "path string, head string, line string")
+    return routed(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def routed(archives: DataFrame) -> DataFrame:
+    """Archives (path, content) of daily files of either layout as canonical rows."""
+    lines = archives.mapInArrow(_lines, "path string, head string, line string")
     cell = lambda name: F.get(F.split("line", ","), (F.array_position(F.transform(F.split("head", ","), F.trim), name) - 1).cast("int"))
     pick = lambda names: lines.where(F.contains("head", F.lit(names[1]))).select(*[cell(n).alias(n) for n in [*names, *(["Sgmt", "FinInstrmTp"] if names is UDIFF else [])]])
     return legacy(pick(LEGACY)).unionByName(udiff(pick(UDIFF)))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from asofspark.operators import features as fx
 from asofspark.operators import labels
 from asofspark.plans.evidence import placebos
+from asofspark.plans.registry import QUERIES
+from asofspark.plans.sources import symbol_files
 from asofspark.plans.views import Views
 from asofspark.sources import readers
 
@@ -81,6 +83,21 @@ def test_symbol_csvs(spark, tmp_path):
     assert got == [("ABC", datetime.date(2020, 1, 1), 20.0), ("ABC", datetime.date(2020, 1, 2), 99.0)]
 
 
+def test_every_symbol_is_filed(spark):
+    v = Views(spark, SF)
+    got = symbol_files(v)
+    want = v.bars_d.where("session <= date '1999-12-31'").select(F.col("instrument_id").cast("string").alias("symbol"), "session", F.round("close", 8).alias("close"))
+    assert got.select("symbol").distinct().count() == want.select("symbol").distinct().count() > 5
+    assert got.select(want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(want.columns)).isEmpty()
+
+
+def test_router_returns_every_symbol(spark):
+    v = Views(spark, SF)
+    got = {r[0]: r[1] for r in QUERIES["src_format_router"](spark, SF).groupBy("symbol").count().collect()}
+    want = {str(r[0]): r[1] * (1 + (r[0] % 3 > 0 and r[0] % 4 > 0)) for r in v.bars_d.groupBy("instrument_id").count().collect()}
+    assert got == want
+
+
 def test_archives_are_routed_by_header(spark, tmp_path):
     import zipfile
 

@@ -109,6 +109,20 @@ def test_archives_are_routed_by_header(spark, tmp_path):
     assert got == {("ABC", 2.0), ("XYZ", 5.0)}
 
 
+def test_html_labels_give_the_next_cell(spark):
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    inner = "<table>" + row("<b>Net</b> Sales/Income  from Operations", "1,234.5") + row("Total income from operations", "9") + row("Total Income", "", "(77)") + row("Total Expenditure", "-") + row("Basic EPS after extraordinary items", "2") + row("Basic EPS for continued and discontinued", "3") + "</table>"
+    pages = [
+        (1, "<ul><li><a>menu</a></li><li><a>other</a></li></ul><table><tr><td>Sales/Income from Operations</td><td>n.a.</td></tr></table>" + inner),
+        (2, f"<table><tr><td>{inner}</td></tr></table>"), (3, "<table><tr><td>Sales/Income from operation<td>5<tr><td>Net profit (loss) for the period<td>NA"), (4, "<ul><li><a>menu</a></li></ul>"), (5, None),
+    ]
+    got = readers.html_label_values(spark.createDataFrame(pages, "page_id long, html string")).collect()
+    assert len(got) == 5 * len(readers.RESULT_LABELS)
+    by = {i: {r["field"]: r["value"] for r in got if r["page_id"] == i and r["value"] is not None} for i in range(1, 6)}
+    full = {"revenue": 1234.5, "total_income": -77.0, "eps_basic": 3.0}
+    assert by == {1: full, 2: full, 3: {"revenue": 5.0}, 4: {}, 5: {}}
+
+
 def test_years_are_replaced_and_pruned(spark, tmp_path):
     cols = "session date, symbol string, series string, close double"
     day = lambda y: datetime.date(y, 1, 2)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all tasks run on
+    this machine (tests). A cluster without the setting is an error: other machines would not see a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-staged-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,6 +37,28 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(df: DataFrame, columns: Callable[[pa.RecordBatch], list[pa.Array]], fields: str) -> DataFrame:
+    """df with further columns (a schema string) that are computed from each Arrow batch. A column of df that has the
+    name of a new one, whatever its case, is replaced."""
+    new = StructType.fromDDL(fields)
+    taken = {n.lower() for n in new.names}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in kept]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *columns(b)], names=[*names, *new.names])
+
+    return df.select(*[f"`{f.name.replace('`', '``')}`" for f in kept]).mapInArrow(run, StructType([*kept, *new.fields]))
+
+
+def sheltered(docs: DataFrame, work: Callable[[DataFrame], DataFrame], *used: str) -> DataFrame:
+    """work(docs), with the columns and names of docs. While it runs, all columns but those it uses have other names,
+    so that none can clash with a name of its own."""
+    names = [c if c in used else f"kept_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The n rows of df that are smallest by a hash of keys (all rows if there are fewer): the same rows on every run.
 

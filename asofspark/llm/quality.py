@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, staged, table
+from .common import appended, bounded_sample, sheltered, staged, table
 from .gbt import Trees, fit
 
 SAMPLE = 6000  # labelled rows that the trees are fitted on, at most; the smallest by a hash of doc_id
@@ -72,22 +72,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """docs (with text) with _score, 0 to 1, from the whole text alone. Null counts as the empty text, which is
-    scored like any other; one row per input row; all columns are kept; an empty table gives no rows."""
+    scored like any other; equal texts score alike; one row per input row; all columns are kept, but for one named
+    _score, which is replaced; an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t) for t in _texts(b.column("text"))])
-            s = held.value.score(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "_score"])
+    def scored(b: pa.RecordBatch) -> list[pa.Array]:
+        x = np.array([statistics(t) for t in _texts(b.column("text"))])
+        return [pa.array(held.value.score(x) if len(x) else np.zeros(0), pa.float64())]
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scored, f"{columns}, _score double")
+    return appended(docs, scored, "_score double")
 
 
 def drop_rejected(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """docs without those that score below reject_below; the trees are fitted on labelled rows of all_docs."""
-    return score(docs, train(all_docs, labels)).where(F.col("_score") >= reject_below).select(*docs.columns)
+    """docs without those that score below reject_below; the trees are fitted on labelled rows of all_docs. The columns
+    of docs are returned as they are, whatever their names."""
+    trees = train(all_docs, labels)
+    return sheltered(docs, lambda d: score(d, trees).where(F.col("_score") >= reject_below), "text")
 
 
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

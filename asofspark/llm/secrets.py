@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import sheltered, staged, table
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*[0-9])(?=[0-9_+/=\-]*[A-Za-z])[A-Za-z0-9_+/=\-]{16,}+"
 MASK = "[SECRET]"
@@ -204,18 +204,21 @@ def scan(docs: DataFrame, scored: Callable[[list[Column]], Column]) -> DataFrame
 
 
 def masked(docs: DataFrame, scored: Callable[[list[Column]], Column]) -> DataFrame:
-    """docs with every secret in text replaced by MASK; other texts, rows and columns as they are. A column n_chars,
-    where there is one, follows the new text."""
-    c = F.col("_c")
-    gaps = F.split("text", CANDIDATE, -1)
-    shown = F.transform(c, lambda x: F.concat(x["before"], F.when(x["score"] >= SECRET_AT, F.lit(MASK)).otherwise(x["value"])))
-    text = F.when(F.size(c) > 0, F.concat(F.array_join(shown, ""), F.element_at(gaps, -1))).otherwise(F.col("text"))
-    with_c = docs.withColumn("_c", F.when(F.col("text").rlike(CANDIDATE), _candidates(F.col("text"), scored)))
-    changed = F.exists("_c", lambda x: x["score"] >= SECRET_AT)
-    out = with_c.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """docs with every secret in text replaced by MASK; other texts, rows and columns as they are, whatever their names.
+    A column n_chars, where there is one, follows the new text."""
+    def run(d: DataFrame) -> DataFrame:
+        c = F.col("_c")
+        gaps = F.split("text", CANDIDATE, -1)
+        shown = F.transform(c, lambda x: F.concat(x["before"], F.when(x["score"] >= SECRET_AT, F.lit(MASK)).otherwise(x["value"])))
+        text = F.when(F.size(c) > 0, F.concat(F.array_join(shown, ""), F.element_at(gaps, -1))).otherwise(F.col("text"))
+        with_c = d.withColumn("_c", F.when(F.col("text").rlike(CANDIDATE), _candidates(F.col("text"), scored)))
+        changed = F.exists("_c", lambda x: x["score"] >= SECRET_AT)
+        out = with_c.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+        if "n_chars" in d.columns:
+            out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        return out
+
+    return sheltered(docs, run, "text", "n_chars")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged, table
+from .common import connected_components, sheltered, staged, table
 
 RADIUS = 3
 CROWDED = 48  # fingerprints with one and the same half, beyond which the full-width ball takes over
@@ -128,17 +128,22 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group of near-duplicates.
 
-    Rows with a null doc_id are kept. Rows that repeat a kept doc_id are kept once. All columns are returned.
+    Rows with a null doc_id are kept. Rows that repeat a kept doc_id are kept once. All columns are returned, whatever
+    their names.
     """
     found = near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = staged(again)
-    if again.isEmpty():
-        return kept
-    rest = kept.join(again, "doc_id", "left_anti")
-    return rest.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    again = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    once = again.isEmpty()
+
+    def kept(d: DataFrame) -> DataFrame:
+        left = d.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        if once:
+            return left
+        rest = left.join(again, "doc_id", "left_anti")
+        return rest.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    return sheltered(docs, kept, "doc_id")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
 from random import Random
 
 import numpy as np
@@ -18,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import appended, bounded_sample, table
 from .gbt import Trees, fit
 
 SAMPLE_PAGES = 250  # pages whose semantic elements label nodes for training: the smallest by a hash of the html
-MADE_PAGES = 400  # labelled pages made from templates, so that pages without semantic elements are known too
+MADE_PAGES = 800  # labelled pages made from templates, so that pages without semantic elements are known too
 
 _RAW = "script|style|title|noscript|template|textarea|iframe|svg|select|canvas|object|audio|video"
 _NAMED = r"(?=[\s/>]|\Z)"  # the end of a tag's name; a hyphen goes on to a custom element's
@@ -270,8 +269,12 @@ def labelled(nodes: list[Node]) -> list[int]:
     return [i for i, n in enumerate(nodes) if n.chars and pure[id(n)]]
 
 
-def made_page(r: Random) -> Made:
-    """A page in one of many layouts; data-y gives the label of each block."""
+LAYOUTS = ("article", "main", "named", "named", "plain", "wrapped", "section", "table", "bare", "nested")
+
+
+def made_page(r: Random, layout: str | None = None) -> Made:
+    """A page in one of many layouts (of LAYOUTS, drawn if none is given); data-y gives the label of each block. In the
+    last six nothing names the article: it stands in plain containers, in a table's cell or right in the body."""
     syll = ["th", "an", "er", "tion", "re", "ou", "le", "que", "ar", "os", "en", "ung", "sch", "ment", "in", "ed"]
     word = lambda: "".join(r.choices(syll, k=r.choice([1, 1, 2, 2, 3, 4])))
     line = lambda n: " ".join(word() for _ in range(n))
@@ -279,20 +282,33 @@ def made_page(r: Random) -> Made:
     para = lambda: " ".join(sentence() for _ in range(r.choice([1, 1, 2, 4, 8, 12])))
     cls = lambda words: f' {r.choice(["class", "class", "id"])}="{r.choice(words.split())}"' if r.random() < 0.8 else ""
     links = lambda n: "".join(f'<li><a href="/{word()}">{line(r.randint(1, 3))}</a></li>' for _ in range(n))
+    layout = layout or r.choice(LAYOUTS)
+    unnamed = layout in LAYOUTS[4:] and r.random() < 0.5  # menus and footers then have no telling names either
 
     def box(tags: str, words: str, body: str, y: int) -> str:
         t = r.choice(tags.split())
+        if unnamed and y == 0 and t != "form":
+            return f'<div{r.choice(["", "", f' class="{word()}"'])} data-y="0">{body}</div>'
         c = cls(words) if t == "div" else (cls(words) if r.random() < 0.3 else "")
         if t == "div" and not c:
             c = f' class="{r.choice(words.split())}"'
         return f'<{t}{c} data-y="{y}">{body}</{t}>'
 
+    def named(words: str, body: str, tags: str = "div") -> str:
+        t = r.choice(tags.split())
+        return f'<{t} {r.choice(["class", "class", "id"])}="{r.choice(words.split())}" data-y="0">{body}</{t}>'
+
     def note(words: str, tags: str = "div") -> str:
-        return box(tags, words, r.choice([line(r.randint(2, 12)), f"<p>{para()}</p>", f"<ul>{links(r.randint(2, 6))}</ul>", f"<h3>{line(2)}</h3><p>{sentence()}</p>"]), 0)
+        return named(words, r.choice([line(r.randint(2, 12)), f"<p>{para()}</p>", f"<ul>{links(r.randint(2, 6))}</ul>", f"<h3>{line(2)}</h3><p>{sentence()}</p>"]), tags)
+
+    def comments() -> str:
+        one = lambda: r.choice(["<div class=\"comment\"><b>{0}</b><p>{1}</p></div>", "<p>{1}</p>", "<li><p>{0}</p><p>{1}</p></li>", "<div><span>{0}</span> {1}</div>", "<blockquote>{1}</blockquote>"]).format(word(), para())
+        body = "".join(one() for _ in range(r.choice([1, 2, 3, 5, 12, 40])))
+        return named("comments comment replies comment-list disqus discussion respond", (f"<h2>{line(2)}</h2>" if r.random() < 0.6 else "") + body, "div div section aside ol")
 
-    def blocks() -> str:
+    def blocks() -> list[str]:
         out = [f"<h1>{line(r.randint(2, 9))}</h1>"] if r.random() < 0.9 else []
-        for _ in range(r.choice([1, 2, 4, 8, 15])):
+        for _ in range(r.choice([1, 1, 2, 3, 4, 8, 8, 15, 15, 60 if r.random() < 0.3 else 25])):
             k = r.random()
             if k < 0.7:
                 out.append(f"<p>{para()}</p>" if r.random() < 0.8 else f"<p><b>{para()}<br>")
@@ -306,24 +322,46 @@ def made_page(r: Random) -> Made:
                 out.append("<table>" + "".join(f"<tr><td>{line(2)}</td><td>{line(2)}</td></tr>" for _ in range(3)) + "</table>")
             else:
                 out.append(note(r.choice(["ad advert sponsored", "related share", "newsletter"])))
-        return "".join(out)
+        if r.random() < 0.4:
+            out.append(comments())
+        return out
+
+    def article() -> str:
+        held = blocks()
+        text = "".join(held)
+        noise = f' class="{r.choice(["wrapper", "container", "page", "row", "col", "inner", "box", word(), word()])}"'
+        if layout in ("article", "main", "section"):
+            return f'<{layout}{cls("content post entry") if layout == "main" else ""} data-y="1">{text}</{layout}>'
+        if layout == "named":
+            return box("article div div", "content post entry article main story", text, 1)
+        if layout == "plain":
+            return f'<div data-y="1">{text}</div>'
+        if layout == "wrapped":
+            return f'<div{noise} data-y="1">{text}</div>'
+        if layout == "table":
+            side = box("div", "menu sidebar", f"<ul>{links(r.randint(2, 7))}</ul>", 0) if r.random() < 0.7 else ""
+            return f'<table><tr>{f"<td>{side}</td>" if side else ""}<td data-y="1">{text}</td></tr></table>'
+        if layout == "nested":
+            return f'<div><div{noise}><div data-y="1">{text}</div></div></div>'
+        return "".join(h if "data-y" in h[: h.index(">")] else re.sub(r"^<(\w+)", r'<\1 data-y="1"', h) for h in held)
 
     head = []
     if r.random() < 0.9:
         head.append(box("nav div", "nav menu navbar", f"<ul>{links(r.randint(3, 9))}</ul>", 0))
     if r.random() < 0.5:
-        head.insert(r.randint(0, len(head)), box("header div", "header masthead", f"<h1>{line(2)}</h1><p>{sentence()}</p>", 0))
+        head.insert(r.randint(0, len(head)), note("header masthead", "header div") if unnamed else box("header div", "header masthead", f"<h1>{line(2)}</h1><p>{sentence()}</p>", 0))
     if r.random() < 0.5:
         head.append(note("cookie notice banner"))
     if r.random() < 0.6:
         head.append(note("ad ads advert sponsored"))
-    main = box(r.choice(["article", "main", "article div", "div"]), "content post entry article main story", blocks(), 1)
-    tail = [f(w) for f, w, q in ((note, "comments comment replies", 0.4), (lambda w: note(w, "aside div"), "sidebar widget related", 0.5), (note, "ad promo", 0.3)) if r.random() < q]
+    main = article()
+    tail = [f() for f, q in ((comments, 0.4), (lambda: note("sidebar widget related", "aside div"), 0.5), (lambda: note("ad promo"), 0.3)) if r.random() < q]
     if r.random() < 0.3:
-        tail.append(box("form div", "form newsletter login", f"<p>{sentence()}</p><label>{word()}</label>", 0))
+        tail.append(box("form div", "form newsletter login", f"<p>{sentence()}</p><label>{word()}</label>", 0) if not unnamed else f'<form data-y="0"><p>{sentence()}</p><label>{word()}</label></form>')
     r.shuffle(tail)
     if r.random() < 0.9:
-        tail.append(box("footer div", "footer copyright", f"&copy; {line(r.randint(2, 9))}.", 0))
+        body = f"&copy; {line(r.randint(2, 9))}."
+        tail.append(named("footer copyright", body) if unnamed or r.random() < 0.3 else box("footer div", "footer copyright", body, 0))
     if r.random() < 0.3:
         main = f'<div class="{r.choice(["wrapper", "container", "page", "row"])}">{main}{"".join(tail[:1])}</div>'
         tail = tail[1:]
@@ -347,24 +385,23 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = MADE_PAGES)
 
 def extract(pages: DataFrame, trees: Trees) -> DataFrame:
     """pages with _text, the main text of the whole html, blocks joined by line feeds. Null and empty pages, and pages
-    without main text, give the empty string; one row per input row; all columns are kept."""
+    without main text, give the empty string; where keeping and dropping a subtree score alike it is kept; repeated rows
+    fare alike; one row per input row; all columns are kept, but for one named _text, which is replaced."""
     held = pages.sparkSession.sparkContext.broadcast(trees)
 
-    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[str] = []
-            htmls = [x or "" for x in b.column("html").to_pylist()]
-            for i in range(0, len(htmls), 64):
-                trees_of = [_nodes(parse(h)) for h in htmls[i : i + 64]]
-                score = held.value.score(np.concatenate([features(n) for n in trees_of]))
-                at = 0
-                for nodes in trees_of:
-                    out.append(decode(nodes, score[at : at + len(nodes)]))
-                    at += len(nodes)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "_text"])
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(extracted, f"{columns}, _text string")
+    def extracted(b: pa.RecordBatch) -> list[pa.Array]:
+        out: list[str] = []
+        htmls = [x or "" for x in b.column("html").to_pylist()]
+        for i in range(0, len(htmls), 64):
+            trees_of = [_nodes(parse(h)) for h in htmls[i : i + 64]]
+            score = held.value.score(np.concatenate([features(n) for n in trees_of]))
+            at = 0
+            for nodes in trees_of:
+                out.append(decode(nodes, score[at : at + len(nodes)]))
+                at += len(nodes)
+        return [pa.array(out, pa.string())]
+
+    return appended(pages, extracted, "_text string")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,24 +4,31 @@ Of every k consecutive words a hash is taken, and of every w consecutive hashes
 k + w - 1 = the window's words: every shared span of that length has a kept hash in common. Kept hashes of documents
 and benchmark items are joined, and each hit is extended word by word to the whole shared span, compared exactly.
 Items of fewer words are looked up by a hash of the whole item at every position, and compared in the same way.
+
+A benchmark of up to INDEX_BYTES goes to every task as an index. Beyond, the join is a shuffle: a bitmap of the items'
+hashes, of fixed size, lets tasks drop document hashes that no item has before they are written, and each text then
+meets its items in parts of PART_BYTES.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import appended, sheltered, staged, table
 
 GRAM, KEEP = 5, 6
 WINDOW = GRAM + KEEP - 1
 CHUNK = 1 << 20  # bytes of text handled at once, at least one document
 INDEX_BYTES = 32 << 20  # of benchmark text; beyond it hits are found by a shuffled join
+FILTER_BITS = 1 << 28  # of the bitmap of items' hashes (32 MB), whatever the benchmark's size
+PART_BYTES = 4 << 20  # of item text that one text is compared with at once, about
 
 _LOWER = np.zeros(256, np.uint8)
 for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
@@ -125,8 +132,8 @@ class Index:
             for v in values[lo[i] : hi]:
                 yield int(at[i]), int(v)
 
-    def scan(self, texts: list[bytes]) -> list[tuple[int, int, list[object]]]:
-        """(words, words hit, ids of items with occurring windows) of each text."""
+    def hits(self, texts: list[bytes]) -> tuple[Words, np.ndarray, list[set]]:
+        """The words of the texts, a mark for each word that is hit, and the ids of occurring items by text."""
         d, w = Words(texts), self.words
         hit, items = np.zeros(len(d.hash), bool), [set() for _ in texts]
         done = set()
@@ -151,6 +158,11 @@ class Index:
                 if d.bytes_of(p, p + n) == w.bytes_of(q, q + n):
                     hit[p : p + n] = True
                     items[int(d.text[p])].add(self.ids[i])
+        return d, hit, items
+
+    def scan(self, texts: list[bytes]) -> list[tuple[int, int, list[object]]]:
+        """(words, words hit, ids of items with occurring windows) of each text."""
+        d, hit, items = self.hits(texts)
         total = np.bincount(d.text[hit], minlength=len(texts))
         return [(int(d.counts[t]), int(total[t]), sorted(items[t], key=str)) for t in range(len(texts))]
 
@@ -172,16 +184,16 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 _FOUND = "_n_words long, _n_hit long, _items array<string>"
+_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_held: list = []  # the index that this worker process has built last, and what of
 
 
-def _with_found(b: pa.RecordBatch, found: list[tuple[int, int, list[object]]], drop: int = 0) -> pa.RecordBatch:
-    extra = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([[str(i) for i in x[2]] for x in found], pa.list_(pa.string()))]
-    n = b.num_columns - drop
-    return pa.RecordBatch.from_arrays([*b.columns[:n], *extra], names=[*b.schema.names[:n], "_n_words", "_n_hit", "_items"])
-
-
-def _schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {_FOUND}"
+def _index_of(held) -> Index:
+    """The index of broadcast items, built once in a worker process."""
+    if not _held or _held[0] != held.value[0]:
+        _held[:] = held.value[0], Index(held.value[1])
+    return _held[1]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -190,49 +202,105 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYT
     The benchmark's size is checked: up to index_bytes its index goes to every task; beyond, the kept hashes of both
     sides are joined by a shuffle, and each text then meets only the items it shares a hash with. One row per input
     row. Null and empty texts have no words; items without words never occur; null item_ids are the string 'null';
-    repeated item rows count once; empty tables on either side give zero counts; all columns of docs are kept.
+    repeated item rows count once; empty tables on either side give zero counts; all columns of docs are kept, but for
+    those that have the name of a new one, which are replaced.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size <= index_bytes:
-        held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in items.collect()])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
-            for b in batches:
-                yield _with_found(b, [x for c in chunks(_bytes(b.column("text"))) for x in index.scan(c)])
-
-        return docs.mapInArrow(scan, _schema(docs))
-
-    def kept_hashes(column: str):
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, at = b.column(0), 0
-                for c in chunks(_bytes(b.column("text"))):
-                    w = Words(c)
-                    pos, h = w.kept()
-                    parts = [(0, w.text[pos], h)] + [(n, w.text[: len(ok)][ok], w.grams(n)[ok]) for n in range(1, WINDOW) if len(ok := w.within(n)) and (column == "key" or (ok := _whole(w, n)).any())]
-                    t = np.concatenate([p[1] for p in parts])
-                    kind = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(t + at)), pa.array(kind), pa.array(np.concatenate([p[2] for p in parts]).view(np.int64))], names=[column, "kind", "gram"])
-                    at += len(c)
-
-        return emit
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t, mine in zip(_bytes(b.column("text")), b.column("_mine").to_pylist(), strict=True):
-                found += Index([(x["item_id"], x["text"].encode()) for x in mine or []]).scan([t])
-            yield _with_found(b, found, drop=1)
+    if size > index_bytes:
+        return _overlaps_shuffled(docs, items)
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"].encode()) for r in items.collect()]))
+
+    def scan(b: pa.RecordBatch) -> list[pa.Array]:
+        index = _index_of(held)
+        found = [x for c in chunks(_bytes(b.column("text"))) for x in index.scan(c)]
+        return [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([[str(i) for i in x[2]] for x in found], pa.list_(pa.string()))]
+
+    return appended(docs, scan, _FOUND)
 
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    ours = docs.select(key.alias("key"), "text").mapInArrow(kept_hashes("key"), "key string, kind long, gram long").distinct()
-    theirs = items.mapInArrow(kept_hashes("item_id"), "item_id string, kind long, gram long").distinct()
-    pairs = ours.join(theirs, ["kind", "gram"]).select("key", "item_id").distinct()
-    per_text = staged(pairs.join(items.distinct(), "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "text")).alias("_mine")).withColumnRenamed("key", "_key"))
-    joined = docs.join(per_text, key == F.col("_key"), "left").drop("_key")
-    return joined.mapInArrow(rows, _schema(docs))
+
+def _hashes(lengths: list[int], whole: bool, bits: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text) -> (key, gram): the hashes that winnowing keeps and those of n words for each n of lengths (whole:
+    only of texts of n words in all), each once for a key, and only those that the bitmap holds, if one is given."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, at = b.column(0), 0
+            for c in chunks(_bytes(b.column("text"))):
+                w = Words(c)
+                pos, h = w.kept()
+                owner, gram = [w.text[pos]], [h]
+                for n in lengths:
+                    ok = _whole(w, n) if whole else w.within(n)
+                    owner.append(w.text[: len(ok)][ok])
+                    gram.append(w.grams(n)[ok] + np.uint64(n))  # hashes of other lengths are others
+                t, g = np.concatenate(owner), np.concatenate(gram)
+                if bits is not None:
+                    slot = g & np.uint64(FILTER_BITS - 1)
+                    some = np.flatnonzero(bits.value[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+                    t, g = t[some], g[some]
+                order = np.lexsort((g, t))
+                t, g = t[order], g[order]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(t[new] + at)), pa.array(g[new].view(np.int64))], names=[b.schema.names[0], "gram"])
+                at += len(c)
+
+    return emit
+
+
+def _overlaps_shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    items = staged(items.distinct())
+    # item rows that share an id are told apart
+    items = items.withColumn("row", F.unhex(F.md5(F.concat_ws("\0", "item_id", "text").cast("binary"))))
+    count = F.regexp_count(F.translate("text", _UPPER, _SMALL), F.lit(_PATTERN))
+    lengths = sorted(r["n"] for r in items.select(count.alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
+    theirs = staged(items.select("row", "text").mapInArrow(_hashes(lengths, True), "row binary, gram long").distinct())
+    slot = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    words = theirs.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 31 as int))")).alias("b")).toArrow()
+    bitmap = np.zeros(FILTER_BITS >> 5, np.uint32)
+    bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    bits = spark.sparkContext.broadcast(bitmap)
+
+    key = F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
+    texts = docs.where(F.length("text") > 0).select(key.alias("key"), "text")
+    ours = texts.mapInArrow(_hashes(lengths, False, bits), "key binary, gram long").distinct()
+    sized = items.select("row", F.octet_length("text").alias("n"))
+    pairs = staged(ours.join(theirs, "gram").select("key", "row").distinct().join(sized, "row"))
+    parts = pairs.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / PART_BYTES)).cast("long").alias("parts"))
+    dealt = pairs.join(parts, "key").select("key", "row", F.pmod(F.xxhash64("row"), "parts").alias("part"))
+    mine = dealt.join(items, "row").groupBy("key", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("mine"))
+    met = texts.join(parts.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans, ids = [], []
+            for t, some in zip(_bytes(b.column("text")), b.column("mine").to_pylist(), strict=True):
+                _, hit, found = Index([(x["item_id"], x["text"].encode()) for x in some]).hits([t])
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                spans.append([{"s": s, "e": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+                ids.append(sorted(found[0]))
+            kinds = (pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(spans, kinds[0]), pa.array(ids, kinds[1])], names=["key", "spans", "ids"])
+
+    each = met.join(mine, "key").select("key", "text", "mine").mapInArrow(compared, "key binary, spans array<struct<s:long,e:long>>, ids array<string>")
+    # words under the union of a text's spans: in order of their starts, each adds what lies beyond the ends so far
+    union = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))),
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+        lambda acc, x: F.struct(
+            (acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], acc["end"]))).alias("n"),
+            F.greatest(acc["end"], x["e"]).alias("end"),
+        ),
+        lambda acc: acc["n"],
+    )
+    found = staged(each.groupBy("key").agg(union.alias("_n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("_items"))).withColumnRenamed("key", "_key")
+    taken = {"_n_words", "_n_hit", "_items"}
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in taken])
+    joined = kept.join(found, key == F.col("_key"), "left")
+    n_words = F.coalesce(F.regexp_count(F.translate("text", _UPPER, _SMALL), F.lit(_PATTERN)), F.lit(0)).cast("long")
+    none = F.array().cast("array<string>")
+    return joined.select(*[kept[f"`{c}`"] for c in kept.columns], n_words.alias("_n_words"), F.coalesce("_n_hit", F.lit(0).cast("long")).alias("_n_hit"), F.coalesce("_items", none).alias("_items"))
 
 
 def _whole(w: Words, n: int) -> np.ndarray:
@@ -243,8 +311,8 @@ def _whole(w: Words, n: int) -> np.ndarray:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those in which a window of a benchmark item occurs. All columns are returned."""
-    return overlaps(docs, benchmark).where("_n_hit = 0").select(*docs.columns)
+    """docs without those in which a window of a benchmark item occurs. All columns are returned, whatever their names."""
+    return sheltered(docs, lambda d: overlaps(d, benchmark).where("_n_hit = 0"), "text")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

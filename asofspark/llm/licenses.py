@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Every stretch of a text whose words align with a template, wherever its lines break, is confirmed by its exact wording
-differences; where stretches overlap, the one that says more stays. Lines with license words outside of those are
-candidate blocks without a license. Stretches and blocks are compressed alone and with templates as zstandard raw
-dictionaries: the size reduction settles ties between templates and names the ones nearest to a block.
+Candidate blocks are the stretches around license words. Each is compressed alone and with every template as zstandard
+raw dictionary, which ranks the templates by the reduction in size. All that reduce it are then confirmed, or not, by the
+exact wording differences of the stretch that aligns best: few words may differ, none of them one that tells licenses
+apart (a name, a version, a negation), and no negation may stand before. Where confirmed stretches overlap, the one that
+says more stays. Lines with license words outside of those are reported without a license.
 """
 
 from __future__ import annotations
@@ -23,39 +24,56 @@ from .common import table
 
 CUE = r"(?i)licen[sc]e|copyright|copyleft|warrant|spdx|redistribut|all rights reserved|permission is hereby|public domain|creativecommons".replace(" ", "[^a-zA-Z0-9]+")  # over line breaks too
 GAP = 4  # lines without a license word that a block may span
-CONFIRM = 4  # leading templates that a block without a license is compared with
+BRIEF = 24  # words of a template up to which it is sought in narrow blocks
 WORDING = 0.9  # share of a template's words that must be there, in order
 
-# Wordings of licenses and of their customary notices, by SPDX name.
+_SHORT = "This work is licensed under the GNU {0}, version {1}."
+_NOTICE = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. "
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+)
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
+
+def _gnu(name: str, version: str, dated: str, kinds: tuple[str, ...] = ("program",)) -> list[str]:
+    """The one-line notice, the standard notice of a program or library, and the head of the license's full text."""
+    head = f"GNU {name.upper()} Version {dated} Free Software Foundation, Inc. {_VERBATIM}"
+    return [_SHORT.format(name, version), *(_NOTICE.format(k, name, version) for k in kinds), head]
+
+
+_CC = "Creative Commons {0} 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {0} 4.0 International Public License"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+# Wordings of licenses, of the heads of their full texts and of their customary notices, by SPDX name.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
-    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSD-2-Clause": [_BSD],
+    "BSD-3-Clause": [f"{_BSD} 3. {_ENDORSE}"],
+    "BSD-4-Clause": [f"{_BSD} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. {_ENDORSE}"],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "GPL-1.0": _gnu("General Public License", "1", "1, February 1989 Copyright (C) 1989"),
+    "GPL-2.0": _gnu("General Public License", "2", "2, June 1991 Copyright (C) 1989, 1991"),
+    "GPL-3.0": _gnu("General Public License", "3", "3, 29 June 2007 Copyright (C) 2007"),
+    "LGPL-2.0": _gnu("Library General Public License", "2", "2, June 1991 Copyright (C) 1991", ("library", "program")),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "2.1, February 1999 Copyright (C) 1991, 1999", ("library", "program")),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "3, 29 June 2007 Copyright (C) 2007", ("library", "program")),
+    "AGPL-3.0": _gnu("Affero General Public License", "3", "3, 19 November 2007 Copyright (C) 2007"),
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0 1. Definitions"],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", _CC.format("Attribution")],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", _CC.format("Attribution-ShareAlike")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", _CC.format("Attribution-NonCommercial")],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", _CC.format("Attribution-NoDerivatives")],
     "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
@@ -65,6 +83,14 @@ _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _PLACED = re.compile(r"[a-zA-Z0-9]+(?:\.[0-9]+)*")  # _WORD before lower(), which can change a text's length
 _CLOSING = re.compile(r"[^\w\s]*")
 
+# words that tell licenses apart or turn a notice round: no difference may hold one
+_NAMES = frozenset(
+    "gnu lesser library affero general public gpl lgpl agpl apache mit expat isc bsd mozilla mpl eclipse epl cddl creative commons cc cc0 by sa nc nd "
+    "attribution sharealike share alike noncommercial commercial noderivatives derivatives unlicense zlib boost artistic advertising".split()
+)
+_NEGATIONS = frozenset("not no never neither nor non without except cannot isn aren wasn weren don doesn didn longer unless nothing none unlike".split())
+_BEFORE_VERSION = frozenset("version versions v license licence public by sa nc nd attribution sharealike noncommercial noderivatives commons international cc0 gpl lgpl agpl mpl apache bsd".split())
+
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
@@ -121,24 +147,71 @@ def wording(template: list[str], block: list[str]) -> tuple[float, list[str]]:
     return sum(b - a for _, a, b, _, _ in same) / len(template), diff
 
 
-def _confirms(share: float, diff: list[str], template: list[str]) -> bool:
-    return share >= WORDING and len(diff) <= (1 - WORDING) * len(template)
+def separates(side: list[str], differs: list[bool]) -> bool:
+    """Whether a differing word of a side (template or text) tells licenses apart: a name, a negation, or a number
+    after the word version or a license's name. Numbers of list items and years do not."""
+    for i, (word, other) in enumerate(zip(side, differs, strict=True)):
+        if other and (word in _NAMES or word in _NEGATIONS):
+            return True
+        if other and word[0].isdigit() and i and side[i - 1] in _BEFORE_VERSION:
+            return True
+        if other and re.fullmatch(r"v[0-9].*", word):
+            return True
+    return False
+
+
+def _marks(side: list[str], diff: list[str], sign: str) -> list[bool]:
+    """Marks the words of a side that are among the differences of a sign. diff holds them in the side's order."""
+    gone, out = [d[1:] for d in diff if d[0] == sign], [False] * len(side)
+    at = len(gone)
+    for i in range(len(side) - 1, -1, -1):
+        if at and gone[at - 1] == side[i]:
+            out[i] = True
+            at -= 1
+    return out
+
 
+def exact(template: list[str], stretch: list[str], diff: list[str]) -> bool:
+    """Whether the differences are few and none of them separates licenses. A word that occurs both as a difference
+    and otherwise counts where it occurs last, and a name counts wherever it occurs."""
+    if len(diff) > (1 - WORDING) * len(template):
+        return False
+    return not diff or not (separates(template, _marks(template, diff, "-")) or separates(stretch, _marks(stretch, diff, "+")))
 
-def judge(block: str) -> tuple[str | None, float, float, list[str], bool]:
-    """(license, size reduction, wording share, differences, confirmed). The templates that reduce the size most are
-    compared word by word; the one with the greatest share, then the fewest differences, wins."""
-    w = words(block)
+
+_ENDS = re.compile(r"[.!?;]\s|\n\s*\n")
+
+
+def turned(text: str, start: int) -> bool:
+    """Whether a negation stands before the stretch that begins at start, in its sentence, up to five words back, or
+    `version` of another license goes on (as in `1 of the`)."""
+    lead = text[max(0, start - 160) : start]
+    cut = [m.end() for m in _ENDS.finditer(lead)]
+    return any(w in _NEGATIONS for w in words(lead[cut[-1] if cut else 0 :].replace("'", " "))[-5:])
+
+
+def ranked(w: list[str], of: Sequence[int] | None = None) -> list[tuple[float, int]]:
+    """(size reduction, template) of a block's words, the greatest reduction first; of: the templates to try."""
     raw = " ".join(w).encode()
     plain, held = _compressors()
     alone = len(plain.compress(raw))
-    ranked = sorted(((1 - len(c.compress(raw)) / alone, -i) for i, (_, _, c) in enumerate(held)), reverse=True)
-    best = None
-    for gain, i in ranked[:CONFIRM]:
-        name, template, _ = held[-i]
+    every = ((1 - len(held[i][2].compress(raw)) / alone, -i) for i in (range(len(held)) if of is None else of))
+    return [(gain, -i) for gain, i in sorted(every, reverse=True)]
+
+
+def judge(block: str) -> tuple[str | None, float, float, list[str], bool]:
+    """(license, size reduction, wording share, differences, confirmed). Every template that reduces the size is
+    compared word by word (or the first, if none does); the one with the greatest share, then the fewest differences,
+    wins; of equal ones that with the greater reduction, then the one listed first."""
+    w, best = words(block), None
+    held = _compressors()[1]
+    for k, (gain, i) in enumerate(ranked(w)):
+        if gain <= 0 and k:
+            break
+        name, template, _ = held[i]
         share, diff = wording(template, w)
         # a longer template that is there in full says more than a shorter one
-        ok = _confirms(share, diff, template)
+        ok = share >= WORDING and exact(template, w, diff)
         key = (ok, share * len(template) - len(diff) if ok else share, gain)
         if best is None or key > best[0]:
             best = (key, (name, gain, share, diff, ok))
@@ -146,16 +219,15 @@ def judge(block: str) -> tuple[str | None, float, float, list[str], bool]:
 
 
 @lru_cache(1)
-def _pieces() -> dict[str, list[tuple[list[str], int, int]]]:
-    """By first word: (words, template, place in it) of the parts of each template, one more than the differences it
-    may have, so that each stretch that is confirmed holds one of its template's parts unchanged."""
-    out = defaultdict(list)
-    for i, (_, t, _) in enumerate(_compressors()[1]):
+def _pieces() -> list[list[tuple[list[str], int]]]:
+    """By template: (words, place in it) of its parts, one more than the differences it may have, so that each stretch
+    that is confirmed holds one of its template's parts unchanged."""
+    out = []
+    for _, t, _ in _compressors()[1]:
         parts = int((1 - WORDING) * len(t)) + 1
         cuts = [len(t) * x // parts for x in range(parts + 1)]
-        for a, b in zip(cuts, cuts[1:]):
-            out[t[a]].append((t[a:b], i, a))
-    return dict(out)
+        out.append([(t[a:b], a) for a, b in zip(cuts, cuts[1:])])
+    return out
 
 
 def align(template: list[str], w: list[str], at: int, most: int) -> tuple[int, int, int, list[str]] | None:
@@ -197,34 +269,63 @@ def align(template: list[str], w: list[str], at: int, most: int) -> tuple[int, i
     return found[-1], found[0] + 1, len(found), diff[::-1]
 
 
+def _around(text: str, starts: list[int], ends: list[int], reach: int) -> list[tuple[int, int]]:
+    """(first, last) places of the words within `reach` words of a license word. Ranges that meet are one; long ones
+    are cut into blocks that overlap by `reach`, so that a template weighs enough in each to reduce its size."""
+    out: list[tuple[int, int]] = []
+    for m in _CUE.finditer(text):
+        lo = max(0, bisect_right(ends, m.start()) - reach)
+        hi = min(len(starts), bisect_left(starts, m.end()) + reach)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return [(p, min(hi, p + 4 * reach)) for lo, hi in out for p in range(lo, max(lo + 1, hi - reach), 3 * reach)]
+
+
 def licenses_in(text: str) -> list[tuple[int, int, str, float, float, list[str]]]:
     """(start, end, license, size reduction, wording share, differences) of each stretch that a template is confirmed
-    in, in order. Of stretches that overlap, the one with the most words less differences stays."""
+    in, in order. Of stretches that overlap, the one with the most words less differences stays, then that of the
+    greater reduction, then the one that begins and ends first, then the first by name."""
     placed = [(m.start(), m.end()) for m in _PLACED.finditer(text)]
+    starts, ends = [a for a, _ in placed], [b for _, b in placed]
     w = [text[a:b].lower() for a, b in placed]
     plain, held = _compressors()
-    pieces, tried, every = _pieces(), set(), {}
-    for p, word in enumerate(w):
-        for piece, i, a in pieces.get(word, ()):
-            if (i, p - a) in tried or w[p : p + len(piece)] != piece:
-                continue
-            tried.add((i, p - a))
-            name, template, c = held[i]
-            got = align(template, w, p - a, int((1 - WORDING) * len(template)))
-            if got and (i, *got[:2]) not in every:
-                lo, hi, same, diff = got
-                raw = " ".join(w[lo:hi]).encode()
-                gain = 1 - len(c.compress(raw)) / len(plain.compress(raw))
-                every[i, lo, hi] = (same - len(diff), gain, -lo, hi, name, same / len(template), diff)
+    brief = [i for i, (_, t, _) in enumerate(held) if len(t) <= BRIEF]
+    longer = [i for i, (_, t, _) in enumerate(held) if len(t) > BRIEF]
+    every: dict[tuple[int, int, int], tuple] = {}
+    for of, reach in ((brief, BRIEF + 2), (longer, int(1.1 * max(len(t) for _, t, _ in held)) + 1)):
+        for first, last in _around(text, starts, ends, reach):
+            block = w[first:last]
+            at_word: dict[str, list[int]] = defaultdict(list)
+            for p, word in enumerate(block):
+                at_word[word].append(p)
+            for gain, i in ranked(block, of):
+                if gain <= 0:
+                    break
+                name, template, c = held[i]
+                tried = set()
+                for piece, a in _pieces()[i]:
+                    for p in at_word.get(piece[0], ()):
+                        if p - a in tried or block[p : p + len(piece)] != piece:
+                            continue
+                        tried.add(p - a)
+                        got = align(template, block, p - a, int((1 - WORDING) * len(template)))
+                        if not got or (i, first + got[0], first + got[1]) in every:
+                            continue
+                        lo, hi, same, diff = got
+                        if exact(template, block[lo:hi], diff) and not turned(text, placed[first + lo][0]):
+                            raw = " ".join(block[lo:hi]).encode()
+                            own = 1 - len(c.compress(raw)) / len(plain.compress(raw))
+                            every[i, first + lo, first + hi] = (-(same - len(diff)), -own, first + lo, first + hi, name, same / len(template), diff)
     los, his, out = [], [], []
-    for _, gain, lo, hi, name, share, diff in sorted(every.values(), key=lambda x: x[:4], reverse=True):
-        lo = -lo
+    for _, own, lo, hi, name, share, diff in sorted(every.values(), key=lambda x: x[:5]):
         k = bisect_left(his, lo + 1)
         if k < len(los) and los[k] < hi:
             continue
         los.insert(k, lo)
         his.insert(k, hi)
-        out.append((placed[lo][0], _CLOSING.match(text, placed[hi - 1][1]).end(), name, gain, share, diff))
+        out.append((placed[lo][0], _CLOSING.match(text, placed[hi - 1][1]).end(), name, -own, share, diff))
     return sorted(out, key=lambda x: x[0])
 
 
@@ -248,7 +349,7 @@ def scan(docs: DataFrame) -> DataFrame:
     start and n_chars (characters of the text), license (null for a block), reduction, wording, differences, confirmed.
 
     Documents without a license word (null and empty ones too) give no rows; repeated rows give repeated findings;
-    further columns are ignored; nothing is shuffled."""
+    how ties are settled is said in licenses_in and judge; further columns are ignored; nothing is shuffled."""
     some = docs.select("doc_id", "text").where(F.col("text").rlike(CUE))
     return some.mapInArrow(_found, "doc_id long, start long, n_chars long, license string, reduction double, wording double, differences string, confirmed boolean")
 

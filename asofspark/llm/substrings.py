@@ -7,9 +7,11 @@ holds their bytes, and records with equal strings have equal leading bytes from
 
 Splitters sampled from the records' leading bytes range-partition them into buckets. Records that repeat within a
 task's batch are combined before the shuffle, and a batch's records for a bucket are shuffled as one compressed block.
-Each bucket sorts its suffixes by multikey quicksort; records that end up equal repeat, but for the earliest, and
-strings of different records with one anchor are compared with each other. A crowded anchor is cut by splitters into
-several buckets; strings of anchors at a bucket's boundary are compared once more across buckets, by their hashes.
+Beyond FANOUT buckets they are dealt in two steps, to groups of buckets and from there to buckets, so that a batch never
+falls into more than FANOUT blocks. Each bucket sorts its suffixes by multikey quicksort; records that end up equal
+repeat, but for the earliest, and strings of different records with one anchor are compared with each other. A crowded
+anchor is cut by splitters into several buckets; strings of anchors at a bucket's boundary are compared once more across
+buckets, byte by byte.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,14 @@ LENGTH = 100
 GRAM = 24
 LEAD = 16  # leading bytes from the anchor on, by which records are partitioned, followed by a hash of the record
 KEY = LEAD + 8
-BUCKET_BYTES = 6 << 20  # of text, on average
-SAMPLE_DOCS = 3000  # documents whose records are the splitters' sample, about
-CHUNK = 1 << 18  # bytes of text handled at once, at least one document
-BATCH = 8 << 20  # bytes of text combined before records are emitted
+BUCKET_BYTES = 6 << 20  # of text, on average; beyond GROWS it grows with the square root of the table
+GROWS = 1 << 40  # so that 100 TB have some two million splitters, which go to every task
+SAMPLE_DOCS = 3000  # documents at least whose records are the splitters' sample, about
+PER_BUCKET = 64  # records of the sample for each bucket, about
+FANOUT = 4096  # buckets or groups of buckets that a batch is dealt to at most
+CHUNK = 1 << 18  # bytes of text handled at once; longer texts are cut into overlapping pieces
+BATCH = 24 << 20  # bytes of text combined before records are emitted
+RECORD = 40  # bytes of text for each record, about
 _M = np.uint64
 
 
@@ -159,13 +166,10 @@ class Bucket:
             j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             at = self.off[row] + j
             steps = [min(8 * i, self.length - 8) for i in range(-(-self.length // 8))]
-            h1, h2 = np.zeros(len(row), np.uint64), np.full(len(row), 0x5851F42D4C957F2D, np.uint64)
+            h = np.zeros(len(row), np.uint64)
             for s in steps:
-                w = self.word[at + s].astype(np.uint64)
-                h1 = _mix(h1 + w)
-                h2 = (h2 ^ w) * _M(0xD6E8FEB86659FD93)
-                h2 ^= h2 >> _M(32)
-            rank = np.unique(h1, return_inverse=True)[1]
+                h = _mix(h + self.word[at + s].astype(np.uint64))
+            rank = np.unique(h, return_inverse=True)[1]
             head = np.zeros(int(rank.max()) + 1, np.int64)
             head[rank[::-1]] = np.arange(len(row))[::-1]
             peer = head[rank]
@@ -175,8 +179,8 @@ class Bucket:
             stays = self._earliest(rank, self.doc[row], pos)
             r, a, b = _runs(row[~stays], j[~stays])
             ranges.append((self.doc[r], self.sub[r], self.start[r] + a, self.start[r] + b + self.length))
-            x = stays & edge[row]
-            across.append((self.doc[row][x], self.sub[row][x], pos[x], pos[x] + self.length, h1[x].view(np.int64), h2[x].view(np.int64)))
+            x = np.flatnonzero(stays & edge[row])
+            across.append((self.doc[row][x], self.sub[row][x], pos[x], pos[x] + self.length, [self.buf[p : p + self.length].tobytes() for p in at[x].tolist()]))
         return ranges, across
 
 
@@ -214,150 +218,244 @@ def _keys(word: np.ndarray, start: np.ndarray, left: np.ndarray, h: np.ndarray)
     return out
 
 
+def _distinct(word: np.ndarray, off: np.ndarray, size: np.ndarray, left: np.ndarray, h: np.ndarray, doc: np.ndarray, sub: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stay, rows that repeat an earlier one): of records with equal bytes (off, size in the joined texts) and
+    left the earliest stays, and once each that equals it in place too."""
+    order = np.lexsort((sub, pos, doc, left, h))
+    n = len(order)
+    first = np.ones(n, bool)
+    first[1:] = (h[order][1:] != h[order][:-1]) | (left[order][1:] != left[order][:-1])
+    head = order[np.maximum.accumulate(np.where(first, np.arange(n), 0))]
+    again = np.zeros(n, bool)
+    again[1:] = ~first[1:] & (doc[order][1:] == doc[order][:-1]) & (pos[order][1:] == pos[order][:-1]) & (sub[order][1:] == sub[order][:-1])
+    later = ~first & ((doc[order] != doc[head]) | (pos[order] != pos[head])) & ~again
+    at = np.flatnonzero(later)
+    a, b = order[at], head[at]
+    same = size[a] == size[b]  # equal hashes alone don't count
+    for i in range(-(-int(size[a].max()) // 8) if len(a) else 0):
+        some = np.flatnonzero(same & (size[a] > 8 * i))
+        step = np.minimum(8 * i, size[a[some]] - 8)
+        same[some] = word[off[a[some]] + step] == word[off[b[some]] + step]
+    later[at] = same
+    return order[~later & ~again], order[later]
+
+
+def _union(doc: np.ndarray, sub: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ranges with those of a document that meet made one."""
+    order = np.lexsort((s, sub, doc))
+    doc, sub, s, e = doc[order], sub[order], s[order], e[order]
+    if not len(doc):
+        return doc, sub, s, e
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])
+    base = np.cumsum(fresh) * (int(e.max()) + 1)
+    reach = np.maximum.accumulate(base + e) - base
+    fresh[1:] |= s[1:] > reach[:-1]
+    return doc[fresh], sub[fresh], s[fresh], reach[np.append(fresh[1:], True)]
+
+
 class _Combiner:
-    """Collects records of a task, combines equal ones, and emits a block for each bucket."""
+    """Collects records of a task, combines equal ones, and emits a block for each bucket that has any."""
 
     def __init__(self, splitters: np.ndarray):
         self.splitters = splitters
         self.clear()
 
     def clear(self) -> None:
-        self.parts: list[tuple] = []
-        self.contents: list[bytes] = []
+        self.parts: list[tuple] = []  # doc, sub, place, strings, left, hash and offset of records
+        self.gone: list[tuple] = []
+        self.texts: list[bytes] = []
         self.size = 0
 
-    def add(self, docs: list[int], subs: list[int], texts: list[bytes]) -> None:
+    def _hold(self, data: bytes, doc, sub, pos, strings, left, h, off) -> None:
+        self.parts.append((doc, sub, pos, strings, left, h, off + self.size))
+        self.texts.append(data)
+        self.size += len(data)
+
+    def add(self, docs: list[int], subs: list[int], bases: list[int], texts: list[bytes]) -> None:
+        """Records of texts, pieces of documents that start at bases."""
         joined = b"".join(texts)
-        self.size += len(joined)
-        base = np.cumsum([0, *map(len, texts)])
+        begin = np.cumsum([0, *map(len, texts)])
         text, start, strings, left = records(texts)
         word = _words(np.frombuffer(joined + bytes(8), np.uint8))
         size = strings + LENGTH - 1
         h = _contents_hash(word, start, size, 1)
-        self.parts.append((np.array(docs, np.int64)[text], np.array(subs, np.int64)[text], start - base[text], strings, left, h, _keys(word, start, left, h)))
-        self.contents += [joined[s:e] for s, e in zip(start.tolist(), (start + size).tolist(), strict=True)]
+        doc, sub = np.array(docs, np.int64)[text], np.array(subs, np.int64)[text]
+        pos = start - begin[text] + np.array(bases, np.int64)[text]
+        if len(start) * 16 > len(joined):  # periodic texts have a record for every byte
+            rest, gone = _distinct(word, start, size, left, h, doc, sub, pos)
+            self.gone.append(_union(doc[gone], sub[gone], pos[gone], pos[gone] + size[gone]))
+            doc, sub, pos, strings, left, h, start = (x[rest] for x in (doc, sub, pos, strings, left, h, start))
+        self._hold(joined, doc, sub, pos, strings, left, h, start)
+
+    def add_block(self, doc, sub, pos, strings, left, data: bytes) -> None:
+        strings, left = strings.astype(np.int64), left.astype(np.int64)
+        size = strings + LENGTH - 1
+        off = np.cumsum(size) - size
+        h = _contents_hash(_words(np.frombuffer(data + bytes(8), np.uint8)), off, size, 1)
+        self._hold(data, doc, sub, pos, strings, left, h, off)
 
     def emit(self) -> Iterator[pa.RecordBatch]:
-        parts, contents = self.parts, self.contents
+        parts, texts, dropped = self.parts, self.texts, self.gone
         self.clear()
-        if not contents:
+        if not parts:
             return
-        doc, sub, start, strings, left, h, keys = (np.concatenate([p[i] for p in parts]) for i in range(7))
-        order = np.lexsort((sub, start, doc, left, h))
-        first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (left[order][1:] != left[order][:-1])])
-        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        again = np.zeros(len(order), bool)
-        again[1:] = ~first[1:] & (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & (sub[order][1:] == sub[order][:-1])
-        later = ~first & ((doc[order] != doc[head]) | (start[order] != start[head])) & ~again
-        at = np.flatnonzero(later)
-        same = [contents[i] == contents[k] for i, k in zip(order[at].tolist(), head[at].tolist(), strict=True)]
-        later[at] = same  # equal hashes alone don't count
-        gone, rest = order[later], order[~later & ~again]
+        joined = b"".join([*texts, bytes(8)])
+        del texts
+        word = _words(np.frombuffer(joined, np.uint8))
+        doc, sub, pos, strings, left, h, off = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        size = strings + LENGTH - 1
+        rest, gone = _distinct(word, off, size, left, h, doc, sub, pos)
+        keys = _keys(word, off[rest], left[rest], h[rest])
+        order = np.lexsort(keys.T[::-1])
+        rest, sorted_keys = rest[order], keys[order].astype(">u8").view(f"S{KEY}").ravel()
+        bucket = np.searchsorted(self.splitters, sorted_keys, "right")
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist() if len(bucket) else [0]
         buckets, blobs = [], []
-        by_key = rest[np.lexsort(keys[rest].T[::-1])]
-        sorted_keys = keys[by_key].astype(">u8").view(f"S{KEY}").ravel()
-        cuts = [0, *np.searchsorted(sorted_keys, self.splitters, "left").tolist(), len(by_key)]
-        for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if b > a:
-                part = by_key[a:b]
-                buckets.append(bucket)
-                blobs.append(_pack(doc[part], sub[part], start[part], strings[part], left[part], b"".join([contents[i] for i in part.tolist()])))
-        if len(gone):
-            ends = start[gone] + strings[gone] + LENGTH - 1
-            buckets.append(-1 - int(doc[gone[0]] % (1 << 30)))  # any task may unpack these
-            blobs.append(_pack(doc[gone], sub[gone], start[gone], np.zeros(len(gone)), np.zeros(len(gone)), ends.astype("<i8").tobytes()))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = rest[a:b]
+            buckets.append(int(bucket[a]))
+            contents = b"".join([joined[x:y] for x, y in zip(off[part].tolist(), (off[part] + size[part]).tolist(), strict=True)])
+            blobs.append(_pack(doc[part], sub[part], pos[part], strings[part], left[part], contents))
+        dropped.append(_union(doc[gone], sub[gone], pos[gone], pos[gone] + size[gone]))
+        d, u, s, e = (np.concatenate([x[i] for x in dropped]) for i in range(4))
+        if len(d):
+            buckets.append(-1 - int(d[0] % (1 << 30)))  # any task may unpack these
+            blobs.append(_pack(d, u, s, np.zeros(len(d)), np.zeros(len(d)), e.astype("<i8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block"])
 
 
-def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
+    """(documents, subs, bases, texts) of about CHUNK bytes at once. A longer text is cut into pieces, which overlap so
+    that each of its strings lies whole in the one in which it starts; its base is where a piece starts."""
+    docs, subs, bases, texts, size = [], [], [], [], 0
     for b in batches:
-        docs, subs = b.column("_doc").to_pylist(), b.column("_sub").to_pylist()
-        texts = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
+        column = b.column("text").cast(pa.binary())
+        for doc, sub, text in zip(b.column("_doc").to_pylist(), b.column("_sub").to_pylist(), column):
+            text = text.as_py() or b""
+            for base in range(0, max(1, len(text) - LENGTH + 1), CHUNK):
+                piece = text[base : base + CHUNK + LENGTH - 1] if len(text) > CHUNK else text
+                if size and size + len(piece) > CHUNK:
+                    yield docs, subs, bases, texts
+                    docs, subs, bases, texts, size = [], [], [], [], 0
+                docs.append(doc), subs.append(sub), bases.append(base), texts.append(piece)
+                size += len(piece)
+    if docs:
+        yield docs, subs, bases, texts
+
+
+def _sampled_keys(stride: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of every stride-th record."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for _, _, _, texts in _inputs(batches):
+            _, start, strings, left = records(texts)
+            word = _words(np.frombuffer(b"".join(texts) + bytes(8), np.uint8))
+            some = np.arange(-seen % stride, len(start), stride)
+            seen += len(start)
+            start, strings, left = start[some], strings[some], left[some]
+            keys = _keys(word, start, left, _contents_hash(word, start, strings + LENGTH - 1, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys.astype(">u8")], pa.binary())], names=["key"])
+
+    return run
+
+
+def _every(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                size += len(texts[end])
-                end += 1
-            yield docs[at:end], subs[at:end], texts[at:end]
-            at = end
+        for b in batches:
+            yield b.take(pa.array(range(-at % step, b.num_rows, step), pa.int64()))
+            at += b.num_rows
 
+    return run
 
-def _sampled_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, texts in _inputs(batches):
-        _, start, strings, left = records(texts)
-        word = _words(np.frombuffer(b"".join(texts) + bytes(8), np.uint8))
-        keys = _keys(word, start, left, _contents_hash(word, start, strings + LENGTH - 1, 1))
-        yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys.astype(">u8")], pa.binary())], names=["key"])
 
+def splitters_of(docs: DataFrame, n_docs: int, size: int, n_buckets: int) -> np.ndarray:
+    """Keys that cut the records of docs into about n_buckets even ranges. The sample grows with n_buckets; it is ranked
+    by range partitions, each of which gives its every so many-th key, so only splitters reach the driver."""
+    part = min(1.0, max(SAMPLE_DOCS / max(1, n_docs), PER_BUCKET * n_buckets * RECORD / max(1, size)))
+    stride = max(1, int(part * size / RECORD / (PER_BUCKET * n_buckets)))
+    draw = F.pmod(F.xxhash64("_doc", "_sub", F.lit(1)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1
+    keys = staged(docs.where(draw).select("_doc", "_sub", "text").mapInArrow(_sampled_keys(stride), "key binary"))
+    total = keys.count()
+    ranged = keys.repartitionByRange(max(1, total // 500_000), "key").sortWithinPartitions("key")
+    picked = ranged.mapInArrow(_every(max(1, total // n_buckets)), "key binary").toArrow().column("key").to_pylist()
+    return np.array(sorted(set(picked))[1:], f"S{KEY}")  # the smallest key has none before it
 
-_OUT = "doc long, sub long, s long, e long, h1 long, h2 long"
+
+_OUT = "doc long, sub long, s long, e long, string binary"
 
 
 def _batch(parts: list[tuple]) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate([np.asarray(p[i], np.int64) for p in parts]) if parts else np.zeros(0, np.int64)) for i in range(4)]
-    n = len(columns[0])
-    hashes = [pa.array(np.concatenate([p[i] for p in parts])) if parts and len(parts[0]) == 6 else pa.nulls(n, pa.int64()) for i in (4, 5)]
-    return pa.RecordBatch.from_arrays([*columns, *hashes], names=["doc", "sub", "s", "e", "h1", "h2"])
+    strings = pa.array([x for p in parts for x in p[4]], pa.binary()) if parts and len(parts[0]) == 5 else pa.nulls(len(columns[0]), pa.binary())
+    return pa.RecordBatch.from_arrays([*columns, strings], names=["doc", "sub", "s", "e", "string"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    for b in batches:
+        yield from zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """docs (_doc long, _sub long, text) -> (doc, sub, s, e): byte ranges to remove; ranges of a document may overlap."""
     spark = docs.sparkSession
     seen = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
-    size = seen["size"] or 0
-    n_buckets = max(1, min(size // BUCKET_BYTES, 1 << 20))
-    part = min(1.0, SAMPLE_DOCS / max(1, seen["n"]))
-    draw = F.pmod(F.xxhash64("_doc", "_sub", F.lit(1)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1
-    keys = docs.where(draw).select("_doc", "_sub", "text").mapInArrow(_sampled_keys, "key binary").toArrow().column("key").to_pylist()
-    keys.sort()
-    picked = [keys[len(keys) * i // n_buckets] for i in range(1, n_buckets)] if keys else []
-    splitters = spark.sparkContext.broadcast(np.array(sorted(set(picked)), f"S{KEY}"))
-    limits = sorted(set(picked))
+    size, parallel = seen["size"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = int(BUCKET_BYTES * max(1.0, size / GROWS) ** 0.5)
+    n_buckets = max(1, size // each, min(parallel, size // CHUNK))  # small tables use all tasks too
+    fine = splitters_of(docs, seen["n"], size, n_buckets)
+    step = len(fine) // FANOUT + 1  # buckets of a group
+    splitters, groups = spark.sparkContext.broadcast(fine), spark.sparkContext.broadcast(fine[step - 1 :: step])
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Combiner(splitters.value)
-        for group in _inputs(batches):
-            held.add(*group)
+        held = _Combiner(groups.value)
+        for some in _inputs(batches):
+            held.add(*some)
             if held.size >= BATCH:
                 yield from held.emit()
         yield from held.emit()
 
-    ends = spark.sparkContext.broadcast(limits)
+    def redealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, some in groupby(_blocks(batches), lambda x: x[0]):
+            if group < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.int64(), pa.binary()))], names=["bucket", "block"])
+                continue
+            held = _Combiner(splitters.value)
+            for _, block in some:
+                held.add_block(*_unpack(block))
+                if held.size >= BATCH:
+                    yield from held.emit()
+            yield from held.emit()
 
     def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finished(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            parts = [_unpack(b) for b in blobs]
+        limits = splitters.value
+        for bucket, some in groupby(_blocks(batches), lambda x: x[0]):
+            parts = [_unpack(b) for _, b in some]
             if bucket < 0:
                 for doc, sub, s, _, _, data in parts:
                     yield _batch([(doc, sub, s, np.frombuffer(data, "<i8"))])
-                return
+                continue
             cols = [np.concatenate([p[i] for p in parts]) for i in range(5)]
-            lim = ends.value
-            ranges, across = Bucket(*cols, b"".join(p[5] for p in parts)).removed(lim[bucket - 1] if bucket else None, lim[bucket] if bucket < len(lim) else None)
-            yield _batch(ranges)
+            data = b"".join(p[5] for p in parts)
+            del parts
+            ranges, across = Bucket(*cols, data).removed(limits[bucket - 1] if bucket else None, limits[bucket] if bucket < len(limits) else None)
+            yield _batch([_union(*(np.concatenate([np.asarray(r[i], np.int64) for r in ranges]) for i in range(4)))])
             if across:
                 yield _batch(across)
 
-        now, held = None, []
-        for b in batches:
-            for bucket, block in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield from finished(now, held)
-                    held = []
-                now = bucket
-                held.append(block)
-        if held:
-            yield from finished(now, held)
-
     blocks = docs.select("_doc", "_sub", "text").mapInArrow(emitted, "bucket long, block binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets)
-    dealt = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    tasks = max(parallel, len(fine) + 1)
+    if step > 1:
+        # a group's blocks go to as many tasks as its share asks for
+        spread = F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.col("bucket") * step + F.pmod(F.xxhash64("block"), F.lit(step)))
+        blocks = blocks.repartitionById(tasks, F.pmod(spread, F.lit(tasks)).cast("int")).sortWithinPartitions("bucket").mapInArrow(redealt, "bucket long, block binary")
+    dealt = blocks.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
     local = staged(dealt.mapInArrow(sorted_buckets, _OUT))
-    across = local.where("h1 is not null")
-    first = across.groupBy("h1", "h2").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = across.join(first, ["h1", "h2"]).where(F.struct("doc", "s") > F.col("f"))
-    return local.where("h1 is null").select("doc", "sub", "s", "e").unionByName(later.select("doc", "sub", "s", "e"))
+    across = local.where("string is not null")
+    first = across.groupBy("string").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = across.join(first, "string").where(F.struct("doc", "s") > F.col("f"))
+    return local.where("string is null").select("doc", "sub", "s", "e").unionByName(later.select("doc", "sub", "s", "e"))
 
 
 _RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]

@@ -155,7 +155,7 @@ class Bucket:
         several = np.bincount(kinds, minlength=n)[anchor] > 1
         edge = np.zeros(n, bool)
         for s in (lower, upper):
-            if s is not None:
+            if s is not None and len(s) > LEAD:  # a splitter within records of the same leading bytes
                 a, b = (int.from_bytes(s[i : i + 8].ljust(8, b"\0"), "big") for i in (0, 8))
                 edge |= (self.word[lead] == a) & (self.word[lead + 8] == b)
         open_ = np.flatnonzero(keep & (several | edge))
@@ -361,11 +361,16 @@ def _sampled_keys(stride: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _every(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first key, and those at which the count so far passes a multiple of step."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
+        total = 0
         for b in batches:
-            yield b.take(pa.array(range(-at % step, b.num_rows, step), pa.int64()))
-            at += b.num_rows
+            n = b.column("n").to_numpy()
+            ends = total + np.cumsum(n)
+            pick = ends // step > (ends - n) // step
+            pick[:1] |= total == 0
+            yield b.select(["key"]).take(pa.array(np.flatnonzero(pick)))
+            total = int(ends[-1]) if len(ends) else total
 
     return run
 
@@ -378,9 +383,11 @@ def splitters_of(docs: DataFrame, n_docs: int, size: int, n_buckets: int) -> np.
     draw = F.pmod(F.xxhash64("_doc", "_sub", F.lit(1)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1
     keys = staged(docs.where(draw).select("_doc", "_sub", "text").mapInArrow(_sampled_keys(stride), "key binary"))
     total = keys.count()
-    ranged = keys.repartitionByRange(max(1, total // 500_000), "key").sortWithinPartitions("key")
-    picked = ranged.mapInArrow(_every(max(1, total // n_buckets)), "key binary").toArrow().column("key").to_pylist()
-    return np.array(sorted(set(picked))[1:], f"S{KEY}")  # the smallest key has none before it
+    ranged = keys.groupBy("key").agg(F.count("*").alias("n")).repartitionByRange(max(1, total // 500_000), "key").sortWithinPartitions("key")
+    picked = sorted(set(ranged.mapInArrow(_every(max(1, total // n_buckets)), "key binary").toArrow().column("key").to_pylist()))
+    # leading bytes that are picked once are not cut: the bucket begins with them
+    cuts = [k if before[:LEAD] == k[:LEAD] else k[:LEAD] for before, k in zip(picked[:-1], picked[1:], strict=True)]
+    return np.array(sorted(set(cuts)), f"S{KEY}")
 
 
 _OUT = "doc long, sub long, s long, e long, string binary"

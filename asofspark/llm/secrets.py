@@ -1,14 +1,16 @@
 """Secret scans, in DataFrame functions only: a random forest removes false positives among candidates.
 
 Candidates are long tokens with letters and digits. The forest sees a candidate's length, its character transitions,
-how much of it dictionary words cover, whether it is part of a path, and the neighbouring words. It is fitted with
-Spark ML on labelled findings and then written out as one column expression, so that scoring, and masking within the
-text, need no shuffle and no Python.
+how much of it dictionary words cover, whether it is part of a path, and the neighbouring words. The dictionary holds the
+most frequent words of all documents beside a list of technical ones. The forest is fitted with Spark ML on labelled
+findings and then written out as one column expression, so that scoring, and masking within the text, need no shuffle
+and no Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -22,8 +24,9 @@ MASK = "[SECRET]"
 SECRET_AT = 0.5
 FINDINGS = 6000  # labelled findings that are derived where none are given
 CONTEXT = 60  # characters of the gap on each side that hold the neighbouring words
+DICTIONARY = 2000  # most frequent words of the documents that make a token, or its neighbourhood, readable
 
-# Words that make a token readable.
+# technical words that make a token readable, whatever the documents
 WORDS = (
     "access account admin agent alpha android api app archive asset auth base beta bin block blob body book bot branch "
     "build bundle byte cache cert channel chart check class client cloud code color commit common config content "
@@ -54,14 +57,34 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(F.length(part).cast("double"), F.length(whole).cast("double")), F.lit(0.0))
 
 
-def features(value: Column, before: Column, after: Column) -> list[Column]:
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The `size` most frequent words of 4 to 20 letters (a to z, lower-cased) in all texts of docs, ties by the word."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w").between(4, 20))
+    counted = words.groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def _known(text: Column, words: Sequence[str]) -> Column:
+    """The words of a text (runs of letters, also in camel case) that are in the dictionary."""
+    parts = F.split(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
+    return F.filter(parts, lambda p: (F.length(p) >= 4) & p.isin(list(words)))
+
+
+def features(value: Column, before: Column, after: Column, words: Sequence[str] = ()) -> list[Column]:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "#"), "[a-z]", "a"), "[A-Z]", "A"), "[^aA#]", "-")
     runs = F.regexp_replace(kinds, r"(.)\1+", "$1")
     near, low = F.lower(F.substring_index(F.right(before, F.lit(CONTEXT)), "\n", -1)), F.lower(value)
     last_words = F.regexp_extract(near, r"(\S*\s*\S*\s*\S*)$", 1)
     vowels = F.regexp_replace(F.regexp_replace(low, "[aeiouy]", "v"), "[bcdfghjklmnpqrstvwxz]+", "c")
     one = lambda c: c.cast("int").cast("double")
-    words = "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
+    technical = "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
+    near_after = F.regexp_extract(F.substring_index(F.left(F.coalesce(after, F.lit("")), F.lit(CONTEXT)), "\n", 1), r"^\W*(\S*\s*\S*)", 1)
+    around = F.concat_ws(" ", last_words, near_after)
+    if words:
+        covered = F.aggregate(_known(value, words), F.lit(0), lambda n, w: n + F.length(w)) / F.greatest(F.length(value), F.lit(1)).cast("double")
+        neighbours = F.size(_known(around, words)) / F.greatest(F.size(F.split(F.trim(around), r"\s+")), F.lit(1)).cast("double")
+    else:
+        covered = neighbours = F.lit(0.0)
     return [
         F.least(F.length(value), F.lit(256)).cast("double"),
         _share(F.substring(runs, 2, 1 << 30), value),
@@ -72,7 +95,7 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         _share(F.regexp_replace(value, "[A-Za-z0-9]", ""), value),
         F.size(F.array_distinct(F.split(low, ""))).cast("double") / F.sqrt(F.greatest(F.length(value), F.lit(1)).cast("double")),
         F.size(F.regexp_extract_all(vowels, F.lit("cv"), F.lit(0))) / F.greatest(F.length(value), F.lit(1)).cast("double"),
-        F.lit(1.0) - _share(F.regexp_replace(low, f"{words}", ""), value),
+        F.lit(1.0) - _share(F.regexp_replace(low, technical, ""), value),
         one(value.rlike("^[0-9a-fA-F]+$")),
         one(value.rlike("^(?i:akia|asia|ghp_|gho_|github_pat_|sk_live_|sk-|xox[bp]-|glpat-|eyj|aiza)")),
         one(value.rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
@@ -83,14 +106,17 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         one(last_words.rlike(ASKED)),
         one(last_words.rlike(OTHERWISE)),
         one(last_words.rlike(r"://\S*$")),
+        covered,
+        neighbours,
     ]
 
 
-FEATURES = 20
+FEATURES = 22
 
 
-def derived_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 5) -> DataFrame:
-    """(text, label): labelled findings in the forms that scanners meet, drawn by hash from fixed templates.
+def derived_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 5, words: Sequence[str] = ()) -> DataFrame:
+    """(text, label): labelled findings in the forms that scanners meet, drawn by hash from fixed templates, and from
+    the first hundred of words (a dictionary), where there are any.
 
     Positive: random hexadecimal, base64 and vendor-prefixed values, most of them assigned to a telling name.
     Negative: digests, commit ids, UUIDs, paths, identifiers, placeholders, dated names, embedded images."""
@@ -103,6 +129,8 @@ def derived_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 5) -> D
         word = lambda k: pick(k, WORDS)
         syll = lambda k: F.concat(*[pick(f"{k}{i}", ["th", "an", "er", "tion", "re", "ou", "le", "que", "ar", "os", "en", "ung", "sch", "ment"]) for i in range(3)])
         number = draw("n", 90000) + 10000
+        some = list(words[:100])
+        known = lambda k: pick(k, some)
         name = pick("nm", ["token", "secret", "api_key", "password", "access_key", "auth", "client_secret", "API key", "private key", "bearer"])
         sign, quote = pick("sg", [" = ", "=", ": ", ":"]), pick("qt", ['"', "'", "", '"'])
         assigned = F.concat(syll("w"), F.lit(" "), name, sign, quote)
@@ -126,6 +154,12 @@ def derived_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 5) -> D
             (F.concat(b64("v"), alnum("v2"), alnum("v3")), F.lit("img src data:image/png;base64,")),
             (F.concat(word("a"), F.lit("-"), word("b"), F.lit("-"), word("c"), F.lit("-"), number.cast("string")), F.lit("https://www.example.com/")),
         ]
+        if some:
+            bare = F.when(draw("kb", 2) == 0, bare).otherwise(F.concat(known("d1"), F.lit(" "), known("d2"), F.lit(" ")))
+            plain += [
+                (F.concat(known("e1"), F.lit("-"), known("e2"), F.lit("-"), known("e3"), F.lit("-"), number.cast("string")), bare),
+                (F.concat(known("e1"), F.initcap(known("e2")), F.initcap(known("e3")), F.initcap(known("e4")), number.cast("string")), F.when(draw("bb", 3) == 0, assigned).otherwise(bare)),
+            ]
         kinds = [(v, c, 1.0) for v, c in secret] + [(v, c, 0.0) for v, c in plain]
         kind = i % len(kinds)
         choose = lambda i: F.coalesce(*[F.when(kind == k, x[i] if i < 2 else F.lit(x[2])) for k, x in enumerate(kinds)])
@@ -136,7 +170,25 @@ def derived_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 5) -> D
     return spark.range(0, n, 1, 1).select(F.explode(F.transform(F.array("id"), drawn)).alias("f")).select("f.*")
 
 
-def forest(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11) -> Callable[[list[Column]], Column]:
+@dataclass
+class Forest:
+    """A fitted forest: called with features it gives the score column. words is the dictionary its features need."""
+
+    score: Callable[[list[Column]], Column]
+    words: Sequence[str] = ()
+
+    def __call__(self, f: list[Column]) -> Column:
+        return self.score(f)
+
+
+def trained(spark: SparkSession, docs: DataFrame, findings: DataFrame | None = None) -> Forest:
+    """A forest for docs: its dictionary is that of docs, its findings are those given (text with one candidate, label 0
+    or 1) or, without any, derived ones."""
+    words = dictionary(docs)
+    return forest(derived_findings(spark, words=words) if findings is None else findings, words=words)
+
+
+def forest(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11, words: Sequence[str] = ()) -> Forest:
     """A function from features to a score column, fitted on findings (text with one candidate, label 0 or 1).
 
     Findings are a bounded table (see derived_findings); those without a candidate or label are not used. Without
@@ -144,12 +196,12 @@ def forest(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11)
     values, gaps = split_at_candidates(F.col("text"))
     rows = findings.where(F.col("text").rlike(CANDIDATE) & F.col("label").isin(0, 1)).select(F.col("label").cast("double").alias("label"), values.alias("v"), gaps.alias("g"))
     one = F.array(F.struct(F.col("v")[0].alias("value"), F.col("g")[0].alias("before"), F.col("g")[1].alias("after")))
-    x = F.transform(one, lambda c: F.array(*features(c["value"], c["before"], c["after"])))[0]
+    x = F.transform(one, lambda c: F.array(*features(c["value"], c["before"], c["after"], words)))[0]
     rows = staged(rows.select("label", x.alias("x"))).select("label", array_to_vector("x").alias("features"))
     seen = [r["label"] for r in rows.select("label").distinct().collect()]
     if len(seen) < 2:
         only = float(seen[0]) if seen else 1.0
-        return lambda f: F.lit(only)
+        return Forest(lambda f: F.lit(only), words)
     ordered = rows.coalesce(1).sortWithinPartitions("label", F.xxhash64(F.col("features").cast("string")))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ordered)
 
@@ -168,7 +220,7 @@ def forest(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11)
             total = total + written(r, f)
         return F.round(total / len(roots), 6)
 
-    return scored
+    return Forest(scored, words)
 
 
 def _candidates(text: Column, scored: Callable[[list[Column]], Column]) -> Column:
@@ -177,7 +229,8 @@ def _candidates(text: Column, scored: Callable[[list[Column]], Column]) -> Colum
     after = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
     zipped = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("before"), after.alias("after"))
     # features are bound to a one-element array, so that each is computed once though the trees use it often
-    one = lambda x: F.transform(F.array(F.array(*features(x["value"], x["before"], x["after"]))), lambda f: scored([f[i] for i in range(FEATURES)]))[0]
+    words = getattr(scored, "words", ())
+    one = lambda x: F.transform(F.array(F.array(*features(x["value"], x["before"], x["after"], words))), lambda f: scored([f[i] for i in range(FEATURES)]))[0]
     return F.transform(zipped, lambda x: F.struct(x["value"].alias("value"), one(x).alias("score"), x["before"].alias("before")))
 
 
@@ -222,4 +275,5 @@ def masked(docs: DataFrame, scored: Callable[[list[Column]], Column]) -> DataFra
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest(derived_findings(spark)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan(docs, trained(spark, docs))

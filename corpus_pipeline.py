@@ -23,7 +23,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.masked(docs, secrets.forest(secrets.derived_findings(spark)))
+    return secrets.masked(docs, secrets.trained(spark, docs.select("text")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

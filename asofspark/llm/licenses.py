@@ -131,20 +131,20 @@ def _compressors():
     return plain, out
 
 
-def wording(template: list[str], block: list[str]) -> tuple[float, list[str]]:
-    """Share of the template's words found in order in the block, and the words that are missing (-) or put in (+)
-    between the first and the last that match."""
+def wording(template: list[str], block: list[str]) -> tuple[float, list[str], int]:
+    """Share of the template's words found in order in the block, the words that are missing (-) or put in (+) between
+    the first and the last that match, and the place of the first in the block."""
     ops = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
     same = [o for o in ops if o[0] == "equal"]
     if not same:
-        return 0.0, [f"-{w}" for w in template]
+        return 0.0, [f"-{w}" for w in template], 0
     lo, hi = same[0][3], same[-1][4]
     diff = []
     for kind, a, b, c, d in ops:
         if kind != "equal":
             diff += [f"-{w}" for w in template[a:b]]
             diff += [f"+{w}" for w in block[max(c, lo) : min(d, hi)]]
-    return sum(b - a for _, a, b, _, _ in same) / len(template), diff
+    return sum(b - a for _, a, b, _, _ in same) / len(template), diff, lo
 
 
 def separates(side: list[str], differs: list[bool]) -> bool:
@@ -183,10 +183,12 @@ _ENDS = re.compile(r"[.!?;]\s|\n\s*\n")
 
 
 def turned(text: str, start: int) -> bool:
-    """Whether a negation stands before the stretch that begins at start, in its sentence, up to five words back, or
-    `version` of another license goes on (as in `1 of the`)."""
+    """Whether a negation stands before the stretch that begins at start, in its sentence, up to five words back. A line that
+    begins with a capital begins a sentence."""
     lead = text[max(0, start - 160) : start]
     cut = [m.end() for m in _ENDS.finditer(lead)]
+    if text[start : start + 1].isupper() and not _WORD.search(lead[lead.rfind("\n") + 1 :].lower()):
+        return False
     return any(w in _NEGATIONS for w in words(lead[cut[-1] if cut else 0 :].replace("'", " "))[-5:])
 
 
@@ -204,14 +206,14 @@ def judge(block: str) -> tuple[str | None, float, float, list[str], bool]:
     compared word by word (or the first, if none does); the one with the greatest share, then the fewest differences,
     wins; of equal ones that with the greater reduction, then the one listed first."""
     w, best = words(block), None
-    held = _compressors()[1]
+    places, held = [m.start() for m in _WORD.finditer(block.lower())], _compressors()[1]
     for k, (gain, i) in enumerate(ranked(w)):
         if gain <= 0 and k:
             break
         name, template, _ = held[i]
-        share, diff = wording(template, w)
+        share, diff, lo = wording(template, w)
         # a longer template that is there in full says more than a shorter one
-        ok = share >= WORDING and exact(template, w, diff)
+        ok = share >= WORDING and exact(template, w, diff) and not turned(block, places[lo])
         key = (ok, share * len(template) - len(diff) if ok else share, gain)
         if best is None or key > best[0]:
             best = (key, (name, gain, share, diff, ok))
@@ -338,9 +340,10 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             held = licenses_in(text)
             found = [(*x, True) for x in held]
-            found += [(s, e, *judge(text[s:e])) for s, e in blocks(text, [x[:2] for x in held])]
+            # what no template is confirmed in has no license; the nearest template shows how far off it is
+            found += [(s, e, None, *judge(text[s:e])[1:4], False) for s, e in blocks(text, [x[:2] for x in held])]
             for s, e, name, gain, share, diff, ok in sorted(found, key=lambda x: x[0]):
-                rows.append((doc_id, s, e - s, name if ok else None, round(gain, 6), round(share, 6), " ".join(diff), ok))
+                rows.append((doc_id, s, e - s, name, round(gain, 6), round(share, 6), " ".join(diff), ok))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(_KINDS)], names=[n for n, _ in _KINDS])
 
 

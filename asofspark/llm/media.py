@@ -375,4 +375,4 @@ def clip_rows(media: DataFrame) -> DataFrame:
 
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = describe(store(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").alias("n_clips"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").alias("n_clips"), "clips")

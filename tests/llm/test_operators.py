@@ -17,6 +17,8 @@ SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 5000}" for i in range(60_000))
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ("score", "predicted", "size", "target", "taken", "component_id", "fingerprint", "fp", "key", "s", "e", "a", "b", "held_out", "kept", "label", "media", "html")
+CLASH += ("_score", "_n_hit", "_n_words", "_items", "_key", "_gone", "_c", "_text", "_lang", "_digest", "_hash", "_nth", "_part", "_row", "_mix", "_source", "_id", "_doc", "_sub", "_ranges", "_n", "_rank", "_w", "_cap")
+CLASH += ("kept_0", "kept_1", "copy", "gram", "bucket", "block", "row", "part", "mine", "spans", "ids", "item_id", "quality", "n", "i", "h", "half", "other", "fps", "node", "component", "first_id", "w", "_Score_2", "SIZE_2")
 ODD = [
     (1, None, None, None, None), (2, "", "en", "s1", 0), (3, "   \n\t ", "en", "s1", 6), (4, "one", None, "s1", 3), (None, "null id text with some words in it", "en", "s2", None),
     (None, "null id text with some words in it", "en", "s2", None), (5, LONG, "en", None, None), (6, LONG, "en", "s3", None), (7, "123 456 !!", "de", "s3", 10),
@@ -95,6 +97,26 @@ def test_suffix_dedup_is_brute_force(spark, monkeypatch):
     assert [tuple(x) for x in got] == brute_repeats([tuple(x) for x in docs.collect()])
 
 
+def test_suffix_dedup_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(substrings, "FANOUT", 5)
+    monkeypatch.setattr(substrings, "CHUNK", 700)  # texts are cut into pieces
+    r = random.Random(9)
+    base = ["".join(r.choices("abcde ", k=900)) for _ in range(3)] + ["xy" * 450, "z" * 1500, "".join(r.choices("ab", k=900))]
+    rows = [(i, "".join((q := r.choice(base))[(a := r.randint(0, 500)) : a + r.randint(90, 900)] for _ in range(r.randint(0, 4)))) for i in range(90)]
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), False).drop("kept").orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == brute_repeats(rows)
+
+
+def test_periodic_texts_stay_small():
+    for unit, size in (("q", 20 << 20), ("abc", 3 << 20)):
+        held = substrings._Combiner(np.array([], "S24"))
+        batch = __import__("pyarrow").RecordBatch.from_pydict({"_doc": [1, 2], "_sub": [0, 0], "text": [unit * (size // len(unit)), None]})
+        for some in substrings._inputs(iter([batch])):
+            held.add(*some)
+        assert sum(len(p[0]) for p in held.parts) <= len(unit) * 2 * (size // substrings.CHUNK + 1) and sum(len(g[0]) for g in held.gone) <= 2 * (size // substrings.CHUNK + 1)
+
+
 def test_multikey_ranks():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (200, 4)).astype(np.uint64)
@@ -110,6 +132,56 @@ def test_secret_forest_holds_out(spark):
     assert sum((r["s"] >= 0.5) == (r["label"] == 1) for r in both) / len(both) > 0.97
 
 
+def brute_features(value, before, after, known=()):
+    import re
+
+    kinds = re.sub("[^aA#]", "-", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "#", value))))
+    runs, low, n = re.sub(r"(.)\1+", r"\1", kinds), value.lower(), max(1, len(value))
+    near = before[-secrets.CONTEXT :].rpartition("\n")[2].lower()
+    last = re.search(r"(\S*\s*\S*\s*\S*)$", near)[1]
+    vowels = re.sub("[bcdfghjklmnpqrstvwxz]+", "c", re.sub("[aeiouy]", "v", low))
+    words = "|".join(sorted(secrets.WORDS, key=lambda w: (-len(w), w)))
+    parts = lambda t: [p for p in re.split("[^a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", t).lower()) if len(p) >= 4 and p in known]
+    following = re.match(r"\W*(\S*\s*\S*)", (after or "")[: secrets.CONTEXT].partition("\n")[0])
+    around = f"{last} {following[1] if following else ''}"
+    yes = lambda pattern, t: float(bool(re.search(pattern, t)))
+    return [
+        min(len(value), 256), (len(runs) - 1) / n, len(re.findall("[aA]#", runs)), len(re.findall("[a-z][A-Z]|[A-Z][a-z]", value)) / n,
+        sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n, sum(not c.isalnum() for c in value) / n, len(set(low)) / n**0.5,
+        len(re.findall("cv", vowels)) / n, 1 - len(re.sub(words, "", low)) / n, yes("^[0-9a-fA-F]+$", value),
+        yes("^(?i:akia|asia|ghp_|gho_|github_pat_|sk_live_|sk-|xox[bp]-|glpat-|eyj|aiza)", value), yes("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", value),
+        value.count("/"), float(bool(re.search(r"[/\\.]$", before) or re.search(r"^[/\\.]\w", after or ""))), yes(r"[\"'`]$", before), yes(r"[=:]\s*[\"'`]?$", before),
+        yes(secrets.ASKED, last), yes(secrets.OTHERWISE, last), yes(r"://\S*$", last),
+        sum(map(len, parts(value))) / n if known else 0.0, len(parts(around)) / max(1, len(around.split())) if known else 0.0,
+    ]
+
+
+def test_secret_scan_is_brute_force(spark):
+    import re
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    known = ["that", "with", "this", "config", "thon"]
+    findings = secrets.derived_findings(spark, 400, words=known).select(F.lit(0).alias("doc_id"), "text")
+    some = docs.where(F.col("text").rlike(secrets.CANDIDATE)).unionByName(findings)
+    values, gaps = secrets.split_at_candidates(F.col("text"))
+    rows = some.select("text", F.posexplode(values).alias("i", "v"), gaps.alias("g")).select("text", "i", "v", F.col("g")[F.col("i")].alias("b"), F.col("g")[F.col("i") + 1].alias("a"))
+    got = rows.select("text", "i", F.array(*secrets.features(F.col("v"), F.col("b"), F.col("a"), known)).alias("x")).collect()
+    assert len(got) > 300
+    for r in got:
+        found = list(re.finditer(secrets.CANDIDATE, r["text"]))
+        m = found[r["i"]]
+        before = r["text"][found[r["i"] - 1].end() if r["i"] else 0 : m.start()]
+        after = r["text"][m.end() : found[r["i"] + 1].start() if r["i"] + 1 < len(found) else len(r["text"])]
+        assert r["x"] == pytest.approx(brute_features(m[0], before, after, known)), m[0]
+    want = sorted((d["doc_id"], k, m.start(), len(m[0]), hashlib.sha256(m[0].encode()).hexdigest()) for d in docs.collect() for k, m in enumerate(re.finditer(secrets.CANDIDATE, d["text"] or "")))
+    assert sorted(tuple(r)[:5] for r in QUERIES["op2_secret_scan"](spark, "/root/testdata/sf0.01").collect()) == want
+
+
+def test_dictionary_counts_all_documents(spark):
+    rows = [("Alpha beta-Alpha x1gamma",), ("gamma GAMMA abc",), (None,), ("",)]
+    assert secrets.dictionary(spark.createDataFrame(rows, "text string"), 2) == ["gamma", "alpha"]
+
+
 def test_secrets_are_masked_in_place(spark):
     text = 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff end'
     rows = [(1, text, "en", "s", len(text)), (2, None, "en", "s", None), (3, "plain", "en", "s", 5)]
@@ -141,6 +213,68 @@ def test_quality_holds_out(spark):
     assert sum(x["predicted"] == x["quality"] for x in r) / len(r) > 0.95
 
 
+def test_quality_is_one_tree_after_another(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    trees = quality.train(docs, table(spark, SF, "labels"))
+    got = {r["doc_id"]: r for r in QUERIES["op3_quality_trees"](spark, SF).collect()}
+    for d in docs.collect():
+        x, total = quality.statistics((d["text"] or "").encode()), trees.base
+        for f, t, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if x[f[at]] > t[at] else 1)
+            total += leaf[at - len(f)]
+        s = 1 / (1 + np.exp(-total))
+        assert got[d["doc_id"]]["score"] == pytest.approx(s) and got[d["doc_id"]]["predicted"] == (s >= 0.3)
+
+
+def test_licenses_are_told_apart(spark):
+    notice = licenses._NOTICE.format
+    cases = [
+        (notice("library", "Lesser General Public License", "2.1"), ["LGPL-2.1"]), (notice("library", "Lesser General Public License", "3"), ["LGPL-3.0"]),
+        (notice("library", "Library General Public License", "2"), ["LGPL-2.0"]), (notice("program", "Affero General Public License", "3"), ["AGPL-3.0"]),
+        (notice("program", "General Public License", "2"), ["GPL-2.0"]), (notice("program", "General Public License", "3"), ["GPL-3.0"]),
+        (notice("program", "General Public License", "1"), ["GPL-1.0"]), (notice("program", "General Public License", "4"), []),
+        ("This work is licensed under the GNU General Public License, version 1.", ["GPL-1.0"]), ("This work is licensed under the GNU General Public License, version 9.", []),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY 3.0.", []), ("Licensed under CC BY-NC-SA 4.0.", []),
+        ("This work is licensed under a Creative Commons Attribution 3.0 International License.", []),
+        ("This file is not released under the MIT License.", []), ("It isn't licensed under the Apache License, Version 2.0.", []),
+        ("Licensed under the Apache License, Version 1.1.", []), ("Not this. Released under the MIT License.", ["MIT"]), ("para no***\nReleased under the MIT License.", ["MIT"]), ("This is not\nreleased under the MIT License.", []),
+        ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        (licenses._BSD.replace("1. ", "* ").replace("2. ", "* "), ["BSD-2-Clause"]), (licenses.TEMPLATES["BSD-4-Clause"][0].replace("organization", "university"), ["BSD-4-Clause"]),
+    ]
+    texts = [t for t, _ in cases] + [f"Some words before.\n\n{t if chr(10) in t else textwrap.fill(t, 60)}\n\nand after" for t, _ in cases]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("confirmed").orderBy("start").collect()
+    for i, (_, want) in enumerate(cases * 2):
+        assert [r["license"] for r in got if r["doc_id"] == i] == want, texts[i]
+
+
+def test_license_scan_is_brute_force(spark):
+    """Short templates, word for word, at every place of every text; of those that overlap the longest."""
+    sf = "/root/testdata/sf0.01"
+    short = {tuple(licenses.words(t)): n for n, ts in licenses.TEMPLATES.items() for t in ts if len(licenses.words(t)) < 10}
+    want = []
+    for d in table(spark, sf, "documents").collect():
+        w, taken = licenses.words(d["text"] or ""), set()
+        for n in range(9, 0, -1):
+            for p in range(len(w) - n + 1):
+                if tuple(w[p : p + n]) in short and not taken & set(range(p, p + n)):
+                    taken |= set(range(p, p + n))
+                    want.append((d["doc_id"], short[tuple(w[p : p + n])]))
+    got = [(r["doc_id"], r["license"]) for r in QUERIES["op4_license_scan"](spark, sf).where("confirmed").collect()]
+    longer = [x for x in got if x not in want]
+    assert len(want) > 5 and sorted(x for x in got if x not in longer) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0"])
+def test_full_license_texts(name):
+    path = f"/usr/share/common-licenses/{name}"
+    if not __import__("os").path.exists(path):
+        pytest.skip("no full text on this machine")
+    found = {x[2] for x in licenses.licenses_in(open(path).read())}
+    assert found == {name if "." in name else f"{name}.0"}
+
+
 def test_licenses():
     for name, texts in licenses.TEMPLATES.items():
         for t in texts:
@@ -235,6 +369,27 @@ def test_media_reads_full_blocks():
         assert np.abs(pixels.reshape(8, 8) - np.array(want)).max() <= 0.51
 
 
+def test_media_columns_are_brute_force(spark):
+    got = {r["doc_id"]: r for r in QUERIES["op5_avi_media"](spark, SF).collect()}
+    by_text = {}
+    for d in table(spark, SF, "documents").collect():
+        raw, r = (d["text"] or "").encode(), got[d["doc_id"]]
+        full = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        stored = media.write([full])[0]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        cuts, last = [0], len(full) // 192
+        hist = [np.bincount(np.frombuffer(full[k * 192 : k * 192 + 192], np.uint8) >> 4, minlength=16) / 192 for k in range(last)]
+        diff = [np.abs(hist[k + 1] - hist[k]).sum() / 2 for k in range(last - 1)]
+        for k, x in enumerate(diff):
+            before = diff[max(0, k - 8) : k] or [0.0]
+            if x >= 0.3 and x > np.mean(before) + 3 * np.std(before) + 1e-12:
+                cuts.append(k + 1)
+        assert [c["first_frame"] for c in r["clips"]] == cuts and r["n_clips"] == len(cuts)
+        assert [(c["start_s"], c["end_s"]) for c in r["clips"]] == [(a / 25, z / 25) for a, z in zip(cuts, [*cuts[1:], last], strict=True)]
+        assert by_text.setdefault(raw, r["feature"]) == r["feature"]
+
+
 def test_shots_and_clips(spark):
     dark, light = bytes(range(0, 60)) * 32, bytes(range(190, 250)) * 32
     assert media.shots(np.frombuffer(dark * 2 + light * 2, np.uint8).reshape(-1, 192, 1)).tolist() == [0, 20]
@@ -256,6 +411,89 @@ def test_html_on_unseen_layouts(spark):
     assert got[0]["_text"] == "A&B\none two three\nfour five"
 
 
+def test_html_query_is_brute_force(spark):
+    """The given pages name their articles, so a plain reader of that element knows the text."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.inside = [[]], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.blocks[-1].append(" ")
+            elif tag not in ("b", "a", "i"):
+                self.blocks.append([])
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i", "br"):
+                self.blocks.append([])
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    sf, right, n = "/root/testdata/sf0.01", 0, 0
+    got = {r["page_id"]: r for r in QUERIES["op6_html_text"](spark, sf).collect()}
+    for p in table(spark, sf, "pages").collect():
+        reader = Reader()
+        reader.feed(p["html"] or "")
+        reader.close()
+        want = "\n".join(t for b in reader.blocks if (t := " ".join("".join(b).split())))
+        n += 1
+        right += got[p["page_id"]]["text"] == want
+        assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
+    assert right >= 0.99 * n
+
+
+def _extracted(page, trees):
+    nodes = html_text._nodes(html_text.parse(page))
+    return html_text.decode(nodes, trees.score(html_text.features(nodes))).split("\n"), nodes
+
+
+def test_html_layouts_without_names(spark):
+    trees = html_text.train(table(spark, SF, "pages"))
+    said = "The council met on Tuesday, and after two hours of talks it agreed to pay for the bridge. Nobody objected."
+    menu = '<div class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Contact</a></li></ul></div>'
+    comments = '<div class="comments"><h3>Comments</h3><div class="comment"><p>Anna</p><p>I liked this article very much, thanks.</p></div><div class="comment"><p>Bob</p><p>Not me. It is wrong!</p></div></div>'
+    for n in (3, 30, 198, 202, 500):
+        want = [f"Paragraph {i}. {said}" for i in range(n)]
+        text = "".join(f'<p data-y="{"top" if i % 2 else 2.5}">{t}</p>' for i, t in enumerate(want))
+        layouts = [
+            "{}", "<div>{}</div>", '<div class="wrapper">{}</div>', "<section>{}</section>", f"<table><tr><td>{menu}</td><td>{{}}</td></tr></table>", "<article>{}</article>",
+            "<div><div><div>{}</div></div></div>", f"<article>{{}}{comments}</article>", f"<div>{{}}{comments}</div>",
+        ]
+        for layout in layouts:
+            got, _ = _extracted(f'<html><body>{menu}{layout.format(text)}<div class="footer">Copyright 2020 Example Corp.</div></body></html>', trees)
+            assert got == want, (n, layout)
+
+
+@pytest.mark.parametrize("held_out", [("table", "section", "article"), ("plain", "nested", "main")])
+def test_html_holds_out_by_layout(held_out):
+    xs, ys = [], []
+    for k in range(600):
+        r = random.Random(k)
+        layout = r.choice(html_text.LAYOUTS)
+        if layout not in held_out:
+            nodes = html_text._nodes(html_text.parse(html_text.made_page(r, layout)))
+            use = html_text.labelled(nodes)
+            xs.append(html_text.features(nodes)[use])
+            ys += [nodes[i].label for i in use]
+    trees = gbt.fit(np.concatenate(xs), np.array(ys, float), trees=60, depth=4)
+    for layout in held_out:
+        recall, precision = [], []
+        for k in range(9000, 9040):
+            got, nodes = _extracted(html_text.made_page(random.Random(k), layout), trees)
+            want = [s[2] for n in nodes if n.label == 1 for s in n.segs]
+            same = sum(min(got.count(t), want.count(t)) for t in set(want))
+            recall.append(same / len(want))
+            precision.append(same / max(1, len(got)))
+        assert np.mean(recall) > 0.9 and np.mean(precision) > 0.9, layout
+
+
 @pytest.mark.parametrize(("page", "want"), [
     ('<nav><svg class="icon"/>menu</nav><article><p>text', "menu|text"), ("<nav><svg/></nav><p>text<p>more<svg><text>no</text></svg>", "text|more"),
     ('<svg a="x>y" b=\'/\' hidden />one', "one"), ("<svg><path d='M0'/></svg>one<svg width=1/>no</svg>two", "onetwo"), ("<svg\n/>one<math/>two", "onetwo"),
@@ -362,6 +600,21 @@ def test_mix_matches_its_plan(spark):
     assert sum(t for _, t in by_source) == pytest.approx(1.5 * sum(v[1] for v in plan.values()))
 
 
+def test_rows_without_an_id_draw_on_their_own(spark):
+    words = "a b c d e f g h i j " * 10
+    rows = [(None, words, s) for s in ("s1", "s2", "s3") for _ in range(200)] + [(7, f"{words}{i % 90}", s) for s in ("s1", "s2", "s3") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    runs = []
+    for _ in range(2):
+        plan = mixing.mix_plan(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).orderBy("target").collect()
+        assert len(plan) == 3 and all(abs(r["taken"] / r["target"] - 1) < 0.1 for r in plan)
+        runs.append(plan)
+    assert runs[0] == runs[1]
+    staged = mixing.staged(docs)
+    mixed = mixing.mix(staged).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("taken")).orderBy("taken").collect()
+    assert [r["taken"] for r in mixed] == sorted(r["taken"] for r in runs[0])
+
+
 def test_water_level(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 10), (None, 50), ("", 40), ("z", 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
@@ -389,6 +642,56 @@ def test_cross_parsing_counts_phrases():
     assert m.predict(["", "12 34", "abra"])[:2] == [(None, 0.0), (None, 0.0)]
 
 
+def test_parse_goes_on_over_blocks():
+    r, letters = random.Random(3), [chr(0x4E00 + i) for i in range(300)]
+    known = {"a": "".join(r.choices("ab", k=3000)), "b": "".join(r.choices("abc", k=2000)), "c": "".join(r.choices(letters, k=3000)), "d": "aaa"}
+    m = langid.Model({k: [v] for k, v in known.items()})
+    texts = ["".join(r.choices("abc", k=k)) for k in (1, 191, 192, 193, 400, 5000)] + ["a" * 500, "a" * 3001, "ab" * 1500, "abc" * 700, "q" * 700, "".join(r.choices(known["c"], k=900)), known["a"][100:1500], known["c"][5:2000]]
+    got = m.phrases(texts)
+    for k, text in enumerate(known.values()):
+        for t, n in zip(texts, got[:, k], strict=True):
+            phrases, i = 0, 0
+            while i < len(t):
+                j = i + 1
+                while j < len(t) and t[i : j + 1] in text:
+                    j += 1
+                phrases, i = phrases + 1, j
+            assert n == phrases
+
+
+def test_scripts_of_many_letters(spark):
+    r = random.Random(6)
+    scripts = {"x": [chr(0x0980 + i) for i in range(0x80) if chr(0x0980 + i).isalpha()], "y": [chr(0x4E00 + 7 * i) for i in range(70)], "z": [chr(0x4E00 + 7 * i + 1) for i in range(70)]}
+    write = lambda k, n: " ".join("".join(r.choices(scripts[k], k=r.randint(1, 6))) for _ in range(n))
+    rows = [(i, write(k, 40), k) for i, k in enumerate(["x", "y", "z"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs.withColumn("_lang", F.lit("clash")), langid.train(docs)).collect()
+    assert all(g["_lang"] == g["lang"] for g in got)
+
+
+def test_languages_with_less_text_are_not_at_a_loss():
+    r = random.Random(2)
+    words = {k: ["".join(r.choices(c, k=r.randint(2, 7))) for _ in range(400)] for k, c in (("much", "abcdefghij"), ("little", "cdefghijkl"))}
+    write = lambda k, n: " ".join(r.choices(words[k], k=n))
+    m = langid.Model({"much": [write("much", 6000)], "little": [write("little", 600)]})
+    for k in words:
+        assert sum(x[0] == k for x in m.predict([write(k, 30) for _ in range(40)])) >= 38
+
+
+@pytest.mark.parametrize("lang", ["de", "en"])
+def test_equal_languages_go_to_the_first_name(lang):
+    assert langid.Model({"en": ["abc abc"], lang: ["abc abc"]}).predict(["abc"])[0][0] == min("en", lang)
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 30)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 10)  # most hashes pass
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    bench = table(spark, SF, "benchmark").unionByName(spark.createDataFrame([(900, "the"), (901, "of the"), (902, "the of"), (903, "in the and of"), (None, "zzz")], "item_id long, text string"))
+    near, far = (decontaminate.overlaps(docs, bench, n).orderBy("doc_id").collect() for n in (1 << 20, 0))
+    assert near == far and max(len(r["_items"]) for r in near) >= 2
+
+
 def test_decontamination_both_ways(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     extra = spark.createDataFrame([(10**6, "a b c one two d"), (10**6 + 1, None), (10**6 + 2, "ONE, two!")], "doc_id long, text string")

@@ -31,6 +31,14 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_clashing_columns_come_through(spark, odd):  # noqa: F811
+    docs = table(spark, odd, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, odd)
+        assert got.columns == docs.columns
+        assert {r["_c"] for r in got.collect()} == {"clash"}
+
+
 def test_odd_and_empty(spark, odd, empty):  # noqa: F811
     assert corpus_pipeline.run(spark, odd).count() >= 1
     assert corpus_pipeline.run(spark, empty).count() == 0

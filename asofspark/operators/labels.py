@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 def fixed_horizon(picks: DataFrame, grid: DataFrame, bench: DataFrame, horizon: int, cost_pct: float = 0.25) -> DataFrame:
     """Entry at the next session's open, exit at the open `horizon` sessions later, less costs and the benchmark.
 
-    Joins on the session ordinal: one shuffle by instrument serves both price look-ups; the calendar and the benchmark
-    have one row per session. A status is given for every pick; none is dropped.
+    The grid has every session of every instrument, so prices ahead are leads within an instrument: one window and one
+    join; the calendar and the benchmark have one row per session. A status is given for every pick; none is dropped.
     """
     ends = grid.groupBy().agg(F.max("sidx").alias("last_sidx"))
-    prices = grid.select("instrument_id", "sidx", "session", "open")
-    entry = prices.select("instrument_id", (F.col("sidx") - 1).alias("sidx"), F.col("session").alias("entry_session"), F.col("open").alias("entry_open"))
-    leave = prices.select("instrument_id", (F.col("sidx") - 1 - horizon).alias("sidx"), F.col("session").alias("exit_session"), F.col("open").alias("exit_open"))
+    ahead = lambda c, k: F.lead(c, k).over(by_instrument())
+    prices = grid.select(
+        "instrument_id", "sidx", ahead("session", 1).alias("entry_session"), ahead("open", 1).alias("entry_open"),
+        ahead("session", 1 + horizon).alias("exit_session"), ahead("open", 1 + horizon).alias("exit_open"),
+    )
     b_in = bench.select(F.col("session").alias("entry_session"), F.col("bench").alias("bench_in"))
     b_out = bench.select(F.col("session").alias("exit_session"), F.col("bench").alias("bench_out"))
-    joined = picks.join(entry, ["instrument_id", "sidx"], "left").join(leave, ["instrument_id", "sidx"], "left").crossJoin(F.broadcast(ends))
+    joined = picks.join(prices, ["instrument_id", "sidx"], "left").crossJoin(F.broadcast(ends))
     joined = joined.join(b_in, "entry_session", "left").join(b_out, "exit_session", "left")
     ok = (F.col("entry_open") > 0) & (F.col("exit_open") > 0)
     gross = (F.col("exit_open") / F.col("entry_open") - 1) * 100
@@ -56,6 +58,40 @@ def first_touch(picks: DataFrame, grid: DataFrame, hold: int, stop_pct: float, t
     return out.select("instrument_id", "sidx", "entry_open", reason.alias("exit_reason"), at.alias("exit_sidx"), F.round((price / F.col("entry_open") - 1) * 100, 6).alias("gross_pct"))
 
 
+def first_touch_grid(picks: DataFrame, grid: DataFrame, holds: list[int], stops: list[float], rewards: list[float]) -> DataFrame:
+    """first_touch for every cell of hold x stop x reward (target = stop x reward, in percent): a row per pick and cell
+    with hold, stop_pct, rr, exit_reason and gross_pct.
+
+    A pick's path is joined once, up to the longest hold, and reduced to the first touch of each level; the cells are
+    then told from those, so neither joins nor rows of the path grow with their number.
+    """
+    most = max(holds)
+    entry = grid.where("open > 0").select("instrument_id", (F.col("sidx") - 1).alias("sidx"), F.col("open").alias("entry_open"))
+    e = picks.select("instrument_id", "sidx").join(entry, ["instrument_id", "sidx"])
+    path = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most + 1)))).withColumn("at", F.col("sidx") + F.col("k"))
+    bars = grid.select("instrument_id", F.col("sidx").alias("at"), "open", "high", "low")
+    seen = path.join(bars, ["instrument_id", "at"], "left")
+    level = lambda pct: F.col("entry_open") * F.lit(1 + pct / 100)
+    both = F.col("high").isNotNull() & F.col("low").isNotNull()
+    pairs = [(s, r) for s in stops for r in rewards]
+    first = lambda hit, name: F.min(F.when(both & hit, F.col("k"))).alias(name)
+    reduced = seen.groupBy("instrument_id", "sidx", "entry_open").agg(
+        *[first(F.col("low") <= F.col("entry_open") * F.lit(1 - s / 100), f"s{i}") for i, s in enumerate(stops)],
+        *[first(F.col("high") >= level(s * r), f"t{i}") for i, (s, r) in enumerate(pairs)],
+        *[F.max(F.when((F.col("k") == h + 1) & (F.col("open") > 0), F.col("open"))).alias(f"o{i}") for i, h in enumerate(holds)],
+    )
+    cells = []
+    for a, h in enumerate(holds):
+        for b, (s, r) in enumerate(pairs):
+            stop, target, late = F.col(f"s{b // len(rewards)}"), F.col(f"t{b}"), F.col(f"o{a}")
+            stopped = (stop <= h) & (target.isNull() | (stop <= target))
+            hit = target <= h
+            reason = F.when(stopped, "stop").when(hit, "target").when(late.isNotNull(), "time").otherwise("unresolved")
+            price = F.when(stopped, F.col("entry_open") * F.lit(1 - s / 100)).when(hit, level(s * r)).otherwise(late)
+            cells.append(F.struct(F.lit(h).alias("hold"), F.lit(float(s)).alias("stop_pct"), F.lit(float(r)).alias("rr"), reason.alias("exit_reason"), F.round((price / F.col("entry_open") - 1) * 100, 6).alias("gross_pct")))
+    return reduced.select("instrument_id", "sidx", F.inline(F.array(*cells)))
+
+
 def non_overlapping(trades: DataFrame) -> DataFrame:
     """Trades (instrument_id, sidx, exit_sidx or null) that start at or after the exit of the last one taken.
 

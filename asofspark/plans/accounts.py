@@ -70,32 +70,67 @@ def ag_limit_checks(v):
     return rows.select("book", "limit_name", F.when(F.col("x").isNull(), "UNKNOWN").when(F.col("x") > hi, "BLOCK").when(F.col("x") > hi * 0.8, "BINDING").otherwise("PASS").alias("state"))
 
 
-@query("wn_running_cost")
+RUNNING = """ev AS (SELECT instrument_id, sidx, floor(close * 1000000 + 0.5)::BIGINT AS price, CASE WHEN sidx % 3 = 0 THEN -50 ELSE 40 END::BIGINT AS qty, row_number() OVER (PARTITION BY instrument_id ORDER BY sidx) AS i FROM grid_w WHERE close IS NOT NULL),
+ac AS (SELECT *, CASE WHEN sidx % 29 = 0 THEN 2 ELSE 1 END::BIGINT AS split, CASE WHEN sidx % 31 = 0 THEN 500000 ELSE 0 END::BIGINT AS dividend FROM ev),
+st AS (SELECT instrument_id, 0::BIGINT AS i, 0::BIGINT AS held, 0::BIGINT AS cost, 0::BIGINT AS realised FROM (SELECT DISTINCT instrument_id FROM ev)
+  UNION ALL
+  SELECT x.instrument_id, x.i, CASE WHEN qty > 0 THEN h + qty ELSE h - least(-qty, h) END, CASE WHEN qty > 0 THEN (c * h + price * qty + (h + qty) // 2) // (h + qty) ELSE c END, g + CASE WHEN qty > 0 THEN 0 ELSE (price - c) * least(-qty, h) END
+  FROM (SELECT a.instrument_id, a.i, a.price, a.qty, s.held * a.split AS h, (s.cost + a.split - 1) // a.split AS c, s.realised + s.held * a.dividend AS g FROM st s JOIN ac a ON a.instrument_id = s.instrument_id AND a.i = s.i + 1) x)"""
+
+
+@query("wn_running_cost", f"WITH RECURSIVE {RUNNING} SELECT instrument_id, held, (cost / 1000000.0)::DOUBLE AS cost, (realised / 1000000.0)::DOUBLE AS realised FROM st QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY i DESC) = 1")
 def wn_running_cost(v):
-    """Weighted-average cost and realised profit per instrument in event order: an ordered fold in decimals. A fold's
-    state is one struct; the events of an instrument are those of its sessions, one bar each."""
-    step_in = F.array_sort(F.collect_list(F.struct("session", F.when((F.col("sidx") % 3) == 0, -50).otherwise(40).alias("qty"), F.col("close").cast("decimal(20,6)").alias("price"))))
-    dec = lambda x: F.lit(x).cast("decimal(20,6)")
-    zero = F.struct(F.lit(0).alias("held"), dec("0").alias("cost"), dec("0").alias("realised"))
+    """Weighted-average cost and realised profit per instrument in event order, with dividends on what is held, then
+    splits, then fills: an ordered fold in whole millionths. A fold's state is one struct; the events of an instrument
+    are those of its sessions, one bar each."""
+    big = lambda x: F.lit(x).cast("long")
+    event = F.struct(
+        "sidx", F.when(F.col("sidx") % 3 == 0, big(-50)).otherwise(big(40)).alias("qty"), F.floor(F.col("close") * 1000000 + 0.5).cast("long").alias("price"),
+        F.when(F.col("sidx") % 29 == 0, big(2)).otherwise(big(1)).alias("split"), F.when(F.col("sidx") % 31 == 0, big(500000)).otherwise(big(0)).alias("dividend"),
+    )
+    zero = F.struct(big(0).alias("held"), big(0).alias("cost"), big(0).alias("realised"))
+    div = lambda a, b: F.call_function("div", a, b)
 
     def step(s, e):
-        buy = e["qty"] > 0
-        sold = F.least(-e["qty"], s["held"])
-        held = F.when(buy, s["held"] + e["qty"]).otherwise(s["held"] - sold)
-        cost = F.when(buy, F.bround((s["cost"] * s["held"] + e["price"] * e["qty"]) / F.when(s["held"] + e["qty"] != 0, s["held"] + e["qty"]), 6)).otherwise(s["cost"])
-        gain = F.when(buy, s["realised"]).otherwise(s["realised"] + (e["price"] - s["cost"]) * sold)
-        return F.struct(held.cast("int").alias("held"), cost.cast("decimal(20,6)").alias("cost"), gain.cast("decimal(20,6)").alias("realised"))
+        paid = s["realised"] + s["held"] * e["dividend"]
+        held, cost = s["held"] * e["split"], div(s["cost"] + e["split"] - 1, e["split"])
+        buy, sold = e["qty"] > 0, F.least(-e["qty"], held)
+        more = held + e["qty"]
+        mean = div(cost * held + e["price"] * e["qty"] + div(more, big(2)), F.when(buy, more).otherwise(big(1)))
+        return F.struct(F.when(buy, more).otherwise(held - sold).alias("held"), F.when(buy, mean).otherwise(cost).alias("cost"), F.when(buy, paid).otherwise(paid + (e["price"] - cost) * sold).alias("realised"))
+
+    g = v.grid_w.where("close is not null").groupBy("instrument_id").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    s = g.select("instrument_id", F.aggregate("e", zero, step).alias("s"))
+    return s.select("instrument_id", F.col("s.held").alias("held"), (F.col("s.cost") / 1000000.0).alias("cost"), (F.col("s.realised") / 1000000.0).alias("realised"))
+
 
-    g = v.grid_w.where("close is not null").groupBy("instrument_id").agg(step_in.alias("e"))
-    return g.select("instrument_id", F.aggregate("e", zero, step).alias("s")).select("instrument_id", "s.*")
+CHAIN = """e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ch AS (SELECT user_id, i, event_id, NULL::VARCHAR AS prior, md5(event_id::VARCHAR) AS h FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.event_id, ch.h, md5(ch.h || e.event_id::VARCHAR) FROM ch JOIN e ON e.user_id = ch.user_id AND e.i = ch.i + 1)"""
 
 
-@query("wn_hash_chain", "WITH c AS (SELECT event_id, ts, md5(event_id::VARCHAR) AS h, CASE WHEN event_id % 101 = 0 THEN 'broken' ELSE lag(md5(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS previous, lag(md5(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS expected FROM events) SELECT event_id FROM c WHERE previous IS DISTINCT FROM expected")
+@query("wn_hash_chain", f"WITH RECURSIVE {CHAIN} SELECT event_id, prior AS expected, CASE WHEN event_id % 101 = 0 THEN 'LINK' WHEN event_id % 103 = 0 THEN 'CONTENT' END AS fault FROM ch WHERE event_id % 101 = 0 OR event_id % 103 = 0")
 def wn_hash_chain(v):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    h = F.md5(F.col("event_id").cast("string").cast("binary"))
-    c = v.t("events").select("event_id", F.lag(h).over(w).alias("expected"))
-    return c.where(~F.when(F.col("event_id") % 101 == 0, F.lit("broken")).otherwise(F.col("expected")).eqNullSafe(F.col("expected"))).select("event_id")
+    """Each user's events are sealed in a chain, hash = md5(previous hash, event); some links and hashes are then
+    altered. The check recomputes both: a stored link must be the hash of the event before, as recomputed from there,
+    and a stored hash that of link and event."""
+    x = F.struct("ts", "event_id")
+    g = v.t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(x)).alias("e"))
+    text = lambda c: c.cast("string")
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<event_id:long,prior:string,h:string>>").alias("out"))
+
+    def seal(s, e):
+        h = F.md5(F.concat(F.coalesce(s["last"], F.lit("")), text(e["event_id"])).cast("binary"))
+        row = F.struct(e["event_id"].cast("long").alias("event_id"), s["last"].alias("prior"), h.alias("h"))
+        return F.struct(h.alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    sealed = g.select("user_id", F.posexplode(F.aggregate("e", zero, seal, lambda s: s["out"])).alias("i", "r")).select("user_id", "i", "r.*")
+    broken, forged = F.col("event_id") % 101 == 0, (F.col("event_id") % 103 == 0) & (F.col("event_id") % 101 != 0)
+    stored = sealed.select("user_id", "i", "event_id", F.when(broken, "broken").otherwise(F.col("prior")).alias("previous"), F.when(forged, "forged").otherwise(F.col("h")).alias("hash"), F.col("h").alias("true_hash"))
+    expected = F.lag("true_hash").over(Window.partitionBy("user_id").orderBy("i"))
+    checked = stored.withColumn("expected", expected)
+    again = F.md5(F.concat(F.coalesce("expected", F.lit("")), text(F.col("event_id"))).cast("binary"))
+    fault = F.when(~F.col("previous").eqNullSafe(F.col("expected")), "LINK").when(F.col("hash") != again, "CONTENT")
+    return checked.select("event_id", "expected", fault.alias("fault")).where("fault is not null")
 
 
 @query("ag_ledger_counts", "SELECT account, event_id % 3 AS stage, count(*) AS n, sum(debit)::DECIMAL(20,2) AS debits FROM journal GROUP BY GROUPING SETS ((account), (event_id % 3), (account, event_id % 3), ())")
@@ -130,19 +165,31 @@ def px_linear_map(v):
     return v.obs.where("value is not null").select("record_id", R6(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("value") - 10) / 80 * 100)), "mapped"))
 
 
-LEX = {"gain": 2.0, "the": 0.5, "profit": 2.5, "loss": -2.5, "risk": -1.5, "in": -0.3, "of": 0.2, "default": -3.0, "growth": 2.0, "and": 0.1}
+# Strengths of finance words, -4 to 4; all forms of a word share one.
+FINANCE_WORDS = {
+    2.5: "surge surges surged surging", 2.8: "soar soars soared soaring", 2.2: "rally rallies rallied rallying", 2.0: "jump jumps jumped jumping upgrade upgrades upgraded bullish",
+    1.5: "gain gains gained gaining beat beats", 1.3: "rise rises rose rising record", 1.8: "outperform", 1.2: "buy strong", 1.0: "growth",
+    -1.8: "slip slips slipped slipping fall falls fell falling underperform", -2.0: "decline declines declined declining downgrade downgrades downgraded bearish", -2.8: "plunge plunges plunged plunging crash crashes crashed",
+    -2.5: "tumble tumbles tumbled tumbling", -2.3: "slump slumps slumped", -1.2: "sell weak", -1.5: "miss misses missed", -1.0: "concern concerns",
+}
+LEX = {w: x for x, ws in FINANCE_WORDS.items() for w in ws.split()}
 LEX_SQL = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {x}::DOUBLE)" for k, x in LEX.items()) + ") t(word, s))"
+HEADLINE = "hd AS (SELECT o_orderkey AS text_id, o_orderpriority || ' ' || (CASE o_orderkey % 7 WHEN 0 THEN 'Shares surge, profit beats' WHEN 1 THEN 'Stocks FELL; weak growth concerns' WHEN 2 THEN 'bank-upgrade: buy' WHEN 3 THEN 'no news' WHEN 4 THEN 'crash crash crash' WHEN 5 THEN NULL ELSE 'gains slip, gainsay' END) AS text FROM orders UNION ALL SELECT -1 - doc_id, text FROM documents)"
 
 
-@query("px_lexicon_sentiment", f"WITH {LEX_SQL}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), t AS (SELECT doc_id, sum(s) AS x FROM w JOIN lx USING (word) GROUP BY 1) SELECT d.doc_id, round(coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15), 6) AS score, CASE WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) >= 0.05 THEN 'positive' WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM documents d LEFT JOIN t USING (doc_id)")
+@query("px_lexicon_sentiment", f"WITH {LEX_SQL}, {HEADLINE}, w AS (SELECT text_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM hd), t AS (SELECT text_id, sum(s) AS x FROM w JOIN lx USING (word) GROUP BY 1) SELECT d.text_id, round(coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15), 6) AS score, CASE WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) >= 0.05 THEN 'positive' WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM hd d LEFT JOIN t USING (text_id)")
 def px_lexicon_sentiment(v):
-    """Lexicon words per text are counted in place by one expression per word class: nothing is exploded or shuffled."""
-    low = F.lower("text")
-    total = F.lit(0.0)
-    for word, s in LEX.items():
-        total = total + F.coalesce(F.regexp_count(low, F.lit(rf"(?<![a-z]){word}(?![a-z])")), F.lit(0)) * s
-    d = v.t("documents").select("doc_id", F.round(total, 6).alias("x")).withColumn("score", F.col("x") / F.sqrt(F.col("x") * F.col("x") + 15))
-    return d.select("doc_id", R6(F.col("score"), "score"), F.when(F.col("score") >= 0.05, "positive").when(F.col("score") <= -0.05, "negative").otherwise("neutral").alias("label"))
+    """Words of headlines and documents meet the lexicon, a table, before anything is shuffled; only hits are summed."""
+    k = F.col("o_orderkey") % 7
+    said = F.when(k == 0, "Shares surge, profit beats").when(k == 1, "Stocks FELL; weak growth concerns").when(k == 2, "bank-upgrade: buy").when(k == 3, "no news").when(k == 4, "crash crash crash").when(k == 6, "gains slip, gainsay")
+    texts = v.t("orders").select(F.col("o_orderkey").alias("text_id"), F.concat_ws(" ", "o_orderpriority", said).alias("text"), k.alias("k")).select("text_id", F.when(F.col("k") != 5, F.col("text")).alias("text"))
+    texts = texts.unionByName(v.t("documents").select((-1 - F.col("doc_id")).alias("text_id"), "text"))
+    lexicon = v.spark.createDataFrame(list(LEX.items()), "word string, s double")
+    words = texts.select("text_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    sums = words.join(F.broadcast(lexicon), "word").groupBy("text_id").agg(F.sum("s").alias("x"))  # a fixed list
+    x = F.coalesce("x", F.lit(0.0))
+    d = texts.select("text_id").join(sums, "text_id", "left").withColumn("score", x / F.sqrt(x * x + 15))
+    return d.select("text_id", R6(F.col("score"), "score"), F.when(F.col("score") >= 0.05, "positive").when(F.col("score") <= -0.05, "negative").otherwise("neutral").alias("label"))
 
 
 @query("px_upcoming_events", "SELECT record_id, day FROM obs WHERE day BETWEEN (SELECT min(day) FROM obs) + 20 AND (SELECT min(day) FROM obs) + 27")

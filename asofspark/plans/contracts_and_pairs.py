@@ -54,10 +54,27 @@ def tk_pairs_liquidity(v):
     return x.join(y, "sector_id").where("a < b").select("sector_id", "a", "b", F.round(F.col("ta") + F.col("tb"), 2).alias("turnover"))
 
 
-@query("tk_pairs_random")
+ANY_PAIRS = 10  # placebo pairs over all sectors
+RANDOM = """sp1 AS (SELECT sector_id, a, b FROM pp QUALIFY row_number() OVER (PARTITION BY sector_id ORDER BY (7 * 40503 + a::BIGINT * 2654435761 + b::BIGINT * 2654435858) % 1000003, a, b) <= 2),
+nm AS (SELECT instrument_id, row_number() OVER (ORDER BY instrument_id) - 1 AS i, count(*) OVER () AS n FROM sector), dw AS (SELECT k, n, (7 * 40503 + k * 2654435761) % 1000003 % n AS i, (13 * 40503 + k * 2654435761) % 1000003 % (n - 1) AS step FROM (SELECT DISTINCT n FROM nm WHERE n > 1), range(0, 10) r(k)),
+ap AS (SELECT DISTINCT least(x.instrument_id, y.instrument_id) AS a, greatest(x.instrument_id, y.instrument_id) AS b FROM dw JOIN nm x ON x.i = dw.i JOIN nm y ON y.i = (dw.i + 1 + dw.step) % dw.n)"""
+
+
+@query("tk_pairs_random", f"WITH {PAIRS}, {RANDOM} SELECT 'sector' AS scope, sector_id, a, b FROM sp1 UNION ALL SELECT 'any', NULL, a, b FROM ap")
 def tk_pairs_random(v):
-    w = Window.partitionBy("sector_id").orderBy(F.xxhash64(F.lit(7), "a", "b"), "a", "b")
-    return sector_pairs(v).withColumn("k", F.row_number().over(w)).where("k <= 2").drop("k")
+    """Two pairs of each sector by an arithmetic draw, and placebo pairs over all instruments: two different ordinals are
+    drawn and looked up, no pairs are formed to choose from."""
+    from .evidence import arithmetic_draw
+
+    w = Window.partitionBy("sector_id").orderBy(arithmetic_draw(F.lit(7).cast("long"), F.col("a"), F.col("b")), "a", "b")
+    same = sector_pairs(v).withColumn("k", F.row_number().over(w)).where("k <= 2").select(F.lit("sector").alias("scope"), "sector_id", "a", "b")
+    names = v.sector.select("instrument_id", (F.row_number().over(Window.orderBy("instrument_id")) - 1).cast("long").alias("i"))  # one row per instrument
+    k = v.spark.range(ANY_PAIRS).withColumnRenamed("id", "k").crossJoin(F.broadcast(names.agg(F.count("*").alias("n")))).where("n > 1")
+    i = arithmetic_draw(F.lit(7).cast("long"), F.col("k")) % F.col("n")
+    j = (i + 1 + arithmetic_draw(F.lit(13).cast("long"), F.col("k")) % (F.col("n") - 1)) % F.col("n")
+    drawn = k.select(i.alias("i"), j.alias("j")).join(names.withColumnRenamed("instrument_id", "x"), "i").join(names.select(F.col("i").alias("j"), F.col("instrument_id").alias("y")), "j")
+    any_ = drawn.select(F.lit("any").alias("scope"), F.lit(None).cast("long").alias("sector_id"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return same.unionByName(any_.withColumn("sector_id", F.lit(None).cast(dict(same.dtypes)["sector_id"])))
 
 
 def z_spread(v):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as fx
+from ..operators.ranks import with_counts_before
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -80,14 +81,13 @@ SPLIT = "sidx <= 200"
 @query("ag_percentile_calibration", f"WITH {PRED}, tr AS (SELECT f1 FROM pd WHERE {SPLIT} AND f1 IS NOT NULL), n AS (SELECT count(*) AS n FROM tr) SELECT p.instrument_id, p.sidx, round(100.0 * ((SELECT count(*) FROM tr WHERE tr.f1 < p.f1) + 0.5 * (SELECT count(*) FROM tr WHERE tr.f1 = p.f1)) / n.n, 6) AS score FROM pd p, n WHERE NOT ({SPLIT}) AND p.f1 IS NOT NULL")
 def ag_percentile_calibration(v):
     """Scores against the training ECDF: training counts per value and asked values are merged and summed in order of
-    value, so no row is compared with all training rows."""
+    value, by range partitions, so no row is compared with all training rows and no task holds all values."""
     p = predictions(v).where("f1 is not null")
     train = p.where(SPLIT).groupBy("f1").agg(F.count("*").alias("c"))
     asked = p.where(f"not ({SPLIT})").select("f1").distinct().join(train, "f1", "full_outer").na.fill(0, ["c"])
-    w = Window.orderBy("f1")  # distinct values only
-    ecdf = asked.withColumns({"less": F.sum("c").over(w) - F.col("c"), "n": F.sum("c").over(Window.partitionBy())})
+    ecdf = with_counts_before(asked, ["f1"], F.col("c"))
     q = p.where(f"not ({SPLIT})").join(ecdf, "f1")
-    return q.select("instrument_id", "sidx", R6((F.col("less") + F.col("c") * 0.5) * 100.0 / F.col("n"), "score"))
+    return q.select("instrument_id", "sidx", R6((F.col("before") + F.col("c") * 0.5) * 100.0 / F.col("total"), "score"))
 
 
 @query("ag_winsor_zscore", f"WITH {PRED}, b AS (SELECT quantile_cont(f1, 0.05) AS lo, quantile_cont(f1, 0.95) AS hi FROM pd WHERE {SPLIT}), m AS (SELECT lo, hi, avg(least(greatest(f1, lo), hi)) AS mu, stddev_pop(least(greatest(f1, lo), hi)) AS sd FROM pd, b WHERE {SPLIT} AND f1 IS NOT NULL GROUP BY lo, hi) SELECT instrument_id, sidx, round((least(greatest(f1, lo), hi) - mu) / sd, 6) AS z FROM pd, m WHERE f1 IS NOT NULL")
@@ -102,39 +102,61 @@ def ag_winsor_zscore(v):
 NB = 20
 
 
-@query("ag_neighbor_calibration", f"WITH {PRED}, g AS (SELECT DISTINCT score FROM pd WHERE NOT ({SPLIT})), k AS (SELECT g.score, t.net_pct, row_number() OVER (PARTITION BY g.score ORDER BY abs(t.score - g.score), t.score, t.instrument_id, t.sidx) AS r FROM g, (SELECT * FROM pd WHERE {SPLIT}) t) SELECT score, round(avg(net_pct), 8) AS mean, round(stddev_samp(net_pct) / sqrt({NB}), 6) AS se, round(100.0 * avg((net_pct > 0)::INT), 6) AS positive_pct FROM k WHERE r <= {NB} GROUP BY score")
+NBR = f"{PRED}, g AS (SELECT DISTINCT score FROM pd WHERE NOT ({SPLIT})), k AS (SELECT g.score, t.net_pct, row_number() OVER (PARTITION BY g.score ORDER BY abs(t.score - g.score), t.score, t.instrument_id, t.sidx) AS r FROM g, (SELECT * FROM pd WHERE {SPLIT}) t)"
+
+
+@query("ag_neighbor_calibration", f"WITH {NBR} SELECT score, round(avg(net_pct), 8) AS mean, round(stddev_samp(net_pct) / sqrt({NB}), 6) AS se, round(avg(net_pct) - 1.96::DOUBLE * stddev_samp(net_pct) / sqrt({NB}), 6) AS lo95, round(avg(net_pct) + 1.96::DOUBLE * stddev_samp(net_pct) / sqrt({NB}), 6) AS hi95, round(100.0 * avg((net_pct > 0)::INT), 6) AS positive_pct FROM k WHERE r <= {NB} GROUP BY score")
 def ag_neighbor_calibration(v):
-    """The k nearest training rows of each asked score. Scores lie on a known grid of hundredths (101 values at most):
-    each value meets, of every training value, only the first k rows, aggregated beforehand."""
+    """The k nearest training rows of each asked score, and their mean's 95 % band. Training and asked values are ranked
+    together by range partitions; an asked value then meets the k training rows on either side by their ranks."""
     p = predictions(v)
-    by = Window.partitionBy("score").orderBy("instrument_id", "sidx")
-    train = p.where(SPLIT).withColumn("i", F.row_number().over(by)).where(F.col("i") <= NB).select(F.col("score").alias("ts"), "instrument_id", "sidx", "net_pct")
+    train = p.where(SPLIT).select("score", "instrument_id", "sidx", "net_pct")
     asked = p.where(f"not ({SPLIT})").select("score").distinct()
+    # ranks of training rows from below, and from above with the same order among equal scores
+    up = with_counts_before(train, ["score", "instrument_id", "sidx"], F.lit(1)).withColumn("up", F.col("before")).drop("before", "total")
+    size = F.count("*").over(Window.partitionBy("score"))
+    place = F.row_number().over(Window.partitionBy("score").orderBy("instrument_id", "sidx")) - 1
+    both = up.withColumns({"size": size, "place": place})
+    # the rows of a lower score are taken in ascending order too: mirror a row's place among its equals
+    both = both.withColumn("down", F.col("up") - F.col("place") + F.col("size") - 1 - F.col("place"))
+    values = train.groupBy("score").agg(F.count("*").alias("c")).join(asked.withColumn("asked", F.lit(True)), "score", "full_outer").na.fill(0, ["c"])
+    at = with_counts_before(values, ["score"], F.col("c")).where("asked").select("score", F.col("before").alias("at"))
+    at = at.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(NB - 1))))
+    above = at.withColumn("up", F.col("at") + F.col("step")).join(both.select("up", F.col("score").alias("ts"), "instrument_id", "sidx", "net_pct"), "up").drop("up")
+    below = at.withColumn("down", F.col("at") - 1 - F.col("step")).join(both.select("down", F.col("score").alias("ts"), "instrument_id", "sidx", "net_pct"), "down").drop("down")
     w = Window.partitionBy("score").orderBy(F.abs(F.col("ts") - F.col("score")), "ts", "instrument_id", "sidx")
-    k = asked.join(train).withColumn("r", F.row_number().over(w)).where(F.col("r") <= NB)
-    return k.groupBy("score").agg(R8(F.avg("net_pct"), "mean"), R6(F.stddev_samp("net_pct") / F.sqrt(F.lit(NB)), "se"), R6(F.avg((F.col("net_pct") > 0).cast("double")) * 100, "positive_pct"))
+    k = above.unionByName(below).withColumn("r", F.row_number().over(w)).where(F.col("r") <= NB)
+    mean, se = F.avg("net_pct"), F.stddev_samp("net_pct") / F.sqrt(F.lit(NB))
+    return k.groupBy("score").agg(R8(mean, "mean"), R6(se, "se"), R6(mean - F.lit(1.96) * se, "lo95"), R6(mean + F.lit(1.96) * se, "hi95"), R6(F.avg((F.col("net_pct") > 0).cast("double")) * 100, "positive_pct"))
 
 
-@query("ag_linear_fit")
-def ag_linear_fit(v):
-    """Least squares on standardised features, columns correlated above 0.999999 dropped: the moments are aggregated by
-    Spark and a 3 x 3 system is solved from one row."""
-    import numpy as np
+LINE = """mo AS (SELECT avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, avg(excess_pct) AS my, stddev_samp(f1) AS s1, stddev_samp(f2) AS s2, stddev_samp(f3) AS s3, stddev_samp(excess_pct) AS sy,
+  corr(f1, f2) AS r12, corr(f1, f3) AS r13, corr(f2, f3) AS r23, corr(f1, excess_pct) AS y1, corr(f2, excess_pct) AS y2, corr(f3, excess_pct) AS y3 FROM us),
+dr AS (SELECT *, abs(r12) >= 0.999999 AS d2, abs(r13) >= 0.999999 OR (abs(r12) < 0.999999 AND abs(r23) >= 0.999999) AS d3 FROM mo),
+ke AS (SELECT * REPLACE (CASE WHEN d2 THEN 0 ELSE r12 END AS r12, CASE WHEN d3 THEN 0 ELSE r13 END AS r13, CASE WHEN d2 OR d3 THEN 0 ELSE r23 END AS r23, CASE WHEN d2 THEN 0 ELSE y2 END AS y2, CASE WHEN d3 THEN 0 ELSE y3 END AS y3) FROM dr),
+de AS (SELECT *, 1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23 AS det FROM ke)"""
+
 
+@query("ag_linear_fit", f"WITH {PRED}, us AS (SELECT * FROM pd WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND excess_pct IS NOT NULL), {LINE} SELECT instrument_id, sidx, round(my + sy / det * ((y1 * (1 - r23 * r23) + y2 * (r13 * r23 - r12) + y3 * (r12 * r23 - r13)) * (f1 - m1) / s1 + (y1 * (r13 * r23 - r12) + y2 * (1 - r13 * r13) + y3 * (r12 * r13 - r23)) * (f2 - m2) / s2 + (y1 * (r12 * r23 - r13) + y2 * (r12 * r13 - r23) + y3 * (1 - r12 * r12)) * (f3 - m3) / s3), 4) AS fitted FROM us, de")
+def ag_linear_fit(v):
+    """Least squares on three standardised features from one row of moments, by Cramer's rule on their correlations. A
+    column that correlates with an earlier one by 0.999999 or more is dropped: its correlations count as 0."""
     p = predictions(v).dropna(subset=["f1", "f2", "f3", "excess_pct"])
-    cols = ["f1", "f2", "f3"]
-    pairs = [(a, b) for a in [*cols, "excess_pct"] for b in [*cols, "excess_pct"]]
-    row = p.agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs], *[F.avg(c).alias(c) for c in [*cols, "excess_pct"]]).first()
-    kept = []
-    for c in cols:
-        if all(abs(row[f"{c}_{k}"]) < 0.999999 * (row[f"{c}_{c}"] * row[f"{k}_{k}"]) ** 0.5 for k in kept):
-            kept.append(c)
-    beta = np.linalg.solve([[row[f"{a}_{b}"] for b in kept] for a in kept], [row[f"{a}_excess_pct"] for a in kept])
-    base = row["excess_pct"] - sum(float(b) * row[c] for b, c in zip(beta, kept, strict=True))
-    fitted = F.lit(float(base))
-    for b, c in zip(beta, kept, strict=True):
-        fitted = fitted + F.col(c) * F.lit(float(b))
-    return p.select("instrument_id", "sidx", R6(fitted, "fitted"))
+    cols = {"1": "f1", "2": "f2", "3": "f3", "y": "excess_pct"}
+    mo = p.agg(
+        *[F.avg(c).alias(f"m{k}") for k, c in cols.items()], *[F.stddev_samp(c).alias(f"s{k}") for k, c in cols.items()],
+        *[F.corr(f"f{a}", f"f{b}").alias(f"r{a}{b}") for a, b in ("12", "13", "23")], *[F.corr(f"f{a}", "excess_pct").alias(f"y{a}") for a in "123"],
+    )
+    high = lambda r: F.abs(r) >= 0.999999
+    mo = mo.withColumns({"d2": high("r12"), "d3": high("r13") | (~high("r12") & high("r23"))})
+    zero = lambda drop, c: F.when(F.expr(drop), 0.0).otherwise(F.col(c))
+    mo = mo.withColumns({"r12": zero("d2", "r12"), "r13": zero("d3", "r13"), "r23": zero("d2 or d3", "r23"), "y2": zero("d2", "y2"), "y3": zero("d3", "y3")})
+    adjoint = [["1 - r23 * r23", "r13 * r23 - r12", "r12 * r23 - r13"], ["r13 * r23 - r12", "1 - r13 * r13", "r12 * r13 - r23"], ["r12 * r23 - r13", "r12 * r13 - r23", "1 - r12 * r12"]]
+    beta = [F.expr(" + ".join(f"y{j + 1} * ({a})" for j, a in enumerate(row))) for row in adjoint]
+    mo = mo.select("*", F.expr("1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23").alias("det"), *[b.alias(f"b{i + 1}") for i, b in enumerate(beta)])
+    part = lambda i: F.col(f"b{i}") * (F.col(f"f{i}") - F.col(f"m{i}")) / F.col(f"s{i}")
+    fitted = F.col("my") + F.col("sy") / F.col("det") * (part(1) + part(2) + part(3))
+    return p.crossJoin(F.broadcast(mo)).select("instrument_id", "sidx", F.round(fitted, 4).alias("fitted"))  # one row of moments
 
 
 PV = "pv AS (SELECT instrument_id AS id, (instrument_id * 7919 + 13) % 97 / 1000.0 AS p FROM (SELECT DISTINCT instrument_id FROM picks))"
@@ -191,9 +213,10 @@ re AS (SELECT avg((x.open / e.open - 1) * 100) AS m FROM picks p JOIN grid_w e O
 
 
 def gross(v, picks, *keys):
-    e = v.grid_w.where("open > 0").select("instrument_id", (F.col("sidx") - 1).alias("sidx"), F.col("open").alias("o0"))
-    x = v.grid_w.where("open > 0").select("instrument_id", (F.col("sidx") - 5).alias("sidx"), F.col("open").alias("o1"))
-    return picks.join(e, ["instrument_id", "sidx"]).join(x, ["instrument_id", "sidx"]).groupBy(*keys).agg(F.avg((F.col("o1") / F.col("o0") - 1) * 100).alias("m"))
+    """Both prices come from one window over an instrument's sessions, which are dense, and one join."""
+    ahead = lambda k: F.lead("open", k).over(Window.partitionBy("instrument_id").orderBy("sidx"))
+    g = v.grid_w.select("instrument_id", "sidx", ahead(1).alias("o0"), ahead(5).alias("o1")).where("o0 > 0 and o1 > 0")
+    return picks.join(g, ["instrument_id", "sidx"]).groupBy(*keys).agg(F.avg((F.col("o1") / F.col("o0") - 1) * 100).alias("m"))
 
 
 def band(v):
@@ -216,37 +239,45 @@ def ag_decision_rule(v):
 
 
 def block_draws(v, replications, block, circular):
-    """replications x blocks of consecutive dates, by hash: joined on the date's ordinal."""
+    """replications x blocks of consecutive dates, by arithmetic draws: joined on the date's ordinal."""
     d = v.outcomes.where("status = 'RESOLVED'").groupBy("sidx").agg(F.avg("net_pct").alias("m"))
     d = d.withColumn("i", F.row_number().over(Window.orderBy("sidx")) - 1)  # one row per decision date
     n = d.agg(F.count("*").alias("n"))
-    reps = v.spark.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n))
+    reps = v.spark.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).where("n > 0")
     b = reps.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
-    starts = F.pmod(F.xxhash64("rep", "b", F.lit(11)), F.col("n") if circular else F.greatest(F.col("n") - block + 1, F.lit(1)))
+    starts = arithmetic_draw(F.lit(11).cast("long"), F.col("rep"), F.col("b")) % (F.col("n") if circular else F.greatest(F.col("n") - block + 1, F.lit(1)))
     b = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("i", (starts + F.col("k")) % F.col("n"))
     return b.where(F.col("b") * block + F.col("k") < F.col("n")).join(d.select("i", "m"), "i")
 
 
-@query("ag_block_bootstrap")
+def draws_sql(replications, block, circular):
+    span = "n" if circular else f"greatest(n - {block} + 1, 1)"
+    return f"""dd AS (SELECT sidx, avg(net_pct) AS m, row_number() OVER (ORDER BY sidx) - 1 AS i FROM outcomes WHERE status = 'RESOLVED' GROUP BY sidx), nn AS (SELECT count(*) AS n FROM dd),
+bl AS (SELECT rep, b, k, n, ((11 * 40503 + rep * 2654435761 + b * 2654435858) % 1000003 % {span} + k) % n AS i FROM nn, range({replications}) r(rep), range({block}) kk(k), range(0, 100000) bb(b) WHERE b <= ceil(n / {block}.0) - 1 AND b * {block} + k < n)"""
+
+
+@query("ag_block_bootstrap", f"WITH {draws_sql(2000, 2, False)}, me AS (SELECT rep, avg(m) AS m FROM bl JOIN dd USING (i) GROUP BY rep) SELECT count(*) AS replications, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM me")
 def ag_block_bootstrap(v):
     means = block_draws(v, 2000, 2, False).groupBy("rep").agg(F.avg("m").alias("m"))
     return means.agg(F.count("*").alias("replications"), R6(F.avg("m"), "mean"), R6(F.percentile("m", F.lit(0.025)), "lo"), R6(F.percentile("m", F.lit(0.975)), "hi"))
 
 
-@query("ag_circular_bootstrap")
+@query("ag_circular_bootstrap", f"WITH {draws_sql(2000, 4, True)}, me AS (SELECT rep, avg(m) AS m, sum(CASE WHEN m > -100 THEN ln(1 + m / 100) END) AS g FROM bl JOIN dd USING (i) GROUP BY rep) SELECT round(avg((m > 0)::INT), 6) AS p_positive, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(median(g), 6) AS median_log_growth FROM me")
 def ag_circular_bootstrap(v):
     reps = block_draws(v, 2000, 4, True).groupBy("rep").agg(F.avg("m").alias("m"), F.sum(F.when(F.col("m") > -100, F.ln(1 + F.col("m") / 100))).alias("g"))
     return reps.agg(R6(F.avg((F.col("m") > 0).cast("double")), "p_positive"), R6(F.percentile("m", F.lit(0.025)), "lo"), R6(F.percentile("m", F.lit(0.975)), "hi"), R6(F.median("g"), "median_log_growth"))
 
 
-FOLDS = "fo AS (SELECT k AS fold, 1 AS train_from, 100 + (k - 1) * 50 - 6 AS train_to, 100 + (k - 1) * 50 AS valid_from, 100 + k * 50 - 1 AS valid_to FROM range(1, 6) r(k))"
+FOLDS = "fo AS (SELECT k AS fold, 1 AS train_from, 100 + (k - 1) * 50 - 6 AS train_to, 100 + (k - 1) * 50 AS valid_from, least(100 + k * 50 - 1, z) AS valid_to FROM (SELECT max(sidx) AS z FROM cal_w), range(1, 10000) r(k) WHERE 100 + (k - 1) * 50 <= z)"
 
 
-def folds(v, start=100, step=50, purge=5, n=5):
-    """Expanding folds by session ordinal: training ends `purge` + 1 sessions before validation starts."""
-    k = v.spark.range(1, n + 1).withColumn("fold", F.col("id").cast("int"))
-    frm = F.lit(start) + (F.col("fold") - 1) * step
-    return k.select("fold", F.lit(1).alias("train_from"), (frm - purge - 1).alias("train_to"), frm.alias("valid_from"), (frm + step - 1).alias("valid_to"))
+def folds(v, start=100, step=50, purge=5):
+    """Expanding folds by session ordinal, up to the calendar's end, where the last may be shorter: training ends
+    `purge` + 1 sessions before validation starts."""
+    z = v.cal_w.agg(F.max("sidx").alias("z")).where(F.col("z") >= start)
+    k = z.select("z", F.explode(F.sequence(F.lit(0), F.floor((F.col("z") - start) / step).cast("int"))).alias("k"))
+    frm = F.lit(start) + F.col("k") * step
+    return k.select((F.col("k") + 1).alias("fold"), F.lit(1).alias("train_from"), (frm - purge - 1).alias("train_to"), frm.alias("valid_from"), F.least(frm + step - 1, "z").alias("valid_to"))
 
 
 @query("wn_walk_forward", f"WITH {FOLDS} SELECT fold, a.session AS train_to, b.session AS valid_from, c.session AS valid_to FROM fo JOIN cal_w a ON a.sidx = fo.train_to JOIN cal_w b ON b.sidx = fo.valid_from JOIN cal_w c ON c.sidx = fo.valid_to")
@@ -311,9 +342,11 @@ def wn_feature_materialize(v):
     return v.grid_w.select("instrument_id", "sidx", state.alias("state"), F.when(F.col("close") > 0, F.round(-F.ln("close"), 8)).alias("oriented"))
 
 
-@query("px_row_hash")
+@query("px_row_hash", "SELECT instrument_id, session, sha256(concat_ws('|', instrument_id::VARCHAR, session::VARCHAR, floor(close * 1000000 + 0.5)::BIGINT::VARCHAR, floor(volume * 1000000 + 0.5)::BIGINT::VARCHAR)) AS row_hash FROM bars_w")
 def px_row_hash(v):
-    return v.bars_w.select("instrument_id", "session", F.sha2(F.to_json(F.struct("instrument_id", "session", "close", "volume")), 256).alias("row_hash"))
+    """SHA-256 of a row's canonical text: numbers in millionths, so that it does not hang on how doubles are printed."""
+    unit = lambda c: F.floor(F.col(c) * 1000000 + 0.5).cast("long").cast("string")
+    return v.bars_w.select("instrument_id", "session", F.sha2(F.concat_ws("|", F.col("instrument_id").cast("string"), F.col("session").cast("string"), unit("close"), unit("volume")), 256).alias("row_hash"))
 
 
 @query("px_confidence_band", "WITH x AS (SELECT instrument_id, sidx, (status <> 'RESOLVED')::INT + (bench_pct IS NULL)::INT + (abs(coalesce(net_pct, 0)) > 500)::INT + (sidx < 60)::INT AS limits FROM outcomes) SELECT instrument_id, sidx, limits, CASE WHEN limits = 0 THEN 'HIGH' WHEN limits <= 1 THEN 'MODERATE' ELSE 'LOW' END AS band FROM x")

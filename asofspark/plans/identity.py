@@ -104,9 +104,10 @@ RESOLVE = f"{ASK}, rz AS (SELECT ask_id, count(a.alias_id) AS n, min(a.entity_id
 def resolved(v):
     """Interval join on symbol and date. Intervals are put out by month and joined on (symbol, month), so that a
     symbol with many aliases and requests is matched within months only; the bounds are then checked."""
-    last = F.coalesce("valid_to", F.lit("2003-01-01").cast("date"))
+    latest = asks(v).agg(F.max("d").alias("latest"))  # open intervals need no months after the last request
+    last = F.coalesce("valid_to", "latest")
     months = F.sequence(F.trunc("valid_from", "month"), F.greatest(F.trunc(last, "month"), F.trunc("valid_from", "month")), F.expr("interval 1 month"))
-    a = v.aliases.select("symbol", "alias_id", "entity_id", "valid_from", "valid_to", F.explode(months).alias("month"))
+    a = v.aliases.crossJoin(F.broadcast(latest)).select("symbol", "alias_id", "entity_id", "valid_from", "valid_to", F.explode(months).alias("month"))
     q = asks(v).withColumn("month", F.trunc("d", "month"))
     hit = q.join(a, ["symbol", "month"]).where("valid_from <= d and (valid_to is null or d < valid_to)")
     found = hit.groupBy("ask_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels
 from .features import BREADTH, breadth
+from ..operators.ranks import with_counts_before
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -83,14 +84,19 @@ def wn_mae_mfe(v):
     return labels.excursions(v.picks, v.grid_w, 4).select("instrument_id", "sidx", "mae_pct", "mfe_pct")
 
 
-@query("ag_exit_grid", "WITH " + ", ".join(ft_sql(h, s, t).replace("ent AS", f"ent{i} AS").replace("FROM ent e", f"FROM ent{i} e").replace("hit AS", f"hit{i} AS").replace("JOIN hit h", f"JOIN hit{i} h").replace("ft AS", f"ft{i} AS") for i, (h, s, t) in enumerate(((4, 5, 10), (4, 10, 20), (8, 5, 10), (8, 10, 20)))) + " SELECT hold, stop_pct, rr, count(*) AS n, round(avg(gross_pct), 4) AS mean_gross, sum((exit_reason = 'stop')::INT)::BIGINT AS stops FROM (" + " UNION ALL ".join(f"SELECT {h} AS hold, {s} AS stop_pct, 2 AS rr, * FROM ft{i}" for i, (h, s, t) in enumerate(((4, 5, 10), (4, 10, 20), (8, 5, 10), (8, 10, 20)))) + ") GROUP BY 1, 2, 3")
+EXIT_GRID = """ce AS (SELECT h, s::DOUBLE AS s, rr FROM (VALUES (4), (8), (12), (16), (20)) a(h), (VALUES (3), (5), (8), (10), (15)) b(s), (VALUES (1.0::DOUBLE), (1.5), (2.0), (2.5), (3.0)) c(rr)),
+en AS (SELECT p.instrument_id, p.sidx, e.open AS entry_open FROM picks p JOIN grid_w e ON e.instrument_id = p.instrument_id AND e.sidx = p.sidx + 1 WHERE e.open > 0),
+lv AS (SELECT en.*, h, s, rr, entry_open * (1 - s / 100) AS stop, entry_open * (1 + s * rr / 100) AS target FROM en, ce),
+hi AS (SELECT v.instrument_id, v.sidx, h, s, rr, arg_min(b.low <= stop, b.sidx) AS stopped FROM lv v JOIN grid_w b ON b.instrument_id = v.instrument_id AND b.sidx BETWEEN v.sidx + 1 AND v.sidx + h WHERE b.high IS NOT NULL AND b.low IS NOT NULL AND (b.low <= stop OR b.high >= target) GROUP BY ALL),
+gr AS (SELECT v.h, v.s, v.rr, CASE WHEN stopped THEN 'stop' WHEN stopped IS NOT NULL THEN 'target' WHEN x.open > 0 THEN 'time' ELSE 'unresolved' END AS reason, round((CASE WHEN stopped THEN stop WHEN stopped IS NOT NULL THEN target WHEN x.open > 0 THEN x.open END / entry_open - 1) * 100, 6) AS gross
+  FROM lv v LEFT JOIN hi ON hi.instrument_id = v.instrument_id AND hi.sidx = v.sidx AND hi.h = v.h AND hi.s = v.s AND hi.rr = v.rr LEFT JOIN grid_w x ON x.instrument_id = v.instrument_id AND x.sidx = v.sidx + 1 + v.h)"""
+
+
+@query("ag_exit_grid", f"WITH {EXIT_GRID} SELECT h AS hold, s AS stop_pct, rr, count(*) AS n, round(avg(gross), 4) AS mean_gross, count(*) FILTER (WHERE reason = 'stop') AS stops, count(*) FILTER (WHERE reason = 'target') AS targets FROM gr GROUP BY 1, 2, 3")
 def ag_exit_grid(v):
-    """All cells in one job: the grid of parameters is unioned, each labelled by the same operator."""
-    out = None
-    for h, s in ((4, 5), (4, 10), (8, 5), (8, 10)):
-        cell = touched(v, h, float(s), s * 2.0).select(F.lit(h).alias("hold"), F.lit(s).alias("stop_pct"), F.lit(2).alias("rr"), "gross_pct", "exit_reason")
-        out = cell if out is None else out.unionByName(cell)
-    return out.groupBy("hold", "stop_pct", "rr").agg(F.count("*").alias("n"), F.round(F.avg("gross_pct"), 4).alias("mean_gross"), cnt("exit_reason = 'stop'").alias("stops"))
+    """All 125 cells from one path join."""
+    out = labels.first_touch_grid(v.picks, v.grid_w, [4, 8, 12, 16, 20], [3.0, 5.0, 8.0, 10.0, 15.0], [1.0, 1.5, 2.0, 2.5, 3.0])
+    return out.groupBy("hold", "stop_pct", "rr").agg(F.count("*").alias("n"), F.round(F.avg("gross_pct"), 4).alias("mean_gross"), cnt("exit_reason = 'stop'").alias("stops"), cnt("exit_reason = 'target'").alias("targets"))
 
 
 @query("jn_benchmark_window", "SELECT t.instrument_id, t.sidx, round(t.net_pct - (bx.bench / be.bench - 1) * 100, 6) AS excess FROM trades t JOIN bench_w be ON be.session = t.entry_session JOIN bench_w bx ON bx.session = t.exit_session WHERE t.net_pct IS NOT NULL")
@@ -217,12 +223,11 @@ def ag_economic_report(v):
 @query("ag_tail_contribution", """WITH t AS (SELECT net_pct, row_number() OVER (ORDER BY net_pct, instrument_id, sidx) AS r, count(*) OVER () AS n FROM trades WHERE net_pct IS NOT NULL)
 SELECT count(*) AS n, round(avg(net_pct), 6) AS mean, round(median(net_pct), 6) AS median, round(stddev_samp(net_pct), 6) AS std, round(100.0 * avg((net_pct > 0)::INT), 6) AS positive_pct, round(avg(net_pct) FILTER (WHERE r > n - ceil(n * 0.05)), 6) AS top5, round(avg(net_pct) FILTER (WHERE r <= ceil(n * 0.05)), 6) AS bottom5, round(avg(net_pct) FILTER (WHERE r > ceil(n * 0.05) AND r <= n - ceil(n * 0.05)), 6) AS middle90 FROM t""")
 def ag_tail_contribution(v):
-    """The cut values are exact percentiles of (net, instrument, session) structs' ranks, taken from counts per value:
-    rows are ranked within a value's ties only, so no task holds them all."""
+    """Tails by rank: counts per value are summed in order of value, by range partitions, and a value at a cut counts
+    with the part of its rows that lies within."""
     t = v.trades.where("net_pct is not null").select("net_pct")
-    by = t.groupBy("net_pct").agg(F.count("*").alias("c"))
-    w = Window.orderBy("net_pct")
-    by = by.withColumns({"hi": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy())}).withColumn("lo", F.col("hi") - F.col("c"))
+    by = with_counts_before(t.groupBy("net_pct").agg(F.count("*").alias("c")), ["net_pct"], F.col("c"))
+    by = by.select("net_pct", F.col("before").alias("lo"), (F.col("before") + F.col("c")).alias("hi"), F.col("total").alias("n"))
     k = F.ceil(F.col("n") * 0.05)
     part = lambda a, b: F.greatest(F.lit(0), F.least("hi", b) - F.greatest("lo", a))
     by = by.withColumns({"bot": part(F.lit(0), k), "top": part(F.col("n") - k, F.col("n")), "mid": part(k, F.col("n") - k)})

@@ -87,10 +87,12 @@ def ag_year_coverage(v):
     return y.groupBy("y").agg(F.count("*").alias("present"), cnt("p is null or p < y - 1").alias("entering"), cnt("n is null or n > y + 1").alias("disappearing"), R6(F.avg(F.expr("case when n = y + 1 then 1.0d else 0.0d end")) * 100, "continuing_pct"))
 
 
-@query("ag_population_year", "WITH s AS (SELECT entity_id, min(year(valid_from)) AS a, max(year(coalesce(valid_to, DATE '2002-01-01'))) AS b, bool_or(valid_to IS NULL) AS o FROM aliases GROUP BY 1) SELECT y, count(*) AS listed, sum((a = y)::INT)::BIGINT AS new, sum((b = y AND NOT o)::INT)::BIGINT AS terminated FROM s, range(1995, 2003) r(y) WHERE y BETWEEN a AND b GROUP BY y")
+@query("ag_population_year", "WITH s AS (SELECT entity_id, min(year(valid_from)) AS a, max(year(coalesce(valid_to, (SELECT greatest(max(valid_from), max(valid_to)) FROM aliases)))) AS b, bool_or(valid_to IS NULL) AS o FROM aliases GROUP BY 1) SELECT y, count(*) AS listed, sum((a = y)::INT)::BIGINT AS new, sum((b = y AND NOT o)::INT)::BIGINT AS terminated FROM s, range(1900, 2200) r(y) WHERE y BETWEEN a AND b GROUP BY y")
 def ag_population_year(v):
-    end = F.year(F.coalesce("valid_to", F.lit("2002-01-01").cast("date")))
-    s = v.aliases.groupBy("entity_id").agg(F.min(F.year("valid_from")).alias("a"), F.max(end).alias("b"), F.bool_or(F.col("valid_to").isNull()).alias("o"))
+    """Intervals without an end go on to the last date that any alias has."""
+    latest = v.aliases.agg(F.greatest(F.max("valid_from"), F.max("valid_to")).alias("latest"))
+    end = F.year(F.coalesce("valid_to", "latest"))
+    s = v.aliases.crossJoin(F.broadcast(latest)).groupBy("entity_id").agg(F.min(F.year("valid_from")).alias("a"), F.max(end).alias("b"), F.bool_or(F.col("valid_to").isNull()).alias("o"))
     y = s.withColumn("y", F.explode(F.sequence("a", F.greatest("a", "b")))).where("y <= b")
     return y.groupBy("y").agg(F.count("*").alias("listed"), cnt("a = y").alias("new"), cnt("b = y and not o").alias("terminated"))
 

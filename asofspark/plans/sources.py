@@ -32,9 +32,9 @@ def src_bhav_udiff(v):
     return readers.udiff(raw_text(v, readers.UDIFF)).select("session", "symbol", "series", "open", "close", "volume")
 
 
-@query("src_symbol_csv", "SELECT instrument_id::VARCHAR AS symbol, session, round(close, 8) AS close, round(round(close, 8) * volume, 8) AS turnover FROM bars_d WHERE session <= DATE '1999-12-31' AND instrument_id < 5")
+@query("src_symbol_csv", "SELECT instrument_id::VARCHAR AS symbol, session, round(close, 8) AS close, round(round(close, 8) * volume, 8) AS turnover FROM bars_d WHERE session <= DATE '1999-12-31'")
 def src_symbol_csv(v):
-    return symbol_files(v).where(F.col("symbol").cast("int") < 5)  # the symbols that the SQL names
+    return symbol_files(v)
 
 
 def symbol_files(v):
@@ -97,19 +97,32 @@ def src_bounded_load(v):
 
 @query("src_delivery", "SELECT instrument_id, session, round(100 * (instrument_id * 17 + volume) % 101, 4) AS delivery_pct FROM bars_d WHERE session BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND instrument_id % 5 <> 0")
 def src_delivery(v):
-    d = v.bars_d.where("session between date '1996-01-01' and date '1999-12-31' and instrument_id % 5 <> 0")
-    return d.select("instrument_id", "session", F.round((100 * (F.col("instrument_id") * 17 + F.col("volume"))) % 101, 4).alias("delivery_pct"))
+    """A table of delivered shares is written, then read within dates."""
+    path = readers.scratch(v.spark)
+    pct = F.round((100 * (F.col("instrument_id") * 17 + F.col("volume"))) % 101, 4)
+    v.bars_d.select("instrument_id", "session", F.when(F.col("instrument_id") % 5 == 0, "BE").otherwise("EQ").alias("series"), pct.alias("delivery_pct"), "turnover").write.parquet(path)
+    return readers.delivery(v.spark, path, "1996-01-01", "1999-12-31")
 
 
-@query("src_participant_net", "SELECT day AS session, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity ELSE 0 END) AS net FROM fills WHERE l_returnflag = 'A' GROUP BY 1 HAVING count(*) > 0")
+@query("src_participant_net", "SELECT day AS session, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity ELSE 0 END) AS net FROM fills WHERE l_returnflag = 'A' AND day BETWEEN DATE '1993-01-01' AND DATE '2001-12-31' GROUP BY 1")
 def src_participant_net(v):
-    q = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).otherwise(-F.col("l_quantity"))
-    return v.fills.where("l_returnflag = 'A'").groupBy(F.col("day").alias("session")).agg(F.sum(q).alias("net"))
+    q = lambda odd: F.sum(F.when(F.col("l_linenumber") % 2 == odd, F.col("l_quantity")).otherwise(0))
+    positions = v.fills.groupBy(F.col("day").alias("session"), F.col("l_returnflag").alias("participant")).agg(q(0).alias("long_qty"), q(1).alias("short_qty"))
+    return readers.participant_net(positions, "A", "1993-01-01", "2001-12-31")
+
+
+FUT_ROWS = "fc AS (SELECT instrument_id, session, expiry, CASE WHEN instrument_id % 4 = 0 THEN 'INDEX' ELSE 'STOCK' END AS asset_class, CASE WHEN (instrument_id + day(session)) % 7 = 0 THEN 'OPT' ELSE 'FUT' END AS contract_type, CASE WHEN (instrument_id + month(session)) % 9 = 0 THEN 0 ELSE settle END AS settle, settle * 0.5::DOUBLE + open_ * 0.5::DOUBLE AS close, CASE WHEN (instrument_id + day(session)) % 5 = 0 THEN 0 ELSE open_ END AS open FROM contracts)"
 
 
-@query("src_fut_contracts", "SELECT instrument_id, session, expiry, CASE WHEN settle > 20 THEN settle ELSE open_ END AS price, CASE WHEN open_ > 1 THEN open_ END AS open_price FROM contracts WHERE expiry >= session")
+@query("src_fut_contracts", f"WITH {FUT_ROWS} SELECT instrument_id, session, expiry, CASE WHEN settle > 0 THEN settle ELSE close END AS price, CASE WHEN open > 0 THEN open END AS open_price FROM fc WHERE asset_class = 'STOCK' AND contract_type = 'FUT' AND expiry >= session AND session BETWEEN DATE '1993-01-01' AND DATE '2001-12-31'")
 def src_fut_contracts(v):
-    return v.contracts.where("expiry >= session").select("instrument_id", "session", "expiry", F.when(F.col("settle") > 20, F.col("settle")).otherwise(F.col("open_")).alias("price"), F.when(F.col("open_") > 1, F.col("open_")).alias("open_price"))
+    """A contract table of all kinds is written, then read."""
+    i, path = F.col("instrument_id"), readers.scratch(v.spark)
+    v.contracts.select(
+        "instrument_id", "session", "expiry", F.when(i % 4 == 0, "INDEX").otherwise("STOCK").alias("asset_class"), F.when((i + F.day("session")) % 7 == 0, "OPT").otherwise("FUT").alias("contract_type"),
+        F.when((i + F.month("session")) % 9 == 0, 0.0).otherwise(F.col("settle")).alias("settle"), (F.col("settle") * 0.5 + F.col("open_") * 0.5).alias("close"), F.when((i + F.day("session")) % 5 == 0, 0.0).otherwise(F.col("open_")).alias("open"), "oi",
+    ).write.parquet(path)
+    return readers.live_contracts(v.spark.read.parquet(path), "1993-01-01", "2001-12-31")
 
 
 @query("src_filing_meta", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN (o_orderdate::DATE + 1)::DATE ELSE o_orderdate::DATE END AS filing_date, o_orderpriority LIKE '1%' AS consolidated FROM orders WHERE o_orderkey % 20 <> 0")
@@ -163,17 +176,38 @@ def src_xbrl_categories(v):
     return t.select("id", p.alias("promoter_pct"), F.coalesce(F.col("m")["InstitutionsForeign"], F.col("m")["ForeignPortfolioInvestor"]).try_cast("double").alias("fii_pct"))
 
 
-@query("src_html_label_value", "WITH a AS (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS c FROM pages) SELECT page_id, c[1] AS label, c[2] AS value FROM a WHERE len(c) >= 2")
-def src_html_label_value(v):
-    """The cell after the first label cell of a list."""
-    cells = F.regexp_extract_all("html", F.lit("<li><a[^>]*>([^<]*)</a></li>"), F.lit(1))
-    p = v.t("pages").select("page_id", cells.alias("c")).where(F.size("c") >= 2)
-    return p.select("page_id", F.col("c")[0].alias("label"), F.col("c")[1].alias("value"))
+LABELS_SQL = """SELECT page_id, f.field, CASE WHEN page_id % 5 = 0 THEN NULL WHEN f.field = 'revenue' THEN 1000000 + page_id + 0.5 WHEN f.field = 'total_income' AND page_id % 3 > 0 THEN 2000000 + page_id
+  WHEN f.field = 'net_profit' THEN -(1000 + page_id % 1000) WHEN f.field = 'eps_basic' AND page_id % 4 > 0 THEN page_id % 100 + 0.25 END::DOUBLE AS value
+FROM pages, (VALUES ('revenue'), ('total_income'), ('total_expenses'), ('profit_before_tax'), ('net_profit'), ('eps_basic'), ('eps_diluted'), ('paidup_equity_capital'), ('reserves')) f(field)"""
 
 
-@query("src_mii_snapshot", "SELECT s_suppkey AS id, 'NSE:' || trim(s_name) || ':EQ' AS listing_id FROM supplier WHERE s_name IS NOT NULL")
+@query("src_html_label_value", LABELS_SQL)
+def src_html_label_value(v):
+    """Result tables are put at the end of the given pages, after one without the anchor; amounts have commas, losses
+    brackets, and every so often a label, an amount or the anchor is missing."""
+    k = F.col("page_id")
+    row = lambda label, value: F.concat(F.lit(f"<tr><td> {label} </td><td>"), value, F.lit("</td></tr>"))
+    table = F.concat(
+        F.lit("<table><tr><td>Total Income</td><td>7</td></tr></table><table><tr><th>Particulars</th><th>Amount</th></tr>"),
+        F.when(k % 5 != 0, row("Net Sales/Income from\n Operations", F.format_number(k + 1000000 + 0.5, 1))).otherwise(""),
+        F.when(k % 3 > 0, row("Total  Income", F.format_number(k + 2000000, 0))).otherwise(row("Total income (net)", F.lit("3"))),
+        row("<b>Net Profit</b> / (Loss) for the period", F.concat(F.lit("("), F.format_number(k % 1000 + 1000, 0), F.lit(")"))),
+        F.when(k % 4 > 0, row("Basic EPS before Extraordinary items", F.lit("n.a."))).otherwise(""),
+        row("Basic EPS for continued and discontinued operations", F.when(k % 4 > 0, F.format_number(k % 100 + 0.25, 2)).otherwise("-")),
+        F.lit("</table></body></html>"),
+    )
+    pages = v.t("pages").select("page_id", F.concat(F.regexp_replace(F.coalesce("html", F.lit("")), "</body>|</html>", ""), table).alias("html"))
+    return readers.html_label_values(pages)
+
+
+@query("src_mii_snapshot", "SELECT s_suppkey AS id, 'NSE:' || trim(s_name) || ':' || CASE WHEN s_suppkey % 5 = 0 THEN 'BE' ELSE 'EQ' END AS listing_id, 'INE' || s_suppkey AS isin FROM supplier WHERE s_name IS NOT NULL AND s_suppkey % 11 <> 0")
 def src_mii_snapshot(v):
-    return v.t("supplier").where("s_name is not null").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("NSE:"), F.trim(F.concat(F.lit(" "), "s_name", F.lit(" "))), F.lit(":EQ")).alias("listing_id"))
+    """Gzipped CSV files of the security master, with blanks around cells and symbols left out here and there."""
+    path, k = readers.scratch(v.spark), F.col("s_suppkey")
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    rows = v.t("supplier").select(k.cast("string").alias("Id"), F.when(k % 11 != 0, pad(F.col("s_name"))).alias("TckrSymb"), pad(F.when(k % 5 == 0, "BE").otherwise("EQ")).alias("SctySrs"), F.concat(F.lit("INE"), k.cast("string")).alias("ISIN"), F.lit("x").alias("FinInstrmNm"))
+    rows.write.option("header", True).option("compression", "gzip").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.security_master(v.spark, path)
 
 
 FNO = "fc AS (SELECT l_orderkey * 10 + l_linenumber AS fact_id, l_partkey % 1000 AS inst, last_day(l_shipdate::DATE) AS expiry, l_quantity FROM lineitem), mc AS (SELECT p_partkey % 1100 AS inst, count(*) AS copies, min(p_size) AS tag FROM part WHERE p_partkey % 9 > 0 GROUP BY 1)"
@@ -219,15 +253,57 @@ def src_schema_enforce(v):
     return r.agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("bad_value"), F.count_if(F.col("kind").isNull()).alias("null_kind"))
 
 
-@query("src_bar_normalize", "WITH d AS (SELECT record_id, value, revision, available_at < published_at AS causal, count(*) OVER (PARTITION BY user_id, event_type, day) AS k FROM obs) SELECT record_id, concat_ws('|', CASE WHEN value <= 5 THEN 'NON_POSITIVE' END, CASE WHEN causal THEN 'NOT_CAUSAL' END, CASE WHEN k > 4 THEN 'CROWDED_KEY' END, CASE WHEN revision > 3 THEN 'LONG_CHAIN' END, CASE WHEN record_id % 29 = 0 THEN 'UNKNOWN_INSTRUMENT' END) AS flags, NOT (value <= 5 OR causal OR record_id % 29 = 0) AS accepted FROM d")
+BAR_ROWS = """b0 AS (SELECT *, instrument_id * 7 + date_diff('day', DATE '1992-01-01', session) AS x, session::TIMESTAMP AS t FROM bars_d),
+b1 AS (SELECT x, session AS session_date, CASE WHEN x % 101 = 0 THEN NULL WHEN x % 103 = 0 THEN instrument_id + 1000 ELSE instrument_id END::BIGINT AS instrument_id,
+  CASE WHEN x % 131 = 0 THEN '' WHEN x % 113 = 0 THEN 'LX' ELSE 'L' || instrument_id END AS listing_id, CASE WHEN x % 137 = 0 THEN ' ' ELSE 'exchange' END AS source_id,
+  CASE WHEN x % 139 = 0 THEN NULL WHEN x % 149 = 0 THEN 'r' || instrument_id ELSE 'r' || instrument_id || '-' || session END AS source_record_id,
+  t + CASE WHEN x % 107 = 0 THEN INTERVAL 34 HOUR ELSE INTERVAL 10 HOUR END AS event_time, t + CASE WHEN x % 127 = 0 THEN INTERVAL 9 HOUR ELSE INTERVAL 36 HOUR END AS published_at,
+  t + CASE WHEN x % 109 = 0 THEN INTERVAL 8 HOUR ELSE INTERVAL 37 HOUR END AS retrieved_at, t + CASE WHEN x % 97 = 0 THEN INTERVAL 7 HOUR ELSE INTERVAL 38 HOUR END AS available_at,
+  CASE WHEN x % 19 = 0 OR x % 89 = 0 THEN NULL ELSE open END AS open, CASE WHEN x % 89 = 0 THEN NULL WHEN x % 83 = 0 THEN low - 1 ELSE high END AS high, CASE WHEN x % 89 = 0 THEN NULL ELSE low END AS low,
+  CASE WHEN x % 89 = 0 THEN NULL WHEN x % 79 = 0 THEN -close ELSE close END AS close, CASE WHEN x % 71 = 0 THEN NULL WHEN x % 73 = 0 THEN -volume ELSE volume END AS volume, CASE WHEN x % 67 = 0 THEN NULL ELSE turnover END AS turnover,
+  CASE WHEN x % 61 = 0 THEN 0 ELSE 1 END AS revision_number, CASE WHEN x % 59 = 0 THEN 'r0' END AS supersedes_record_id FROM b0),
+b2 AS (SELECT * EXCLUDE (x) FROM b1 UNION ALL SELECT session_date, instrument_id, listing_id, source_id, source_record_id || '-2', event_time, published_at + CASE WHEN x % 33 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END, retrieved_at + INTERVAL 1 HOUR, available_at + INTERVAL 1 HOUR, open, high, low, close, volume, turnover,
+  CASE WHEN x % 55 = 0 THEN 3 ELSE 2 END, CASE WHEN x % 22 = 0 THEN NULL ELSE source_record_id END FROM b1 WHERE x % 11 = 0),
+ls AS (SELECT DISTINCT instrument_id, 'L' || instrument_id AS listing_id FROM bars_d),
+di AS (SELECT *, count(*) OVER (PARTITION BY source_record_id) AS c1, count(*) OVER (PARTITION BY instrument_id, event_time, revision_number) AS c2 FROM b2),
+fl AS (SELECT d.*, l.instrument_id IS NOT NULL AS known, l.listing_id AS linked, EXISTS (SELECT 1 FROM b2 p WHERE p.source_record_id = d.supersedes_record_id AND p.instrument_id = d.instrument_id AND p.event_time = d.event_time AND p.revision_number = d.revision_number - 1 AND p.published_at < d.published_at) AS fits,
+  (open IS NOT NULL)::INT + (high IS NOT NULL)::INT + (low IS NOT NULL)::INT + (close IS NOT NULL)::INT AS k FROM di d LEFT JOIN ls l ON l.instrument_id = d.instrument_id),
+nm AS (SELECT *, concat_ws('|', CASE WHEN available_at < published_at THEN 'AVAILABLE_BEFORE_PUBLICATION' END, CASE WHEN c2 > 1 THEN 'DUPLICATE_REVISION_IDENTITY' END, CASE WHEN c1 > 1 THEN 'DUPLICATE_SOURCE_RECORD_ID' END,
+  CASE WHEN event_time::DATE <> session_date THEN 'EVENT_SESSION_MISMATCH' END, CASE WHEN k = 4 AND (high < greatest(open, low, close) OR low > least(open, high, close)) THEN 'IMPOSSIBLE_OHLC' END, CASE WHEN known AND listing_id <> linked THEN 'INVALID_LISTING_LINKAGE' END,
+  CASE WHEN revision_number < 1 THEN 'INVALID_REVISION_NUMBER' END, CASE WHEN (revision_number = 1 AND supersedes_record_id IS NOT NULL) OR (revision_number > 1 AND NOT fits) THEN 'INVALID_SUPERSESSION_CHAIN' END,
+  CASE WHEN instrument_id IS NULL THEN 'MISSING_INSTRUMENT_ID' END, CASE WHEN coalesce(trim(listing_id), '') = '' THEN 'MISSING_LISTING_ID' END, CASE WHEN k < 4 THEN 'MISSING_OHLC' END, CASE WHEN coalesce(trim(source_id), '') = '' THEN 'MISSING_SOURCE_ID' END,
+  CASE WHEN coalesce(trim(source_record_id), '') = '' THEN 'MISSING_SOURCE_RECORD_ID' END, CASE WHEN turnover IS NULL THEN 'MISSING_TURNOVER' END, CASE WHEN volume IS NULL THEN 'MISSING_VOLUME' END, CASE WHEN volume < 0 THEN 'NEGATIVE_VOLUME' END,
+  CASE WHEN least(open, high, low, close) <= 0 THEN 'NON_POSITIVE_PRICE' END, CASE WHEN k BETWEEN 1 AND 3 THEN 'PARTIAL_OHLC' END, CASE WHEN published_at < event_time THEN 'PUBLISHED_BEFORE_EVENT' END, CASE WHEN retrieved_at < published_at THEN 'RETRIEVED_BEFORE_PUBLICATION' END, CASE WHEN NOT known THEN 'UNRESOLVED_INSTRUMENT' END) AS flags FROM fl)"""
+
+
+def raw_bars(v):
+    """Daily bars as a source sends them, with faults of every kind by arithmetic on keys, and second revisions."""
+    x, i, s, t = F.col("x"), F.col("instrument_id"), F.col("session"), F.col("session").cast("timestamp")
+    b = v.bars_d.withColumn("x", i * 7 + F.datediff(s, F.lit("1992-01-01").cast("date")))
+    after = lambda n, odd, usual: t + F.when(x % n == 0, F.make_dt_interval(F.lit(0), F.lit(odd))).otherwise(F.make_dt_interval(F.lit(0), F.lit(usual)))
+    gone = x % 89 == 0
+    first = b.select(
+        "x", s.alias("session_date"), F.when(x % 101 == 0, None).when(x % 103 == 0, i + 1000).otherwise(i).cast("long").alias("instrument_id"),
+        F.when(x % 131 == 0, "").when(x % 113 == 0, "LX").otherwise(F.concat(F.lit("L"), i.cast("string"))).alias("listing_id"), F.when(x % 137 == 0, " ").otherwise("exchange").alias("source_id"),
+        F.when(x % 139 == 0, None).when(x % 149 == 0, F.concat(F.lit("r"), i.cast("string"))).otherwise(F.concat(F.lit("r"), i.cast("string"), F.lit("-"), s.cast("string"))).alias("source_record_id"),
+        after(107, 34, 10).alias("event_time"), after(127, 9, 36).alias("published_at"), after(109, 8, 37).alias("retrieved_at"), after(97, 7, 38).alias("available_at"),
+        F.when(gone | (x % 19 == 0), None).otherwise(F.col("open")).alias("open"), F.when(gone, None).when(x % 83 == 0, F.col("low") - 1).otherwise(F.col("high")).alias("high"), F.when(gone, None).otherwise(F.col("low")).alias("low"),
+        F.when(gone, None).when(x % 79 == 0, -F.col("close")).otherwise(F.col("close")).alias("close"), F.when(x % 71 == 0, None).when(x % 73 == 0, -F.col("volume")).otherwise(F.col("volume")).alias("volume"), F.when(x % 67 == 0, None).otherwise(F.col("turnover")).alias("turnover"),
+        F.when(x % 61 == 0, 0).otherwise(1).alias("revision_number"), F.when(x % 59 == 0, "r0").alias("supersedes_record_id"),
+    )
+    hour = F.make_dt_interval(F.lit(0), F.lit(1))
+    second = first.where(x % 11 == 0).withColumns({
+        "supersedes_record_id": F.when(x % 22 == 0, None).otherwise(F.col("source_record_id")), "source_record_id": F.concat("source_record_id", F.lit("-2")), "published_at": F.col("published_at") + F.when(x % 33 == 0, F.make_dt_interval()).otherwise(hour),
+        "retrieved_at": F.col("retrieved_at") + hour, "available_at": F.col("available_at") + hour, "revision_number": F.when(x % 55 == 0, 3).otherwise(2),
+    })
+    return first.unionByName(second).drop("x")
+
+
+@query("src_bar_normalize", f"WITH {BAR_ROWS} SELECT session_date, instrument_id, listing_id, source_record_id, revision_number, flags, flags = '' AS accepted FROM nm")
 def src_bar_normalize(v):
-    from pyspark.sql import Window
-
-    d = v.obs.withColumn("k", F.count("*").over(Window.partitionBy("user_id", "event_type", "day")))
-    rules = {"NON_POSITIVE": "value <= 5", "NOT_CAUSAL": "available_at < published_at", "CROWDED_KEY": "k > 4", "LONG_CHAIN": "revision > 3", "UNKNOWN_INSTRUMENT": "record_id % 29 = 0"}
-    flags = F.array_compact(F.array(*[F.when(F.expr(e), n) for n, e in rules.items()]))
-    blocking = F.arrays_overlap(flags, F.array(F.lit("NON_POSITIVE"), F.lit("NOT_CAUSAL"), F.lit("UNKNOWN_INSTRUMENT")))
-    return d.select("record_id", F.array_join(flags, "|").alias("flags"), (~blocking).alias("accepted"))
+    listings = v.bars_d.select("instrument_id").distinct().withColumn("listing_id", F.concat(F.lit("L"), F.col("instrument_id").cast("string")))
+    b = readers.flagged_bars(raw_bars(v), listings)
+    return b.select("session_date", "instrument_id", "listing_id", "source_record_id", "revision_number", F.array_join("flags", "|").alias("flags"), (F.size("flags") == 0).alias("accepted"))
 
 
 @query("src_object_manifest")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import ingest as st
@@ -24,8 +23,8 @@ def st_bar_ingest(v):
 @query("st_latest_revision", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def st_latest_revision(v):
     base = st.latest(stream(v).select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"], "365 days")
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("_batch"))
-    return v.spark.read.parquet(base).withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "event_type", "event_id", "value")
+    newest = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("x")
+    return v.spark.read.parquet(base).groupBy("user_id", "event_type").agg(newest).select("user_id", "event_type", "x.*")
 
 
 @query("st_quote_freshness", "SELECT date_trunc('day', ts) AS opens, event_type, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY 1, 2")

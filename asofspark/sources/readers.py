@@ -220,11 +220,103 @@ def schema_reasons(record: Column, required: dict[str, str], optional: dict[str,
     return F.array_compact(F.array(F.when(missing, "MISSING_REQUIRED_FIELDS"), F.when(bad, "TYPE_MISMATCH"), F.when(unknown, "UNKNOWN_FIELDS")))
 
 
+def delivery(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Delivered share of EQ names by day within [start, end]: bounds and columns reach the scan."""
+    rows = spark.read.parquet(path).where(F.col("session").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & (F.col("series") == "EQ"))
+    return rows.select("instrument_id", "session", "delivery_pct")
+
+
+def participant_net(positions: DataFrame, participant: str, start: str, end: str) -> DataFrame:
+    """positions (session, participant, long_qty, short_qty) -> session, net of one participant within [start, end].
+    A date that occurs twice is refused with an error."""
+    mine = positions.where((F.col("participant") == participant) & F.col("session").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    twice = mine.groupBy("session").agg(F.count("*").alias("n")).where("n > 1").orderBy("session").limit(3).collect()
+    if twice:
+        raise ValueError(f"{participant} has several rows on {[str(r['session']) for r in twice]}")
+    return mine.select("session", (F.col("long_qty") - F.col("short_qty")).alias("net"))
+
+
+def live_contracts(contracts: DataFrame, start: str, end: str) -> DataFrame:
+    """Stock futures that have not expired: price is the settlement if positive, else the close; an open of 0 or less
+    is null. Filters are on plain columns, so they reach the scan."""
+    some = contracts.where((F.col("asset_class") == "STOCK") & (F.col("contract_type") == "FUT") & (F.col("expiry") >= F.col("session")))
+    some = some.where(F.col("session").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    price = F.when(F.col("settle") > 0, F.col("settle")).otherwise(F.col("close"))
+    return some.select("instrument_id", "session", "expiry", price.alias("price"), F.when(F.col("open") > 0, F.col("open")).alias("open_price"))
+
+
+SECURITY_COLUMNS = ("Id", "TckrSymb", "SctySrs", "ISIN")
+
+
+def security_master(spark: SparkSession, path: str) -> DataFrame:
+    """Gzipped CSV snapshots of the security master -> id, listing_id, isin. A missing column is an error; rows without
+    a symbol go."""
+    df = spark.read.option("header", True).csv(path)
+    missing = [c for c in SECURITY_COLUMNS if c not in {x.strip() for x in df.columns}]
+    if missing:
+        raise ValueError(f"security master without {missing}")
+    df = df.toDF(*[c.strip() for c in df.columns])
+    cell = {c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in SECURITY_COLUMNS}
+    rows = df.select(cell["Id"].cast("long").alias("id"), F.concat(F.lit("NSE:"), cell["TckrSymb"], F.lit(":"), cell["SctySrs"]).alias("listing_id"), cell["ISIN"].alias("isin"))
+    return rows.where("listing_id is not null")
+
+
+def flagged_bars(bars: DataFrame, listings: DataFrame) -> DataFrame:
+    """Daily bars with flags, the sorted names of all 21 rules that a row breaks; rows without any are accepted.
+
+    bars: source_record_id, source_id, instrument_id, listing_id, session_date, event_time, published_at, retrieved_at,
+    available_at, open, high, low, close, volume, turnover, revision_number, supersedes_record_id. listings:
+    instrument_id, listing_id, one row each. Duplicates are found by counts per key that are joined back, and a
+    revision's parent by an equi join on record, instrument, event and number.
+    """
+    ids = bars.groupBy("source_record_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("source_record_id").alias("_dup"), F.lit(True).alias("_again"))
+    key = ["instrument_id", "event_time", "revision_number"]
+    revisions = bars.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in key], F.lit(True).alias("_same_revision"))
+    parents = bars.where("source_record_id is not null").groupBy("source_record_id", *key).agg(F.min("published_at").alias("_parent_at"))
+    parents = parents.select(F.col("source_record_id").alias("_parent"), F.col("instrument_id").alias("_p_instrument"), F.col("event_time").alias("_p_event"), (F.col("revision_number") + 1).alias("_p_next"), "_parent_at")
+    known = listings.select(F.col("instrument_id").alias("_known"), F.col("listing_id").alias("_listing"))
+    b = bars.join(ids, F.col("source_record_id").eqNullSafe(F.col("_dup")), "left")
+    b = b.join(revisions, (F.col("instrument_id").eqNullSafe(F.col("_instrument_id"))) & (F.col("event_time") == F.col("_event_time")) & (F.col("revision_number") == F.col("_revision_number")), "left")
+    b = b.join(parents, (F.col("supersedes_record_id") == F.col("_parent")) & (F.col("instrument_id") == F.col("_p_instrument")) & (F.col("event_time") == F.col("_p_event")) & (F.col("revision_number") == F.col("_p_next")), "left")
+    b = b.join(known, F.col("instrument_id") == F.col("_known"), "left")
+    prices = [F.col(c) for c in ("open", "high", "low", "close")]
+    present = sum((p.isNotNull().cast("int") for p in prices[1:]), prices[0].isNotNull().cast("int"))
+    empty = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    chain = ((F.col("revision_number") == 1) & F.col("supersedes_record_id").isNotNull()) | ((F.col("revision_number") > 1) & ~F.coalesce(F.col("_parent_at") < F.col("published_at"), F.lit(False)))
+    rules = {
+        "AVAILABLE_BEFORE_PUBLICATION": F.col("available_at") < F.col("published_at"),
+        "DUPLICATE_REVISION_IDENTITY": F.col("_same_revision"),
+        "DUPLICATE_SOURCE_RECORD_ID": F.col("_again"),
+        "EVENT_SESSION_MISMATCH": F.to_date("event_time") != F.col("session_date"),
+        "IMPOSSIBLE_OHLC": (present == 4) & ((F.col("high") < F.greatest("open", "low", "close")) | (F.col("low") > F.least("open", "high", "close"))),
+        "INVALID_LISTING_LINKAGE": F.col("_known").isNotNull() & ~F.col("_listing").eqNullSafe(F.col("listing_id")),
+        "INVALID_REVISION_NUMBER": F.col("revision_number") < 1,
+        "INVALID_SUPERSESSION_CHAIN": chain,
+        "MISSING_INSTRUMENT_ID": empty("instrument_id"),
+        "MISSING_LISTING_ID": empty("listing_id"),
+        "MISSING_OHLC": present < 4,
+        "MISSING_SOURCE_ID": empty("source_id"),
+        "MISSING_SOURCE_RECORD_ID": empty("source_record_id"),
+        "MISSING_TURNOVER": F.col("turnover").isNull(),
+        "MISSING_VOLUME": F.col("volume").isNull(),
+        "NEGATIVE_VOLUME": F.col("volume") < 0,
+        "NON_POSITIVE_PRICE": F.least(*prices) <= 0,
+        "PARTIAL_OHLC": (present > 0) & (present < 4),
+        "PUBLISHED_BEFORE_EVENT": F.col("published_at") < F.col("event_time"),
+        "RETRIEVED_BEFORE_PUBLICATION": F.col("retrieved_at") < F.col("published_at"),
+        "UNRESOLVED_INSTRUMENT": F.col("_known").isNull(),
+    }
+    return b.withColumn("flags", F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))).select(*bars.columns, "flags")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where that is unset and all
+    tasks run on this machine (tests). A cluster without the setting is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="asofspark-")
     return f"{base}/{uuid.uuid4().hex}"

@@ -17,14 +17,13 @@ def drained(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None]
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder) if path.endswith(".parquet") and not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    """A stream over a folder of Parquet files, or over one file of that name."""
+    batch = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    files = batch.inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}"):
+        return spark.readStream.schema(batch.schema).option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
+    return spark.readStream.schema(batch.schema).parquet(path)
 
 
 def ingest(events: DataFrame, reasons) -> tuple[str, str]:
@@ -43,12 +42,17 @@ def ingest(events: DataFrame, reasons) -> tuple[str, str]:
 
 
 def latest(events: DataFrame, keys: list[str], order: list[str], delay: str) -> str:
-    """Latest row per key of a stream in update mode; each batch's changed keys replace the earlier ones downstream."""
+    """Latest row per key of each batch of a stream; those of later batches replace the earlier ones downstream. What the
+    stream keeps is the event ids of the last `delay`, for dropping repeats, and nothing per key."""
     spark = events.sparkSession
     base = scratch(spark)
-    rows = events.withWatermark("ts", delay)
-    agg = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), F.struct(*order)).alias("x"))
-    drained(agg, "update", lambda batch, n: batch.select(*keys, "x.*").withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/batch={n}"))
+    rows = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    newest = F.max_by(F.struct(*[c for c in events.columns if c not in keys]), F.struct(*order)).alias("x")
+
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.groupBy(*keys).agg(newest).select(*keys, "x.*").write.mode("overwrite").parquet(f"{base}/batch={n}")
+
+    drained(rows, "append", sink)
     return base
 
 

@@ -143,3 +143,92 @@ def test_immutable_sink_refuses_to_overwrite(spark, tmp_path):
     readers.write_immutable(df, f"{tmp_path}/t")
     with pytest.raises(Exception, match="already exists"):
         readers.write_immutable(df, f"{tmp_path}/t")
+
+
+def test_duplicate_dates_are_refused(spark):
+    rows = spark.createDataFrame([("2020-01-01", "A", 5, 2), ("2020-01-01", "B", 1, 1), ("2020-01-02", "A", 1, 4)], "session string, participant string, long_qty long, short_qty long")
+    rows = rows.withColumn("session", F.to_date("session"))
+    got = readers.participant_net(rows, "A", "2020-01-01", "2020-12-31").orderBy("session").collect()
+    assert [r["net"] for r in got] == [3, -3]
+    with pytest.raises(ValueError, match="2020-01-01"):
+        readers.participant_net(rows.unionByName(rows), "A", "2020-01-01", "2020-12-31")
+    assert readers.participant_net(rows.unionByName(rows), "A", "2021-01-01", "2021-12-31").count() == 0
+
+
+def test_security_master_needs_its_columns(spark, tmp_path):
+    spark.createDataFrame([("1", "ABC", "EQ")], "Id string, TckrSymb string, SctySrs string").write.option("header", True).option("compression", "gzip").csv(str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="ISIN"):
+        readers.security_master(spark, str(tmp_path / "m"))
+
+
+def test_bounds_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(1, "EQ", 5.0, 1.0)], "instrument_id int, series string, delivery_pct double, turnover double").withColumn("session", F.lit("2020-01-05").cast("date")).write.parquet(path)
+    df = readers.delivery(spark, path, "2020-01-01", "2020-02-01")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)  # the plan shows all pushed filters
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(session,2020-01-01)" in plan and "EqualTo(series,EQ)" in plan and "turnover" not in plan
+    assert df.count() == 1
+
+
+def test_every_flag_of_daily_bars_occurs(spark):
+    from asofspark.plans.registry import QUERIES
+
+    got = QUERIES["src_bar_normalize"](spark, SF)
+    flags = {r["f"] for r in got.select(F.explode(F.split("flags", r"\|")).alias("f")).distinct().collect()} - {""}
+    assert len(flags) == 21 and got.where("accepted").count() > 1000
+
+
+def test_exit_grid_is_first_touch_by_cell(spark):
+    from asofspark.operators import labels
+    from asofspark.plans.views import Views
+
+    v = Views(spark, SF)
+    picks = v.picks.where("sidx % 5 = 0").cache()
+    cells = labels.first_touch_grid(picks, v.grid_w, [3, 6], [5.0, 10.0], [1.0, 2.0]).cache()
+    for h, s, r in ((3, 5.0, 1.0), (6, 10.0, 2.0), (6, 5.0, 2.0)):
+        want = labels.first_touch(picks, v.grid_w, h, s, s * r).select("instrument_id", "sidx", "exit_reason", "gross_pct")
+        got = cells.where((F.col("hold") == h) & (F.col("stop_pct") == s) & (F.col("rr") == r)).select(want.columns)
+        assert got.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_counts_before_over_range_partitions(spark):
+    import random
+
+    from asofspark.operators.ranks import with_counts_before
+
+    r = random.Random(4)
+    rows = [(r.randint(0, 40), i, r.randint(0, 3)) for i in range(500)]
+    got = with_counts_before(spark.createDataFrame(rows, "x int, i int, w int").repartition(6), ["x", "i"], F.col("w")).collect()
+    done, total = 0, sum(w for _, _, w in rows)
+    want = {}
+    for x, i, w in sorted(rows):
+        want[i] = done
+        done += w
+    assert {g["i"]: g["before"] for g in got} == want and all(g["total"] == total for g in got)
+
+
+def test_folds_reach_the_calendars_end(spark):
+    from asofspark.plans.evidence import folds
+    from asofspark.plans.views import Views
+
+    v = Views(spark, SF)
+    last = v.cal_w.count()
+    f = folds(v).orderBy("fold").collect()
+    assert f[0]["valid_from"] == 100 and f[-1]["valid_to"] == last
+    assert all(a["valid_to"] + 1 == b["valid_from"] for a, b in zip(f, f[1:])) and all(a["train_to"] == a["valid_from"] - 6 for a in f)
+
+
+def test_altered_chains_are_found(spark):
+    from asofspark.plans.registry import QUERIES
+
+    got = {r["event_id"]: r["fault"] for r in QUERIES["wn_hash_chain"](spark, SF).collect()}
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert got == {i: "LINK" if i % 101 == 0 else "CONTENT" for i in range(n) if i % 101 == 0 or i % 103 == 0}
+
+
+def test_nearest_rows_make_no_product(spark):
+    from asofspark.plans.registry import QUERIES
+
+    plan = QUERIES["ag_neighbor_calibration"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -71,25 +71,31 @@ def first_touch_grid(picks: DataFrame, grid: DataFrame, holds: list[int], stops:
     path = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most + 1)))).withColumn("at", F.col("sidx") + F.col("k"))
     bars = grid.select("instrument_id", F.col("sidx").alias("at"), "open", "high", "low")
     seen = path.join(bars, ["instrument_id", "at"], "left")
-    level = lambda pct: F.col("entry_open") * F.lit(1 + pct / 100)
     both = F.col("high").isNotNull() & F.col("low").isNotNull()
     pairs = [(s, r) for s in stops for r in rewards]
-    first = lambda hit, name: F.min(F.when(both & hit, F.col("k"))).alias(name)
+    first = lambda hit: F.min(F.when(both & hit, F.col("k")))
     reduced = seen.groupBy("instrument_id", "sidx", "entry_open").agg(
-        *[first(F.col("low") <= F.col("entry_open") * F.lit(1 - s / 100), f"s{i}") for i, s in enumerate(stops)],
-        *[first(F.col("high") >= level(s * r), f"t{i}") for i, (s, r) in enumerate(pairs)],
-        *[F.max(F.when((F.col("k") == h + 1) & (F.col("open") > 0), F.col("open"))).alias(f"o{i}") for i, h in enumerate(holds)],
+        F.array(*[first(F.col("low") <= F.col("entry_open") * F.lit(1 - s / 100)) for s in stops]).alias("s"),
+        F.array(*[first(F.col("high") >= F.col("entry_open") * F.lit(1 + s * r / 100)) for s, r in pairs]).alias("t"),
+        F.array(*[F.max(F.when((F.col("k") == h + 1) & (F.col("open") > 0), F.col("open"))) for h in holds]).alias("o"),
+    )
+    # a cell's parameters and first touches are looked up by its number: written out, the cells outgrow generated code
+    cell = F.explode(F.sequence(F.lit(0), F.lit(len(holds) * len(pairs) - 1)))
+    pair, hold = F.col("cell") % len(pairs), F.expr(f"cell div {len(pairs)}").cast("int")
+    given = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i)
+    c = reduced.withColumn("cell", cell).select(
+        "instrument_id", "sidx", "entry_open", given(holds, hold).alias("hold"), F.get("o", hold).alias("late"),
+        given([float(s) for s, _ in pairs], pair).alias("stop_pct"), given([float(r) for _, r in pairs], pair).alias("rr"),
+        F.get("s", F.expr(f"cell % {len(pairs)} div {len(rewards)}").cast("int")).alias("stop"), F.get("t", pair).alias("target"),
+        (F.col("entry_open") * given([1 - s / 100 for s, _ in pairs], pair)).alias("stop_at"),
+        (F.col("entry_open") * given([1 + s * r / 100 for s, r in pairs], pair)).alias("target_at"),
     )
-    cells = []
-    for a, h in enumerate(holds):
-        for b, (s, r) in enumerate(pairs):
-            stop, target, late = F.col(f"s{b // len(rewards)}"), F.col(f"t{b}"), F.col(f"o{a}")
-            stopped = (stop <= h) & (target.isNull() | (stop <= target))
-            hit = target <= h
-            reason = F.when(stopped, "stop").when(hit, "target").when(late.isNotNull(), "time").otherwise("unresolved")
-            price = F.when(stopped, F.col("entry_open") * F.lit(1 - s / 100)).when(hit, level(s * r)).otherwise(late)
-            cells.append(F.struct(F.lit(h).alias("hold"), F.lit(float(s)).alias("stop_pct"), F.lit(float(r)).alias("rr"), reason.alias("exit_reason"), F.round((price / F.col("entry_open") - 1) * 100, 6).alias("gross_pct")))
-    return reduced.select("instrument_id", "sidx", F.inline(F.array(*cells)))
+    stopped = (F.col("stop") <= F.col("hold")) & (F.col("target").isNull() | (F.col("stop") <= F.col("target")))
+    hit = F.col("target") <= F.col("hold")
+    reason = F.when(stopped, "stop").when(hit, "target").when(F.col("late").isNotNull(), "time").otherwise("unresolved")
+    price = F.when(stopped, F.col("stop_at")).when(hit, F.col("target_at")).otherwise(F.col("late"))
+    gross = F.round((price / F.col("entry_open") - 1) * 100, 6)
+    return c.select("instrument_id", "sidx", "hold", "stop_pct", "rr", reason.alias("exit_reason"), gross.alias("gross_pct"))
 
 
 def non_overlapping(trades: DataFrame) -> DataFrame:

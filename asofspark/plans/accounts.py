@@ -262,9 +262,10 @@ def ag_health_rollup(v):
     return v.t("events").select("event_type", F.explode(quality_reasons()).alias("reason")).groupBy("event_type", "reason").agg(F.count("*").alias("n"))
 
 
-@query("ag_quality_diagnostics", "WITH x AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) SELECT CASE WHEN x.user_id IS NULL THEN 'EXPECTED_GAP' WHEN c.c_custkey IS NULL THEN 'UNEXPECTED' ELSE 'PRESENT' END AS state, count(*) AS identities, coalesce(sum(n), 0)::BIGINT AS quotes FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 120) c FULL JOIN x ON x.user_id = c.c_custkey GROUP BY 1")
+@query("ag_quality_diagnostics", "WITH x AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT CASE WHEN x.user_id IS NULL THEN 'EXPECTED_GAP' WHEN c.c_custkey IS NULL THEN 'UNEXPECTED' ELSE 'PRESENT' END AS state, count(*) AS identities, coalesce(sum(n), 0)::BIGINT AS quotes FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c FULL JOIN x ON x.user_id = c.c_custkey GROUP BY 1")
 def ag_quality_diagnostics(v):
-    x = v.t("events").where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("n"))
-    c = v.t("customer").where("c_custkey <= 120").select("c_custkey")
+    """Accounts with money are expected to quote: identities by whether they should and do."""
+    x = v.t("events").groupBy("user_id").agg(F.count("*").alias("n"))
+    c = v.t("customer").where("c_acctbal > 0").select("c_custkey")
     state = F.when(F.col("user_id").isNull(), "EXPECTED_GAP").when(F.col("c_custkey").isNull(), "UNEXPECTED").otherwise("PRESENT")
     return c.join(x, F.col("user_id") == F.col("c_custkey"), "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("identities"), F.coalesce(F.sum("n"), F.lit(0)).alias("quotes"))

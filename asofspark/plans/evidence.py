@@ -11,6 +11,7 @@ from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
 R8 = lambda c, name: F.round(c, 8).alias(name)
+R9 = lambda c, name: F.round(c, 9).alias(name)
 
 PRED = "pd AS (SELECT o.instrument_id, o.sidx, o.session, o.excess_pct, o.net_pct, b.close AS f1, b.volume AS f2, b.high - b.low AS f3, (o.sidx * 37 + o.instrument_id * 11) % 101 / 100.0::DOUBLE AS score FROM outcomes o LEFT JOIN bars_w b USING (instrument_id, session) WHERE o.status = 'RESOLVED')"
 
@@ -159,21 +160,26 @@ def ag_linear_fit(v):
     return p.crossJoin(F.broadcast(mo)).select("instrument_id", "sidx", F.round(fitted, 4).alias("fitted"))  # one row of moments
 
 
-PV = "pv AS (SELECT instrument_id AS id, (instrument_id * 7919 + 13) % 97 / 1000.0 AS p FROM (SELECT DISTINCT instrument_id FROM picks))"
+PV = """pv AS (SELECT instrument_id AS id, round(CASE WHEN t > 0 THEN exp(-t * t / 2) ELSE 1 END, 9) AS p FROM (
+  SELECT instrument_id, avg(net_pct) / nullif(stddev_samp(net_pct) / sqrt(count(net_pct)), 0) AS t FROM trades GROUP BY 1))"""
 
 
 @query("ag_holm", f"WITH {PV}, o AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM pv), t AS (SELECT *, p <= 0.05 / (m - i + 1) AS pass FROM o) SELECT id, p::DOUBLE AS p, i, bool_and(pass) OVER (ORDER BY i) AS rejected FROM t")
 def ag_holm(v):
-    """Step-down over a table of hypotheses (one row each): the first failure ends the rejections."""
-    pv = v.picks.select(F.col("instrument_id").alias("id")).distinct().withColumn("p", (F.col("id") * 7919 + 13) % 97 / 1000.0)
+    """Step-down over a table of hypotheses (one row each): the first failure ends the rejections. A hypothesis is that
+    an instrument's mean net outcome is not above 0; its p is the bound exp(-t * t / 2) of the normal tail beyond its t,
+    and 1 where t is missing or not above 0."""
+    t = F.try_divide(F.avg("net_pct"), F.stddev_samp("net_pct") / F.sqrt(F.count("net_pct")))
+    pv = v.trades.groupBy(F.col("instrument_id").alias("id")).agg(t.alias("t"))
+    pv = pv.select("id", R9(F.when(F.col("t") > 0, F.exp(-F.col("t") * F.col("t") / 2)).otherwise(1.0), "p"))
     o = pv.withColumns({"i": F.row_number().over(Window.orderBy("p", "id")), "m": F.count("*").over(Window.partitionBy())})
     o = o.withColumn("pass", F.col("p") <= 0.05 / (F.col("m") - F.col("i") + 1))
     return o.select("id", "p", "i", F.bool_and("pass").over(Window.orderBy("i")).alias("rejected"))
 
 
-@query("ag_attempt_ledger", "SELECT DISTINCT p.instrument_id FROM (SELECT instrument_id FROM bars_w) p ANTI JOIN (SELECT instrument_id FROM picks WHERE sidx < 4) a USING (instrument_id)")
+@query("ag_attempt_ledger", "SELECT DISTINCT p.instrument_id FROM (SELECT instrument_id FROM bars_w) p ANTI JOIN (SELECT instrument_id FROM picks WHERE sidx < 100) a USING (instrument_id)")
 def ag_attempt_ledger(v):
-    return v.bars_w.select("instrument_id").distinct().join(v.picks.where("sidx < 4"), "instrument_id", "left_anti")
+    return v.bars_w.select("instrument_id").distinct().join(v.picks.where("sidx < 100"), "instrument_id", "left_anti")
 
 
 @query("ag_baselines", "WITH d AS (SELECT sidx, avg(net_pct) AS m, avg(bench_pct) AS b FROM outcomes WHERE status = 'RESOLVED' GROUP BY sidx) SELECT round(avg(b), 6) AS benchmark, round(avg(m), 6) AS universe FROM d")

@@ -24,11 +24,7 @@ top AS (SELECT instrument_id, session, sidx FROM mo WHERE ret IS NOT NULL QUALIF
 SELECT o.session, count(*) AS n, round(avg(net_pct), 8) AS mean_net, round(avg(excess_pct), 8) AS mean_excess FROM (SELECT t.session, x.open / e.open, round((x.open / e.open - 1) * 100 - 0.25, 6) AS net_pct, round((x.open / e.open - 1) * 100 - 0.25 - (bx.bench / be.bench - 1) * 100, 6) AS excess_pct
   FROM top t JOIN grid_w e ON e.instrument_id = t.instrument_id AND e.sidx = t.sidx + 1 JOIN grid_w x ON x.instrument_id = t.instrument_id AND x.sidx = t.sidx + 5 JOIN bench_w be ON be.session = e.session JOIN bench_w bx ON bx.session = x.session WHERE e.open > 0 AND x.open > 0) o GROUP BY o.session""")
 def flagship_momentum_economics(v):
-    from ..operators import features as fx
-
-    ranks = v.grid_w.select("instrument_id", "session", "sidx", F.round(fx.trailing_return(F.col("close"), 52, 4), 9).alias("ret"))
-    picks = fx.rank_select(ranks, "ret", 0.2).where("selected").select("instrument_id", "session", "sidx")
-    o = labels.fixed_horizon(picks, v.grid_w, v.bench_w, 4).where("status = 'RESOLVED'")
+    o = v.outcomes.where("status = 'RESOLVED'")
     return o.groupBy("session").agg(F.count("*").alias("n"), F.round(F.avg("net_pct"), 8).alias("mean_net"), F.round(F.avg("excess_pct"), 8).alias("mean_excess"))
 
 
@@ -261,7 +257,9 @@ def ag_trade_context(v):
     t = v.trades.where("net_pct is not null").join(sector_peers(v).select("instrument_id", "sidx", "peer_pct"), ["instrument_id", "sidx"], "left")
     t = t.join(regimes(v).withColumnRenamed("session", "entry_session"), "entry_session").join(breadth(v), "sidx", "left")
     r4 = lambda c, n: F.round(F.avg(c), 4).alias(n)
-    return t.groupBy("instrument_id", "regime").agg(F.count("*").alias("n"), r4("net_pct", "own"), r4("bench_pct", "bench"), r4("peer_pct", "peers"), F.round(F.avg((F.col("excess_pct") > 0).cast("double")) * 100, 4).alias("beats_pct"), r4("breadth", "breadth"))
+    # sums of six-digit numbers are exact, so that a mean halfway between two roundings does not hang on their order
+    exact = lambda c, n: F.round(F.sum(F.col(c).cast("decimal(18,6)")).cast("double") / F.count(c), 4).alias(n)
+    return t.groupBy("instrument_id", "regime").agg(F.count("*").alias("n"), exact("net_pct", "own"), exact("bench_pct", "bench"), r4("peer_pct", "peers"), F.round(F.avg((F.col("excess_pct") > 0).cast("double")) * 100, 4).alias("beats_pct"), r4("breadth", "breadth"))
 
 
 @query("ag_buy_hold_span", "WITH s AS (SELECT instrument_id, min(entry_session) AS a, max(exit_session) AS b FROM trades WHERE net_pct IS NOT NULL GROUP BY 1) SELECT s.instrument_id, a AS first_entry, b AS last_exit, round((x.open / e.open - 1) * 100, 6) AS hold_pct, round((bx.bench / be.bench - 1) * 100, 6) AS bench_pct FROM s JOIN bars_w e ON e.instrument_id = s.instrument_id AND e.session = a JOIN bars_w x ON x.instrument_id = s.instrument_id AND x.session = b JOIN bench_w be ON be.session = a JOIN bench_w bx ON bx.session = b")

@@ -126,8 +126,12 @@ class Views:
 
     @cached_property
     def picks(self) -> DataFrame:
-        """Decisions by an arithmetic rule, to feed labelling and evidence: one in eleven cells of the weekly grid."""
-        return self.grid_w.where((F.col("sidx") * 7 + F.col("instrument_id") * 13) % 11 == 0).select("instrument_id", "session", "sidx")
+        """Decisions that feed labelling and evidence: each week the fifth of the instruments (one at least) with the
+        highest return from 56 to 4 sessions before."""
+        from ..operators import features as fx
+
+        ranks = self.grid_w.select("instrument_id", "session", "sidx", F.round(fx.trailing_return(F.col("close"), 52, 4), 9).alias("ret"))
+        return fx.rank_select(ranks, "ret", 0.2).where("selected").select("instrument_id", "session", "sidx")
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -181,7 +185,10 @@ VIEW_SQL = {
       max(price) AS settle, min(price) AS open_, sum(l_quantity) AS oi FROM fills GROUP BY ALL""",
     "journal": """SELECT l_orderkey AS event_id, l_returnflag AS account, l_extendedprice::DECIMAL(18,2) AS debit,
       (CASE WHEN l_orderkey % 11 = 0 AND l_linenumber = 1 THEN l_extendedprice::DECIMAL(18,2) + 0.01 ELSE l_extendedprice::DECIMAL(18,2) END)::DECIMAL(18,2) AS credit FROM lineitem""",
-    "picks": "SELECT instrument_id, session, sidx FROM grid_w WHERE (sidx * 7 + instrument_id * 13) % 11 = 0",
+    "picks": """SELECT instrument_id, session, sidx FROM (SELECT instrument_id, session, sidx,
+      round(CASE WHEN lag(close, 56) OVER w > 0 THEN lag(close, 4) OVER w / lag(close, 56) OVER w - 1 END, 9) AS ret
+      FROM grid_w WINDOW w AS (PARTITION BY instrument_id ORDER BY sidx)) WHERE ret IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY sidx ORDER BY ret DESC, instrument_id) <= greatest(1, ceil(count(*) OVER (PARTITION BY sidx) * 0.2))""",
     "outcomes": f"""SELECT p.instrument_id, p.session, p.sidx, e.session AS entry_session, x.session AS exit_session, e.open AS entry_open, x.open AS exit_open,
       CASE WHEN ce.session IS NULL OR cx.session IS NULL THEN 'RIGHT_CENSORED' WHEN e.open IS NULL THEN 'MISSING_ENTRY'
            WHEN x.open IS NULL THEN 'MISSING_EXIT' WHEN e.open <= 0 OR x.open <= 0 THEN 'UNFILLABLE_PRICE' ELSE 'RESOLVED' END AS status,

@@ -1,7 +1,9 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
+from .chat import OP12_SQL, op12_chat_format
 from .decontaminate import OP10_SQL, op10_decontamination
 from .html_text import op6_html_text
+from .infilling import OP11_SQL, op11_fill_in_middle
 from .langid import op9_language_id
 from .licenses import op4_license_scan
 from .media import op5_avi_media
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_chat_format": op12_chat_format,
 }
 
-SQL = {"op8_source_mixing": OP8_SQL, "op10_decontamination": OP10_SQL}
+SQL = {"op8_source_mixing": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_chat_format": OP12_SQL}

@@ -2,6 +2,7 @@
 
 from .chat import OP12_SQL, op12_chat_format
 from .decontaminate import OP10_SQL, op10_decontamination
+from .divergence import OP13_SQL, op13_source_divergence
 from .html_text import op6_html_text
 from .infilling import OP11_SQL, op11_fill_in_middle
 from .langid import op9_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_chat_format": op12_chat_format,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-SQL = {"op8_source_mixing": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_chat_format": OP12_SQL}
+SQL = {"op8_source_mixing": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_source_divergence": OP13_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.sweeps import interval_matches, with_next
 from .registry import query
 
 CUT = "2024-01-20"
@@ -102,15 +103,10 @@ RESOLVE = f"{ASK}, rz AS (SELECT ask_id, count(a.alias_id) AS n, min(a.entity_id
 
 
 def resolved(v):
-    """Interval join on symbol and date. Intervals are put out by month and joined on (symbol, month), so that a
-    symbol with many aliases and requests is matched within months only; the bounds are then checked."""
-    latest = asks(v).agg(F.max("d").alias("latest"))  # open intervals need no months after the last request
-    last = F.coalesce("valid_to", "latest")
-    months = F.sequence(F.trunc("valid_from", "month"), F.greatest(F.trunc(last, "month"), F.trunc("valid_from", "month")), F.expr("interval 1 month"))
-    a = v.aliases.crossJoin(F.broadcast(latest)).select("symbol", "alias_id", "entity_id", "valid_from", "valid_to", F.explode(months).alias("month"))
-    q = asks(v).withColumn("month", F.trunc("d", "month"))
-    hit = q.join(a, ["symbol", "month"]).where("valid_from <= d and (valid_to is null or d < valid_to)")
-    found = hit.groupBy("ask_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity"))
+    """Matches of requests and alias intervals of their symbol, found by a plane sweep: rows formed are matches."""
+    points = asks(v).select(F.col("symbol").alias("key"), F.col("d").alias("at"), F.col("ask_id").alias("point_id"))
+    a = v.aliases.select(F.col("symbol").alias("key"), F.col("valid_from").alias("start"), F.col("valid_to").alias("end"), F.col("alias_id").alias("interval_id"), F.col("entity_id").alias("value"))
+    found = interval_matches(points, a).groupBy(F.col("point_id").alias("ask_id")).agg(F.count("*").alias("n"), F.min("value").alias("entity"))
     return asks(v).select("ask_id").join(found, "ask_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -134,8 +130,7 @@ def jn_identity_cascade(v):
 
 @query("wn_alias_overlap", "SELECT alias_id, nxt FROM (SELECT alias_id, valid_to, lead(alias_id) OVER w AS nxt, lead(valid_from) OVER w AS nf FROM aliases WINDOW w AS (PARTITION BY symbol ORDER BY valid_from, alias_id)) WHERE nf < valid_to")
 def wn_alias_overlap(v):
-    w = Window.partitionBy("symbol").orderBy("valid_from", "alias_id")
-    a = v.aliases.select("alias_id", "valid_to", F.lead("alias_id").over(w).alias("nxt"), F.lead("valid_from").over(w).alias("nf"))
+    a = with_next(v.aliases.select("symbol", "alias_id", "valid_from", "valid_to"), ["symbol"], ["valid_from", "alias_id"], {"nxt": "alias_id", "nf": "valid_from"})
     return a.where("nf < valid_to").select("alias_id", "nxt")
 
 

@@ -101,12 +101,14 @@ class Views:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        w = Window.partitionBy("symbol").orderBy("valid_from", "alias_id")
+        from ..operators.sweeps import with_next
+
         rows = self.t("orders").select(
             F.col("o_orderkey").alias("alias_id"), (F.col("o_custkey") % 50).alias("symbol"), F.col("o_custkey").alias("entity_id"), F.to_date("o_orderdate").alias("valid_from")
         )
-        ends = F.lead("valid_from").over(w)
-        return rows.withColumn("valid_to", F.when(F.col("alias_id") % 97 == 0, F.date_add(ends, 5)).otherwise(ends))
+        ends = F.col("ends")
+        rows = with_next(rows, ["symbol"], ["valid_from", "alias_id"], {"ends": "valid_from"})
+        return rows.withColumn("valid_to", F.when(F.col("alias_id") % 97 == 0, F.date_add(ends, 5)).otherwise(ends)).drop("ends")
 
     @cached_property
     def contracts(self) -> DataFrame:

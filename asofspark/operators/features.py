@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import wilder
+
+
 def BY():
     return Window.partitionBy("instrument_id").orderBy("sidx")
 
@@ -53,21 +56,8 @@ def causal_percentile(x: Column, n: int, by=None) -> Column:
 
 
 def ewm_over_gaps(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    """Wilder average (weight 1/n): after k missing sessions the old value decays k + 1 times; missing sessions carry
-    the last value once n observations are in. An ordered fold of each instrument's sessions."""
-    a = 1.0 / n
-    rows = F.array_sort(F.collect_list(F.struct("sidx", F.col(x).alias("x"))))
-    state = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("gap"), F.lit(0).alias("n"), F.array().cast("array<struct<sidx:int,y:double>>").alias("o"))
-
-    def step(s, r):
-        keep = F.pow(F.lit(1 - a), s["gap"] + 1)
-        y = F.when(r["x"].isNull(), s["y"]).when(s["y"].isNull(), r["x"]).otherwise((keep * s["y"] + a * r["x"]) / (keep + a))
-        seen = s["n"] + F.when(r["x"].isNull(), 0).otherwise(1)
-        shown = F.struct(r["sidx"].cast("int").alias("sidx"), F.when(seen >= n, y).alias("y"))
-        return F.struct(y.alias("y"), F.when(r["x"].isNull(), s["gap"] + 1).otherwise(0).alias("gap"), seen.alias("n"), F.concat(s["o"], F.array(shown)).alias("o"))
-
-    folded = df.groupBy("instrument_id").agg(rows.alias("r")).select("instrument_id", F.explode(F.aggregate("r", state, step, lambda s: s["o"])).alias("e"))
-    return df.join(folded.select("instrument_id", F.col("e.sidx").alias("sidx"), F.col("e.y").alias(out)), ["instrument_id", "sidx"], "left")
+    """df with the Wilder average of x (weight 1/n) for each instrument, over missing sessions: see ordered.wilder."""
+    return wilder(df, "instrument_id", "sidx", x, {out: n})
 
 
 def with_actions(grid: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import not_overlapping
+
 
 def fixed_horizon(picks: DataFrame, grid: DataFrame, bench: DataFrame, horizon: int, cost_pct: float = 0.25) -> DataFrame:
     """Entry at the next session's open, exit at the open `horizon` sessions later, less costs and the benchmark.
@@ -101,18 +103,10 @@ def first_touch_grid(picks: DataFrame, grid: DataFrame, holds: list[int], stops:
 def non_overlapping(trades: DataFrame) -> DataFrame:
     """Trades (instrument_id, sidx, exit_sidx or null) that start at or after the exit of the last one taken.
 
-    A trade without an exit blocks all later ones. State is per instrument: an ordered fold over its trades, which are
-    as many as its sessions at most.
+    A trade without an exit blocks all later ones. A fold over each instrument's trades in order holds the exit of the
+    last one taken and nothing else.
     """
-    steps = F.array_sort(F.collect_list(F.struct("sidx", F.coalesce("exit_sidx", F.lit(1 << 30)).cast("int").alias("exit"))))
-    zero = F.struct(F.lit(-1).alias("busy"), F.array().cast("array<int>").alias("taken"))
-
-    def step(acc, x):
-        free = x["sidx"] >= acc["busy"]
-        return F.struct(F.when(free, x["exit"]).otherwise(acc["busy"]).alias("busy"), F.when(free, F.concat(acc["taken"], F.array(x["sidx"]))).otherwise(acc["taken"]).alias("taken"))
-
-    folded = trades.select("instrument_id", F.col("sidx").cast("int"), "exit_sidx").groupBy("instrument_id").agg(steps.alias("s"))
-    return folded.select("instrument_id", F.explode(F.aggregate("s", zero, step, lambda a: a["taken"])).alias("sidx"))
+    return not_overlapping(trades, ["instrument_id"], "sidx", "exit_sidx", ["sidx"])
 
 
 def excursions(picks: DataFrame, grid: DataFrame, horizon: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.costs import delivery_leg, futures_leg
+from ..operators.ordered import average_cost, sealed, verified
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -81,27 +82,12 @@ st AS (SELECT instrument_id, 0::BIGINT AS i, 0::BIGINT AS held, 0::BIGINT AS cos
 @query("wn_running_cost", f"WITH RECURSIVE {RUNNING} SELECT instrument_id, held, (cost / 1000000.0)::DOUBLE AS cost, (realised / 1000000.0)::DOUBLE AS realised FROM st QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY i DESC) = 1")
 def wn_running_cost(v):
     """Weighted-average cost and realised profit per instrument in event order, with dividends on what is held, then
-    splits, then fills: an ordered fold in whole millionths. A fold's state is one struct; the events of an instrument
-    are those of its sessions, one bar each."""
-    big = lambda x: F.lit(x).cast("long")
-    event = F.struct(
-        "sidx", F.when(F.col("sidx") % 3 == 0, big(-50)).otherwise(big(40)).alias("qty"), F.floor(F.col("close") * 1000000 + 0.5).cast("long").alias("price"),
-        F.when(F.col("sidx") % 29 == 0, big(2)).otherwise(big(1)).alias("split"), F.when(F.col("sidx") % 31 == 0, big(500000)).otherwise(big(0)).alias("dividend"),
-    )
-    zero = F.struct(big(0).alias("held"), big(0).alias("cost"), big(0).alias("realised"))
-    div = lambda a, b: F.call_function("div", a, b)
-
-    def step(s, e):
-        paid = s["realised"] + s["held"] * e["dividend"]
-        held, cost = s["held"] * e["split"], div(s["cost"] + e["split"] - 1, e["split"])
-        buy, sold = e["qty"] > 0, F.least(-e["qty"], held)
-        more = held + e["qty"]
-        mean = div(cost * held + e["price"] * e["qty"] + div(more, big(2)), F.when(buy, more).otherwise(big(1)))
-        return F.struct(F.when(buy, more).otherwise(held - sold).alias("held"), F.when(buy, mean).otherwise(cost).alias("cost"), F.when(buy, paid).otherwise(paid + (e["price"] - cost) * sold).alias("realised"))
-
-    g = v.grid_w.where("close is not null").groupBy("instrument_id").agg(F.array_sort(F.collect_list(event)).alias("e"))
-    s = g.select("instrument_id", F.aggregate("e", zero, step).alias("s"))
-    return s.select("instrument_id", F.col("s.held").alias("held"), (F.col("s.cost") / 1000000.0).alias("cost"), (F.col("s.realised") / 1000000.0).alias("realised"))
+    splits, then fills: a streamed fold in whole millionths."""
+    at = lambda n, then, other: F.when(F.col("sidx") % n == 0, then).otherwise(other).cast("long")
+    price = F.floor(F.col("close") * 1000000 + 0.5).cast("long")
+    events = v.grid_w.where("close is not null").select("instrument_id", "sidx", price.alias("price"), at(3, -50, 40).alias("qty"), at(29, 2, 1).alias("split"), at(31, 500000, 0).alias("dividend"))
+    s = average_cost(events, ["instrument_id"], ["sidx"])
+    return s.select("instrument_id", "held", (F.col("cost") / 1000000.0).alias("cost"), (F.col("realised") / 1000000.0).alias("realised"))
 
 
 CHAIN = """e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -111,26 +97,12 @@ ch AS (SELECT user_id, i, event_id, NULL::VARCHAR AS prior, md5(event_id::VARCHA
 @query("wn_hash_chain", f"WITH RECURSIVE {CHAIN} SELECT event_id, prior AS expected, CASE WHEN event_id % 101 = 0 THEN 'LINK' WHEN event_id % 103 = 0 THEN 'CONTENT' END AS fault FROM ch WHERE event_id % 101 = 0 OR event_id % 103 = 0")
 def wn_hash_chain(v):
     """Each user's events are sealed in a chain, hash = md5(previous hash, event); some links and hashes are then
-    altered. The check recomputes both: a stored link must be the hash of the event before, as recomputed from there,
-    and a stored hash that of link and event."""
-    x = F.struct("ts", "event_id")
-    g = v.t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(x)).alias("e"))
-    text = lambda c: c.cast("string")
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<event_id:long,prior:string,h:string>>").alias("out"))
-
-    def seal(s, e):
-        h = F.md5(F.concat(F.coalesce(s["last"], F.lit("")), text(e["event_id"])).cast("binary"))
-        row = F.struct(e["event_id"].cast("long").alias("event_id"), s["last"].alias("prior"), h.alias("h"))
-        return F.struct(h.alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    sealed = g.select("user_id", F.posexplode(F.aggregate("e", zero, seal, lambda s: s["out"])).alias("i", "r")).select("user_id", "i", "r.*")
+    altered. The check recomputes both, in one pass over a user's events that holds one hash."""
+    order = ["ts", "event_id"]
+    e = v.t("events").select("user_id", *order, F.col("event_id").cast("string").alias("content"))
     broken, forged = F.col("event_id") % 101 == 0, (F.col("event_id") % 103 == 0) & (F.col("event_id") % 101 != 0)
-    stored = sealed.select("user_id", "i", "event_id", F.when(broken, "broken").otherwise(F.col("prior")).alias("previous"), F.when(forged, "forged").otherwise(F.col("h")).alias("hash"), F.col("h").alias("true_hash"))
-    expected = F.lag("true_hash").over(Window.partitionBy("user_id").orderBy("i"))
-    checked = stored.withColumn("expected", expected)
-    again = F.md5(F.concat(F.coalesce("expected", F.lit("")), text(F.col("event_id"))).cast("binary"))
-    fault = F.when(~F.col("previous").eqNullSafe(F.col("expected")), "LINK").when(F.col("hash") != again, "CONTENT")
-    return checked.select("event_id", "expected", fault.alias("fault")).where("fault is not null")
+    stored = sealed(e, ["user_id"], order, "content").withColumns({"previous": F.when(broken, "broken").otherwise(F.col("previous")), "hash": F.when(forged, "forged").otherwise(F.col("hash"))})
+    return verified(stored, ["user_id"], order, "content").select("event_id", "expected", "fault")
 
 
 @query("ag_ledger_counts", "SELECT account, event_id % 3 AS stage, count(*) AS n, sum(debit)::DECIMAL(20,2) AS debits FROM journal GROUP BY GROUPING SETS ((account), (event_id % 3), (account, event_id % 3), ())")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.features import over_last
+from ..operators.ordered import not_overlapping
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -107,17 +108,7 @@ TAKEN = CAND + ", tk AS (SELECT a, b, min(entry) AS entry FROM cn GROUP BY 1, 2
 
 def events(v):
     """One open position per pair: an ordered fold of a pair's candidates."""
-    c = candidates(v)
-    steps = F.array_sort(F.collect_list(F.struct("entry", "exit", "z0", "reason", "sector_id")))
-    kind = "array<struct<entry:int,exit:int,z0:double,reason:string,sector_id:int>>"
-    zero = F.struct(F.lit(-1).alias("busy"), F.array().cast(kind).alias("taken"))
-
-    def step(s, x):
-        free = x["entry"] > s["busy"]
-        return F.struct(F.when(free, x["exit"]).otherwise(s["busy"]).alias("busy"), F.when(free, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    g = c.groupBy("a", "b").agg(steps.cast(kind).alias("s"))
-    return g.select("a", "b", F.explode(F.aggregate("s", zero, step, lambda s: s["taken"])).alias("t")).select("a", "b", "t.*")
+    return not_overlapping(candidates(v), ["a", "b"], "entry", "exit", ["entry", "exit", "z0", "reason", "sector_id"], touching=False)
 
 
 @query("wn_spread_events", f"WITH RECURSIVE {TAKEN} SELECT a, b, entry, exit, reason FROM ev")

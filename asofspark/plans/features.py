@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fx
 from ..operators.features import BY
+from ..operators.ordered import wilder
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -367,7 +368,7 @@ q AS (SELECT e1.instrument_id, e1.sidx, round(CASE WHEN e1.n >= 10 THEN e1.y END
 s AS (SELECT g.instrument_id, g.sidx, {BREAK} AS br, r, lag(r) OVER (PARTITION BY g.instrument_id ORDER BY g.sidx) AS pr FROM grid_w g JOIN q USING (instrument_id, sidx) WINDOW b AS (PARTITION BY g.instrument_id ORDER BY g.sidx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 SELECT instrument_id, sidx FROM s WHERE br AND r > 1 AND pr <= 1""")
 def sg_vol_squeeze(v):
-    g = fx.ewm_over_gaps(fx.ewm_over_gaps(with_tr(v), "tr", 10, "a1"), "tr", 30, "a2")
+    g = wilder(with_tr(v), "instrument_id", "sidx", "tr", {"a1": 10, "a2": 30})
     g = g.select(*KEY, breakout().alias("br"), F.round(F.try_divide(F.col("a1"), F.col("a2")), 9).alias("r")).withColumn("pr", F.lag("r").over(BY()))
     return g.where("br and r > 1 and pr <= 1").select(*KEY)
 

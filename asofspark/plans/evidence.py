@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as fx
+from ..operators import linear
 from ..operators.ranks import with_counts_before
+from ..operators.selection import exact_quantiles
+from ..sources.readers import staged
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -48,9 +51,9 @@ bk AS (SELECT CASE WHEN score <= a THEN 1 WHEN score <= b THEN 2 WHEN score <= c
 
 @query("ag_quintile_buckets", f"WITH {BUCKET} SELECT bucket, n, round(e, 8) AS mean_excess, round(m, 8) AS mean_net, e > coalesce(lag(e) OVER (ORDER BY bucket), -1e300) AS above_previous FROM bk")
 def ag_quintile_buckets(v):
-    p = predictions(v)
-    q = p.agg(F.percentile("score", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
-    b = F.when(F.expr("score <= q[0]"), 1).when(F.expr("score <= q[1]"), 2).when(F.expr("score <= q[2]"), 3).when(F.expr("score <= q[3]"), 4).otherwise(5)
+    p = staged(predictions(v))
+    q = exact_quantiles(p, "score", [0.2, 0.4, 0.6, 0.8])
+    b = F.when(F.expr("score <= q_0"), 1).when(F.expr("score <= q_1"), 2).when(F.expr("score <= q_2"), 3).when(F.expr("score <= q_3"), 4).otherwise(5)
     g = p.crossJoin(F.broadcast(q)).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.avg("excess_pct").alias("e"), F.avg("net_pct").alias("m"))
     return g.select("bucket", "n", R8(F.col("e"), "mean_excess"), R8(F.col("m"), "mean_net"), (F.col("e") > F.coalesce(F.lag("e").over(Window.orderBy("bucket")), F.lit(-1e300))).alias("above_previous"))
 
@@ -62,18 +65,29 @@ def long_features(v):
     return predictions(v).unpivot(["instrument_id", "sidx", "excess_pct"], ["f1", "f2", "f3"], "feature", "x")
 
 
-@query("ag_component_evidence", f"WITH {LONG}, r AS (SELECT feature, {avg_rank_sql('x', 'feature')} AS a, {avg_rank_sql('excess_pct', 'feature')} AS b FROM lf WHERE x IS NOT NULL) SELECT feature, count(*) AS n, round(corr(a, b), 6) AS rank_ic FROM r GROUP BY feature")
+@query("ag_component_evidence", f"WITH {LONG}, r AS (SELECT feature, excess_pct, {avg_rank_sql('x', 'feature')} AS a, {avg_rank_sql('excess_pct', 'feature')} AS b FROM lf WHERE x IS NOT NULL) SELECT feature, count(*) AS n, (SELECT count(*) FROM lf WHERE lf.feature = r.feature AND x IS NULL) AS missing, round(avg(excess_pct), 6) AS mean_outcome, round(corr(a, b), 6) AS rank_ic FROM r GROUP BY feature")
 def ag_component_evidence(v):
-    r = long_features(v).where("x is not null").select("feature", average_rank(F.col("x"), "feature").alias("a"), average_rank(F.col("excess_pct"), "feature").alias("b"))
-    return r.groupBy("feature").agg(F.count("*").alias("n"), R6(F.corr("a", "b"), "rank_ic"))
+    lf = staged(long_features(v))
+    r = linear.with_average_rank(linear.with_average_rank(lf.where("x is not null"), ["feature"], "x", "a"), ["feature"], "excess_pct", "b")
+    seen = r.groupBy("feature").agg(F.count("*").alias("n"), R6(F.avg("excess_pct"), "mean_outcome"), R6(F.corr("a", "b"), "rank_ic"))
+    return seen.join(lf.groupBy("feature").agg(F.count_if(F.col("x").isNull()).alias("missing")), "feature")
+
+
+WIDE = f"{PRED}, wd AS (SELECT p.*, b.open AS f4, b.turnover AS f5, p.f1 * 2 + 1 AS f6 FROM pd p LEFT JOIN bars_w b USING (instrument_id, session))"
+FEATURES = ["f1", "f2", "f3", "f4", "f5", "f6"]
+WIDE_LONG = f"{WIDE}, wl AS (SELECT instrument_id, sidx, f, x FROM wd CROSS JOIN LATERAL (VALUES {', '.join(f"('{f}', {f})" for f in FEATURES)}) t(f, x) WHERE x IS NOT NULL)"
 
 
-@query("ag_corr_matrix", f"WITH {PRED} SELECT 'f1' AS a, 'f2' AS b, round(corr(f1, f2), 6) AS r FROM pd UNION ALL SELECT 'f1', 'f3', round(corr(f1, f3), 6) FROM pd UNION ALL SELECT 'f2', 'f3', round(corr(f2, f3), 6) FROM pd")
+def wide_features(v):
+    """Six features of the decision session; the last is a line of the first."""
+    b = v.bars_w.select("instrument_id", "session", F.col("open").alias("f4"), F.col("turnover").alias("f5"))
+    return staged(predictions(v).join(b, ["instrument_id", "session"], "left").withColumn("f6", F.col("f1") * 2 + 1))
+
+
+@query("ag_corr_matrix", f"WITH {WIDE_LONG}, r AS (SELECT *, {avg_rank_sql('x', 'f')} AS k FROM wl) SELECT a.f AS a, b.f AS b, round(corr(a.x, b.x), 6) AS r, round(corr(a.k, b.k), 6) AS rho FROM r a JOIN r b ON a.instrument_id = b.instrument_id AND a.sidx = b.sidx AND a.f < b.f GROUP BY 1, 2")
 def ag_corr_matrix(v):
-    """One pass: all pairs of columns are aggregates of one job, then unpivoted."""
-    pairs = [("f1", "f2"), ("f1", "f3"), ("f2", "f3")]
-    row = predictions(v).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), R6(F.corr(a, b), "r")) for a, b in pairs]).alias("x"))
-    return row.select(F.inline("x"))
+    m = linear.correlation_matrix(wide_features(v), ["instrument_id", "sidx"], FEATURES)
+    return m.select("a", "b", R6(F.col("r"), "r"), R6(F.col("rho"), "rho"))
 
 
 SPLIT = "sidx <= 200"
@@ -93,8 +107,8 @@ def ag_percentile_calibration(v):
 
 @query("ag_winsor_zscore", f"WITH {PRED}, b AS (SELECT quantile_cont(f1, 0.05) AS lo, quantile_cont(f1, 0.95) AS hi FROM pd WHERE {SPLIT}), m AS (SELECT lo, hi, avg(least(greatest(f1, lo), hi)) AS mu, stddev_pop(least(greatest(f1, lo), hi)) AS sd FROM pd, b WHERE {SPLIT} AND f1 IS NOT NULL GROUP BY lo, hi) SELECT instrument_id, sidx, round((least(greatest(f1, lo), hi) - mu) / sd, 6) AS z FROM pd, m WHERE f1 IS NOT NULL")
 def ag_winsor_zscore(v):
-    p = predictions(v).where("f1 is not null")
-    b = p.where(SPLIT).agg(F.percentile("f1", F.lit(0.05)).alias("lo"), F.percentile("f1", F.lit(0.95)).alias("hi"))
+    p = staged(predictions(v).where("f1 is not null"))
+    b = exact_quantiles(p.where(SPLIT), "f1", [0.05, 0.95]).select(F.col("q_0").alias("lo"), F.col("q_1").alias("hi"))
     clip = F.least(F.greatest("f1", "lo"), "hi")
     m = p.where(SPLIT).crossJoin(F.broadcast(b)).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.avg(clip).alias("mu"), F.stddev_pop(clip).alias("sd"))
     return p.crossJoin(F.broadcast(m)).select("instrument_id", "sidx", R6((clip - F.col("mu")) / F.col("sd"), "z"))
@@ -131,33 +145,23 @@ def ag_neighbor_calibration(v):
     return k.groupBy("score").agg(R8(mean, "mean"), R6(se, "se"), R6(mean - F.lit(1.96) * se, "lo95"), R6(mean + F.lit(1.96) * se, "hi95"), R6(F.avg((F.col("net_pct") > 0).cast("double")) * 100, "positive_pct"))
 
 
-LINE = """mo AS (SELECT avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, avg(excess_pct) AS my, stddev_samp(f1) AS s1, stddev_samp(f2) AS s2, stddev_samp(f3) AS s3, stddev_samp(excess_pct) AS sy,
-  corr(f1, f2) AS r12, corr(f1, f3) AS r13, corr(f2, f3) AS r23, corr(f1, excess_pct) AS y1, corr(f2, excess_pct) AS y2, corr(f3, excess_pct) AS y3 FROM us),
-dr AS (SELECT *, abs(r12) >= 0.999999 AS d2, abs(r13) >= 0.999999 OR (abs(r12) < 0.999999 AND abs(r23) >= 0.999999) AS d3 FROM mo),
-ke AS (SELECT * REPLACE (CASE WHEN d2 THEN 0 ELSE r12 END AS r12, CASE WHEN d3 THEN 0 ELSE r13 END AS r13, CASE WHEN d2 OR d3 THEN 0 ELSE r23 END AS r23, CASE WHEN d2 THEN 0 ELSE y2 END AS y2, CASE WHEN d3 THEN 0 ELSE y3 END AS y3) FROM dr),
-de AS (SELECT *, 1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23 AS det FROM ke)"""
+#: Columns that correlate with an earlier one by 0.999999 are left out; the rest is solved by elimination on z scores.
+LINE = """us AS (SELECT * FROM wd WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND f4 IS NOT NULL AND f5 IS NOT NULL AND excess_pct IS NOT NULL),
+al AS (SELECT instrument_id, sidx, f, x FROM us CROSS JOIN LATERAL (VALUES ('f1', f1), ('f2', f2), ('f3', f3), ('f4', f4), ('f5', f5), ('f6', f6), ('y', excess_pct)) t(f, x)),
+zs AS (SELECT *, (x - avg(x) OVER (PARTITION BY f)) / stddev_pop(x) OVER (PARTITION BY f) AS z FROM al),
+co AS (SELECT a.f AS a, b.f AS b, avg(a.z * b.z) AS r FROM zs a JOIN zs b USING (instrument_id, sidx) GROUP BY 1, 2),
+ke AS (SELECT DISTINCT a AS f FROM co WHERE a <> 'y' AND a NOT IN (SELECT a FROM co WHERE b < a AND b <> 'y' AND abs(r) >= 0.999999)),
+rw AS (SELECT a, list(r ORDER BY b) AS m FROM co WHERE a IN (SELECT f FROM ke) AND (b = 'y' OR b IN (SELECT f FROM ke)) GROUP BY a),
+ge AS (SELECT 1 AS s, list(m ORDER BY a) AS m FROM rw
+  UNION ALL SELECT s + 1, [[CASE WHEN i = s THEN m[s][j] / m[s][s] ELSE m[i][j] - m[i][s] * m[s][j] / m[s][s] END for j in range(1, len(m) + 2)] for i in range(1, len(m) + 1)] FROM ge WHERE s <= len(m)),
+be AS (SELECT f, m[row_number() OVER (ORDER BY f)][len(m) + 1] AS b FROM ke, (SELECT m FROM ge ORDER BY s DESC LIMIT 1)),
+ft AS (SELECT z.instrument_id, z.sidx, sum(z.z * be.b) AS z FROM zs z JOIN be USING (f) GROUP BY 1, 2)"""
 
 
-@query("ag_linear_fit", f"WITH {PRED}, us AS (SELECT * FROM pd WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND excess_pct IS NOT NULL), {LINE} SELECT instrument_id, sidx, round(my + sy / det * ((y1 * (1 - r23 * r23) + y2 * (r13 * r23 - r12) + y3 * (r12 * r23 - r13)) * (f1 - m1) / s1 + (y1 * (r13 * r23 - r12) + y2 * (1 - r13 * r13) + y3 * (r12 * r13 - r23)) * (f2 - m2) / s2 + (y1 * (r12 * r23 - r13) + y2 * (r12 * r13 - r23) + y3 * (1 - r12 * r12)) * (f3 - m3) / s3), 4) AS fitted FROM us, de")
+@query("ag_linear_fit", f"WITH RECURSIVE {WIDE}, {LINE} SELECT instrument_id, sidx, round((SELECT avg(excess_pct) FROM us) + (SELECT stddev_pop(excess_pct) FROM us) * z, 4) AS fitted FROM ft")
 def ag_linear_fit(v):
-    """Least squares on three standardised features from one row of moments, by Cramer's rule on their correlations. A
-    column that correlates with an earlier one by 0.999999 or more is dropped: its correlations count as 0."""
-    p = predictions(v).dropna(subset=["f1", "f2", "f3", "excess_pct"])
-    cols = {"1": "f1", "2": "f2", "3": "f3", "y": "excess_pct"}
-    mo = p.agg(
-        *[F.avg(c).alias(f"m{k}") for k, c in cols.items()], *[F.stddev_samp(c).alias(f"s{k}") for k, c in cols.items()],
-        *[F.corr(f"f{a}", f"f{b}").alias(f"r{a}{b}") for a, b in ("12", "13", "23")], *[F.corr(f"f{a}", "excess_pct").alias(f"y{a}") for a in "123"],
-    )
-    high = lambda r: F.abs(r) >= 0.999999
-    mo = mo.withColumns({"d2": high("r12"), "d3": high("r13") | (~high("r12") & high("r23"))})
-    zero = lambda drop, c: F.when(F.expr(drop), 0.0).otherwise(F.col(c))
-    mo = mo.withColumns({"r12": zero("d2", "r12"), "r13": zero("d3", "r13"), "r23": zero("d2 or d3", "r23"), "y2": zero("d2", "y2"), "y3": zero("d3", "y3")})
-    adjoint = [["1 - r23 * r23", "r13 * r23 - r12", "r12 * r23 - r13"], ["r13 * r23 - r12", "1 - r13 * r13", "r12 * r13 - r23"], ["r12 * r23 - r13", "r12 * r13 - r23", "1 - r12 * r12"]]
-    beta = [F.expr(" + ".join(f"y{j + 1} * ({a})" for j, a in enumerate(row))) for row in adjoint]
-    mo = mo.select("*", F.expr("1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23").alias("det"), *[b.alias(f"b{i + 1}") for i, b in enumerate(beta)])
-    part = lambda i: F.col(f"b{i}") * (F.col(f"f{i}") - F.col(f"m{i}")) / F.col(f"s{i}")
-    fitted = F.col("my") + F.col("sy") / F.col("det") * (part(1) + part(2) + part(3))
-    return p.crossJoin(F.broadcast(mo)).select("instrument_id", "sidx", F.round(fitted, 4).alias("fitted"))  # one row of moments
+    """Least squares on any number of features, from one row of moments a partition."""
+    return linear.least_squares(wide_features(v), FEATURES, "excess_pct").select("instrument_id", "sidx", F.round("fitted", 4).alias("fitted"))
 
 
 PV = """pv AS (SELECT instrument_id AS id, round(CASE WHEN t > 0 THEN exp(-t * t / 2) ELSE 1 END, 9) AS p FROM (

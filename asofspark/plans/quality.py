@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.features import BY, over_last
+from ..operators.selection import exact_quantiles
+from ..sources.readers import staged
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -64,8 +66,10 @@ TICK = "py AS (SELECT year(session) AS y, instrument_id, close, abs(close * 20 -
 
 @query("ag_price_precision", f"WITH {TICK}, a AS (SELECT y, count(*) AS stock_days, count(DISTINCT instrument_id) AS symbols, round(100.0 * avg(usable::INT), 6) AS usable_pct, round(median(close), 6) AS median_price, round(quantile_cont(close, 0.05), 6) AS p05 FROM py GROUP BY y) SELECT *, min(usable_pct) OVER (ORDER BY y DESC) AS floor_pct FROM a")
 def ag_price_precision(v):
-    p = v.bars_d.select(F.year("session").alias("y"), "instrument_id", "close", (F.abs(F.col("close") * 20 - F.rint(F.col("close") * 20)) < 0.1).alias("usable"))
-    a = p.groupBy("y").agg(F.count("*").alias("stock_days"), F.countDistinct("instrument_id").alias("symbols"), R6(F.avg(F.col("usable").cast("double")) * 100, "usable_pct"), R6(F.median("close"), "median_price"), R6(F.percentile("close", F.lit(0.05)), "p05"))
+    p = staged(v.bars_d.select(F.year("session").alias("y"), "instrument_id", "close", (F.abs(F.col("close") * 20 - F.rint(F.col("close") * 20)) < 0.1).alias("usable")))
+    q = exact_quantiles(p, "close", [0.5, 0.05], ["y"]).select("y", R6(F.col("q_0"), "median_price"), R6(F.col("q_1"), "p05"))
+    a = p.groupBy("y").agg(F.count("*").alias("stock_days"), F.countDistinct("instrument_id").alias("symbols"), R6(F.avg(F.col("usable").cast("double")) * 100, "usable_pct"))
+    a = a.join(q, "y")
     return a.withColumn("floor_pct", F.min("usable_pct").over(Window.orderBy(F.desc("y"))))  # one row per year
 
 

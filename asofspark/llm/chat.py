@@ -47,11 +47,9 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.select("conv_id", "seq", F.coalesce("turn", F.lit(FIRST)).alias("turn"), "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
     last_first = Window.partitionBy("conv_id").orderBy(F.desc_nulls_last("seq"), *[F.desc_nulls_last(c) for c in ("turn", "kind", "role", "text")])
     follow = last_first.rowsBetween(Window.unboundedPreceding, -1)
-    e = e.where(F.col("kind").isin(*kinds)).withColumns({
-        "nth": F.row_number().over(last_first), "again": F.lead("seq").over(last_first) == F.col("seq"),
-        "void": F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(follow),
-    })
-    live = e.where("(again is null or not again) and (void is null or void > turn)")
+    again = F.lead("seq").over(last_first) == F.col("seq")
+    e = e.where(F.col("kind").isin(*kinds)).withColumns({"nth": F.row_number().over(last_first), "again": again}).where("again is null or not again")
+    live = e.withColumn("void", F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(follow)).where("void is null or void >= turn")
     part = F.struct((-F.col("nth")).alias("at"), "text")
     by_turn = live.groupBy("conv_id", "turn").agg(
         F.max_by("role", F.when(F.col("role").isNotNull(), -F.col("nth"))).alias("role"),

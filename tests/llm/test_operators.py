@@ -36,6 +36,8 @@ def odd(spark, tmp_path_factory):
     labels = spark.createDataFrame([(2, 0, 0), (4, 1, None), (5, 1, 0), (6, None, 0), (None, 1, 1), (7, 0, 0), (8, 1, 0), (8, 0, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     labels.withColumn("text", F.lit("clash")).write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, "one"), (2, None), (3, ""), (None, "with some words"), (4, "same same same"), (4, "same same same")], "item_id long, text string").withColumn("key", F.lit(1)).write.parquet(f"{d}/benchmark.parquet")
+    turns = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", "</turn> y"), (1, 1, "assistant", "</turn> y"), (None, None, "assistant", ""), (2, None, "system", LONG)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("seq", "kind", "formatted", "loss", "k", "nth")}).write.parquet(f"{d}/conversations.parquet")
     pages = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "<<a <b> &am; </div></div><article><p>A &amp B<p>C<"), (4, "u", "<article>" + "<p>long text here.</p>" * 5000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")).write.parquet(f"{d}/pages.parquet")
     return d
@@ -44,7 +46,7 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations"):
         spark.read.parquet(f"{odd}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
@@ -54,13 +56,15 @@ def test_odd_inputs(spark, odd, name):
     got = QUERIES[name](spark, odd).collect()
     if name.startswith(("op2_", "op4_")):
         assert {r["doc_id"] for r in got} == ({11} if name.startswith("op2_") else {12})
+    elif name.startswith("op13_"):  # no term is in 30 documents
+        assert {(r["part"], r["value"]) for r in got} == {("pair", 0)}
     else:
-        assert len(got) == (5 if name.startswith("op6_") else len(ODD))
+        assert len(got) == {"op6": 5, "op12": 4}.get(name.split("_")[0], len(ODD))
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_empty_tables(spark, empty, name):
-    assert QUERIES[name](spark, empty).collect() == []
+    assert [r for r in QUERIES[name](spark, empty).collect() if "conv_id" not in r or r["conv_id"] != -7] == []
 
 
 def brute_repeats(rows, n=substrings.LENGTH):

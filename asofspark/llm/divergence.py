@@ -8,6 +8,9 @@ neither of two sources has are counted, not visited, and add the same difference
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,25 +18,27 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import appended, staged, table
+from .common import staged, table
 
 MIN_DF, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 MOST_TERMS = 1 << 21  # kept terms that may go to the driver and every task as CountVectorizer's vocabulary
 SAMPLED = 64  # one in so many terms is counted to know beforehand how many are kept
-SHARD = 1 << 14  # terms of a language that are evaluated together
+SHARD = 1 << 11  # terms of a language that are evaluated together
 SOURCES = 128  # sources of a language that are evaluated against as many others
+TOGETHER = 256  # rows whose terms are told apart at a time
+PART = 1000  # vectors that are added at a time
+HELD = 1 << 20  # sums of sources and terms that a task holds
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def _terms(batch: pa.RecordBatch) -> list[pa.Array]:
-    """A list of terms for each row, each followed by a space and the row's language."""
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[pa.LargeStringArray, np.ndarray, pa.Array]]:
+    """For each run of rows its terms, one after another, the numbers of terms of its rows, and the rows' languages."""
     text = batch.column("_text").cast(pa.large_binary())
-    lists, ends = [], [0]
-    for i in range(0, len(text), 256):
-        part = text[i : i + 256]
+    for i in range(0, len(text), TOGETHER):
+        part = text[i : i + TOGETHER]
         _, offsets, data = part.buffers()
         offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
         data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
@@ -47,29 +52,83 @@ def _terms(batch: pa.RecordBatch) -> list[pa.Array]:
         starts = np.flatnonzero(first)
         sizes = np.flatnonzero(last) + 1 - starts
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(_LOWER[data[inside]]))
-        count = np.diff(np.searchsorted(starts, offsets))
-        lang = batch.column("_lang")[i : i + 256].cast(pa.large_string()).take(pa.array(np.repeat(np.arange(len(count)), count)))
-        lists.append(pc.binary_join_element_wise(words, lang, pa.scalar(" ", pa.large_string())))
-        ends += (ends[-1] + np.cumsum(count)).tolist()
-    values = pa.chunked_array(lists, pa.large_string()).combine_chunks().cast(pa.string())
-    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+        yield words, np.diff(np.searchsorted(starts, offsets)), batch.column("_lang")[i : i + TOGETHER].cast(pa.large_string())
+
+
+def _distinct(words: pa.LargeStringArray, counts: np.ndarray, sampled: int | None) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The distinct terms of each row; if sampled is given, only those that a hash puts into one of so many samples."""
+    coded = words.dictionary_encode()
+    code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
+    if sampled:
+        take = np.fromiter((zlib.crc32(w) % sampled == 0 for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), bool, len(coded.dictionary))
+        code, row = code[take[code]], row[take[code]]
+    both = np.unique(row * max(1, len(coded.dictionary)) + code)
+    row, code = np.divmod(both, max(1, len(coded.dictionary)))
+    return coded.dictionary.take(pa.array(code)), np.bincount(row, minlength=len(counts))
 
 
-def termed(docs: DataFrame) -> DataFrame:
+def _lists(batch: pa.RecordBatch, distinct: bool, sampled: int | None) -> Iterator[pa.Array]:
+    """A list of terms for each row, each followed by a space and the row's language, for TOGETHER rows at a time."""
+    for words, counts, langs in _words(batch):
+        if distinct:
+            words, counts = _distinct(words, counts, sampled)
+        lang = langs.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+        values = pc.binary_join_element_wise(words, lang, pa.scalar(" ", pa.large_string())).cast(pa.string())
+        yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def termed(docs: DataFrame, distinct: bool = False, sampled: int | None = None) -> DataFrame:
     """docs (lang, source, text) -> (lang, source, terms): each term is a maximal run of ASCII letters and non-ASCII
-    characters with A-Z lower-cased, then a space and the language. Nulls are empty."""
+    characters with A-Z lower-cased, then a space and the language. Nulls are empty. If distinct, a document has each
+    term once; if sampled is given too, only the terms that a hash puts into one of so many samples."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    read = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), blank("lang").alias("_lang"), blank("text").alias("_text"))
-    return appended(read, _terms, "terms array<string>").select("lang", "source", "terms")
+    read = docs.select(blank("lang").alias("_lang"), blank("source").alias("_source"), blank("text").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for terms in _lists(b, distinct, sampled):
+                rows = b.slice(at, len(terms))
+                at += len(terms)
+                yield pa.RecordBatch.from_arrays([rows.column("_lang"), rows.column("_source"), terms], names=["lang", "source", "terms"])
 
+    return read.mapInArrow(run, "lang string, source string, terms array<string>")
 
-def _kept_terms(terms: DataFrame, min_df: int) -> int:
+
+def _kept_terms(docs: DataFrame, min_df: int) -> int:
     """About how many terms are kept: exact document counts of the terms that a hash puts into one sample of SAMPLED."""
-    in_sample = F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(SAMPLED)) == 0)
-    per_doc = terms.select(F.explode(F.array_distinct(in_sample)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    per_doc = termed(docs, True, SAMPLED).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return SAMPLED * per_doc.where(F.col("n") >= min_df).count()
 
 
+def _summed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Sparse vectors of documents (source, i, n as lists) of width terms -> sums (source, i, n) of about HELD terms at a
+    time: only terms that occur are held, as many as there are."""
+    names: dict[str, int] = {}
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        source = pa.array(list(names), pa.string()).take(pa.array(keys // width)) if len(keys) else pa.array([], pa.string())
+        return pa.RecordBatch.from_arrays([source, pa.array((keys % width).astype(np.int32)), pa.array(sums)], names=["source", "i", "n"])
+
+    for b in (whole.slice(k, PART) for whole in batches for k in range(0, whole.num_rows, PART)):
+        coded = b.column("source").dictionary_encode()
+        number = np.array([names.setdefault(s, len(names)) for s in coded.dictionary.to_pylist()], np.int64)
+        lists = b.column("i")
+        source = np.repeat(number[coded.indices.to_numpy()], pc.list_value_length(lists).to_numpy()) if len(lists) else np.zeros(0, np.int64)
+        key = np.concatenate([keys, source * width + lists.flatten().to_numpy()])
+        n = np.concatenate([sums, b.column("n").flatten().to_numpy().astype(np.int64)])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        keys, sums = key[begins], np.add.reduceat(n, begins) if len(key) else n
+        if len(keys) > HELD:
+            yield out()
+            keys, sums = keys[:0], sums[:0]
+            names.clear()
+    yield out()
+
+
 def _language(term: Column) -> Column:
     return F.substring(term, F.length(F.substring_index(term, " ", 1)) + 2, (1 << 31) - 1)
 
@@ -81,19 +140,20 @@ def source_counts(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_
     vocabulary goes to the driver and to every task, so its size is estimated first; where it may pass most_terms, or be
     empty, which the fit refuses, the same counts come from a shuffle by term instead.
     """
-    terms = termed(docs)
-    if not 0 < 2 * _kept_terms(terms, min_df) <= most_terms:
-        held = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    terms, once = termed(docs), termed(docs, distinct=True)
+    if not 0 < 2 * _kept_terms(docs, min_df) <= most_terms:
+        held = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
         found = terms.select("source", F.explode("terms").alias("term")).groupBy("source", "term").agg(F.count("*").alias("n")).join(held, "term")
         return found.select(_language(F.col("term")).alias("lang"), "source", F.substring_index("term", " ", 1).alias("term"), "n")
-    model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=(1 << 31) - 1).fit(terms)
+    model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=(1 << 31) - 1).fit(once)  # which terms are kept depends on documents alone
     words = model.vocabulary
+    width = len(words)
     vocabulary = docs.sparkSession.createDataFrame(
         pa.table({"i": pa.array(np.arange(len(words)), pa.int32()), "term": pa.array([w.split(" ", 1)[0] for w in words], pa.string()), "lang": pa.array([w.split(" ", 1)[1] for w in words], pa.string())})
     )
     vector = F.unwrap_udt("counts")
-    summed = model.transform(terms).select("source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("n"))).alias("x"))
-    summed = summed.groupBy("source", F.col("x.i").alias("i")).agg(F.sum(F.col("x.n").cast("long")).alias("n"))
+    vectors = model.transform(terms).select("source", vector["indices"].alias("i"), vector["values"].alias("n"))
+    summed = vectors.mapInArrow(lambda b: _summed(b, width), "source string, i int, n long").groupBy("source", "i").agg(F.sum("n").alias("n"))
     return summed.join(vocabulary, "i").select("lang", "source", "term", "n")
 
 

@@ -6,7 +6,9 @@ steps compose, as those of the Wilder average do, a key is cut into ranges as we
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -99,6 +101,44 @@ def average_cost(events: DataFrame, key: list[str], order: list[str]) -> DataFra
     return folded(events, key, order, lambda: (0, 0, 0), step, "held long, cost long, realised long", lambda s: s, ["price", "qty", "split", "dividend"])
 
 
+def _of(sorted_values: list[float], p: float) -> float:
+    at = p * (len(sorted_values) - 1)
+    low = int(at)
+    high = min(low + 1, len(sorted_values) - 1)
+    return sorted_values[low] + (sorted_values[high] - sorted_values[low]) * (at - low)
+
+
+def sliding(df: DataFrame, key: list[str], order: list[str], x: str, n: int, share: str | None = None, median: str | None = None, skip: int = 0) -> DataFrame:
+    """df with order statistics of the n rows of x up to skip rows before each: in `share` the percentage of them that
+    are at most the row's own x, in `median` their median; null unless all n are present. key and order name a row.
+
+    The rows of a frame are held in order of value: a step takes one out and puts one in, at places found by bisection,
+    so that a row of a long frame costs about as much as one of a short frame."""
+
+    def enter(frame: deque, values: list[float], value: float | None) -> None:
+        frame.append(value)
+        if value is not None:
+            bisect.insort(values, value)
+        if len(frame) > n and (gone := frame.popleft()) is not None:
+            del values[bisect.bisect_left(values, gone)]
+
+    def step(state, *row):
+        *at, value = row
+        waiting, frame, values = state
+        waiting.append(value)
+        if len(waiting) > skip:
+            enter(frame, values, waiting.popleft())
+        full = len(values) == n
+        below = bisect.bisect_right(values, value) * 100.0 / n if full and value is not None else None
+        return state, (*at, below, _of(values, 0.5) if full else None)
+
+    rows = df.select(*dict.fromkeys([*key, *order]), F.col(x).cast("double").alias("_x"))
+    found = folded(rows, key, order, lambda: (deque(), deque(), []), step, f"{_fields(df, order)}, _share double, _median double", read=[*order, "_x"])
+    names = {"_share": share, "_median": median}
+    found = found.select(*key, *order, *[F.col(c).alias(name) for c, name in names.items() if name])
+    return df.join(found, [*key, *order], "left")
+
+
 def _link(before: str | None, text: str | None) -> str:
     return hashlib.md5(((before or "") + (text or "")).encode()).hexdigest()
 

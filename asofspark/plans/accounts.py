@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.costs import delivery_leg, futures_leg
+from ..functions.keywords import TITLE_EXCLUDE, TITLE_INCLUDE, finance_strengths
 from ..operators.ordered import average_cost, sealed, verified
+from ..operators.phrases import with_phrases
+from ..operators.ranks import with_counts_before
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -137,30 +140,23 @@ def px_linear_map(v):
     return v.obs.where("value is not null").select("record_id", R6(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("value") - 10) / 80 * 100)), "mapped"))
 
 
-# Strengths of finance words, -4 to 4; all forms of a word share one.
-FINANCE_WORDS = {
-    2.5: "surge surges surged surging", 2.8: "soar soars soared soaring", 2.2: "rally rallies rallied rallying", 2.0: "jump jumps jumped jumping upgrade upgrades upgraded bullish",
-    1.5: "gain gains gained gaining beat beats", 1.3: "rise rises rose rising record", 1.8: "outperform", 1.2: "buy strong", 1.0: "growth",
-    -1.8: "slip slips slipped slipping fall falls fell falling underperform", -2.0: "decline declines declined declining downgrade downgrades downgraded bearish", -2.8: "plunge plunges plunged plunging crash crashes crashed",
-    -2.5: "tumble tumbles tumbled tumbling", -2.3: "slump slumps slumped", -1.2: "sell weak", -1.5: "miss misses missed", -1.0: "concern concerns",
-}
-LEX = {w: x for x, ws in FINANCE_WORDS.items() for w in ws.split()}
-LEX_SQL = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {x}::DOUBLE)" for k, x in LEX.items()) + ") t(word, s))"
-HEADLINE = "hd AS (SELECT o_orderkey AS text_id, o_orderpriority || ' ' || (CASE o_orderkey % 7 WHEN 0 THEN 'Shares surge, profit beats' WHEN 1 THEN 'Stocks FELL; weak growth concerns' WHEN 2 THEN 'bank-upgrade: buy' WHEN 3 THEN 'no news' WHEN 4 THEN 'crash crash crash' WHEN 5 THEN NULL ELSE 'gains slip, gainsay' END) AS text FROM orders UNION ALL SELECT -1 - doc_id, text FROM documents)"
+LEX_SQL = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {x}::DOUBLE)" for k, x in finance_strengths().items()) + ") t(word, s))"
+HEADLINE = "hd AS (SELECT o_orderkey AS text_id, o_orderpriority || ' ' || (CASE o_orderkey % 7 WHEN 0 THEN 'Shares surge, profit beats' WHEN 1 THEN 'Stocks FELL; weak growth concerns' WHEN 2 THEN 'bank-upgrade: buy' WHEN 3 THEN 'no news' WHEN 4 THEN 'crash crash crash' WHEN 5 THEN NULL ELSE 'gains slip, gainsay; sell-off, post-sell-off losses sell-x' END) AS text FROM orders UNION ALL SELECT -1 - doc_id, text FROM documents)"
 
 
-@query("px_lexicon_sentiment", f"WITH {LEX_SQL}, {HEADLINE}, w AS (SELECT text_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM hd), t AS (SELECT text_id, sum(s) AS x FROM w JOIN lx USING (word) GROUP BY 1) SELECT d.text_id, round(coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15), 6) AS score, CASE WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) >= 0.05 THEN 'positive' WHEN coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM hd d LEFT JOIN t USING (text_id)")
+COMPOUNDS = r"c AS (SELECT text_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:-[a-z]+)*')) AS word FROM hd), w AS (SELECT text_id, s FROM c JOIN lx USING (word) UNION ALL SELECT text_id, s FROM (SELECT text_id, unnest(string_split(word, '-')) AS word FROM c WHERE word NOT IN (SELECT word FROM lx)) JOIN lx USING (word))"
+SQUASHED = "coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15)"
+
+
+@query("px_lexicon_sentiment", f"WITH {LEX_SQL}, {HEADLINE}, {COMPOUNDS}, t AS (SELECT text_id, round(sum(s), 6) AS x FROM w GROUP BY 1) SELECT d.text_id, round({SQUASHED}, 6) AS score, CASE WHEN {SQUASHED} >= 0.05 THEN 'positive' WHEN {SQUASHED} <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM hd d LEFT JOIN t USING (text_id)")
 def px_lexicon_sentiment(v):
-    """Words of headlines and documents meet the lexicon, a table, before anything is shuffled; only hits are summed."""
+    """Words of headlines and documents are weighed where the texts are read; nothing is shuffled."""
     k = F.col("o_orderkey") % 7
-    said = F.when(k == 0, "Shares surge, profit beats").when(k == 1, "Stocks FELL; weak growth concerns").when(k == 2, "bank-upgrade: buy").when(k == 3, "no news").when(k == 4, "crash crash crash").when(k == 6, "gains slip, gainsay")
+    said = F.when(k == 0, "Shares surge, profit beats").when(k == 1, "Stocks FELL; weak growth concerns").when(k == 2, "bank-upgrade: buy").when(k == 3, "no news").when(k == 4, "crash crash crash").when(k == 6, "gains slip, gainsay; sell-off, post-sell-off losses sell-x")
     texts = v.t("orders").select(F.col("o_orderkey").alias("text_id"), F.concat_ws(" ", "o_orderpriority", said).alias("text"), k.alias("k")).select("text_id", F.when(F.col("k") != 5, F.col("text")).alias("text"))
     texts = texts.unionByName(v.t("documents").select((-1 - F.col("doc_id")).alias("text_id"), "text"))
-    lexicon = v.spark.createDataFrame(list(LEX.items()), "word string, s double")
-    words = texts.select("text_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    sums = words.join(F.broadcast(lexicon), "word").groupBy("text_id").agg(F.sum("s").alias("x"))  # a fixed list
-    x = F.coalesce("x", F.lit(0.0))
-    d = texts.select("text_id").join(sums, "text_id", "left").withColumn("score", x / F.sqrt(x * x + 15))
+    x = F.round("strength", 6)
+    d = with_phrases(texts, "text", {}, finance_strengths()).withColumn("score", x / F.sqrt(x * x + 15))
     return d.select("text_id", R6(F.col("score"), "score"), F.when(F.col("score") >= 0.05, "positive").when(F.col("score") <= -0.05, "negative").otherwise("neutral").alias("label"))
 
 
@@ -170,10 +166,24 @@ def px_upcoming_events(v):
     return v.obs.crossJoin(F.broadcast(t)).where("day between date_add(first, 20) and date_add(first, 27)").select("record_id", "day")
 
 
-@query("px_title_relevance", "SELECT DISTINCT p_type AS title FROM part WHERE regexp_matches(p_type, '[A-Z]') AND NOT regexp_matches(p_type, 'PROMO')")
+NOTICES = ["Replacement in {}", "Change in methodology of {}", "Launch of {} Debt", "Inclusion and EXCLUSION of scrips from {}", "{} Fixed Income: changes", "Annual report of {}", "{} G-Sec, replacement", "Changes in {}", "Exchange holiday", None, "Bonds REPLACED in {}"]
+NOTICE_SQL = "nt AS (SELECT DISTINCT o_orderdate::DATE AS day, 'INDEX ' || o_custkey % 7 AS index_name, CASE WHEN o_orderkey % 2 = 0 THEN 'ADD' ELSE 'DROP' END AS action, CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN " + ("NULL" if t is None else f"replace('{t}', '{{}}', 'INDEX ' || o_custkey % 7)") for i, t in enumerate(NOTICES)) + " END AS title FROM orders)"
+ANY = lambda words: "(" + " OR ".join(f"contains(lower(title), '{w}')" for w in words) + ")"
+
+
+@query("px_title_relevance", f"WITH {NOTICE_SQL} SELECT *, row_number() OVER (ORDER BY day, index_name, action, title) - 1 AS position FROM nt WHERE {ANY(TITLE_INCLUDE)} AND NOT {ANY(TITLE_EXCLUDE)}")
 def px_title_relevance(v):
-    t = F.col("p_type")
-    return v.t("part").where(t.rlike("[A-Z]") & ~t.rlike("PROMO")).select(t.alias("title")).dropDuplicates()
+    """Announcements whose title holds a word of the one list and none of the other, without repeats, numbered in the
+    order of date, index and action."""
+    k = F.col("o_orderkey") % 11
+    index = F.concat(F.lit("INDEX "), (F.col("o_custkey") % 7).cast("string"))
+    title = F.lit(None).cast("string")
+    for i, t in enumerate(NOTICES):
+        title = F.when(k == i, F.replace(F.lit(t), F.lit("{}"), index) if t else None).otherwise(title)
+    n = v.t("orders").select(F.to_date("o_orderdate").alias("day"), index.alias("index_name"), F.when(F.col("o_orderkey") % 2 == 0, "ADD").otherwise("DROP").alias("action"), title.alias("title"))
+    kept = with_phrases(n, "title", {"wanted": TITLE_INCLUDE, "unwanted": TITLE_EXCLUDE}).where("wanted > 0 and unwanted = 0").select(*n.columns).dropDuplicates()
+    order = ["day", "index_name", "action", "title"]
+    return with_counts_before(kept, order, F.lit(1)).select(*order, F.col("before").alias("position"))
 
 
 @query("tk_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an') AND p_size > 10 ORDER BY p_name, p_partkey LIMIT 25")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fx
 from ..operators import linear
+from ..operators.draws import smallest_draws
+from ..operators.labels import fixed_horizon
 from ..operators.ranks import with_counts_before
 from ..operators.selection import exact_quantiles
 from ..sources.readers import staged
 from .registry import query
+from .views import VIEW_SQL
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
 R8 = lambda c, name: F.round(c, 8).alias(name)
@@ -186,12 +189,6 @@ def ag_attempt_ledger(v):
     return v.bars_w.select("instrument_id").distinct().join(v.picks.where("sidx < 100"), "instrument_id", "left_anti")
 
 
-@query("ag_baselines", "WITH d AS (SELECT sidx, avg(net_pct) AS m, avg(bench_pct) AS b FROM outcomes WHERE status = 'RESOLVED' GROUP BY sidx) SELECT round(avg(b), 6) AS benchmark, round(avg(m), 6) AS universe FROM d")
-def ag_baselines(v):
-    d = v.outcomes.where("status = 'RESOLVED'").groupBy("sidx").agg(F.avg("net_pct").alias("m"), F.avg("bench_pct").alias("b"))
-    return d.agg(R6(F.avg("b"), "benchmark"), R6(F.avg("m"), "universe"))
-
-
 def arithmetic_draw(seed, *keys):
     """A draw that any engine repeats."""
     total = seed * 40503
@@ -200,6 +197,32 @@ def arithmetic_draw(seed, *keys):
     return total % 1000003
 
 
+UNIVERSE = "uv AS (SELECT instrument_id, session, sidx FROM grid_w WHERE close IS NOT NULL AND sidx IN (SELECT sidx FROM picks)), uo AS (" + VIEW_SQL["outcomes"].replace("FROM picks p", "FROM uv p") + ")"
+DRAW_SQL = "(seed * 40503 + r.instrument_id::BIGINT * 2654435761 + r.sidx::BIGINT * 2654435858) % 1000003"
+MATCHED = f"""{UNIVERSE}, rs AS (SELECT * FROM uo WHERE status = 'RESOLVED'),
+k AS (SELECT sidx, count(*) AS k FROM rs JOIN picks USING (instrument_id, sidx) GROUP BY 1),
+dw AS (SELECT seed, r.sidx, net_pct, excess_pct, k, row_number() OVER (PARTITION BY seed, r.sidx ORDER BY {DRAW_SQL}, r.instrument_id) AS n FROM rs r JOIN k USING (sidx), (SELECT range AS seed FROM range(1, 61))),
+ds AS (SELECT seed, avg(m) AS m FROM (SELECT seed, sidx, CASE WHEN seed <= 30 THEN avg(net_pct) ELSE avg(excess_pct) END AS m FROM dw WHERE n <= k GROUP BY 1, 2) GROUP BY 1),
+qs AS (SELECT seed <= 30 AS random, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.5) AS mid, quantile_cont(m, 0.975) AS hi FROM ds GROUP BY 1)"""
+
+
+@query("ag_baselines", f"""WITH {MATCHED} SELECT round((SELECT avg(bench_pct) FROM rs), 6) AS benchmark, round((SELECT avg(m) FROM (SELECT avg(net_pct) AS m FROM rs GROUP BY sidx)), 6) AS universe,
+  round(a.lo, 6) AS random_lo, round(a.mid, 6) AS random_mid, round(a.hi, 6) AS random_hi, round(b.lo, 6) AS placebo_lo, round(b.mid, 6) AS placebo_mid, round(b.hi, 6) AS placebo_hi
+FROM qs a, qs b WHERE a.random AND NOT b.random""")
+def ag_baselines(v):
+    """Against all priced names of the decision dates: the benchmark's mean, the mean of the dates' means, and bands over
+    30 seeds each of as many random names a date as were selected, and of ranks permuted within the date."""
+    priced = v.grid_w.where("close is not null").select("instrument_id", "session", "sidx").join(v.picks.select("sidx").distinct(), "sidx", "left_semi")
+    r = staged(fixed_horizon(priced, v.grid_w, v.bench_w, horizon=4).where("status = 'RESOLVED'").select("instrument_id", "sidx", "net_pct", "excess_pct", "bench_pct"))
+    sizes = r.join(v.picks.select("instrument_id", "sidx"), ["instrument_id", "sidx"]).groupBy("sidx").agg(F.count("*").alias("n"))
+    drawn = smallest_draws(r, sizes, "sidx", "instrument_id", 60, lambda seed: arithmetic_draw(seed, F.col("instrument_id"), F.col("sidx")), 1000003)
+    by_date = drawn.groupBy("seed", "sidx").agg(F.when(F.col("seed") <= 30, F.avg("net_pct")).otherwise(F.avg("excess_pct")).alias("m"))
+    means = by_date.groupBy("seed").agg(F.avg("m").alias("m"))  # one row per seed
+    bands = means.agg(*[R6(F.percentile(F.when((F.col("seed") <= 30) == random, F.col("m")), F.lit(p)), f"{kind}_{at}") for random, kind in ((True, "random"), (False, "placebo")) for p, at in ((0.025, "lo"), (0.5, "mid"), (0.975, "hi"))])
+    dates = r.groupBy("sidx").agg(F.avg("net_pct").alias("m")).agg(R6(F.avg("m"), "universe"))
+    return r.agg(R6(F.avg("bench_pct"), "benchmark")).crossJoin(F.broadcast(dates)).crossJoin(F.broadcast(bands))  # one row each
+
+
 PLACEBO = """sd AS (SELECT range AS seed FROM range(1, 31)), k AS (SELECT sidx, count(*) AS k FROM picks GROUP BY sidx),
 dr AS (SELECT seed, g.instrument_id, g.sidx, k, row_number() OVER (PARTITION BY seed, g.sidx ORDER BY (seed * 40503 + g.instrument_id::BIGINT * 2654435761 + g.sidx::BIGINT * 2654435858) % 1000003, g.instrument_id) AS r FROM grid_w g JOIN k USING (sidx) CROSS JOIN sd WHERE g.close IS NOT NULL),
 pb AS (SELECT seed, instrument_id, sidx FROM dr WHERE r <= k)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fx
 from ..operators.features import BY
-from ..operators.ordered import wilder
+from ..operators.ordered import sliding, wilder
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -82,8 +82,8 @@ def px_action_label(v):
 @query("wn_volume_ratio", """SELECT instrument_id, sidx, CASE WHEN count(volume) OVER w = 20 THEN round(volume / nullif(quantile_cont(volume, 0.5) OVER w, 0), 6) END AS volume_ratio
 FROM grid_w WINDOW w AS (PARTITION BY instrument_id ORDER BY sidx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def wn_volume_ratio(v):
-    w, x = fx.over_last(20, 1), F.col("volume")
-    return v.grid_w.select(*KEY, F.when(F.count(x).over(w) == 20, F.round(F.try_divide(x, F.percentile(x, F.lit(0.5)).over(w)), 6)).alias("volume_ratio"))
+    g = sliding(v.grid_w.select(*KEY, "volume"), ["instrument_id"], ["sidx"], "volume", 20, median="usual", skip=1)
+    return g.select(*KEY, F.round(F.try_divide("volume", "usual"), 6).alias("volume_ratio"))
 
 
 TR = "CASE WHEN high IS NOT NULL AND low IS NOT NULL AND lag(close) OVER w IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END"
@@ -143,7 +143,8 @@ def wn_momentum_feature(v):
 @query("wn_causal_percentile", """SELECT a.instrument_id, a.sidx, CASE WHEN count(b.close) = 26 THEN round(sum((b.close <= a.close)::INT) * 100.0 / 26, 6) END AS percentile
 FROM grid_w a JOIN grid_w b ON a.instrument_id = b.instrument_id AND b.sidx BETWEEN a.sidx - 25 AND a.sidx GROUP BY 1, 2""")
 def wn_causal_percentile(v):
-    return v.grid_w.select(*KEY, R6(fx.causal_percentile(F.col("close"), 26), "percentile"))
+    g = sliding(v.grid_w.select(*KEY, "close"), ["instrument_id"], ["sidx"], "close", 26, share="p")
+    return g.select(*KEY, R6(F.col("p"), "percentile"))
 
 
 BREADTH = """br AS (SELECT sidx, avg((close > m)::INT) * 100 AS breadth FROM (SELECT sidx, close, CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END AS m FROM grid_w WINDOW w AS (PARTITION BY instrument_id ORDER BY sidx ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)) WHERE close IS NOT NULL AND m IS NOT NULL GROUP BY sidx)"""

@@ -47,6 +47,18 @@ def symbol_files(v):
     return df.select(symbol.alias("symbol"), "session", "close", F.round("turnover", 8).alias("turnover"))
 
 
+@query("src_symbol_provenance", "SELECT instrument_id::VARCHAR AS symbol, count(*) AS \"rows\", 0 AS dropped, min(session) AS first_day, max(session) AS last_day, 'ACCEPTED' AS status FROM bars_d WHERE session <= DATE '1999-12-31' GROUP BY 1 UNION ALL SELECT 'HEADLESS', 0, 1, NULL, NULL, 'REFUSED_COLUMNS' UNION ALL SELECT NULL, 0, 1, NULL, NULL, 'REFUSED_NAME'")
+def src_symbol_provenance(v):
+    """The symbol files again, with two that are refused: one without a header line and one of another name."""
+    path = readers.scratch(v.spark)
+    b = v.bars_d.where("session <= '1999-12-31'").select(F.concat(F.col("instrument_id").cast("string"), F.lit("_DAILY.csv")).alias("file"), F.col("session").cast("string").alias("date"), "open", "high", "low", "close", "volume")
+    b.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    line = v.spark.range(1).select(F.lit("1995-01-02,1,1,1,1,5\n1995-01-03,1,1,1,1,5").alias("value"))
+    for name in ("HEADLESS_DAILY.csv", "notes.csv"):
+        line.coalesce(1).write.text(f"{path}/file={name}")
+    return readers.symbol_provenance(v.spark, path, "1999-12-31").where("size > 0").select("symbol", "rows", "dropped", "first_day", "last_day", "status")
+
+
 CANONICAL = "session, symbol, series, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(close, 8) AS last, NULL::DOUBLE AS prev_close, CASE WHEN (symbol::INT + day(session)) % 13 <> 0 THEN volume END AS volume, turnover, 7.0 AS trades, 'INE' AS isin"
 
 
@@ -81,11 +93,13 @@ def src_format_router(v):
     return readers.routed(hexes.select(F.lit("x").alias("path"), F.unhex("value").alias("content")))
 
 
-@query("src_year_store", f"WITH {RAW} SELECT year(session) AS year, count(*) AS n, count(DISTINCT session) AS days, count(DISTINCT symbol) AS symbols FROM br WHERE series = 'EQ' GROUP BY 1")
+@query("src_year_store", f"WITH {RAW}, y AS (SELECT year(session) AS year, count(*) AS n, count(DISTINCT session) AS days, count(DISTINCT symbol) AS symbols FROM br WHERE series = 'EQ' GROUP BY 1) SELECT *, CASE WHEN year % 2 = 0 THEN 'CACHED' ELSE 'BUILT' END AS status FROM y")
 def src_year_store(v):
+    """The even years are published first, so the second run finds them there and builds the others."""
     path = readers.scratch(v.spark)
-    readers.write_years(readers.legacy(raw_text(v, readers.LEGACY)), path)
-    return v.spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.countDistinct("session").alias("days"), F.countDistinct("symbol").alias("symbols"))
+    bars = readers.staged(readers.legacy(raw_text(v, readers.LEGACY)))
+    readers.write_years(bars.where(F.year("session") % 2 == 0), path)
+    return readers.write_years(bars, path).withColumnRenamed("rows", "n")
 
 
 @query("src_bounded_load", f"WITH {RAW} SELECT session, symbol, round(close, 8) AS close FROM br WHERE series = 'EQ' AND session BETWEEN DATE '1997-03-01' AND DATE '1998-02-15'")
@@ -161,18 +175,18 @@ def src_xbrl_facts(v):
     return v.t("orders").select(F.col("o_orderkey").alias("id"), xml.alias("xml")).select("id", fact("Revenue").alias("revenue"), fact("Profit").alias("profit"))
 
 
-@query("src_xbrl_categories", "SELECT o_orderkey AS id, (o_orderkey % 60)::DOUBLE AS promoter_pct, CASE WHEN o_orderkey % 3 = 0 THEN 5.0 WHEN o_orderkey % 3 = 1 THEN 7.0 END AS fii_pct FROM orders WHERE o_orderkey % 60 > 0")
+@query("src_xbrl_categories", "SELECT o_orderkey AS id, (o_orderkey % 60)::DOUBLE AS promoter_pct, CASE WHEN o_orderkey % 3 = 0 THEN 5.0 WHEN o_orderkey % 3 = 1 THEN 7.0 END AS fii_pct FROM orders")
 def src_xbrl_categories(v):
     """The first present of several aliases per category; shares given as fractions are scaled by the master's value."""
     k = F.col("o_orderkey")
     scale = F.when(k % 2 == 0, (k % 60) / 100.0).otherwise((k % 60).cast("double"))
     fii = F.when(k % 3 == 0, "<c n='ForeignPortfolioInvestor'>5</c>").when(k % 3 == 1, "<c n='InstitutionsForeign'>7</c>").otherwise("")
     xml = F.concat(F.lit("<c n='PromoterGroup'>"), scale.cast("string"), F.lit("</c>"), fii)
-    t = v.t("orders").where(k % 60 > 0).select(k.alias("id"), xml.alias("xml"), (k % 60).cast("double").alias("master"))
+    t = v.t("orders").select(k.alias("id"), xml.alias("xml"), (k % 60).cast("double").alias("master"))
     m = F.map_from_arrays(F.regexp_extract_all("xml", F.lit("n='(\\w+)'"), F.lit(1)), F.regexp_extract_all("xml", F.lit(">([0-9.]+)<"), F.lit(1)))
     t = t.withColumn("m", m)
     p = F.col("m")["PromoterGroup"].try_cast("double")
-    p = F.when(F.abs(p * 100 / F.col("master") - 1) <= 0.15, F.round(p * 100, 6)).otherwise(p)
+    p = F.when(F.abs(F.try_divide(p * 100, F.col("master")) - 1) <= 0.15, F.round(p * 100, 6)).otherwise(p)
     return t.select("id", p.alias("promoter_pct"), F.coalesce(F.col("m")["InstitutionsForeign"], F.col("m")["ForeignPortfolioInvestor"]).try_cast("double").alias("fii_pct"))
 
 

@@ -207,14 +207,43 @@ def test_pairs_in_blocks_and_shards(spark):
         assert {tuple(x) for x in divergence.pair_differences(c, g, shard, sources).collect()} == want
 
 
-def test_terms_end_with_their_row():
+def test_terms_end_with_their_row(spark):
+    texts = ["ab", "cd e", "", "É1F", None, "x", "b a b A"] * 100
+    docs = spark.createDataFrame([("q r", "s", t) for t in texts], "lang string, source string, text string").coalesce(1)
+    got = [r["terms"] for r in divergence.termed(docs).collect()]
+    assert got == [["ab q r"], ["cd q r", "e q r"], [], ["É q r", "f q r"], [], ["x q r"], ["b q r", "a q r", "b q r", "a q r"]] * 100
+    assert [sorted(r["terms"]) for r in divergence.termed(docs, distinct=True).collect()] == [sorted(set(x)) for x in got]
+
+
+@pytest.mark.parametrize("marks", [0, 1 << 24])
+def test_distinct_terms(monkeypatch, marks):
     import pyarrow as pa
 
-    texts = ["ab", "cd e", "", "É1F", None, "x"] * 100
-    b = pa.RecordBatch.from_pydict({"_text": pa.array([t or "" for t in texts]), "_lang": pa.array(["q r"] * len(texts))})
-    assert [x for part in divergence._lists(b, False, None) for x in part.to_pylist()] == [["ab q r"], ["cd q r", "e q r"], [], ["É q r", "f q r"], [], ["x q r"]] * 100
-    b = pa.RecordBatch.from_pydict({"_text": pa.array(["b a b", "", "a A"] * 200), "_lang": pa.array(["q"] * 600)})
-    assert [sorted(x) for part in divergence._lists(b, True, None) for x in part.to_pylist()] == [["a q", "b q"], [], ["a q"]] * 200
+    monkeypatch.setattr(divergence, "MARKS", marks)
+    words, counts = divergence._distinct(pa.array(["b", "a", "b", "b", "c", "c"], pa.large_string()), np.array([3, 0, 3]))
+    assert sorted(words.to_pylist()[:2]) == ["a", "b"] and sorted(words.to_pylist()[2:]) == ["b", "c"] and counts.tolist() == [2, 0, 2]
+
+
+def test_vectors_are_those_of_the_model(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
+    terms = divergence.termed(docs)
+    model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=5.0, vocabSize=(1 << 31) - 1).fit(terms)
+    by_lang = defaultdict(dict)
+    for i, w in enumerate(model.vocabulary):
+        term, lang = w.split(" ", 1)
+        by_lang[lang][term] = i
+    want = [dict(zip(map(int, r["counts"].indices), map(int, r["counts"].values), strict=True)) for r in model.transform(terms).collect()]
+    got = divergence.document_vectors(docs, spark.sparkContext.broadcast(dict(by_lang)), len(model.vocabulary)).collect()
+    assert [dict(zip(r["i"], r["n"], strict=True)) for r in got] == want and sum(map(len, want)) > 1000
+
+
+def test_about_as_many_terms_are_kept_as_estimated(spark):
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(20_000)]
+    docs = spark.createDataFrame([("en", "s", " ".join(words[i::4])) for i in range(4)] * 2, "lang string, source string, text string")
+    assert 0.8 < divergence._kept_terms(docs, 2) / len(set(words)) < 1.25
 
 
 def test_digests_are_those_of_the_texts(spark):

@@ -290,10 +290,10 @@ nm AS (SELECT *, concat_ws('|', CASE WHEN available_at < published_at THEN 'AVAI
   CASE WHEN least(open, high, low, close) <= 0 THEN 'NON_POSITIVE_PRICE' END, CASE WHEN k BETWEEN 1 AND 3 THEN 'PARTIAL_OHLC' END, CASE WHEN published_at < event_time THEN 'PUBLISHED_BEFORE_EVENT' END, CASE WHEN retrieved_at < published_at THEN 'RETRIEVED_BEFORE_PUBLICATION' END, CASE WHEN NOT known THEN 'UNRESOLVED_INSTRUMENT' END) AS flags FROM fl)"""
 
 
-def raw_bars(v):
+def raw_bars(v, bars=None):
     """Daily bars as a source sends them, with faults of every kind by arithmetic on keys, and second revisions."""
     x, i, s, t = F.col("x"), F.col("instrument_id"), F.col("session"), F.col("session").cast("timestamp")
-    b = v.bars_d.withColumn("x", i * 7 + F.datediff(s, F.lit("1992-01-01").cast("date")))
+    b = (bars if bars is not None else v.bars_d).withColumn("x", i * 7 + F.datediff(s, F.lit("1992-01-01").cast("date")))
     after = lambda n, odd, usual: t + F.when(x % n == 0, F.make_dt_interval(F.lit(0), F.lit(odd))).otherwise(F.make_dt_interval(F.lit(0), F.lit(usual)))
     gone = x % 89 == 0
     first = b.select(
@@ -315,8 +315,14 @@ def raw_bars(v):
 
 @query("src_bar_normalize", f"WITH {BAR_ROWS} SELECT session_date, instrument_id, listing_id, source_record_id, revision_number, flags, flags = '' AS accepted FROM nm")
 def src_bar_normalize(v):
-    listings = v.bars_d.select("instrument_id").distinct().withColumn("listing_id", F.concat(F.lit("L"), F.col("instrument_id").cast("string")))
-    b = readers.flagged_bars(raw_bars(v), listings)
+    return told(readers.flagged_bars(raw_bars(v), listings(v.bars_d)))
+
+
+def listings(bars):
+    return bars.select("instrument_id").distinct().withColumn("listing_id", F.concat(F.lit("L"), F.col("instrument_id").cast("string")))
+
+
+def told(b):
     return b.select("session_date", "instrument_id", "listing_id", "source_record_id", "revision_number", F.array_join("flags", "|").alias("flags"), (F.size("flags") == 0).alias("accepted"))
 
 

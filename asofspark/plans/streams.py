@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.readers import scratch
 from ..streaming import ingest as st
 from .registry import query
+from .sources import BAR_ROWS, listings, raw_bars, told
 
 
 def stream(v):
     return st.event_stream(v.spark, f"{v.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("st_bar_ingest", "SELECT event_id, CASE WHEN value <= 5 OR user_id % 17 = 0 THEN 'quarantine' ELSE 'accepted' END AS route FROM events")
+@query("st_bar_ingest", f"WITH {BAR_ROWS.replace('bars_d', 'bars_w')} SELECT session_date, instrument_id, listing_id, source_record_id, revision_number, flags, flags = '' AS accepted FROM nm")
 def st_bar_ingest(v):
-    reasons = F.array_compact(F.array(F.when(F.col("value") <= 5, "BAD_PRICE"), F.when(F.col("user_id") % 17 == 0, "NO_USER")))
-    good, bad = st.ingest(stream(v), reasons)
-    read = lambda p, name: v.spark.read.parquet(p).select("event_id", F.lit(name).alias("route"))
-    return read(good, "accepted").unionByName(read(bad, "quarantine"))
+    """Weekly bars in several files, fed one by one: the rules of src_bar_normalize, also where a duplicate or a parent
+    is in another file."""
+    path = scratch(v.spark)
+    raw_bars(v, v.bars_w).repartition(3, "session_date").write.parquet(path)
+    return told(st.ingest_bars(v.spark, path, listings(v.bars_w)))
 
 
 @query("st_latest_revision", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

@@ -305,6 +305,9 @@ def security_master(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("listing_id is not null")
 
 
+DUPLICATE_ID, DUPLICATE_REVISION, BROKEN_CHAIN = "DUPLICATE_SOURCE_RECORD_ID", "DUPLICATE_REVISION_IDENTITY", "INVALID_SUPERSESSION_CHAIN"
+
+
 def flagged_bars(bars: DataFrame, listings: DataFrame) -> DataFrame:
     """Daily bars with flags, the sorted names of all 21 rules that a row breaks; rows without any are accepted.
 
@@ -318,24 +321,29 @@ def flagged_bars(bars: DataFrame, listings: DataFrame) -> DataFrame:
     revisions = bars.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in key], F.lit(True).alias("_same_revision"))
     parents = bars.where("source_record_id is not null").groupBy("source_record_id", *key).agg(F.min("published_at").alias("_parent_at"))
     parents = parents.select(F.col("source_record_id").alias("_parent"), F.col("instrument_id").alias("_p_instrument"), F.col("event_time").alias("_p_event"), (F.col("revision_number") + 1).alias("_p_next"), "_parent_at")
-    known = listings.select(F.col("instrument_id").alias("_known"), F.col("listing_id").alias("_listing"))
     b = bars.join(ids, F.col("source_record_id").eqNullSafe(F.col("_dup")), "left")
     b = b.join(revisions, (F.col("instrument_id").eqNullSafe(F.col("_instrument_id"))) & (F.col("event_time") == F.col("_event_time")) & (F.col("revision_number") == F.col("_revision_number")), "left")
     b = b.join(parents, (F.col("supersedes_record_id") == F.col("_parent")) & (F.col("instrument_id") == F.col("_p_instrument")) & (F.col("event_time") == F.col("_p_event")) & (F.col("revision_number") == F.col("_p_next")), "left")
-    b = b.join(known, F.col("instrument_id") == F.col("_known"), "left")
+    orphan = (F.col("revision_number") > 1) & ~F.coalesce(F.col("_parent_at") < F.col("published_at"), F.lit(False))
+    b = b.withColumns({DUPLICATE_ID: F.col("_again"), DUPLICATE_REVISION: F.col("_same_revision"), BROKEN_CHAIN: orphan})
+    return flagged_rows(b, listings, [DUPLICATE_ID, DUPLICATE_REVISION, BROKEN_CHAIN]).select(*bars.columns, "flags")
+
+
+def flagged_rows(bars: DataFrame, listings: DataFrame, given: list[str]) -> DataFrame:
+    """bars with flags: the sorted names of the rules that a row breaks by itself, and of those of the flags in given
+    (boolean columns) that are true; BROKEN_CHAIN is also the row's own fault if a first revision supersedes one."""
+    known = listings.select(F.col("instrument_id").alias("_known"), F.col("listing_id").alias("_listing"))
+    b = bars.join(known, F.col("instrument_id") == F.col("_known"), "left")
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     present = sum((p.isNotNull().cast("int") for p in prices[1:]), prices[0].isNotNull().cast("int"))
     empty = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
-    chain = ((F.col("revision_number") == 1) & F.col("supersedes_record_id").isNotNull()) | ((F.col("revision_number") > 1) & ~F.coalesce(F.col("_parent_at") < F.col("published_at"), F.lit(False)))
     rules = {
         "AVAILABLE_BEFORE_PUBLICATION": F.col("available_at") < F.col("published_at"),
-        "DUPLICATE_REVISION_IDENTITY": F.col("_same_revision"),
-        "DUPLICATE_SOURCE_RECORD_ID": F.col("_again"),
         "EVENT_SESSION_MISMATCH": F.to_date("event_time") != F.col("session_date"),
         "IMPOSSIBLE_OHLC": (present == 4) & ((F.col("high") < F.greatest("open", "low", "close")) | (F.col("low") > F.least("open", "high", "close"))),
         "INVALID_LISTING_LINKAGE": F.col("_known").isNotNull() & ~F.col("_listing").eqNullSafe(F.col("listing_id")),
         "INVALID_REVISION_NUMBER": F.col("revision_number") < 1,
-        "INVALID_SUPERSESSION_CHAIN": chain,
+        BROKEN_CHAIN: (F.col("revision_number") == 1) & F.col("supersedes_record_id").isNotNull(),
         "MISSING_INSTRUMENT_ID": empty("instrument_id"),
         "MISSING_LISTING_ID": empty("listing_id"),
         "MISSING_OHLC": present < 4,
@@ -350,7 +358,9 @@ def flagged_bars(bars: DataFrame, listings: DataFrame) -> DataFrame:
         "RETRIEVED_BEFORE_PUBLICATION": F.col("retrieved_at") < F.col("published_at"),
         "UNRESOLVED_INSTRUMENT": F.col("_known").isNull(),
     }
-    return b.withColumn("flags", F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))).select(*bars.columns, "flags")
+    told = {f: F.coalesce(F.col(f), F.lit(False)) for f in given}
+    every = {name: F.coalesce(rules.get(name, F.lit(False)), F.lit(False)) | told.get(name, F.lit(False)) for name in sorted({*rules, *told})}
+    return b.withColumn("flags", F.array_compact(F.array(*[F.when(rule, name) for name, rule in every.items()]))).drop("_known", "_listing")
 
 
 def scratch(spark: SparkSession) -> str:

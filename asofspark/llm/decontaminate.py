@@ -2,7 +2,8 @@
 
 Of every k consecutive words a hash is taken, and of every w consecutive hashes the smallest is kept, with
 k + w - 1 = the window's words: every shared span of that length has a kept hash in common. Kept hashes of documents
-and benchmark items are joined, and each hit is extended word by word to the whole shared span, compared exactly.
+and benchmark items are joined; a document and an item that meet are extended once, over all windows of both, and words
+are compared as such, in time linear in their words.
 Items of fewer words are looked up by a hash of the whole item at every position, and compared in the same way.
 
 A benchmark of up to INDEX_BYTES goes to every task as an index. Beyond, the join is a shuffle: a bitmap of the items'
@@ -50,6 +51,7 @@ class Words:
     """The words of several texts: bounds in `low` (lower-cased bytes), text number and hash of each."""
 
     def __init__(self, texts: list[bytes]):
+        self._column: pa.Array | None = None
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.low = low = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         n, ends_of_text = len(low), np.cumsum(self.sizes)
@@ -103,19 +105,34 @@ class Words:
         at = np.flatnonzero(sel)
         return at, g[at]
 
+    def column(self) -> pa.Array:
+        """The words themselves."""
+        if self._column is None:
+            ends = np.append(0, np.cumsum(self.end - self.start))
+            self._column = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.low[self.low > 0])])
+        return self._column
+
     def bytes_of(self, i: int, j: int) -> bytes:
         return b" ".join(self.low[s:e].tobytes() for s, e in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
 class Index:
-    """Benchmark items (id, text) by kept hash, and short items by a hash of the whole."""
+    """Benchmark items (id, text) by kept hash, and short items by a hash of the whole. Items of one text are one."""
 
     def __init__(self, items: list[tuple[object, bytes]]):
-        self.ids = [i for i, _ in items]
-        self.words = w = Words([t for _, t in items])
+        ids: dict[bytes, list] = {}
+        for i, text in items:
+            ids.setdefault(text, []).append(i)
+        self.ids = list(ids.values())
+        self.words = w = Words(list(ids))
         at, g = w.kept()
-        order = np.argsort(g, kind="stable")
-        self.gram, self.at = g[order], at[order]
+        owner = w.text[at]
+        order = np.lexsort((owner, g))
+        g, owner = g[order], owner[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+        self.gram, self.owner = g[new], owner[new]
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.short = {}
         for n in sorted(set(w.counts[(w.counts > 0) & (w.counts < WINDOW)].tolist())):
             which = np.flatnonzero(w.counts == n)
@@ -124,40 +141,77 @@ class Index:
             self.short[n] = (h[order], which[order])
 
     @staticmethod
-    def _matches(keys: np.ndarray, values: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int]]:
-        lo = np.searchsorted(keys, h, "left")
-        some = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, max(0, len(keys) - 1))] == h)) if len(keys) else []
-        for i in some:
-            hi = np.searchsorted(keys, h[i], "right")
-            for v in values[lo[i] : hi]:
-                yield int(at[i]), int(v)
+    def _matches(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h and values of equal keys, each pair once; keys are ordered."""
+        low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        n = high - low
+        place = np.repeat(np.arange(len(h)), n)
+        return place, values[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(place))] if len(place) else values[:0]
+
+    def candidates(self, d: Words) -> Iterator[tuple[int, int]]:
+        """Texts and items that have a kept hash in common, each pair once."""
+        at, g = d.kept()
+        t = d.text[at]
+        order = np.lexsort((g, t))
+        t, g = t[order], g[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+        place, item = self._matches(self.gram, self.owner, g[new])
+        both = np.unique(t[new][place] * max(1, len(self.ids)) + item)
+        yield from zip(*(x.tolist() for x in np.divmod(both, max(1, len(self.ids)))), strict=True)
+
+    def _windows(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of an item's windows, in order, and where each window begins among its words."""
+        if i not in self.windows:
+            w = self.words
+            h = w.grams(WINDOW)[w.first[i] : w.first[i] + w.counts[i] - WINDOW + 1]
+            order = np.argsort(h, kind="stable")
+            self.windows[i] = h[order], order
+        return self.windows[i]
+
+    def extended(self, d: Words, grams: np.ndarray, t: int, i: int) -> np.ndarray:
+        """Where windows of item i occur among the words of text t: hits extended over all of both, in time linear in
+        the words of both (but for the order of the item's), however often a word repeats. Words are compared as such."""
+        first, n = int(d.first[t]), int(d.counts[t])
+        h, at = self._windows(i)
+        mine = grams[first : first + n - WINDOW + 1]
+        lo = np.searchsorted(h, mine)
+        p = np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == mine)
+        if not len(p):
+            return p
+        w = self.words
+        spelled = pa.concat_arrays([d.column()[first : first + n], w.column()[int(w.first[i]) : int(w.first[i] + w.counts[i])]]).dictionary_encode().indices.to_numpy()
+        ours, theirs = spelled[:n], spelled[n:]
+        step = np.arange(WINDOW)
+        same = np.zeros(len(p), bool)
+        for k in range(0, len(p), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            same[part] = (ours[p[part, None] + step] == theirs[at[lo[p[part]], None] + step]).all(axis=1)
+        for k in np.flatnonzero(~same).tolist():  # another window of the same hash may be the one
+            others = at[lo[p[k]] : np.searchsorted(h, mine[p[k]], "right")]
+            same[k] = (theirs[others[:, None] + step] == ours[p[k] + step]).all(axis=1).any()
+        return p[same]
 
     def hits(self, texts: list[bytes]) -> tuple[Words, np.ndarray, list[set]]:
         """The words of the texts, a mark for each word that is hit, and the ids of occurring items by text."""
         d, w = Words(texts), self.words
         hit, items = np.zeros(len(d.hash), bool), [set() for _ in texts]
-        done = set()
-        for p, q in self._matches(self.gram, self.at, *d.kept()):
-            t, i = int(d.text[p]), int(w.text[q])
-            if (t, i, p - q) in done:
-                continue
-            done.add((t, i, p - q))
-            back = min(p - d.first[t], q - w.first[i])
-            n = int(min(d.counts[t] - (p - back - d.first[t]), w.counts[i] - (q - back - w.first[i])))
-            p0, q0 = int(p - back), int(q - back)
-            same = np.concatenate(([False], d.hash[p0 : p0 + n] == w.hash[q0 : q0 + n], [False]))
-            edge = np.flatnonzero(same[1:] != same[:-1])
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if b - a >= WINDOW and d.bytes_of(p0 + a, p0 + b) == w.bytes_of(q0 + a, q0 + b):
-                    hit[p0 + a : p0 + b] = True
-                    items[t].add(self.ids[i])
+        grams = None
+        for t, i in self.candidates(d):
+            grams = d.grams(WINDOW) if grams is None else grams
+            p = self.extended(d, grams, t, i)
+            if len(p):
+                for k in range(WINDOW):
+                    hit[p + (int(d.first[t]) + k)] = True
+                items[t].update(self.ids[i])
         for n, (keys, which) in self.short.items():
             ok = np.flatnonzero(d.within(n))
-            for p, i in self._matches(keys, which, ok, d.grams(n)[ok]):
+            place, item = self._matches(keys, which, d.grams(n)[ok])
+            for p, i in zip(ok[place].tolist(), item.tolist(), strict=True):
                 q = int(w.first[i])
                 if d.bytes_of(p, p + n) == w.bytes_of(q, q + n):
                     hit[p : p + n] = True
-                    items[int(d.text[p])].add(self.ids[i])
+                    items[int(d.text[p])].update(self.ids[i])
         return d, hit, items
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, int, list[object]]]:

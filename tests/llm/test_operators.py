@@ -720,3 +720,34 @@ def _words(text):
     import re
 
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_repeated_words_take_linear_time():
+    import time
+
+    n, began = 60_000, time.time()
+    index = decontaminate.Index([(1, b"na " * n), (2, b"la " * n), (3, b"na na")] + [(k, b"same words") for k in range(10, 5010)])
+    got = index.scan([b"na " * n, b"xx " + b"na " * 9 + b"b", b"ab " * n, b"the same words"])
+    assert [x[:2] for x in got] == [(n, n), (11, 9), (n, 0), (3, 2)]
+    assert [x[2] for x in got[:3]] == [[1, 3], [3], []] and len(got[3][2]) == 5000
+    assert time.time() - began < 10
+
+
+def test_windows_are_those_of_brute_force():
+    r = random.Random(1)
+    for _ in range(200):
+        words = [b"a", b"b", b"cc", b"D", "é".encode(), b"9"][: r.choice([1, 2, 6])]
+        text = lambda most, words=words: b" ".join(r.choice(words) for _ in range(r.randrange(most)))
+        items = [(i, text(r.choice([5, 15, 40]))) for i in range(r.randrange(1, 6))] + [(98, b"a a"), (99, b"a a")]
+        texts = [text(r.choice([3, 20, 60])) for _ in range(5)] + [b"x y " + items[0][1] + b" z"]
+        split = lambda t: [w.encode() for w in _words(t.decode())]
+        for t, got in zip(texts, decontaminate.Index(items).scan(texts), strict=True):
+            w, hit, found = split(t), set(), set()
+            for i, x in ((i, split(x)) for i, x in items):
+                n = min(10, len(x))
+                windows = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} if n else set()
+                for p in range(len(w) - n + 1) if n else ():
+                    if tuple(w[p : p + n]) in windows:
+                        hit |= set(range(p, p + n))
+                        found.add(i)
+            assert got == (len(w), len(hit), sorted(found, key=str))

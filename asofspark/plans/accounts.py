@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.costs import delivery_leg, futures_leg
 from ..functions.keywords import TITLE_EXCLUDE, TITLE_INCLUDE, finance_strengths
 from ..operators.ordered import average_cost, sealed, verified
 from ..operators.phrases import with_phrases
 from ..operators.ranks import with_counts_before
+from ..sources.readers import staged
 from .registry import query
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
@@ -65,13 +67,31 @@ def ag_valuation(v):
     return valued(v).groupBy("book").agg(F.round(F.sum("value"), 2).alias("net"), F.round(F.sum(a), 2).alias("gross"), R6(F.max(a) / F.sum(a), "concentration"), F.bool_or(F.col("price").isNull() | (F.col("at") < "2000-06-12")).alias("incomplete"))
 
 
-@query("ag_limit_checks", f"WITH {HOLD}, x AS (SELECT book, max(abs(shares * price)) / sum(abs(shares * price)) AS pos, abs(sum(shares * price)) / sum(abs(shares * price)) AS net, count(*) FILTER (WHERE shares <> 0) AS names FROM h LEFT JOIN lp USING (instrument_id) GROUP BY book) SELECT book, limit_name, CASE WHEN x IS NULL THEN 'UNKNOWN' WHEN x > hi THEN 'BLOCK' WHEN x > 0.8 * hi THEN 'BINDING' ELSE 'PASS' END AS state FROM x CROSS JOIN LATERAL (VALUES ('position', pos, 0.2), ('net', net, 0.5), ('names', names::DOUBLE, 30.0)) t(limit_name, x, hi)")
+LIMITS = f"""{HOLD}, va AS (SELECT book, h.instrument_id, sector_id, shares, shares * price AS x FROM h LEFT JOIN lp USING (instrument_id) LEFT JOIN sector USING (instrument_id)),
+se AS (SELECT book, max(s) AS s FROM (SELECT book, sector_id, sum(abs(x)) AS s FROM va GROUP BY 1, 2) GROUP BY 1),
+ca AS (SELECT c_custkey % 20 AS book, sum(c_acctbal) * 40 AS cash FROM customer GROUP BY 1), tv AS (SELECT o_custkey % 20 AS book, sum(o_totalprice) / 10 AS traded FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY GROUP BY 1),
+bk AS (SELECT book, max(abs(x)) AS top, sum(abs(x)) AS gross, abs(sum(x)) AS net, count(*) FILTER (WHERE shares <> 0) AS names, bool_or(shares <> 0 AND x IS NULL) AS unpriced FROM va GROUP BY 1),
+li AS (SELECT book, top / gross AS position, s / gross AS sector, gross / (gross + cash) AS gross, net / gross AS net, cash / (gross + cash) AS cash, coalesce(traded, 0) / gross AS turnover, names, unpriced FROM bk JOIN se USING (book) JOIN ca USING (book) LEFT JOIN tv USING (book))"""
+
+
+@query("ag_limit_checks", f"WITH {LIMITS}, y AS (SELECT book, limit_order, limit_name, CASE WHEN NOT unpriced OR limit_name = 'names' THEN x END AS x, hi, low FROM li CROSS JOIN LATERAL (VALUES (1, 'position', position, 0.2, false), (2, 'sector', sector, 0.4, false), (3, 'gross', gross, 0.9, false), (4, 'net', net, 0.5, false), (5, 'cash', cash, 0.1, true), (6, 'turnover', turnover, 0.3, false), (7, 'names', names::DOUBLE, 30.0, false)) t(limit_order, limit_name, x, hi, low)) SELECT book, limit_order, limit_name, round(x, 6) AS observed, CASE WHEN x IS NULL THEN 'UNKNOWN' WHEN low AND x < hi OR NOT low AND x > hi THEN 'BLOCK' WHEN low AND x < hi * 1.25 OR NOT low AND x > 0.8 * hi THEN 'BINDING' ELSE 'PASS' END AS state FROM y")
 def ag_limit_checks(v):
-    a = F.abs(F.col("shares") * F.col("price"))
-    x = valued(v).groupBy("book").agg((F.max(a) / F.sum(a)).alias("position"), (F.abs(F.sum(F.col("shares") * F.col("price"))) / F.sum(a)).alias("net"), F.count_if(F.col("shares") != 0).cast("double").alias("names"))
-    rows = x.unpivot("book", ["position", "net", "names"], "limit_name", "x")
-    hi = F.when(F.col("limit_name") == "position", 0.2).when(F.col("limit_name") == "net", 0.5).otherwise(30.0)
-    return rows.select("book", "limit_name", F.when(F.col("x").isNull(), "UNKNOWN").when(F.col("x") > hi, "BLOCK").when(F.col("x") > hi * 0.8, "BINDING").otherwise("PASS").alias("state"))
+    """All limits of a book in a fixed order; those that need prices are unknown while a holding has none."""
+    x = F.col("shares") * F.col("price")
+    a = F.abs(x)
+    held = staged(valued(v).join(v.sector, "instrument_id", "left"))
+    sectors = held.groupBy("book", "sector_id").agg(F.sum(a).alias("s")).groupBy("book").agg(F.max("s").alias("s"))
+    cash = v.t("customer").groupBy((F.col("c_custkey") % 20).alias("book")).agg((F.sum("c_acctbal") * 40).alias("cash"))
+    o = v.t("orders")
+    since = o.agg((F.max("o_orderdate") - F.make_dt_interval(F.lit(60))).alias("since"))
+    traded = o.crossJoin(F.broadcast(since)).where("o_orderdate > since").groupBy((F.col("o_custkey") % 20).alias("book")).agg((F.sum("o_totalprice") / 10).alias("traded"))
+    b = held.groupBy("book").agg(F.max(a).alias("top"), F.sum(a).alias("g"), F.abs(F.sum(x)).alias("net"), F.count_if(F.col("shares") != 0).cast("double").alias("names"), F.bool_or((F.col("shares") != 0) & x.isNull()).alias("unpriced"))
+    b = b.join(sectors, "book").join(cash, "book").join(traded, "book", "left")
+    whole = F.col("g") + F.col("cash")
+    limits = [("position", F.col("top") / F.col("g"), 0.2), ("sector", F.col("s") / F.col("g"), 0.4), ("gross", F.col("g") / whole, 0.9), ("net", F.col("net") / F.col("g"), 0.5), ("cash", F.col("cash") / whole, 0.1), ("turnover", F.coalesce("traded", F.lit(0.0)) / F.col("g"), 0.3), ("names", F.col("names"), 30.0)]
+    seen = lambda name, value: value if name == "names" else F.when(~F.col("unpriced"), value)
+    rows = [F.struct(F.lit(i + 1).alias("limit_order"), F.lit(name).alias("limit_name"), F.round(seen(name, value), 6).alias("observed"), rules.limit_state(seen(name, value), F.lit(most), name == "cash").alias("state")) for i, (name, value, most) in enumerate(limits)]
+    return b.select("book", F.inline(F.array(*rows)))
 
 
 RUNNING = """ev AS (SELECT instrument_id, sidx, floor(close * 1000000 + 0.5)::BIGINT AS price, CASE WHEN sidx % 3 = 0 THEN -50 ELSE 40 END::BIGINT AS qty, row_number() OVER (PARTITION BY instrument_id ORDER BY sidx) AS i FROM grid_w WHERE close IS NOT NULL),
@@ -209,10 +229,40 @@ def quality_reasons():
 REASONS = "concat_ws('|', CASE WHEN user_id % 17 = 0 THEN 'NO_USER' END, CASE WHEN value <= 5 THEN 'BAD_PRICE' END, CASE WHEN event_id % 19 = 0 THEN 'FUTURE_CLOCK' END, CASE WHEN event_id % 23 = 0 THEN 'NOT_CAUSAL' END)"
 
 
-@query("px_quote_readiness", f"SELECT event_id, {REASONS} AS reasons, CASE WHEN {REASONS} = '' THEN round(value, 4) END AS display_price FROM events")
+QUOTES = """q0 AS (SELECT *, (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS as_of FROM events),
+q1 AS (SELECT event_id, as_of, CASE WHEN event_id % 40 = 0 THEN event_id - 1 ELSE event_id END AS k, CASE WHEN event_id % 41 = 0 THEN event_id + 1 ELSE event_id END AS token, CASE WHEN event_id % 67 = 0 THEN 'OTHER' ELSE 'SIMULATED' END AS exchange,
+  CASE WHEN event_id % 71 = 0 THEN 'IX' ELSE 'EQ' END AS class, CASE WHEN event_id % 47 = 0 THEN 'USD' ELSE 'INR' END AS currency, CASE WHEN event_id % 53 = 0 THEN 'SOURCE_TIMEOUT' ELSE 'AVAILABLE' END AS source_state,
+  CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 37 = 0 THEN -value ELSE value END AS price, CASE WHEN event_id % 26 = 0 OR event_id % 43 = 0 THEN 'HALTED' END AS reason, CASE WHEN event_id % 59 = 0 THEN 'STALE_CACHE' WHEN event_id % 61 = 0 THEN 'UNKNOWN' ELSE 'FRESH' END AS cache,
+  CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END AS quote_at, ts + CASE WHEN event_id % 19 = 0 THEN INTERVAL (-60) SECOND ELSE INTERVAL 60 SECOND END AS retrieved_at, ts + CASE WHEN event_id % 23 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL (-5) HOUR END AS inventory_at,
+  CASE WHEN event_id % 31 = 0 THEN NULL ELSE ts + CASE WHEN event_id % 29 = 0 THEN INTERVAL 30 SECOND ELSE INTERVAL (-30) SECOND END END AS trade_at FROM q0),
+q2 AS (SELECT *, count(*) OVER (PARTITION BY k) > 1 OR count(*) OVER (PARTITION BY token) > 1 AS twin FROM q1),
+q3 AS (SELECT event_id, price, concat_ws('|', CASE WHEN twin THEN 'AMBIGUOUS_IDENTITY' END, CASE WHEN exchange <> 'SIMULATED' OR class <> 'EQ' THEN 'INELIGIBLE_IDENTITY' END, CASE WHEN currency <> 'INR' THEN 'INCOMPATIBLE_CURRENCY' END, CASE WHEN source_state <> 'AVAILABLE' THEN source_state END,
+  CASE WHEN price IS NULL THEN 'MISSING_PRICE|' || coalesce(reason, 'MISSING_REASON_UNSPECIFIED') WHEN price <= 0 THEN 'INVALID_PRICE' WHEN reason IS NOT NULL THEN 'INCONSISTENT_MISSINGNESS' END, CASE WHEN cache <> 'FRESH' THEN cache END,
+  CASE WHEN quote_at IS NULL THEN 'QUOTE_TIME_UNKNOWN' WHEN quote_at > as_of THEN 'QUOTE_TIME_FUTURE' WHEN quote_at < as_of - INTERVAL 20 DAY THEN 'QUOTE_STALE' END, CASE WHEN retrieved_at > as_of THEN 'RETRIEVAL_TIME_FUTURE' WHEN retrieved_at < as_of - INTERVAL 20 DAY THEN 'RETRIEVAL_STALE' END,
+  CASE WHEN inventory_at > as_of THEN 'INVENTORY_TIME_FUTURE' WHEN inventory_at < as_of - INTERVAL 25 DAY THEN 'INVENTORY_STALE' END, CASE WHEN trade_at IS NULL THEN 'TRADE_TIME_UNKNOWN' WHEN trade_at > as_of THEN 'TRADE_TIME_FUTURE' END,
+  CASE WHEN trade_at > quote_at THEN 'TRADE_AFTER_QUOTE' END, CASE WHEN quote_at > retrieved_at THEN 'QUOTE_AFTER_RETRIEVAL' END, CASE WHEN inventory_at > retrieved_at THEN 'INVENTORY_AFTER_RETRIEVAL' END) AS reasons FROM q2)"""
+
+
+@query("px_quote_readiness", f"WITH {QUOTES} SELECT event_id, reasons, CASE WHEN reasons = '' THEN round(price, 4) END AS display_price FROM q3")
 def px_quote_readiness(v):
-    r = F.array_join(quality_reasons(), "|")
-    return v.t("events").select("event_id", r.alias("reasons"), F.when(r == "", F.round("value", 4)).alias("display_price"))
+    """Events as quote records, with faults of every kind by arithmetic on keys: ordered reasons, or a price to show."""
+    k = F.col("event_id")
+    e = v.t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    odd = lambda n, then, other: F.when(k % n == 0, then).otherwise(other)
+    after = lambda s: F.col("ts") + F.make_dt_interval(secs=s)
+    r = e.select(
+        "event_id", odd(40, k - 1, k).alias("key"), odd(41, k + 1, k).alias("token"), odd(67, "OTHER", F.lit("SIMULATED")).alias("exchange"), odd(71, "IX", F.lit("EQ")).alias("instrument_class"),
+        odd(47, "USD", F.lit("INR")).alias("currency"), odd(53, "SOURCE_TIMEOUT", F.lit("AVAILABLE")).alias("source_state"), F.when(k % 13 == 0, None).when(k % 37 == 0, -F.col("value")).otherwise(F.col("value")).alias("price"),
+        F.when((k % 26 == 0) | (k % 43 == 0), "HALTED").alias("missing_reason"), F.when(k % 59 == 0, "STALE_CACHE").when(k % 61 == 0, "UNKNOWN").otherwise("FRESH").alias("cache_state"),
+        odd(17, None, F.col("ts")).alias("quote_at"), odd(19, after(F.lit(-60.0)), after(F.lit(60.0))).alias("retrieved_at"), odd(23, after(F.lit(86400.0)), after(F.lit(-18000.0))).alias("inventory_at"),
+        odd(31, None, odd(29, after(F.lit(30.0)), after(F.lit(-30.0)))).alias("trade_at"),
+    )
+    again = lambda c: r.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c, F.lit(True).alias(f"{c}_again"))
+    r = r.join(again("key"), "key", "left").join(again("token"), "token", "left").withColumn("twin", F.coalesce("key_again", "token_again"))
+    now = e.agg((F.max("ts") - F.make_dt_interval(F.lit(1))).alias("as_of"))
+    reasons = rules.quote_reasons(F.col("as_of"), {"QUOTE": 20 * 86400, "RETRIEVAL": 20 * 86400, "INVENTORY": 25 * 86400})
+    found = r.crossJoin(F.broadcast(now)).select("event_id", "price", F.array_join(reasons, "|").alias("reasons"))
+    return found.select("event_id", "reasons", F.when(F.col("reasons") == "", F.round("price", 4)).alias("display_price"))
 
 
 @query("px_quote_freshness", "WITH l AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, date_diff('second', date_trunc('second', last_ts), date_trunc('second', now)) AS age_s, CASE WHEN epoch(now) - epoch(last_ts) < 21600 THEN 'CURRENT' WHEN epoch(now) - epoch(last_ts) < 86400 THEN 'AGING' ELSE 'STALE' END AS freshness FROM l, n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import features as fx
 from ..operators import linear
 from ..operators.draws import smallest_draws
@@ -344,11 +345,22 @@ def wn_fold_checks(v):
     return by.groupBy("fold").agg(part("sidx <= train_to and sidx + 5 >= valid_from").alias("label_overlaps"), part("sidx between valid_from and valid_to").alias("in_oos"))
 
 
-@query("wn_split_window", "WITH s(name, a, b) AS (VALUES ('train', 1, 150), ('validation', 151, 250), ('holdout', 251, 340)) SELECT name, x.session AS opens, y.session AS closes FROM s JOIN cal_w x ON x.sidx = a + CASE WHEN a > 1 THEN 12 ELSE 0 END JOIN cal_w y ON y.sidx = b - 5")
+#: shares of the calendar
+SPLITS = {"train": 0.45, "validation": 0.3, "holdout": 0.25}
+SPLIT_SQL = "sp AS (SELECT name, n, floor(n * before)::INT + 1 AS a, floor(n * upto)::INT AS b FROM (VALUES ('train', 0, 0.45), ('validation', 0.45, 0.75), ('holdout', 0.75, 1)) t(name, before, upto), (SELECT count(*) AS n FROM cal_w))"
+
+
+@query("wn_split_window", f"WITH {SPLIT_SQL} SELECT name, x.session AS opens, y.session AS closes FROM sp JOIN cal_w x ON x.sidx = a + CASE WHEN a > 1 THEN 12 ELSE 0 END JOIN cal_w y ON y.sidx = b - 5")
 def wn_split_window(v):
-    s = v.spark.createDataFrame([("train", 1, 150), ("validation", 151, 250), ("holdout", 251, 340)], "name string, a int, b int")
-    s = s.select("name", (F.col("a") + F.when(F.col("a") > 1, 12).otherwise(0)).alias("a"), (F.col("b") - 5).alias("b"))
+    """Shares of the whole calendar, one after another; but for the first, a window opens 12 sessions late (what the
+    features before it have seen), and all close 5 early (what their outcomes need)."""
+    upto = [round(sum(list(SPLITS.values())[:i]), 6) for i in range(len(SPLITS) + 1)]
+    s = v.spark.createDataFrame([(name, float(upto[i]), float(upto[i + 1])) for i, name in enumerate(SPLITS)], "name string, before double, upto double")
     c = v.cal_w
+    s = s.crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))
+    at = lambda share: F.floor(F.col("n") * F.col(share).cast("decimal(4,2)")).cast("int")
+    s = s.select("name", (at("before") + 1).alias("a"), at("upto").alias("b"))
+    s = s.select("name", (F.col("a") + F.when(F.col("a") > 1, 12).otherwise(0)).alias("a"), (F.col("b") - 5).alias("b"))
     return s.join(c.select(F.col("sidx").alias("a"), F.col("session").alias("opens")), "a").join(c.select(F.col("sidx").alias("b"), F.col("session").alias("closes")), "b").select("name", "opens", "closes")
 
 
@@ -382,8 +394,30 @@ def px_row_hash(v):
     return v.bars_w.select("instrument_id", "session", F.sha2(F.concat_ws("|", F.col("instrument_id").cast("string"), F.col("session").cast("string"), unit("close"), unit("volume")), 256).alias("row_hash"))
 
 
-@query("px_confidence_band", "WITH x AS (SELECT instrument_id, sidx, (status <> 'RESOLVED')::INT + (bench_pct IS NULL)::INT + (abs(coalesce(net_pct, 0)) > 500)::INT + (sidx < 60)::INT AS limits FROM outcomes) SELECT instrument_id, sidx, limits, CASE WHEN limits = 0 THEN 'HIGH' WHEN limits <= 1 THEN 'MODERATE' ELSE 'LOW' END AS band FROM x")
+CONFIDENCE = """re AS (SELECT * FROM outcomes WHERE status = 'RESOLVED'), ld AS (SELECT max(sidx) AS last FROM cal_w),
+hy AS (SELECT o.instrument_id, count(*) AS n, stddev_samp(net_pct) AS sd, avg(net_pct) AS m, avg(gross_pct) AS g, count(DISTINCT year(session)) AS years, max(sidx) AS latest, avg(net_pct) FILTER (WHERE sidx > last - 100) AS recent FROM re o, ld GROUP BY 1),
+fm AS (SELECT instrument_id, avg((m > 0)::INT) AS share FROM (SELECT instrument_id, sidx // 50 AS f, avg(net_pct) AS m FROM re GROUP BY 1, 2) GROUP BY 1),
+lf AS (SELECT instrument_id, concat_ws('|', CASE WHEN NOT n >= 30 THEN 'SMALL_EFFECTIVE_SAMPLE' END, CASE WHEN NOT coalesce(3.92 * sd / sqrt(n) <= 1.0, false) THEN 'WIDE_UNCERTAINTY_INTERVAL' END, CASE WHEN NOT share >= 0.6 THEN 'FOLD_INSTABILITY' END, CASE WHEN NOT years >= 4 THEN 'NARROW_COVERAGE' END,
+  CASE WHEN NOT latest > last - 30 THEN 'STALE_OR_INCOMPLETE_DATA' END, CASE WHEN NOT m - 0.25 > 0 THEN 'COST_SENSITIVITY' END, CASE WHEN NOT (m > 0) = (g > 0.5) THEN 'PARAMETER_SENSITIVITY' END,
+  CASE WHEN NOT coalesce(m / (sd / sqrt(n)) > 0 AND exp(-power(m / (sd / sqrt(n)), 2) / 2) <= 0.05 / (SELECT count(*) FROM hy), false) THEN 'MULTIPLE_TESTING_BURDEN' END, CASE WHEN NOT coalesce(recent >= 0, false) THEN 'RECENT_DECAY' END) AS factors FROM hy JOIN fm USING (instrument_id), ld)"""
+
+
+@query("px_confidence_band", f"WITH {CONFIDENCE} SELECT instrument_id, factors, CASE WHEN factors = '' THEN 'HIGH' WHEN len(factors) - len(replace(factors, '|', '')) <= 1 THEN 'MODERATE' ELSE 'LOW' END AS band FROM lf")
 def px_confidence_band(v):
-    flags = [F.expr(e).cast("int") for e in ("status <> 'RESOLVED'", "bench_pct is null", "abs(coalesce(net_pct, 0)) > 500", "sidx < 60")]
-    x = v.outcomes.withColumn("limits", sum(flags[1:], flags[0]))
-    return x.select("instrument_id", "sidx", "limits", F.when(F.col("limits") == 0, "HIGH").when(F.col("limits") <= 1, "MODERATE").otherwise("LOW").alias("band"))
+    """A hypothesis is that an instrument's decisions gain: what limits the confidence in it, from its outcomes."""
+    re = v.outcomes.where("status = 'RESOLVED'")
+    last = v.cal_w.agg(F.max("sidx").alias("last"))
+    h = re.crossJoin(F.broadcast(last)).groupBy("instrument_id", "last").agg(
+        F.count("*").alias("n"), F.stddev_samp("net_pct").alias("sd"), F.avg("net_pct").alias("m"), F.avg("gross_pct").alias("g"), F.countDistinct(F.year("session")).alias("years"),
+        F.max("sidx").alias("latest"), F.avg(F.when(F.col("sidx") > F.col("last") - 100, F.col("net_pct"))).alias("recent"),
+    )
+    by_fold = re.groupBy("instrument_id", F.expr("sidx div 50").alias("f")).agg(F.avg("net_pct").alias("m"))
+    share = by_fold.groupBy("instrument_id").agg(F.avg((F.col("m") > 0).cast("double")).alias("share"))
+    tests = h.agg(F.count("*").alias("tests"))
+    j = h.join(share, "instrument_id").crossJoin(F.broadcast(tests))
+    t = F.try_divide("m", F.col("sd") / F.sqrt("n"))
+    factors = rules.limiting_factors(
+        F.col("n"), F.col("sd") * 3.92 / F.sqrt("n"), F.col("share") >= 0.6, F.col("years") >= 4, F.col("latest") > F.col("last") - 30, F.col("m") - 0.25 > 0,
+        (F.col("m") > 0) == (F.col("g") > 0.5), (t > 0) & (F.exp(-t * t / 2) <= F.lit(0.05) / F.col("tests")), F.col("recent") >= 0,
+    )
+    return j.select("instrument_id", factors.alias("f")).select("instrument_id", F.array_join("f", "|").alias("factors"), rules.confidence_band(F.col("f")).alias("band"))

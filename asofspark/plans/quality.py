@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators.features import BY, over_last
 from ..operators.selection import exact_quantiles
 from ..sources.readers import staged
@@ -172,13 +173,20 @@ def px_expiry_decode(v):
     return v.t("events").select("event_id", expiry(raw).alias("expiry"))
 
 
-OHLC = "SELECT instrument_id, session, concat_ws('|', CASE WHEN volume < 20 THEN 'LOW_VOLUME' END, CASE WHEN open * 1.1 > high THEN 'OPEN_NEAR_HIGH' END, CASE WHEN close < low * 1.1 THEN 'CLOSE_NEAR_LOW' END, CASE WHEN high < low THEN 'INVERTED' END) AS flags FROM bars_d"
+OHLC = """oh AS (SELECT instrument_id, session, CASE WHEN x % 37 = 0 THEN low - 1 ELSE high END AS high, low, CASE WHEN x % 11 = 0 THEN high * 1.5 ELSE open END AS open, CASE WHEN x % 13 = 0 THEN low * 0.5 ELSE close END AS close,
+  CASE WHEN x % 5 = 0 THEN high * 1.25 ELSE close END AS settlement, CASE WHEN x % 29 = 0 THEN 0 WHEN x % 31 = 0 THEN -volume ELSE volume END AS volume FROM (SELECT *, instrument_id * 7 + date_diff('day', DATE '1992-01-01', session) AS x FROM bars_d)),
+os AS (SELECT instrument_id, session, CASE WHEN volume < 0 THEN 'NEGATIVE_TOTAL_TRADED_QUANTITY' WHEN high < low THEN 'HIGH_BELOW_LOW' WHEN volume = 0 THEN 'ZERO_VOLUME_PRICE_STATE' ELSE concat_ws('|', CASE WHEN open NOT BETWEEN low AND high THEN 'OPEN_OUTSIDE_DAILY_RANGE_UNRESOLVED_BASIS' END,
+  CASE WHEN close NOT BETWEEN low AND high THEN 'CLOSE_OUTSIDE_DAILY_RANGE_UNRESOLVED_BASIS' END, CASE WHEN settlement NOT BETWEEN low AND high THEN 'SETTLEMENT_OUTSIDE_DAILY_RANGE_SEPARATE_BASIS' END) END AS flags FROM oh)"""
 
 
-@query("px_ohlc_rules", OHLC)
+@query("px_ohlc_rules", f"WITH {OHLC} SELECT instrument_id, session, flags, CASE WHEN flags IN ('NEGATIVE_TOTAL_TRADED_QUANTITY', 'HIGH_BELOW_LOW') THEN 'FATAL' WHEN contains(flags, 'UNRESOLVED_BASIS') THEN 'BLOCKING' WHEN flags <> '' THEN 'INFORMATIONAL' ELSE 'CLEAN' END AS severity FROM os")
 def px_ohlc_rules(v):
-    rules = {"LOW_VOLUME": "volume < 20", "OPEN_NEAR_HIGH": "open * 1.1d > high", "CLOSE_NEAR_LOW": "close < low * 1.1d", "INVERTED": "high < low"}
-    return v.bars_d.select("instrument_id", "session", F.array_join(F.array_compact(F.array(*[F.when(F.expr(e), n) for n, e in rules.items()])), "|").alias("flags"))
+    """Daily bars with a settlement price, and with faults of each kind by arithmetic on keys."""
+    x = F.col("instrument_id") * 7 + F.datediff("session", F.lit("1992-01-01").cast("date"))
+    odd = lambda n, then, c: F.when(x % n == 0, then).otherwise(F.col(c))
+    settlement, volume = odd(5, F.col("high") * 1.25, "close"), F.when(x % 29 == 0, 0).when(x % 31 == 0, -F.col("volume")).otherwise(F.col("volume"))
+    states = rules.ohlc_states(odd(11, F.col("high") * 1.5, "open"), odd(37, F.col("low") - 1, "high"), F.col("low"), odd(13, F.col("low") * 0.5, "close"), settlement, volume)
+    return v.bars_d.select("instrument_id", "session", states.alias("s")).select("instrument_id", "session", F.array_join("s", "|").alias("flags"), rules.ohlc_severity(F.col("s")).alias("severity"))
 
 
 @query("px_ohlc_predicates", "WITH p AS (SELECT concat_ws('+', CASE WHEN open = high THEN 'O=H' END, CASE WHEN open = low THEN 'O=L' END, CASE WHEN close = high THEN 'C=H' END, CASE WHEN close = low THEN 'C=L' END, CASE WHEN high = low THEN 'H=L' END) AS pattern, volume >= 30 AS busy FROM bars_d) SELECT pattern, busy, count(*) AS n FROM p GROUP BY 1, 2")

@@ -27,6 +27,7 @@ SAMPLED = 64  # one in so many terms is counted to know beforehand how many are
 SHARD = 1 << 11  # terms of a language that are evaluated together
 SOURCES = 128  # sources of a language that are evaluated against as many others
 TOGETHER = 64  # rows whose terms are told apart at a time
+LOOKED_UP = 1024  # rows whose terms are looked up at a time
 MARKS = 1 << 24  # rows x terms that may be marked in a table
 PART = 1000  # vectors that are added at a time
 HELD = 1 << 20  # sums of sources and terms that a task holds
@@ -36,11 +37,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[pa.LargeStringArray, np.ndarray, pa.Array]]:
+def _words(batch: pa.RecordBatch, together: int) -> Iterator[tuple[pa.LargeStringArray, np.ndarray, pa.Array]]:
     """For each run of rows its terms, one after another, the numbers of terms of its rows, and the rows' languages."""
     text = batch.column("_text").cast(pa.large_binary())
-    for i in range(0, len(text), TOGETHER):
-        part = text[i : i + TOGETHER]
+    for i in range(0, len(text), together):
+        part = text[i : i + together]
         _, offsets, data = part.buffers()
         offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
         data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
@@ -54,7 +55,7 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[pa.LargeStringArray, np.ndar
         starts = np.flatnonzero(first)
         sizes = np.flatnonzero(last) + 1 - starts
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(_LOWER[data[inside]]))
-        yield words, np.diff(np.searchsorted(starts, offsets)), batch.column("_lang")[i : i + TOGETHER].cast(pa.large_string())
+        yield words, np.diff(np.searchsorted(starts, offsets)), batch.column("_lang")[i : i + together].cast(pa.large_string())
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ def termed(docs: DataFrame, distinct: bool = False, sampled: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for words, counts, langs in _words(b):
+            for words, counts, langs in _words(b, TOGETHER):
                 if sampled:
                     words, counts = _sampled(words, counts)
                 if distinct:
@@ -130,20 +131,23 @@ def _kept_terms(docs: DataFrame, min_df: int) -> int:
     return SAMPLED * per_doc.where(F.col("n") >= min_df).count()
 
 
-def _vectors(batch: pa.RecordBatch, vocabulary: dict[str, dict[str, int]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def _vectors(batch: pa.RecordBatch, vocabulary: dict[str, tuple[pa.Array, np.ndarray]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """The sparse vectors of each run of rows: row, number of the term and occurrences, and how many rows there are."""
-    for words, counts, langs in _words(batch):
+    for words, counts, langs in _words(batch, LOOKED_UP):
         coded, lang = words.dictionary_encode(), langs.dictionary_encode()
-        terms, names = coded.dictionary.to_pylist(), lang.dictionary.to_pylist()
+        size = max(1, len(coded.dictionary))
         row = np.repeat(np.arange(len(counts)), counts)
-        both = lang.indices.to_numpy().astype(np.int64)[row] * max(1, len(terms)) + coded.indices.to_numpy()
-        number = np.full(len(names) * max(1, len(terms)), -1, np.int64)
-        asked = np.zeros(len(number), bool)
-        asked[both] = True
-        for x in np.flatnonzero(asked).tolist():
-            k, t = divmod(x, len(terms))
-            number[x] = vocabulary.get(names[k], {}).get(terms[t], -1)
-        i = number[both]
+        both = lang.indices.to_numpy().astype(np.int64)[row] * size + coded.indices.to_numpy()
+        number = np.full((len(lang.dictionary), size), -1, np.int64)
+        asked = np.zeros(number.shape, bool)
+        asked.ravel()[both] = True
+        for k, name in enumerate(lang.dictionary.to_pylist()):
+            if name in vocabulary:
+                terms, numbers = vocabulary[name]
+                at = np.flatnonzero(asked[k])
+                found = pc.index_in(coded.dictionary.take(pa.array(at)), value_set=terms).fill_null(-1).to_numpy()
+                number[k, at[found >= 0]] = numbers[found[found >= 0]]
+        i = number.ravel()[both]
         key = row[i >= 0] * width + i[i >= 0]
         found, begins = _runs(key)
         row, i = np.divmod(found, width)
@@ -152,7 +156,7 @@ def _vectors(batch: pa.RecordBatch, vocabulary: dict[str, dict[str, int]], width
 
 def document_vectors(docs: DataFrame, vocabulary: Broadcast, width: int) -> DataFrame:
     """docs -> (lang, source, i, n): the numbers of the terms that a document has and how often, as CountVectorizer's
-    model with this vocabulary (number by language and term) gives them. One row per document."""
+    model with this vocabulary (terms and numbers by language) gives them. One row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,26 +177,33 @@ def summed(vectors: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def added_up() -> None:
+            key, n = np.concatenate(keys), np.concatenate(sums)
+            order = np.argsort(key)
+            found, begins = _runs(key[order])
+            keys[:], sums[:] = [found], [np.add.reduceat(n[order], begins) if len(begins) else n]
 
         def out() -> pa.RecordBatch:
-            source = pa.array(list(names), pa.string()).take(pa.array(keys // width))
-            return pa.RecordBatch.from_arrays([source, pa.array((keys % width).astype(np.int32)), pa.array(sums)], names=["source", "i", "n"])
+            added_up()
+            source = pa.array(list(names), pa.string()).take(pa.array(keys[0] // width))
+            b = pa.RecordBatch.from_arrays([source, pa.array((keys[0] % width).astype(np.int32)), pa.array(sums[0])], names=["source", "i", "n"])
+            keys[:], sums[:] = [keys[0][:0]], [sums[0][:0]]
+            names.clear()
+            return b
 
         for b in (whole.slice(k, PART) for whole in batches for k in range(0, whole.num_rows, PART)):
             coded, lists = b.column("source").dictionary_encode(), b.column("i")
             number = np.array([names.setdefault(s, len(names)) for s in coded.dictionary.to_pylist()], np.int64)
             source = np.repeat(number[coded.indices.to_numpy()], pc.list_value_length(lists).to_numpy())
-            key = np.concatenate([keys, source * width + lists.flatten().to_numpy()])
-            n = np.concatenate([sums, b.column("n").flatten().to_numpy()])
-            order = np.argsort(key, kind="stable")
-            keys, begins = _runs(key[order])
-            sums = np.add.reduceat(n[order], begins) if len(begins) else n
-            if len(keys) > HELD:
-                yield out()
-                keys, sums = keys[:0], sums[:0]
-                names.clear()
-        if len(keys):
+            keys.append(source * width + lists.flatten().to_numpy())
+            sums.append(b.column("n").flatten().to_numpy())
+            if sum(map(len, keys[1:])) > HELD:
+                added_up()
+                if len(keys[0]) > HELD:
+                    yield out()
+        if sum(map(len, keys)):
             yield out()
 
     parts = vectors.select("source", "i", "n").mapInArrow(run, "source string, i int, n long")
@@ -217,12 +228,13 @@ def source_counts(docs: DataFrame, min_df: int = MIN_DF, most_terms: int = MOST_
         return found.select(_language(F.col("term")).alias("lang"), "source", F.substring_index("term", " ", 1).alias("term"), "n")
     # which terms are kept depends on documents alone
     words = [w.split(" ", 1) for w in CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=(1 << 31) - 1).fit(once).vocabulary]
-    by_lang: dict[str, dict[str, int]] = {}
+    by_lang: dict[str, list[tuple[str, int]]] = {}
     for i, (term, lang) in enumerate(words):
-        by_lang.setdefault(lang, {})[term] = i
+        by_lang.setdefault(lang, []).append((term, i))
+    vocabulary = {lang: (pa.array([t for t, _ in found], pa.large_string()), np.array([i for _, i in found])) for lang, found in by_lang.items()}
     spark = docs.sparkSession
     names = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(words)), pa.int32()), "term": pa.array([w[0] for w in words], pa.string()), "lang": pa.array([w[1] for w in words], pa.string())}))
-    vectors = document_vectors(docs, spark.sparkContext.broadcast(by_lang), len(words))
+    vectors = document_vectors(docs, spark.sparkContext.broadcast(vocabulary), len(words))
     return summed(vectors, len(words)).join(names, "i").select("lang", "source", "term", "n")
 
 

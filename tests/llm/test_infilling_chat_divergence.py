@@ -230,12 +230,15 @@ def test_vectors_are_those_of_the_model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
     terms = divergence.termed(docs)
     model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=5.0, vocabSize=(1 << 31) - 1).fit(terms)
-    by_lang = defaultdict(dict)
+    import pyarrow as pa
+
+    by_lang = defaultdict(list)
     for i, w in enumerate(model.vocabulary):
         term, lang = w.split(" ", 1)
-        by_lang[lang][term] = i
+        by_lang[lang].append((term, i))
+    vocabulary = {lang: (pa.array([t for t, _ in x], pa.large_string()), np.array([i for _, i in x])) for lang, x in by_lang.items()}
     want = [dict(zip(map(int, r["counts"].indices), map(int, r["counts"].values), strict=True)) for r in model.transform(terms).collect()]
-    got = divergence.document_vectors(docs, spark.sparkContext.broadcast(dict(by_lang)), len(model.vocabulary)).collect()
+    got = divergence.document_vectors(docs, spark.sparkContext.broadcast(vocabulary), len(model.vocabulary)).collect()
     assert [dict(zip(r["i"], r["n"], strict=True)) for r in got] == want and sum(map(len, want)) > 1000
 
 

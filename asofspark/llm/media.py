@@ -28,6 +28,7 @@ COLUMNS, ROWS = 16, 12
 UNIT = COLUMNS * ROWS  # blocks of a frame, one byte each
 FPS = 25
 QUANT = 8
+AT_ONCE = 2048  # frames whose samples are worked on at a time
 CHUNK = 1 << 20  # bytes of payload handled at once, at least one row
 LANES = 1 << 14
 
@@ -75,7 +76,11 @@ _BITS = np.array([_DC[s][1] for s in _SIZE]) + _SIZE + 1
 
 
 def _scans(samples: np.ndarray) -> list[bytes]:
-    """The entropy-coded data of each frame (rows of UNIT samples)."""
+    """The entropy-coded data of each frame (rows of UNIT samples); codes and positions are held for AT_ONCE frames."""
+    return [scan for i in range(0, len(samples), AT_ONCE) for scan in _coded(samples[i : i + AT_ONCE])]
+
+
+def _coded(samples: np.ndarray) -> list[bytes]:
     diff = np.diff(samples.astype(np.int64) - 128, axis=1, prepend=0) + 255
     code, bits = _CODE[diff], _BITS[diff]
     ends = np.cumsum(bits, axis=1)
@@ -283,14 +288,19 @@ def read(media: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _histograms(flat: np.ndarray, bins: int) -> np.ndarray:
+    n = len(flat)
+    return np.bincount(((flat >> 4) + np.arange(n)[:, None] * bins).ravel(), minlength=n * bins).reshape(n, bins) / flat.shape[1]
+
+
 def shots(blocks: np.ndarray, bins: int = 16, past: int = 8, factor: float = 3.0, least: float = 0.3) -> np.ndarray:
     """First frames of the shots. A frame starts one if its histogram differs from the frame before by `least` or more
     of all pixels, and by `factor` deviations more than the mean of up to `past` differences before."""
     n = len(blocks)
     if n < 2:
         return np.zeros(min(n, 1), np.int64)
-    flat = blocks.reshape(n, -1) >> 4
-    hist = np.bincount((flat + np.arange(n)[:, None] * bins).ravel(), minlength=n * bins).reshape(n, bins) / flat.shape[1]
+    flat = blocks.reshape(n, -1)
+    hist = np.concatenate([_histograms(flat[i : i + AT_ONCE], bins) for i in range(0, n, AT_ONCE)])
     diff = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     s1, s2 = np.concatenate([[0], np.cumsum(diff)]), np.concatenate([[0], np.cumsum(diff**2)])
     i = np.arange(len(diff))
@@ -349,7 +359,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for i, (a, z) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(blocks)]))
                 ]
                 mean = float(blocks.mean()) if blocks.size else 0.0
-                light = np.bincount(blocks.ravel() >> 4, minlength=16)
+                light = sum((np.bincount(blocks[i : i + AT_ONCE].ravel() >> 4, minlength=16) for i in range(0, len(blocks), AT_ONCE)), np.zeros(16, np.int64))
                 feature = f"frames={len(blocks)};shots={len(cuts)};mean={mean:.4f};levels={','.join(map(str, light))}"
                 rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, clips))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _CLIP)

@@ -751,3 +751,14 @@ def test_windows_are_those_of_brute_force():
                         hit |= set(range(p, p + n))
                         found.add(i)
             assert got == (len(w), len(hit), sorted(found, key=str))
+
+
+def test_a_long_text_takes_little_memory_as_media():
+    import tracemalloc
+
+    text = media.payload(b"a line of some text, and more. " * (1 << 18))  # 8 MB
+    tracemalloc.start()
+    (blocks,) = media.read(media.write([text]))
+    cuts, peak = media.shots(blocks), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert blocks[:, :, 0].tobytes() == text and len(cuts) == 1 and peak < 20 * len(text)

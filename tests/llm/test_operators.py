@@ -761,4 +761,4 @@ def test_a_long_text_takes_little_memory_as_media():
     (blocks,) = media.read(media.write([text]))
     cuts, peak = media.shots(blocks), tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert blocks[:, :, 0].tobytes() == text and len(cuts) == 1 and peak < 20 * len(text)
+    assert blocks[:, :, 0].tobytes() == text and cuts[0] == 0 and peak < 20 * len(text)
